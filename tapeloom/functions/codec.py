@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from tapeloom.functions.text import strip
 from tapeloom.schemas import PATHS, SEGMENT, SEGMENTS
 
-_SEGMENT_DDL = "struct<start:double,end:double,text:string>"
-
 # The event vocabulary of a streamed transcription.
 DATA_PREFIX = "data:"
 DONE_LINE = "DATA: [DONE]"
@@ -109,16 +107,31 @@ def normalise_response(response: Column) -> Column:
     )
 
 
+_EVENT_DDL = "type string, delta string, text string"
+
+
+def may_matter(line: Column) -> Column:
+    """Cheap pre-filter: drops lines that can neither append nor stop."""
+    return line.startswith(DATA_PREFIX) | (F.upper(strip(line)) == DONE_LINE)
+
+
 def decode_event(line: Column) -> Column:
-    """An event line as ``struct<is_stop, piece>``; ``piece`` is NULL for noise."""
-    payload = strip(F.substring(line, len(DATA_PREFIX) + 1, 2**31 - 1))
-    readable = line.startswith(DATA_PREFIX) & (payload != "") & (payload != DONE_PAYLOAD)
-    event = F.when(readable, F.try_parse_json(payload))
-    kind = F.try_variant_get(event, "$.type", "string")
-    piece = F.when(kind == DELTA_EVENT, F.try_variant_get(event, "$.delta", "string")).when(
-        kind == DONE_EVENT, F.try_variant_get(event, "$.text", "string")
+    """An event line as ``struct<is_stop, piece>``; ``piece`` is NULL for noise.
+
+    Lines that are blank, comments, not data or not a JSON object are noise.  A
+    JSON ``null`` text counts as absent.
+    """
+    payload = F.when(
+        line.startswith(DATA_PREFIX), strip(F.substring(line, len(DATA_PREFIX) + 1, 2**31 - 1))
+    )
+    # The variant parser also rejects text after the object; the typed one does not.
+    event = F.when(F.try_parse_json(payload).isNotNull(), F.from_json(payload, _EVENT_DDL))
+    piece = F.when(event["type"] == DELTA_EVENT, event["delta"]).when(
+        event["type"] == DONE_EVENT, event["text"]
+    )
+    ended = (F.upper(strip(line)) == DONE_LINE) | F.coalesce(
+        event["type"] == COMPLETED_EVENT, F.lit(False)
     )
-    ended = (F.upper(strip(line)) == DONE_LINE) | F.coalesce(kind == COMPLETED_EVENT, F.lit(False))
     return F.struct(
         F.coalesce(ended, F.lit(False)).alias("is_stop"),
         F.nullif(piece, F.lit("")).alias("piece"),

@@ -76,3 +76,32 @@ def notes_title(session_name: Column) -> Column:
 
 def placeholder_text(session_name: Column, path: Column) -> Column:
     return F.format_string(PLACEHOLDER_TEXT, session_name, file_name(path))
+
+
+def fixed_two(value: Column) -> Column:
+    """A number with two decimals, rounded on its exact binary value, ties to even.
+
+    The fraction is cut into two halves of 26 bits, so that a hundred times each
+    half is exact and the distance to the rounding tie has the right sign.
+    """
+    size = F.abs(value)
+    whole = F.floor(size)
+    fraction = size - whole
+    high = F.floor(fraction * 2.0**26) / F.lit(2.0**26)
+    scaled, rest = high * 100, (fraction - high) * 100
+    below = F.floor(scaled + rest)
+    past_tie = (scaled - below - 0.5) + rest
+    up = F.when((past_tie > 0) | ((past_tie == 0) & (F.pmod(below, F.lit(2)) == 1)), 1).otherwise(0)
+    cents = whole * 100 + below + up
+    return F.concat(
+        F.when(value < 0, F.lit("-")).otherwise(F.lit("")),
+        F.floor(cents / 100).cast("bigint").cast("string"),
+        F.lit("."),
+        F.lpad(F.pmod(cents, F.lit(100)).cast("bigint").cast("string"), 2, "0"),
+    )
+
+
+def seconds(value: Column) -> Column:
+    """Two decimals, right-aligned to six characters (wider values keep all digits)."""
+    text = fixed_two(value)
+    return F.when(F.length(text) < 6, F.lpad(text, 6, " ")).otherwise(text)

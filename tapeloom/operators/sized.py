@@ -1,0 +1,20 @@
+"""Joins that broadcast a side only after looking at its size."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Rows of a narrow side that may be sent to every executor (some 100 MB at most).
+BROADCAST_ROWS = 1_000_000
+
+
+def join_sized(big: DataFrame, narrow: DataFrame, keys: list[str], rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Inner join of a wide table with a narrow per-key table.
+
+    The narrow side is counted first.  Within ``rows`` it is broadcast and the
+    big side is not shuffled.  Beyond that Spark shuffles both sides, and
+    adaptive execution splits the partitions of hot keys.
+    """
+    fits = narrow.select(*keys).limit(rows + 1).count() <= rows
+    return big.join(F.broadcast(narrow) if fits else narrow, keys)

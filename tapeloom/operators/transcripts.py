@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions import codec
-from tapeloom.functions.text import rstrip, strip
+from tapeloom.functions.text import rstrip, seconds, strip
 from tapeloom.operators.ordered import PAGE_ROWS, Fold, block_of, joined_pages, running
 from tapeloom.schemas import SEGMENTS
 
@@ -154,12 +154,14 @@ def fold_events(events: DataFrame) -> DataFrame:
     its segments are the first ``n_segments`` stripped non-blank pieces.
     Nothing is emitted while everything so far is blank.
     """
-    decoded = events.withColumn("event", codec.decode_event(F.col("line"))).select(
-        *KEY, "seq", "event.is_stop", "event.piece"
+    decoded = (
+        events.filter(codec.may_matter(F.col("line")))
+        .withColumn("event", codec.decode_event(F.col("line")))
+        .select(*KEY, "seq", "event.is_stop", "event.piece")
     )
     filled = strip(F.col("piece")) != ""
     folded = running(
-        decoded.filter("is_stop OR piece IS NOT NULL"),
+        decoded,
         KEY,
         "seq",
         {
@@ -188,7 +190,9 @@ def rendered_channels(transcripts: DataFrame) -> DataFrame:
         F.coalesce("segments", F.array().cast(SEGMENTS)),
         lambda s: F.when(
             s["start"].isNotNull() & s["end"].isNotNull(),
-            F.format_string("  %6.2f-%6.2fs  %s", s["start"], s["end"], s["text"]),
+            F.concat(
+                F.lit("  "), seconds(s["start"]), F.lit("-"), seconds(s["end"]), F.lit("s  "), s["text"]
+            ),
         ).otherwise(F.concat(F.lit("  "), s["text"])),
     )
     none = F.array().cast("array<string>")
