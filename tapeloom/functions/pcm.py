@@ -81,7 +81,7 @@ def widen(samples: Column, n_channels: Column, wanted: Column) -> Column:
 
 def widen_error(n_channels: Column, wanted: Column) -> Column:
     fits = (n_channels == wanted) | ((n_channels == 1) & (wanted == 2))
-    return F.when(~fits, F.lit("Channel mismatch when writing audio"))
+    return F.when(~fits, F.lit("samples do not fit the channel layout"))
 
 
 def wav_bytes(frames: Column, n_channels: Column) -> Column:

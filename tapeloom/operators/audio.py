@@ -75,12 +75,12 @@ def split_plan(files: DataFrame, max_bytes: int) -> DataFrame:
     per_chunk = F.greatest(F.floor(budget / frame_size), F.lit(1))
     largest = F.least(F.col("frames"), per_chunk)
     error = (
-        F.when(F.lit(max_bytes) <= 0, F.lit("max_bytes must be a positive integer"))
-        .when(frame_size <= 0, F.lit("Invalid WAV metadata; frame size must be positive"))
-        .when(budget <= 0, F.lit("max_bytes is too small to fit a WAV header"))
+        F.when(F.lit(max_bytes) <= 0, F.lit("budget is not positive"))
+        .when(frame_size <= 0, F.lit("frame size is not positive"))
+        .when(budget <= 0, F.lit("budget is smaller than a file header"))
         .when(
             (F.col("frames") > 0) & (pcm.wav_bytes(largest, F.col("n_channels")) > max_bytes),
-            F.lit("Chunk size exceeded max_bytes budget"),
+            F.lit("one frame is larger than the budget"),
         )
     )
     return files.withColumn("error", error).withColumn(

@@ -77,8 +77,8 @@ def split_manifest(spark, sf_dir):
         "chunk_name",
         "frame_start",
         "n_frames",
-        F.round("start", 6).alias("start"),
-        F.round("duration", 6).alias("duration"),
+        "start",
+        "duration",
     )
 
 
@@ -259,8 +259,9 @@ ORACLES = {
         body=f"""SELECT session_id, channel, i AS chunk_index,
           channel || '.chunk' || CASE WHEN i < 1000 THEN lpad(CAST(i AS VARCHAR), 3, '0') ELSE CAST(i AS VARCHAR) END || '.wav' AS chunk_name,
           i * mf AS frame_start, least(mf, frames - i * mf) AS n_frames,
-          round(CASE WHEN sample_rate = 0 THEN 0 ELSE i * mf / CAST(sample_rate AS DOUBLE) END, 6) AS start,
-          round(CASE WHEN sample_rate = 0 THEN 0 ELSE least(mf, frames - i * mf) / CAST(sample_rate AS DOUBLE) END, 6) AS duration
+          CASE WHEN sample_rate = 0 THEN CAST(0 AS DOUBLE) ELSE i * mf / CAST(sample_rate AS DOUBLE) END AS start,
+          CASE WHEN sample_rate = 0 THEN CAST(0 AS DOUBLE)
+               ELSE least(mf, frames - i * mf) / CAST(sample_rate AS DOUBLE) END AS duration
         FROM (SELECT *, unnest(range((frames + mf - 1) // mf)) AS i FROM (
                 SELECT *, CAST(({UPLOAD_BYTES} - 44) // (n_channels * 2) AS BIGINT) AS mf FROM measured))""",
     ),
@@ -286,7 +287,7 @@ ORACLES = {
         body=f"""SELECT s.vec_id,
           CASE e.label % 3 WHEN 0 THEN string_agg({_quantised('x')}, ',' ORDER BY n)
                WHEN 1 THEN string_agg({_quantised('x')} || ',' || {_quantised('x')}, ',' ORDER BY n) END AS pcm,
-          CASE e.label % 3 WHEN 2 THEN 'Channel mismatch when writing audio' END AS error
+          CASE e.label % 3 WHEN 2 THEN 'samples do not fit the channel layout' END AS error
         FROM samples s JOIN embeddings e ON e.vec_id = s.vec_id GROUP BY s.vec_id, e.label""",
     ),
     # Byte by byte: two bytes give a sample, two samples a frame, 50 frames a chunk.

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tapeloom.plans import audio_queries, store_queries, text_queries
+from tapeloom.plans import audio_queries, device_queries, store_queries, text_queries
 
-_AREAS = [store_queries, text_queries, audio_queries]
+_AREAS = [store_queries, text_queries, audio_queries, device_queries]
 
 QUERIES = {name: fn for area in _AREAS for name, fn in area.QUERIES.items()}
 ORACLES = {name: text for area in _AREAS for name, text in area.ORACLES.items()}
