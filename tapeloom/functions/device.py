@@ -43,27 +43,25 @@ def is_disabled(value: Column) -> Column:
     )
 
 
+# The helpers below name each input once: filters on parsed fields are pushed
+# down by substitution, and repeated inputs would multiply at every step.
+
+
 def quoted_name(name: Column) -> Column:
     """A name in double quotes, inner ones escaped; an outer pair is not doubled."""
-    text = strip(name)
-    wrapped = text.startswith('"') & text.endswith('"') & (F.length(text) >= 2)
-    inner = F.when(wrapped, F.substring(text, F.lit(2), F.length(text) - 2)).otherwise(text)
+    inner = F.regexp_replace(strip(name), '(?s)^"(.*)"$', "$1")
     return F.concat(F.lit('"'), F.replace(inner, F.lit('"'), F.lit('\\"')), F.lit('"'))
 
 
 def unquoted(value: Column) -> Column:
     """Drop one pair of wrapping quotes, then unescape the inner ones."""
-    text = strip(value)
-    first = F.substring(text, 1, 1)
-    wrapped = (F.length(text) >= 2) & first.isin('"', "'") & text.endswith(first)
-    inner = F.when(wrapped, F.substring(text, F.lit(2), F.length(text) - 2)).otherwise(text)
+    inner = F.regexp_replace(strip(value), "(?s)^([\"'])(.*)\\1$", "$2")
     return F.replace(F.replace(inner, F.lit('\\"'), F.lit('"')), F.lit("\\'"), F.lit("'"))
 
 
 def after_first(text: Column, mark: str) -> Column:
     """Text behind the first ``mark``; NULL without one."""
-    at = F.instr(text, mark)
-    return F.when(at > 0, F.substring(text, at + len(mark), F.length(text)))
+    return F.get(F.split(text, "\\Q" + mark + "\\E", 2), F.lit(1))
 
 
 def recommended_spec(input_format: Column, index: Column, name: Column, details: Column) -> Column:
@@ -132,13 +130,12 @@ def query_items(query: Column) -> Column:
 
 def as_integer(text: Column) -> Column:
     """A whole number, or NULL when the text is none."""
-    plain = strip(text)
-    return F.when(plain.rlike(_INTEGER), F.replace(plain, F.lit("_"), F.lit("")).try_cast("bigint"))
+    digits = F.regexp_extract(strip(text), _INTEGER, 0)
+    return F.replace(digits, F.lit("_"), F.lit("")).try_cast("bigint")
 
 
 def as_decimal(text: Column) -> Column:
-    plain = strip(text)
-    return F.when(plain.rlike(_DECIMAL), plain.try_cast("double"))
+    return F.regexp_extract(strip(text), _DECIMAL, 0).try_cast("double")
 
 
 def last_value(items: Column, key: str) -> Column:
@@ -198,5 +195,9 @@ def shell_split(values: pa.Array) -> pa.Array:
     return pa.array(rows, pa.list_(pa.list_(pa.string())))
 
 
+# Declared so that filters stay above it: pushed below, they would parse twice.
+shell_split = shell_split.asNondeterministic()
+
+
 def known_format(name: Column) -> Column:
     return name.isin(list(CAPTURE_FORMATS))

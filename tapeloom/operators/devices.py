@@ -239,7 +239,7 @@ def parse_specs(specs: DataFrame, devices: DataFrame | None = None) -> DataFrame
         named = based.withColumn("__index", lookup).join(names, ["host", "__index"], "left").drop("__index")
     query_text = device.after_first(F.col("given"), "?")
     guess = device.guessed_target(F.col("base"), F.col("platform"), F.nullif("listed_name", F.lit("")))
-    guessed = F.when(query_text.isNotNull(), F.concat(guess, F.lit("?"), query_text)).otherwise(guess)
+    guessed = F.concat(guess, F.coalesce(F.concat(F.lit("?"), query_text), F.lit("")))
     full = F.when(device.has_scheme(F.col("given")), F.col("given")).otherwise(guessed)
     split = (
         named.withColumn("full", F.translate(full, "\t\r\n", ""))
@@ -251,17 +251,15 @@ def parse_specs(specs: DataFrame, devices: DataFrame | None = None) -> DataFrame
         .withColumn("words", device.shell_split(device.words_to_split(F.col("items"))))
     )
     items = F.col("items")
-    problems = F.filter(
-        F.zip_with(items, F.col("words"), device.item_error), lambda e: e.isNotNull()
-    )
+    option_errors = F.zip_with(items, F.col("words"), device.item_error)
 
     def arguments(words_key: str, option: str, flag: str) -> Column:
         return F.flatten(
             F.zip_with(items, F.col("words"), lambda i, w: device.item_arguments(i, w, words_key, option, flag))
         )
 
-    given_frames = F.greatest(device.as_integer(device.last_value(items, "chunk_frames")), F.lit(1).cast("bigint"))
-    milliseconds = F.greatest(device.as_decimal(device.last_value(items, "chunk_ms")), F.lit(0.0))
+    given_frames = device.as_integer(device.last_value(items, "chunk_frames"))
+    milliseconds = device.as_decimal(device.last_value(items, "chunk_ms"))
     typed = split.select(
         *specs.columns,
         "input_format",
@@ -273,25 +271,29 @@ def parse_specs(specs: DataFrame, devices: DataFrame | None = None) -> DataFrame
         milliseconds.alias("milliseconds"),
         arguments("args", device.INPUT_OPTION, device.INPUT_FLAG).alias("args_before_input"),
         arguments("out_args", device.OUTPUT_OPTION, device.OUTPUT_FLAG).alias("args_after_input"),
-        F.get(problems, F.lit(0)).alias("problem"),
+        option_errors.alias("option_errors"),
     )
-    error = (
+    before = (
         F.when(F.coalesce(F.col("device"), F.lit("")) == "", F.lit("no device given"))
         .when(F.col("input_format").isNull(), F.lit("no input format"))
         .when(F.coalesce(F.col("input_target"), F.lit("")) == "", F.lit("no device identifier"))
-        .when(F.col("problem").isNotNull(), F.col("problem"))
-        .when(F.col("sample_rate") <= 0, F.lit("sample_rate is not positive"))
+    )
+    after = (
+        F.when(F.col("sample_rate") <= 0, F.lit("sample_rate is not positive"))
         .when(F.col("channels") <= 0, F.lit("channels is not positive"))
         .when(~device.known_format(F.col("sample_format")), F.lit("unknown sample format"))
     )
-    from_time = F.greatest(
-        F.floor(F.col("sample_rate") * (F.col("milliseconds") / 1000.0)), F.lit(1).cast("bigint")
-    )
-    frames = F.coalesce("given_frames", F.when(F.col("milliseconds").isNotNull(), from_time)).cast("bigint")
+    # The first error found.  As one array it is filtered in one piece and not
+    # taken apart and pushed through all the steps above.
+    errors = F.concat(F.array(before), F.col("option_errors"), F.array(after))
+    error = F.get(F.filter(errors, lambda e: e.isNotNull()), F.lit(0))
+    # NULL stays NULL: greatest() alone would turn it into the other value.
+    from_time = F.floor(F.col("sample_rate") * (F.greatest("milliseconds", F.lit(0.0)) / 1000.0))
+    wanted = F.coalesce("given_frames", F.when(F.col("milliseconds").isNotNull(), from_time))
+    frames = F.when(wanted.isNotNull(), F.greatest(wanted, F.lit(1))).cast("bigint")
     checked = typed.withColumn("chunk_frames", frames).withColumn("error", error).drop(
-        "given_frames", "milliseconds", "problem"
+        "given_frames", "milliseconds", "option_errors"
     )
-    good = F.col("error").isNull()
     fields = [
         "input_format",
         "input_target",
@@ -302,4 +304,7 @@ def parse_specs(specs: DataFrame, devices: DataFrame | None = None) -> DataFrame
         "args_before_input",
         "args_after_input",
     ]
-    return checked.select(*specs.columns, *[F.when(good, F.col(f)).alias(f) for f in fields], "error")
+    spec = F.when(F.col("error").isNull(), F.struct(*fields))
+    return checked.select(*specs.columns, "error", spec.alias("spec")).select(
+        *specs.columns, "spec.*", "error"
+    )
