@@ -37,14 +37,17 @@ def dequantise_capture(values: Column, sample_format: str) -> Column:
     return F.transform(values, lambda v: (v / F.lit(scale)).cast("float"))
 
 
+def decode_bytes(data, sample_format: str) -> np.ndarray:
+    """Captured bytes of one chunk to floats."""
+    _, dtype, scale = CAPTURE_FORMATS[sample_format]
+    values = np.frombuffer(data, dtype=dtype).astype(np.float32)
+    return values if scale == 1.0 else values / np.float32(scale)
+
+
 @F.arrow_udf(T.ArrayType(T.FloatType()))
 def decode_pcm(payload: pa.Array, sample_format: pa.Array) -> pa.Array:
     """Captured bytes to floats, each row in its own capture format."""
-    decoded = []
-    for data, name in zip(payload, sample_format):
-        _, dtype, scale = CAPTURE_FORMATS[name.as_py()]
-        values = np.frombuffer(data.as_buffer(), dtype=dtype).astype(np.float32)
-        decoded.append(values if scale == 1.0 else values / np.float32(scale))
+    decoded = [decode_bytes(d.as_buffer(), f.as_py()) for d, f in zip(payload, sample_format)]
     offsets = np.cumsum([0] + [len(v) for v in decoded]).astype(np.int32)
     flat = np.concatenate(decoded) if decoded else np.empty(0, np.float32)
     return pa.ListArray.from_arrays(offsets, flat)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -54,3 +55,19 @@ def shared_dir(spark: SparkSession) -> str:
 def new_shared_path(spark: SparkSession, label: str) -> str:
     """A fresh path under :func:`shared_dir`; never reused between runs."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Workers import it for the functions that run in them; on a cluster it is
+    not installed there, and locally they may start in another folder.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_tapeloom_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    base = os.path.join(tempfile.mkdtemp(prefix="tapeloom-ship-"), "tapeloom")
+    archive = shutil.make_archive(base, "zip", os.path.dirname(package), os.path.basename(package))
+    context.addPyFile(archive)
+    context._tapeloom_shipped = True
