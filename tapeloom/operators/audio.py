@@ -108,7 +108,7 @@ def split_manifest(files: DataFrame, max_bytes: int) -> DataFrame:
     number = F.col("chunk_index").cast("string")
     padded = F.when(F.length(number) < 3, F.lpad(number, 3, "0")).otherwise(number)
     name = F.concat(path_stem(F.col("path")), F.lit(".chunk"), padded, suffix)
-    made = {"frames", "chunk_index", "chunk_name", "frame_start", "n_frames", "start", "duration"}
+    made = {"frames", "chunk_index", "chunk_name", "frame_start", "n_frames", "start", "duration", "is_whole"}
     return rows.select(
         *[c for c in files.columns if c not in made],
         "chunk_index",
@@ -117,6 +117,7 @@ def split_manifest(files: DataFrame, max_bytes: int) -> DataFrame:
         n_frames.alias("n_frames"),
         F.coalesce(start / rate, F.lit(0.0)).alias("start"),
         F.coalesce(n_frames / rate, F.lit(0.0)).alias("duration"),
+        (n_frames == F.col("frames")).alias("is_whole"),
     )
 
 

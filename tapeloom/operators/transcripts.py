@@ -40,13 +40,14 @@ def _shifted(segments: Column, start: Column) -> Column:
     )
 
 
-def merge_chunks(parsed: DataFrame, targets: DataFrame | None = None, page_rows: int = PAGE_ROWS) -> DataFrame:
+def merge_chunks(parsed: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
     """One transcript per (session, channel) from its parsed chunk responses.
 
     A transcript of up to ``page_rows`` chunks is the row with ``part`` 0; a
     longer one goes on in further parts, each complete for its chunks, so that
-    no task gathers an unbounded recording.  ``targets`` adds an empty
-    transcript for every channel that has no chunks.
+    no task gathers an unbounded recording.  Rows marked ``is_whole`` (when the
+    column exists) are recordings sent in one piece: they keep their text
+    unstripped and their response as it came.
     """
     clean = strip(F.col("text"))
     entry = F.struct(
@@ -61,8 +62,11 @@ def merge_chunks(parsed: DataFrame, targets: DataFrame | None = None, page_rows:
         _shifted(F.col("segments"), F.col("start")).alias("segments"),
         F.to_json(entry).alias("entry"),
     )
+    whole = F.col("is_whole") if "is_whole" in parsed.columns else F.lit(False)
+    kept = F.struct(F.col("text"), F.col("raw_response"))
     grouped = parsed.groupBy(*KEY, block_of("chunk_index", page_rows).alias("part")).agg(
-        F.sort_array(F.collect_list(piece)).alias("pieces")
+        F.sort_array(F.collect_list(piece)).alias("pieces"),
+        F.any_value(F.when(whole, kept), True).alias("kept"),
     )
     text = F.array_join(F.col("pieces.text"), "\n")
     chunks_json = F.concat(F.lit('{"chunks":['), F.array_join(F.col("pieces.entry"), ","), F.lit("]"))
@@ -73,26 +77,32 @@ def merge_chunks(parsed: DataFrame, targets: DataFrame | None = None, page_rows:
         text.alias("text"),
         F.flatten("pieces.segments").cast(SEGMENTS).alias("segments"),
         chunks_json.alias("head"),
-    ).select(
+        "kept",
+    ).withColumn(
+        "raw",
+        F.when(F.col("text") == "", F.concat("head", F.lit("}"))).otherwise(
+            F.concat("head", F.lit(","), F.substring(text_json, 2, 2**31 - 1))
+        ),
+    )
+    sent_whole = F.col("kept").isNotNull()
+    return merged.select(
         *KEY,
         "part",
-        "text",
+        F.when(sent_whole, F.col("kept.text")).otherwise(F.col("text")).alias("text"),
         "segments",
-        F.when(F.col("text") == "", F.concat("head", F.lit("}")))
-        .otherwise(F.concat("head", F.lit(","), F.substring(text_json, 2, 2**31 - 1)))
-        .alias("raw_response"),
-    )
-    if targets is None:
-        return merged
-    absent = targets.select(*KEY).distinct().join(merged.filter("part = 0").select(*KEY), KEY, "left_anti")
-    return merged.unionByName(
-        absent.select(
-            *KEY,
-            F.lit(0).cast("bigint").alias("part"),
-            F.lit("").alias("text"),
-            F.array().cast(SEGMENTS).alias("segments"),
-            F.lit(None).cast("string").alias("raw_response"),
-        )
+        F.when(sent_whole, F.col("kept.raw_response")).otherwise(F.col("raw")).alias("raw_response"),
+    )
+
+
+def empty_transcripts(targets: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Empty transcripts of the targets that have no chunks at all."""
+    absent = targets.select(*KEY).distinct().join(chunks.select(*KEY).distinct(), KEY, "left_anti")
+    return absent.select(
+        *KEY,
+        F.lit(0).cast("bigint").alias("part"),
+        F.lit("").alias("text"),
+        F.array().cast(SEGMENTS).alias("segments"),
+        F.lit(None).cast("string").alias("raw_response"),
     )
 
 

@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tapeloom import providers
 from tapeloom.functions import pcm
+from tapeloom.functions.text import path_stem
 from tapeloom.operators import audio, store
-from tapeloom.plans import sql
+from tapeloom.plans import fleet, sql
+from tapeloom.session import new_shared_path
 from tapeloom.sources import audio_tables as sources
-from tapeloom.sources import tables
+from tapeloom.sources import tables, wav
 
 # Small budget so that the captured orders need several upload chunks.
 UPLOAD_BYTES = 4_000_000
 CELL_FRAMES = 1024
+WAV_FRAMES = 1000
 
 
 def _path():
@@ -151,7 +155,87 @@ def mix_down(spark, sf_dir):
     return _rendered(audio.mix_down(chunks, metrics, CELL_FRAMES), ["session_id"])
 
 
+def wav_roundtrip(spark, sf_dir):
+    """Recordings written as WAV files of limited length and read back."""
+    folder = new_shared_path(spark, "wav")
+    chunks = sources.vector_chunks(spark, sf_dir)
+    # The write is the query's work; its report is only checked for failures.
+    wav.write_wav(chunks, folder, WAV_FRAMES).agg(F.sum("frames")).collect()
+    back = wav.wav_chunks(wav.wav_headers(spark, folder), 64, chunks_per_span=4)
+    return back.select(
+        "session_id",
+        "channel",
+        "chunk_idx",
+        F.col("n_frames").cast("bigint").alias("n_frames"),
+        _ints(F.transform("samples", lambda x: F.round(x.cast("double") * 32767).cast("int"))).alias("pcm"),
+    )
+
+
+def _echo(batch):
+    """A stand-in backend: tells what it was given."""
+    number = batch["chunk_index"].astype(str)
+    spoken = batch["channel"] + " " + number + " " + batch["n_frames"].astype(str)
+    return (
+        '{"text": "' + spoken + '  ", "segments": [{"start": 0.0, "end": 1.0, "text": " ' + number + '"}]}'
+    )
+
+
+def provider_transcripts(spark, sf_dir):
+    """All captured channels through a backend, chunk by chunk, and merged."""
+    metrics = _metrics(spark, sf_dir)
+    manifest = audio.split_manifest(metrics, UPLOAD_BYTES)
+    merged = providers.transcribe(manifest, _echo, metrics)
+    return merged.select(
+        "session_id",
+        "channel",
+        "part",
+        "text",
+        F.size("segments").cast("bigint").alias("n_segments"),
+        F.try_element_at("segments", F.lit(-1))["end"].alias("last_end"),
+        F.get_json_object("raw_response", "$.text").alias("raw_text"),
+    )
+
+
+def _count_lines(batch):
+    return batch["name"] + ": " + (batch["prompt"].str.count("\n") + 1).astype(str) + " lines"
+
+
+def provider_notes(spark, sf_dir):
+    sessions = store.compact_sessions(tables.session_log(spark, sf_dir))
+    found = providers.write_notes(sessions, tables.transcripts(spark, sf_dir), _count_lines)
+    return found.select("session_id", "title", "summary")
+
+
+def session_batch(spark, sf_dir):
+    """The whole job on the vector recordings: mix, placeholder texts and notes."""
+    root = new_shared_path(spark, "fleet")
+    channels = sources.vector_channels(spark, sf_dir)
+    requests = channels.groupBy(F.col("session_id").alias("id")).agg(
+        F.concat(F.lit("Weekly "), F.min("channel")).alias("name"), F.lit(0.0).alias("created_at")
+    )
+    out = fleet.process_batch(
+        spark, root, 1, requests, channels, sources.vector_chunks(spark, sf_dir), cell_frames=CELL_FRAMES
+    )
+    outcome = store.session_outcomes(out["sessions"], out["transcripts"], out["notes"])
+    return outcome.select(
+        "id",
+        "name",
+        "duration",
+        F.col("sample_rate").cast("bigint").alias("sample_rate"),
+        path_stem(F.col("mix_path")).alias("mix"),
+        F.size("audio_paths").cast("bigint").alias("n_paths"),
+        "channel",
+        "text",
+        "title",
+        "summary",
+    )
+
+
 QUERIES = {
+    "wav_roundtrip": wav_roundtrip,
+    "provider_transcripts": provider_transcripts,
+    "provider_notes": provider_notes,
+    "session_batch": session_batch,
     "channel_metrics": channel_metrics,
     "session_rollup": session_rollup,
     "mix_source_filter": mix_source_filter,
@@ -225,7 +309,48 @@ resampled AS (
   JOIN samples b ON b.channel = p.channel AND b.frame = least(CAST(floor(p.p) AS BIGINT) + 1, p.len - 1))"""
 )
 
+_ECHO = """CASE WHEN frames = 0 THEN '' WHEN frames <= mf THEN channel || ' 0 ' || frames || '  '
+  ELSE array_to_string(list_transform(range((frames + mf - 1) // mf),
+    lambda i: channel || ' ' || i || ' ' || least(mf, frames - i * mf)), chr(10)) END"""
+
 ORACLES = {
+    "wav_roundtrip": sql.with_(
+        _SAMPLES,
+        body=f"""SELECT session_id, stem AS channel, spot // 64 AS chunk_idx, count(*) AS n_frames,
+          string_agg({_quantised('x')}, ',' ORDER BY spot) AS pcm
+        FROM (SELECT * EXCLUDE (chunk_idx), frame % {WAV_FRAMES} AS spot,
+                     channel || CASE WHEN count(*) OVER (PARTITION BY channel) > {WAV_FRAMES}
+                       THEN '.chunk' || lpad(CAST(frame // {WAV_FRAMES} AS VARCHAR), 3, '0') ELSE '' END AS stem
+              FROM samples)
+        GROUP BY session_id, stem, spot // 64""",
+    ),
+    "provider_transcripts": sql.with_(
+        _METRICS,
+        body=f"""SELECT session_id, channel, CAST(0 AS BIGINT) AS part, {_ECHO} AS text,
+          CAST((frames + mf - 1) // mf AS BIGINT) AS n_segments,
+          CASE WHEN frames > 0 THEN 1 + CASE WHEN sample_rate = 0 THEN CAST(0 AS DOUBLE)
+            ELSE ((frames + mf - 1) // mf - 1) * mf / CAST(sample_rate AS DOUBLE) END END AS last_end,
+          nullif({_ECHO}, '') AS raw_text
+        FROM (SELECT *, CAST(({UPLOAD_BYTES} - 44) // (n_channels * 2) AS BIGINT) AS mf FROM measured)""",
+    ),
+    "provider_notes": sql.with_(
+        sql.SESSIONS,
+        sql.TRANSCRIPTS,
+        body="""SELECT session_id, 'Notes for ' || name AS title,
+          name || ': ' || (length(p) - length(replace(p, chr(10), '')) + 1) || ' lines' AS summary
+        FROM (SELECT session_id, string_agg('[' || channel || '] ' || text, chr(10) ORDER BY row_id) AS p
+              FROM transcripts WHERE text <> '' GROUP BY session_id) JOIN sessions ON id = session_id""",
+    ),
+    "session_batch": sql.with_(
+        _SAMPLES,
+        body="""SELECT session_id AS id, name, duration, sample_rate, 'mix' AS mix, n_paths, 'mixed' AS channel,
+          text, 'Notes for ' || name AS title, text AS summary
+        FROM (SELECT *, 'Dummy transcript for session ' || chr(39) || name || chr(39) ||
+                        ' from mix.wav. Replace with a real transcription backend.' AS text
+              FROM (SELECT session_id, 'Weekly ' || min(channel) AS name, max(frames / CAST(rate AS DOUBLE)) AS duration,
+                           CAST(max(rate) AS BIGINT) AS sample_rate, count(*) AS n_paths
+                    FROM (SELECT session_id, channel, rate, count(*) AS frames FROM samples GROUP BY ALL) GROUP BY session_id))""",
+    ),
     "channel_metrics": sql.with_(
         _METRICS,
         body="SELECT session_id, channel, device, sample_rate, frames, duration, is_silent FROM measured",
