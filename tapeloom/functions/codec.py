@@ -88,9 +88,15 @@ def normalise_response(response: Column) -> Column:
     A JSON object carries ``text`` and maybe a list of ``segments``; anything
     else is a bare text.  Blank text is kept as it is, segment texts are stripped.
     """
-    document = F.try_parse_json(response)
-    is_object = F.btrim(response, F.lit(" \t\r\n")).startswith("{") & document.isNotNull()
-    listed = F.try_variant_get(document, "$.segments", "array<variant>")
+    # Read as an only list element: text behind the object makes it a bare text.
+    listed = F.try_parse_json(F.concat(F.lit("["), response, F.lit("]")))
+    document = F.try_variant_get(listed, "$[0]", "variant")
+    is_object = (
+        F.btrim(response, F.lit(" \t\r\n")).startswith("{")
+        & document.isNotNull()
+        & F.try_variant_get(listed, "$[1]", "variant").isNull()
+    )
+    segments = F.try_variant_get(document, "$.segments", "array<variant>")
     empty = F.array().cast(SEGMENTS)
     text = (
         F.when(response.isNull(), F.lit(""))
@@ -102,12 +108,12 @@ def normalise_response(response: Column) -> Column:
     )
     return F.struct(
         text.alias("text"),
-        F.when(is_object, F.coalesce(F.transform(listed, _segment), empty)).otherwise(empty).alias("segments"),
+        F.when(is_object, F.coalesce(F.transform(segments, _segment), empty)).otherwise(empty).alias("segments"),
         F.when(is_object, response).otherwise(bare).alias("raw_response"),
     )
 
 
-_EVENT_DDL = "type string, delta string, text string"
+_EVENT_DDL = "array<struct<type:string,delta:string,text:string>>"
 
 
 def may_matter(line: Column) -> Column:
@@ -124,8 +130,9 @@ def decode_event(line: Column) -> Column:
     payload = F.when(
         line.startswith(DATA_PREFIX), strip(F.substring(line, len(DATA_PREFIX) + 1, 2**31 - 1))
     )
-    # The variant parser also rejects text after the object; the typed one does not.
-    event = F.when(F.try_parse_json(payload).isNotNull(), F.from_json(payload, _EVENT_DDL))
+    # As an only list element, text behind the object makes it unreadable.
+    listed = F.from_json(F.concat(F.lit("["), payload, F.lit("]")), _EVENT_DDL)
+    event = F.when(F.size(listed) == 1, F.get(listed, F.lit(0)))
     piece = F.when(event["type"] == DELTA_EVENT, event["delta"]).when(
         event["type"] == DONE_EVENT, event["text"]
     )

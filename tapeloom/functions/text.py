@@ -38,8 +38,9 @@ def lstrip(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Non-empty tokens between runs of Unicode white space."""
-    return F.filter(F.split(text, f"[{WHITESPACE}]+"), lambda w: w != "")
+    """Tokens between runs of Unicode white space; none for blank text."""
+    tokens = F.split(strip(text), f"[{WHITESPACE}]+")
+    return F.array_remove(tokens, F.lit(""))
 
 
 def word_count(text: Column) -> Column:
