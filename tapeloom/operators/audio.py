@@ -52,12 +52,16 @@ def mix_sources(metrics: DataFrame) -> DataFrame:
 
 def transcription_targets(sessions: DataFrame, metrics: DataFrame) -> DataFrame:
     """Per session its mix, or else every channel that is not silent."""
-    mixed = sessions.filter("mix_path IS NOT NULL").select(
-        F.col("id").alias("session_id"), F.col("mix_path").alias("path")
+    asked = sessions.select(F.col("id").alias("session_id"), "mix_path")
+    sources = mix_sources(metrics).select(F.col("session_id").alias("source_id"), F.col("path").alias("raw_path"))
+    # A session with a mix matches no channel and keeps its one row.
+    matched = F.col("mix_path").isNull() & (F.col("session_id") == F.col("source_id"))
+    return (
+        asked.join(sources, matched, "left")
+        .select("session_id", F.coalesce("mix_path", "raw_path").alias("path"))
+        .filter("path IS NOT NULL")
+        .withColumn("channel", path_stem(F.col("path")))
     )
-    unmixed = sessions.filter("mix_path IS NULL").select(F.col("id").alias("session_id"))
-    raw = mix_sources(metrics).join(unmixed, "session_id", "left_semi").select("session_id", "path")
-    return mixed.unionByName(raw).withColumn("channel", path_stem(F.col("path")))
 
 
 def route_by_size(files: DataFrame, max_upload_bytes: int) -> DataFrame:

@@ -136,10 +136,9 @@ def events_stream(events: DataFrame) -> DataFrame:
         piece = row["piece"]
         if stopped or row["is_stop"] or not piece:
             return (raw_end, segments, position, stopped or bool(row["is_stop"])), []
-        raw_end, segments, position = raw_end + len(piece), segments + int(row["filled"]), position + 1
-        return (raw_end, segments, position, False), [
-            (row["seq"], position, piece, raw_end, segments, segments > 0)
-        ]
+        raw_end, segments = raw_end + len(piece), segments + int(row["filled"])
+        update = (row["seq"], position, piece, raw_end, segments, segments > 0)
+        return (raw_end, segments, position + 1, False), [update]
 
     return process_in_order(
         decoded,

@@ -1,0 +1,57 @@
+"""What the physical plans must and must not contain."""
+
+import pytest
+
+from tapeloom.operators.sized import join_sized
+from tapeloom.plans import audio_queries
+from tapeloom.plans.catalog import QUERIES
+
+SF_DIR = "/root/testdata/sf0.001"
+WRITING = {"wav_roundtrip", "session_batch", "stream_rechunk", "stream_partials", "stream_delta_fold", "stream_live_frames"}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - WRITING))
+def test_no_cross_joins_and_no_single_partition_windows(spark, name):
+    plan = _plan(QUERIES[name](spark, SF_DIR))
+    assert "CartesianProduct" not in plan
+    assert "BroadcastNestedLoopJoin" not in plan
+    for line in plan.split("\n"):
+        if "Exchange SinglePartition" in line:
+            # Only the null counts of the audit, one row per task, meet in one place.
+            assert name == "key_audit"
+
+
+def test_metrics_do_not_read_unused_columns(spark):
+    plan = _plan(QUERIES["channel_metrics"](spark, SF_DIR))
+    assert "ReadSchema: struct<o_custkey:bigint,o_totalprice:double,o_orderpriority:string>" in plan
+    assert "o_orderdate" not in plan
+
+
+def test_filters_reach_the_scan(spark):
+    plan = _plan(QUERIES["session_replace_upsert"](spark, SF_DIR))
+    assert "PushedFilters: [" in plan
+
+
+def test_summaries_are_limited_before_the_shuffle(spark):
+    assert "WindowGroupLimit" in _plan(QUERIES["notes_summary"](spark, SF_DIR))
+
+
+def test_mix_shuffles_samples_once(spark):
+    plan = _plan(QUERIES["mix_down"](spark, SF_DIR))
+    assert plan.count("BroadcastHashJoin") >= 1
+    assert audio_queries.CELL_FRAMES == 1024
+
+
+def test_narrow_side_is_broadcast_only_within_its_limit(spark):
+    big, narrow = spark.range(100).selectExpr("id % 10 AS k", "id"), spark.range(10).selectExpr("id AS k", "id * 2 AS v")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        small, large = join_sized(big, narrow, ["k"], rows=10), join_sized(big, narrow, ["k"], rows=9)
+        assert "BroadcastHashJoin" in _plan(small) and "SortMergeJoin" in _plan(large)
+        assert sorted(small.collect()) == sorted(large.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
