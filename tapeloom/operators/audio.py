@@ -12,7 +12,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions import pcm
-from tapeloom.functions.text import path_stem
+from tapeloom.functions.text import file_name, path_stem
 from tapeloom.operators.ordered import Fold, running
 from tapeloom.operators.sized import join_sized
 
@@ -102,16 +102,22 @@ def split_manifest(files: DataFrame, max_bytes: int) -> DataFrame:
     ``files`` holds ``path``, ``frames``, ``sample_rate`` and ``n_channels``.
     Starts follow from the chunk number, so no running sum is needed.
     """
-    planned = split_plan(files, max_bytes).filter("error IS NULL AND frames > 0")
+    # Names are taken apart once per file, before a file becomes many rows.
+    planned = (
+        split_plan(files, max_bytes)
+        .filter("error IS NULL AND frames > 0")
+        .withColumn("__name", file_name(F.col("path")))
+        .withColumn("__stem", path_stem(F.col("path")))
+    )
     last = (F.ceil(F.col("frames") / F.col("max_frames")) - 1).cast("bigint")
     rows = planned.withColumn("chunk_index", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
     start = F.col("chunk_index") * F.col("max_frames")
     rate = F.nullif(F.col("sample_rate"), F.lit(0))
     n_frames = F.least(F.col("max_frames"), F.col("frames") - start)
-    suffix = F.regexp_extract("path", r"([^/.])(\.[^/.]+)$", 2)
+    suffix = F.substring("__name", F.length("__stem") + 1, F.length("__name"))
     number = F.col("chunk_index").cast("string")
     padded = F.when(F.length(number) < 3, F.lpad(number, 3, "0")).otherwise(number)
-    name = F.concat(path_stem(F.col("path")), F.lit(".chunk"), padded, suffix)
+    name = F.concat("__stem", F.lit(".chunk"), padded, suffix)
     made = {"frames", "chunk_index", "chunk_name", "frame_start", "n_frames", "start", "duration", "is_whole"}
     return rows.select(
         *[c for c in files.columns if c not in made],

@@ -70,34 +70,32 @@ def compact_sessions(log: DataFrame) -> DataFrame:
     The last save replaces the row whole, so it also clears an older mix path.
     An update counts only when it comes after the last save of its id; the
     latest update decides, since every earlier one was overwritten by it.
+    ``seq`` is unique inside an id, so the fields of one row stay together; each
+    is an aggregate of its own, and a reader of one field scans only that one.
     """
-    fields = [f.name for f in schemas.SESSION_FIELDS]
+    fields = [f.name for f in schemas.SESSION_FIELDS if f.name != "mix_path"]
     is_save, is_update = F.col("op") == SAVE, F.col("op") == UPDATE_MIX
     folded = log.groupBy("id").agg(
-        _last(F.struct(*fields), is_save).alias("saved"),
+        *[_last(F.col(name), is_save).alias(name) for name in fields],
+        _last(F.col("mix_path"), is_save).alias("saved_mix"),
         F.max(F.when(is_save, F.col("seq"))).alias("saved_at"),
-        _last(F.struct("mix_path"), is_update).alias("updated"),
+        _last(F.col("mix_path"), is_update).alias("updated_mix"),
         F.max(F.when(is_update, F.col("seq"))).alias("updated_at"),
     )
-    mix = F.when(F.col("updated_at") > F.col("saved_at"), F.col("updated.mix_path")).otherwise(
-        F.col("saved.mix_path")
-    )
-    plain = [F.col(f"saved.{name}") for name in fields if name != "mix_path"]
+    mix = F.when(F.col("updated_at") > F.col("saved_at"), F.col("updated_mix")).otherwise(F.col("saved_mix"))
     return folded.filter("saved_at IS NOT NULL").select(
-        "id", *plain, F.nullif(mix, F.lit("")).alias("mix_path")
+        "id", *fields, F.nullif(mix, F.lit("")).alias("mix_path")
     )
 
 
 def compact_notes(log: DataFrame) -> DataFrame:
     """One row per session: identity of the first write, values of the last."""
-    values = ["title", "summary", "action_items"]
     folded = log.groupBy("session_id").agg(
-        F.min("seq").alias("row_id"), F.max_by(F.struct(*values), F.col("seq")).alias("last")
-    )
-    items = F.coalesce(F.col("last.action_items"), F.array().cast(T.ArrayType(T.StringType())))
-    return folded.select(
-        "row_id", "session_id", "last.title", "last.summary", items.alias("action_items")
+        F.min("seq").alias("row_id"),
+        *[F.max_by(name, "seq").alias(name) for name in ("title", "summary", "action_items")],
     )
+    items = F.coalesce("action_items", F.array().cast(T.ArrayType(T.StringType())))
+    return folded.select("row_id", "session_id", "title", "summary", items.alias("action_items"))
 
 
 def lookup(table: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
@@ -122,11 +120,9 @@ def newest_session(sessions: DataFrame) -> DataFrame:
 
 def latest_per_channel(transcripts: DataFrame) -> DataFrame:
     """The last written transcript of each (session, channel)."""
-    rest = [c for c in transcripts.columns if c not in ("session_id", "channel")]
-    return (
-        transcripts.groupBy("session_id", "channel")
-        .agg(F.max_by(F.struct(*rest), F.col("row_id")).alias("last"))
-        .select("session_id", "channel", *[F.col(f"last.{c}").alias(c) for c in rest])
+    rest = [c for c in transcripts.columns if c not in ("session_id", "channel", "row_id")]
+    return transcripts.groupBy("session_id", "channel").agg(
+        F.max("row_id").alias("row_id"), *[F.max_by(c, "row_id").alias(c) for c in rest]
     )
 
 
