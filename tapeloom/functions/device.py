@@ -60,8 +60,8 @@ def unquoted(value: Column) -> Column:
 
 
 def after_first(text: Column, mark: str) -> Column:
-    """Text behind the first ``mark``; NULL without one."""
-    return F.get(F.split(text, "\\Q" + mark + "\\E", 2), F.lit(1))
+    """Text behind the first ``mark``, one punctuation sign; NULL without one."""
+    return F.get(F.split(text, "\\" + mark, 2), F.lit(1))
 
 
 def recommended_spec(input_format: Column, index: Column, name: Column, details: Column) -> Column:
