@@ -104,8 +104,12 @@ def resampled_length(frames: Column, rate: Column, target_rate: Column) -> Colum
 
 
 def chunk_frames(sample_rate: Column, chunk_seconds: Column, override: Column) -> Column:
-    """Frames per capture chunk: the spec's own number, else from the seconds."""
-    derived = F.floor(sample_rate * F.greatest(chunk_seconds, F.lit(0.001)))
+    """Frames per capture chunk: the spec's own number, else from the seconds.
+
+    Without seconds a chunk is a tenth of a second.
+    """
+    timed = F.floor(sample_rate * F.greatest(chunk_seconds, F.lit(0.001)))
+    derived = F.when(chunk_seconds.isNull(), F.floor(sample_rate / 10)).otherwise(timed)
     return F.greatest(F.coalesce(override, derived).cast("bigint"), F.lit(1))
 
 

@@ -105,7 +105,7 @@ def lookup(table: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
 
 def fetch_transcripts(transcripts: DataFrame, wanted: DataFrame) -> DataFrame:
     """All transcript rows of the wanted sessions, in write order."""
-    return lookup(transcripts, wanted, "session_id").orderBy("row_id")
+    return lookup(transcripts, wanted, "session_id").orderBy("row_id", "session_id")
 
 
 def list_sessions(sessions: DataFrame, limit: int | None = None) -> DataFrame:

@@ -153,9 +153,9 @@ def test_specs(spark):
 
 
 def test_chunk_frames(spark):
-    df = spark.createDataFrame([(16000, 0.5, None), (16000, 0.0, None), (100, 0.001, None), (16000, 0.5, 12), (16000, 0.5, 0)], "r int, s double, o int")
+    df = spark.createDataFrame([(16000, 0.5, None), (16000, 0.0, None), (100, 0.001, None), (16000, 0.5, 12), (16000, 0.5, 0), (44100, None, None), (5, None, None)], "r int, s double, o int")
     got = [r[0] for r in df.select(pcm.chunk_frames(F.col("r"), F.col("s"), F.col("o"))).collect()]
-    assert got == [8000, 16, 1, 12, 1]
+    assert got == [8000, 16, 1, 12, 1, 4410, 1]
 
 
 VALUES = [(None, None), ("", None), ("  ", None), (" Skip ", ":disabled:"), ("NONE", ":disabled:"), (":disabled:", ":disabled:"), ("Auto", None), ("default", None), (" mic 1 ", "mic 1")]

@@ -103,3 +103,25 @@ def test_key_audit_reports_each_rule(spark):
         ("unique", "a", 2),
         ("unique", "x", 2),
     ]
+
+
+def test_lookups_take_wanted_ids_once(spark):
+    rows = [(2, "a", "mic", "again"), (1, "a", "mic", "first"), (1, "b", "mic", "other"), (1, "c", "mic", "no")]
+    table = spark.createDataFrame(rows, "row_id bigint, session_id string, channel string, text string")
+    wanted = spark.createDataFrame([("b",), ("a",), ("a",), ("zz",)], "session_id string")
+    found = [(r.row_id, r.session_id) for r in store.fetch_transcripts(table, wanted).collect()]
+    assert found == [(1, "a"), (1, "b"), (2, "a")]
+    latest = {r.session_id: r.text for r in store.latest_per_channel(table).collect()}
+    assert latest == {"a": "again", "b": "other", "c": "no"}
+
+
+def test_outcomes_keep_sessions_without_results(spark):
+    sessions = spark.createDataFrame([("a",), ("b",)], "id string")
+    spoken = spark.createDataFrame(
+        [(1, "a", "mic", "x"), (2, "a", "mic", "y"), (3, "a", "sys", "z")],
+        "row_id bigint, session_id string, channel string, text string",
+    ).withColumn("segments", F.array())
+    notes = spark.createDataFrame([("a", "t", "s")], "session_id string, title string, summary string")
+    out = store.session_outcomes(sessions, spoken, notes.withColumn("action_items", F.array()))
+    got = sorted((r.id, r.channel or "", r.text or "", r.title or "") for r in out.collect())
+    assert got == [("a", "mic", "y", "t"), ("a", "sys", "z", "t"), ("b", "", "", "")]
