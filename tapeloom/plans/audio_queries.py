@@ -231,7 +231,16 @@ def session_batch(spark, sf_dir):
     )
 
 
+def placeholder_previews(spark, sf_dir):
+    """The update each target gets before its placeholder transcript."""
+    sessions = store.compact_sessions(tables.session_log(spark, sf_dir))
+    targets = audio.transcription_targets(sessions, _metrics(spark, sf_dir))
+    previews = providers.placeholder_previews(providers.placeholder_transcripts(sessions, targets))
+    return previews.select("session_id", "channel", "path", "text")
+
+
 QUERIES = {
+    "placeholder_previews": placeholder_previews,
     "wav_roundtrip": wav_roundtrip,
     "provider_transcripts": provider_transcripts,
     "provider_notes": provider_notes,
@@ -333,6 +342,16 @@ ORACLES = {
           nullif({_ECHO}, '') AS raw_text
         FROM (SELECT *, CAST(({UPLOAD_BYTES} - 44) // (n_channels * 2) AS BIGINT) AS mf FROM measured)""",
     ),
+    "placeholder_previews": sql.with_(
+        sql.SESSIONS,
+        _METRICS,
+        body="""SELECT id AS session_id, 'mixed' AS channel, path,
+          'Dummy transcript for session ' || chr(39) || name || chr(39) || ' from ' || regexp_extract(path, '[^/]+$') AS text
+        FROM (SELECT id, name, mix_path AS path FROM sessions WHERE mix_path IS NOT NULL
+              UNION ALL
+              SELECT s.id, s.name, m.path FROM measured m JOIN sessions s ON s.id = m.session_id
+              WHERE s.mix_path IS NULL AND NOT m.is_silent)""",
+    ),
     "provider_notes": sql.with_(
         sql.SESSIONS,
         sql.TRANSCRIPTS,

@@ -147,7 +147,19 @@ def json_segments_roundtrip(spark, sf_dir):
     )
 
 
+def json_raw_roundtrip(spark, sf_dir):
+    """Raw responses to the store and back; an empty object is stored as NULL."""
+    empty = F.col("event_type") == "error"
+    raw = F.when(empty, F.lit("{ }")).when(F.col("event_type") != "view", F.col("props"))
+    stored = tables.table(spark, sf_dir, "events").select("event_id", codec.raw_to_store(raw).alias("stored"))
+    back = codec.raw_from_store(F.col("stored"))
+    return stored.select(
+        "event_id", F.col("stored").isNull().alias("is_null"), F.try_variant_get(back, "$.k", "bigint").alias("k")
+    )
+
+
 QUERIES = {
+    "json_raw_roundtrip": json_raw_roundtrip,
     "session_replace_upsert": session_replace_upsert,
     "session_mix_update": session_mix_update,
     "notes_keyed_upsert": notes_keyed_upsert,
@@ -180,6 +192,10 @@ SELECT s.id, s.name, s.mix_path, t.channel, t.text, n.title, n.summary
 FROM {sessions} s LEFT JOIN latest t ON t.session_id = s.id LEFT JOIN notes n ON n.session_id = s.id"""
 
 ORACLES = {
+    "json_raw_roundtrip": """
+        SELECT event_id, event_type IN ('error', 'view') AS is_null,
+          CASE WHEN event_type NOT IN ('error', 'view') THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k
+        FROM events""",
     "session_replace_upsert": sql.with_(
         sql.SESSION_LOG,
         sql.SAVES,
