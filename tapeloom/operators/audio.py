@@ -249,16 +249,25 @@ def _render(chunks: DataFrame, plan: DataFrame, keys: list[str], cell_frames: in
     # One cell of slack on both sides; the exact frame range decides below.
     from_cell = F.greatest(F.floor((first - 1) / step / cells) - 1, F.lit(0))
     to_cell = F.least(F.floor(end / step / cells) + 1, last_cell)
-    spread = joined.filter((F.col("n_frames") > 0) & (from_cell <= to_cell)).withColumn(
-        "cell", F.explode(F.sequence(from_cell.cast("bigint"), to_cell.cast("bigint")))
-    )
-    cell = F.col("cell")
-    last_out = F.least((cell + 1) * cells, F.col("n_out")) - 1
-    ranged = spread.withColumn("lo", F.greatest(first, F.floor(cell * cells * step) - 1)).withColumn(
-        "hi", F.least(end, F.floor(last_out * step) + 2)
+
+    def needed(cell: Column) -> Column:
+        last_out = F.least((cell + 1) * cells, F.col("n_out")) - 1
+        return F.struct(
+            cell.alias("cell"),
+            F.greatest(first, F.floor(cell * cells * step) - 1).alias("lo"),
+            F.least(end, F.floor(last_out * step) + 2).alias("hi"),
+        )
+
+    # Ranges are settled before the rows are multiplied, so that samples are
+    # copied only for cells that take some.
+    around = F.transform(F.sequence(from_cell.cast("bigint"), to_cell.cast("bigint")), needed)
+    ranged = (
+        joined.filter((F.col("n_frames") > 0) & (from_cell <= to_cell))
+        .withColumn("range", F.explode(F.filter(around, lambda r: r["lo"] <= r["hi"])))
+        .select(*joined.columns, "range.*")
     )
     piece = F.expr("slice(samples, cast((lo - frame_start) * n_channels + 1 as int), cast((hi - lo + 1) * n_channels as int))")
-    inputs = ranged.filter("lo <= hi").select(
+    inputs = ranged.select(
         *keys,
         *[c for c in KEY if c not in keys],
         "cell",

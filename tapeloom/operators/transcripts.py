@@ -43,7 +43,7 @@ def _shifted(segments: Column, start: Column) -> Column:
 def merge_chunks(parsed: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
     """One transcript per (session, channel) from its parsed chunk responses.
 
-    A transcript of up to ``page_rows`` chunks is the row with ``part`` 0; a
+    ``chunk_index`` counts from 0, as the split numbers its chunks.  A transcript of up to ``page_rows`` chunks is the row with ``part`` 0; a
     longer one goes on in further parts, each complete for its chunks, so that
     no task gathers an unbounded recording.  Rows marked ``is_whole`` (when the
     column exists) are recordings sent in one piece: they keep their text
