@@ -7,12 +7,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeloom.llm import simhash
+from tapeloom.llm import robust_quality, simhash
 from tapeloom.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: list[Query] = [
+    robust_quality.op10_robust_quality,
     simhash.op8_simhash_near_dedup,
 ]
 
