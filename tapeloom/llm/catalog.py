@@ -7,13 +7,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeloom.llm import robust_quality, simhash
+from tapeloom.llm import robust_quality, secrets, simhash
 from tapeloom.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: list[Query] = [
     robust_quality.op10_robust_quality,
+    secrets.op3_secret_scan,
     simhash.op8_simhash_near_dedup,
 ]
 
@@ -28,4 +29,6 @@ def _shipped(query: Query) -> Query:
 
 
 QUERIES: dict[str, Query] = {query.__name__: _shipped(query) for query in _QUERIES}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_secret_scan": secrets.ORACLE,
+}
