@@ -7,12 +7,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeloom.llm import robust_quality, secrets, simhash
+from tapeloom.llm import order_minhash, robust_quality, secrets, simhash
 from tapeloom.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: list[Query] = [
+    order_minhash.op2_order_minhash,
     robust_quality.op10_robust_quality,
     secrets.op3_secret_scan,
     simhash.op8_simhash_near_dedup,
