@@ -7,12 +7,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeloom.llm import order_minhash, robust_quality, secrets, simhash
+from tapeloom.llm import mixing, order_minhash, robust_quality, secrets, simhash
 from tapeloom.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: list[Query] = [
+    mixing.op5_source_mix,
     order_minhash.op2_order_minhash,
     robust_quality.op10_robust_quality,
     secrets.op3_secret_scan,
@@ -31,5 +32,6 @@ def _shipped(query: Query) -> Query:
 
 QUERIES: dict[str, Query] = {query.__name__: _shipped(query) for query in _QUERIES}
 ORACLES: dict[str, str] = {
+    "op5_source_mix": mixing.ORACLE,
     "op3_secret_scan": secrets.ORACLE,
 }
