@@ -9,7 +9,9 @@ symbols, so pieces of any length cost what their merges cost.
 
 Reads the public tokenizer files of the word kind: NFC, lower case, one pattern,
 byte symbols, an end-of-word mark, special strings cut out of the raw text first.
-Ids are kept as little-endian unsigned 32-bit integers in one BINARY value.
+Ids are kept as little-endian unsigned 32-bit integers in one BINARY value.  Letters
+and capitals that Unicode added after version 15.1 follow the installed pattern and
+text libraries, whose Unicode versions differ from each other.
 
 Defined cases: a NULL or empty text has no ids and decodes to the empty text; ids
 that are NULL decode like none; repeated rows each give their result; an empty
