@@ -222,7 +222,7 @@ def encode(text: Column, path: str) -> Column:
                 waiting, held = [], 0
         yield from _encoded(coder, waiting)
 
-    return F.pandas_udf(run, BinaryType(), F.PandasUDFType.SCALAR_ITER)(text)
+    return F.pandas_udf(run, BinaryType())(text)
 
 
 def _encoded(coder: WordBpe, batches: list[list[str]]) -> Iterator[pd.Series]:
@@ -239,7 +239,7 @@ def decode(ids: Column, path: str) -> Column:
         for batch in batches:
             yield pd.Series([coder.decode(row) for row in batch], dtype=object)
 
-    return F.pandas_udf(run, StringType(), F.PandasUDFType.SCALAR_ITER)(ids)
+    return F.pandas_udf(run, StringType())(ids)
 
 
 def n_tokens(ids: Column) -> Column:

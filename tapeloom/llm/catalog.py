@@ -7,16 +7,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeloom.llm import mixing, order_minhash, robust_quality, secrets, simhash
+from tapeloom.llm import bpe, mixing, order_minhash, robust_quality, secrets, simhash, token_counts, warc
 from tapeloom.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: list[Query] = [
+    bpe.op1_bpe_round_trip,
     mixing.op5_source_mix,
     order_minhash.op2_order_minhash,
     robust_quality.op10_robust_quality,
     secrets.op3_secret_scan,
+    token_counts.op9_token_counts,
+    warc.op4_warc_round_trip,
     simhash.op8_simhash_near_dedup,
 ]
 
@@ -32,6 +35,7 @@ def _shipped(query: Query) -> Query:
 
 QUERIES: dict[str, Query] = {query.__name__: _shipped(query) for query in _QUERIES}
 ORACLES: dict[str, str] = {
+    "op4_warc_round_trip": warc.ORACLE,
     "op5_source_mix": mixing.ORACLE,
     "op3_secret_scan": secrets.ORACLE,
 }

@@ -86,7 +86,7 @@ def n_tokens(text: Column, path: str) -> Column:
         for batch in batches:
             yield pd.Series(count_all(["" if t is None else t for t in batch], path))
 
-    return F.pandas_udf(run, LongType(), F.PandasUDFType.SCALAR_ITER)(text)
+    return F.pandas_udf(run, LongType())(text)
 
 
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataFrame:
