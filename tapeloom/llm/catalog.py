@@ -7,7 +7,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeloom.llm import bpe, html_blocks, mixing, order_minhash, robust_quality, secrets, simhash, token_counts, warc
+from tapeloom.llm import (
+    attention_mil,
+    bpe,
+    html_blocks,
+    mixing,
+    order_minhash,
+    robust_quality,
+    secrets,
+    simhash,
+    token_counts,
+    warc,
+)
 from tapeloom.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +29,7 @@ _QUERIES: list[Query] = [
     order_minhash.op2_order_minhash,
     robust_quality.op10_robust_quality,
     secrets.op3_secret_scan,
+    attention_mil.op6_attention_quality,
     html_blocks.op7_html_main_text,
     token_counts.op9_token_counts,
     warc.op4_warc_round_trip,
