@@ -1,0 +1,89 @@
+import gzip
+import hashlib
+import io
+
+import pytest
+
+from tapeloom.llm import warc
+from tapeloom.llm.common import table
+from tests.compare import compare, oracle_connection
+
+from .conftest import SF
+
+BIG = "x" * 1200
+ROWS = [
+    (1, "http://a/1", BIG), (2, "http://a/2?q=é ü", BIG), (3, None, BIG), (3, "http://again/", BIG), (4, "http://b/", None),
+    (5, "http://c/", ""), (6, "http://d/\r\nX: y", "short"), (7, "http://e/", "short"), (None, "http://f/", BIG),
+    (None, None, None), (8, "u", "ä" * 600 + "\r\n\r\nWARC/1.1\r\n"), (9, "u", "\x00\r\n" * 90_000),
+]
+
+
+@pytest.fixture(scope="module")
+def pages(spark):
+    return spark.createDataFrame(ROWS, "page_id bigint, url string, html string")
+
+
+def plain(rows):
+    out = []
+    for page_id, _, html in rows:
+        data = (html or "").encode()
+        ids = [p for p, _, h in rows if (h or "") == (html or "")]
+        known = [p for p in ids if p is not None]
+        revisit = len(data) >= 1000 and len(ids) > 1 and known and page_id != max(known)
+        out.append((page_id, len(data), hashlib.sha1(data).hexdigest(), "revisit" if revisit else "response",
+                    max(known) if revisit else None))
+    return sorted(out, key=repr)
+
+
+def test_round_trip(pages):
+    got = [tuple(r) for r in warc.archived(pages.repartition(3)).collect()]
+    assert sorted(got, key=repr) == plain(ROWS)
+
+
+def test_texts_and_urls_come_back(pages):
+    manifest = warc.write_archives(warc.record_kinds(pages), warc.archive_folder(pages.sparkSession), file_bytes=200)
+    assert manifest.count() > 3 and manifest.agg({"n_records": "sum"}).first()[0] == len(ROWS)
+    got = warc.read_archives(manifest).collect()
+    want = {(p, u, None if h == BIG and p != 3 else h or "") for p, u, h in ROWS}
+    assert {(r["page_id"], r["url"], r["html"]) for r in got} == want
+
+
+def test_empty_table_and_extra_columns(pages):
+    assert warc.archived(pages.where("false")).count() == 0
+    wide = pages.selectExpr("*", "'x' AS digest", "1 AS size", "2 AS refers_to", "3 AS holder")
+    assert sorted([tuple(r) for r in warc.archived(wide).collect()], key=repr) == plain(ROWS)
+
+
+def test_query_equals_sql(spark):
+    columns, names, ours, theirs = compare(spark, oracle_connection(SF), warc.op4_warc_round_trip, warc.ORACLE, SF)
+    assert columns == names and ours == theirs and len(ours) == table(spark, SF, "pages").count()
+
+
+def records(data):
+    return list(warc.read_records(io.BytesIO(data)))
+
+
+def test_one_member_per_record():
+    one, two = warc.record(1, "u", b"abc", None), warc.record(2, "u", b"abc" * 400, 1)
+    assert gzip.decompress(one).startswith(b"WARC/1.1\r\nWARC-Type: response\r\n")
+    fields = [r[0] for r in records(one + two)]
+    assert [f["warc-type"] for f in fields] == ["response", "revisit"] and fields[1]["warc-refers-to"] == "<urn:x-page:1>"
+    assert [r[2] for r in records(one + two)] == [b"abc", b""]
+
+
+@pytest.mark.parametrize("block", [1, 7, 64])
+def test_any_block_size(monkeypatch, block):
+    monkeypatch.setattr(warc, "READ_BYTES", block)
+    data = b"".join(warc.record(i, "u", b"p" * i, None) for i in range(40))
+    assert [len(r[2]) for r in records(data)] == list(range(40))
+
+
+def test_damage_is_an_error():
+    data = warc.record(1, "u", b"payload", None)
+    plain_text = gzip.decompress(data)
+    for bad in (plain_text.replace(b"payload", b"paYload"), plain_text.replace(b"Content-Length: ", b"Content-Length: 1", 1),
+                plain_text.replace(b"WARC/1.1", b"HTTP/1.1")):
+        with pytest.raises((ValueError, EOFError)):
+            records(gzip.compress(bad))
+    with pytest.raises((EOFError, ValueError)):
+        records(data + data[:40])
