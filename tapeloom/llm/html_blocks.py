@@ -6,7 +6,7 @@ mostly links are bad; blocks that are long enough and dense in stop words are go
 the others are ambiguous (short ones, long ones without stop words).  Second pass:
 an ambiguous block takes the label of the nearest decided block of its zone (the
 article or main element, or the rest of the page); of two neighbours equally near a
-good one wins.  A zone without any decided block keeps its blocks if it is an
+good one wins, and in an article a block is bad only between two bad ones.  A zone without any decided block keeps its blocks if it is an
 article or no block of the page is decided; elsewhere it keeps the long ones if the
 page has no good block at all.
 
@@ -229,7 +229,10 @@ def _second_labels(found: list[Block], labels: list[bool | None]) -> list[bool]:
     for i, label in enumerate(labels):
         if label is None:
             sides = [side for side in (near[0][i], near[1][i]) if side]
-            if sides:
+            if found[i].main and sides:
+                # A list of links ends no article: only between two of them a block is part of it.
+                label = len(sides) < 2 or any(good for _, good in sides)
+            elif sides:
                 label = min(sides, key=lambda side: (abs(side[0] - i), not side[1]))[1]
             else:
                 label = found[i].main or undecided
