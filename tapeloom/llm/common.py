@@ -71,6 +71,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few_files(df: DataFrame) -> DataFrame:
+    """A table of short rows in no more partitions than the cluster has cores: it is written as few files."""
+    return df.coalesce(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def small_batches(spark: SparkSession, rows: int = 128) -> None:
     """Bound Arrow batches by rows: texts may be long, and a batch lies in memory whole.
 

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import SPACE_CLASS, field, packed, table, unpacked, written
+from tapeloom.llm.common import SPACE_CLASS, few_files, field, packed, table, unpacked, written
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (1, 2, 3)
@@ -121,9 +121,8 @@ def mix(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, size, source_size, target of its source, and the words taken."""
     rows = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"))
     rows = written(rows.withColumn("h", _order_hash(F.col("doc_id"), F.col("source"))), "mix")
-    return copies(rows).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken")
-    )
+    taken = (F.col("size") * F.col("copies")).alias("taken")
+    return few_files(copies(rows).select("doc_id", "size", "source_size", "target", taken))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
