@@ -14,20 +14,41 @@ from tapeloom.operators.ordered import PAGE_ROWS, joined_pages, ordinal
 _LOOK = SUMMARY_CHARS + 2
 
 
+def _lines(transcripts: DataFrame) -> DataFrame:
+    """Rows that give a line each: every part with a text, and the first part of a transcript without any."""
+    filled = transcripts.filter("text <> ''")
+    identity = ["session_id", "transcript_id"]
+    later = filled.filter("part > 0").select(*identity).distinct()
+    silent = transcripts.filter("text = '' AND part = 0").join(later, identity, "left_anti")
+    return filled.unionByName(silent)
+
+
 def combined_texts(transcripts: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
     """All texts of a session in write order, empties included, one per line."""
     placed = ordinal(
-        transcripts.select("session_id", "row_id", "text"), ["session_id"], "row_id", "position"
+        _lines(transcripts).select("session_id", "row_id", "text"), ["session_id"], "row_id", "position"
     )
     return joined_pages(placed, ["session_id"], "position", F.col("text"), "\n", "combined", page_rows)
 
 
 def prompts(transcripts: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
     """``[channel] text`` lines of a session in write order, empty texts left out."""
-    spoken = transcripts.filter("text <> ''").select("session_id", "row_id", "channel", "text")
-    placed = ordinal(spoken, ["session_id"], "row_id", "position")
-    line = F.concat(F.lit("["), F.col("channel"), F.lit("] "), F.col("text"))
-    return joined_pages(placed, ["session_id"], "position", line, "\n", "prompt", page_rows)
+    spoken = transcripts.filter("text <> ''").select("session_id", "transcript_id", "part", "row_id", "channel", "text")
+    # The channel stands before a transcript's first text; further parts go on below it.
+    first = spoken.groupBy("session_id", "transcript_id").agg(F.min("part").alias("first"))
+    later = spoken.filter("part > 0").join(first, ["session_id", "transcript_id"])
+    named = F.concat(F.lit("["), F.col("channel"), F.lit("] "), F.col("text"))
+    lines = (
+        spoken.filter("part = 0")
+        .select("session_id", "row_id", named.alias("line"))
+        .unionByName(
+            later.select(
+                "session_id", "row_id", F.when(F.col("part") == F.col("first"), named).otherwise(F.col("text")).alias("line")
+            )
+        )
+    )
+    placed = ordinal(lines, ["session_id"], "row_id", "position")
+    return joined_pages(placed, ["session_id"], "position", F.col("line"), "\n", "prompt", page_rows)
 
 
 def summaries(transcripts: DataFrame) -> DataFrame:
@@ -39,7 +60,7 @@ def summaries(transcripts: DataFrame) -> DataFrame:
     """
     first = Window.partitionBy("session_id").orderBy("row_id")
     heads = (
-        transcripts.select(
+        _lines(transcripts).select(
             "session_id", "row_id", F.substring("text", 1, _LOOK).alias("head")
         )
         .withColumn("rank", F.row_number().over(first))

@@ -55,6 +55,29 @@ def read_log(spark: SparkSession, location: str, table: str) -> DataFrame:
     return spark.read.schema(TABLES[table]).parquet(f"{location}/{table}")
 
 
+def numbered_transcripts(results: DataFrame, order: list[str], log: DataFrame | None = None) -> DataFrame:
+    """New transcripts as rows of the log: ``row_id`` and ``transcript_id`` go on where the session's log ends.
+
+    ``results`` has one row per (session, target, part); ``order`` names the columns
+    that order the targets of a session.  Parts of the log count from 0 without holes.
+    Only narrow rows are numbered.
+    """
+    targets = results.select("session_id", *order, "part")
+    session = Window.partitionBy("session_id").orderBy(*order, "part")
+    target = Window.partitionBy("session_id", *order)
+    placed = targets.withColumn("row_id", F.row_number().over(session).cast("bigint"))
+    placed = placed.withColumn("transcript_id", F.min("row_id").over(target))
+    placed = placed.withColumn("__part", F.col("row_id") - F.col("transcript_id"))
+    if log is not None:
+        ends = log.groupBy("session_id").agg(F.max("row_id").alias("__end"))
+        end = F.coalesce("__end", F.lit(0))
+        placed = placed.join(ends, "session_id", "left").withColumns(
+            {"row_id": F.col("row_id") + end, "transcript_id": F.col("transcript_id") + end}
+        ).drop("__end")
+    numbered = results.join(placed, ["session_id", *order, "part"])
+    return numbered.withColumn("part", F.col("__part")).drop("__part")
+
+
 def append_transcripts(existing: DataFrame, new: DataFrame) -> DataFrame:
     """Transcripts are only ever appended; a repeated channel adds a row."""
     return existing.unionByName(new)
@@ -119,20 +142,26 @@ def newest_session(sessions: DataFrame) -> DataFrame:
 
 
 def latest_per_channel(transcripts: DataFrame) -> DataFrame:
-    """The last written transcript of each (session, channel)."""
-    rest = [c for c in transcripts.columns if c not in ("session_id", "channel", "row_id")]
-    return transcripts.groupBy("session_id", "channel").agg(
-        F.max("row_id").alias("row_id"), *[F.max_by(c, "row_id").alias(c) for c in rest]
-    )
+    """The last written transcript of each (session, channel), with all its parts."""
+    key = ["session_id", "channel"]
+    newest = transcripts.groupBy(*key).agg(F.max_by("transcript_id", "row_id").alias("transcript_id"))
+    return transcripts.join(newest, [*key, "transcript_id"], "left_semi")
 
 
-def session_outcomes(sessions: DataFrame, transcripts: DataFrame, notes: DataFrame) -> DataFrame:
-    """Sessions with their latest transcripts (one row per channel) and notes.
+def session_outcomes(
+    sessions: DataFrame, transcripts: DataFrame, notes: DataFrame, few: bool = False
+) -> DataFrame:
+    """Sessions with their latest transcripts (one row per channel and part) and notes.
 
-    Sessions without transcripts or notes keep one row with NULLs.
+    Sessions without transcripts or notes keep one row with NULLs.  With ``few`` the
+    sessions are a small part of the store: both tables are cut down to them
+    first, so that nothing else is compacted or joined.
     """
+    if few:
+        wanted = sessions.select(F.col("id").alias("session_id"))
+        transcripts, notes = lookup(transcripts, wanted, "session_id"), lookup(notes, wanted, "session_id")
     latest = latest_per_channel(transcripts).select(
-        F.col("session_id").alias("id"), "channel", "text", "segments"
+        F.col("session_id").alias("id"), "channel", "part", "text", "segments"
     )
     noted = notes.select(
         F.col("session_id").alias("id"), "title", "summary", "action_items"

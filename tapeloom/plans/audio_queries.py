@@ -450,7 +450,7 @@ ORACLES = {
                          CASE half WHEN 0 THEN u & 255 ELSE u >> 8 END AS byte
                   FROM (SELECT *, (CAST(trunc(greatest(CAST(-1 AS DOUBLE), least(CAST(1 AS DOUBLE), CAST(x AS DOUBLE))) * 32767) AS INTEGER) + 65536) % 65536 AS u FROM samples),
                        (SELECT unnest(range(2)) AS half))
-            WHERE n * 2 + half < 128 - vec_id % 3)
+)
           WHERE spot < kept GROUP BY ALL)
         GROUP BY ALL""",
     ),

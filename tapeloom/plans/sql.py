@@ -50,15 +50,19 @@ transcripts AS (
          CASE WHEN turn % 2 = 0 THEN length(text) / CAST(16 AS DOUBLE) END AS seg_end
   FROM conversations)"""
 
-# The six response shapes, already read: text plus up to two segments.
+# The response shapes, already read: text plus up to two segments.  Shapes 1 and 3
+# have a text only; 8 is a blank text and 9 no response at all, chunks behind a third of the turns.
 RESPONSES = f"""
 responses AS (
-  SELECT 'session-' || conv_id AS session_id, role AS channel, turn AS chunk_index,
-         length(text) / CAST(16 AS DOUBLE) AS duration, text AS spoken, (conv_id + turn) % 6 AS shape
-  FROM conversations),
+  SELECT 'session-' || conv_id AS session_id, role AS channel, 2 * turn AS chunk_index,
+         length(text) / CAST(16 AS DOUBLE) AS duration, text AS spoken, (conv_id + turn) % 4 AS shape
+  FROM conversations
+  UNION ALL
+  SELECT 'session-' || conv_id, role, 2 * turn + 1, CAST(0.5 AS DOUBLE), '', 8 + turn % 2
+  FROM conversations WHERE (conv_id + turn) % 3 = 0),
 parsed AS (
   SELECT *,
-         CASE shape WHEN 1 THEN '  ' || spoken WHEN 3 THEN '  ' || chr(10) || ' ' WHEN 5 THEN '' ELSE spoken END AS text,
+         CASE shape WHEN 1 THEN '  ' || spoken WHEN 8 THEN '  ' || chr(10) || ' ' ELSE spoken END AS text,
          coalesce(sum(duration) OVER (PARTITION BY session_id, channel ORDER BY chunk_index
            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
   FROM responses),

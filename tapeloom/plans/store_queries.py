@@ -87,10 +87,10 @@ def list_sessions_all(spark, sf_dir):
     return _flat(store.list_sessions(_sessions(spark, sf_dir)))
 
 
-def _outcome(sessions: DataFrame, spark, sf_dir) -> DataFrame:
+def _outcome(sessions: DataFrame, spark, sf_dir, few: bool = False) -> DataFrame:
     session = F.concat(F.lit("session-"), F.col("doc_id").cast("string"))
     notes = store.compact_notes(tables.notes_log(spark, sf_dir, session))
-    outcome = store.session_outcomes(sessions, tables.transcripts(spark, sf_dir), notes)
+    outcome = store.session_outcomes(sessions, tables.transcripts(spark, sf_dir), notes, few)
     return outcome.select("id", "name", "mix_path", "channel", "text", "title", "summary")
 
 
@@ -99,7 +99,7 @@ def session_outcome(spark, sf_dir):
 
 
 def newest_outcome(spark, sf_dir):
-    return _outcome(store.newest_session(_sessions(spark, sf_dir)), spark, sf_dir)
+    return _outcome(store.newest_session(_sessions(spark, sf_dir)), spark, sf_dir, few=True)
 
 
 def latest_per_channel(spark, sf_dir):
@@ -184,7 +184,7 @@ latest AS (
 
 _DOC_NOTES = """
 notes AS (
-  SELECT 'session-' || doc_id AS session_id, 'Notes for ' || lang AS title, substring(text, 1, 40) AS summary
+  SELECT 'session-' || doc_id AS session_id, 'Notes for ' || lang AS title, text AS summary
   FROM documents)"""
 
 _OUTCOME = """
@@ -205,7 +205,7 @@ ORACLES = {
     "notes_keyed_upsert": """
         SELECT min(doc_id) AS row_id, source AS session_id,
                'Notes for ' || arg_max(lang, doc_id) AS title,
-               substring(arg_max(text, doc_id), 1, 40) AS summary,
+               arg_max(text, doc_id) AS summary,
                arg_max(lang, doc_id) || ',' || source AS action_items
         FROM documents GROUP BY source""",
     "transcript_append": """

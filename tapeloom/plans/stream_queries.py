@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tapeloom import schemas
 from tapeloom.operators.ordered import ordinal
-from tapeloom.plans import audio_queries, sql, text_queries
+from tapeloom.plans import audio_queries, sql
 from tapeloom.session import new_shared_path
 from tapeloom.sources import audio_tables, tables
 from tapeloom.streaming import jobs
@@ -46,8 +46,8 @@ def stream_rechunk(spark, sf_dir):
 
 
 def stream_partials(spark, sf_dir):
-    chunks = tables.chunk_responses(spark, sf_dir).withColumnRenamed("chunk_index", "turn")
-    numbered = ordinal(chunks, KEY, "turn", "chunk_index")
+    chunks = tables.chunk_responses(spark, sf_dir).withColumnRenamed("chunk_index", "given")
+    numbered = ordinal(chunks, KEY, "given", "chunk_index")
     path = _landed(numbered, schemas.CHUNK_RESPONSES, "responses")
     stream = jobs.packet_stream(spark, path, schemas.CHUNK_RESPONSES, files_per_trigger=8)
     partials = _drained(spark, jobs.partials_stream(stream), "partials")
@@ -59,16 +59,26 @@ def stream_partials(spark, sf_dir):
         "appended",
         "text_length",
         "n_segments",
+        "n_entries",
     )
 
 
-def stream_delta_fold(spark, sf_dir):
+def _folded(spark, sf_dir):
     lines = tables.transcript_events(spark, sf_dir).withColumnRenamed("seq", "event_id")
     numbered = ordinal(lines, KEY, "event_id", "seq")
     path = _landed(numbered, schemas.TRANSCRIPT_EVENTS, "events")
     stream = jobs.packet_stream(spark, path, schemas.TRANSCRIPT_EVENTS, files_per_trigger=8)
-    folded = _drained(spark, jobs.events_stream(stream), "fold")
-    return folded.filter("emitted").select("session_id", "seq", "piece", "raw_end", "n_segments")
+    return _drained(spark, jobs.events_stream(stream), "fold")
+
+
+def stream_delta_fold(spark, sf_dir):
+    folded = _folded(spark, sf_dir).filter("emitted")
+    return folded.select("session_id", "seq", "piece", "raw_end", "n_segments")
+
+
+def stream_delta_final(spark, sf_dir):
+    """The closing record of every stopped channel of the stream."""
+    return _folded(spark, sf_dir).filter("is_final").select("session_id", "seq", "raw_end", "n_segments")
 
 
 def stream_live_frames(spark, sf_dir):
@@ -78,7 +88,7 @@ def stream_live_frames(spark, sf_dir):
     path = new_shared_path(spark, "live")
     chunks.write.parquet(path)
     stream = jobs.packet_stream(spark, path, chunks.schema, files_per_trigger=8)
-    out = new_shared_path(spark, "frames")
+    out, dead = new_shared_path(spark, "frames"), new_shared_path(spark, "dead")
 
     def replace(batch, _epoch):
         batch.write.mode("overwrite").parquet(out)
@@ -86,11 +96,13 @@ def stream_live_frames(spark, sf_dir):
     query = jobs.deliver(
         jobs.live_frames(stream),
         replace,
-        new_shared_path(spark, "dead"),
+        dead,
         new_shared_path(spark, "live-checkpoint"),
         mode="complete",
     )
     query.awaitTermination()
+    if jobs.dead_letters(spark, dead):
+        raise RuntimeError(f"batches could not be delivered, they are kept in {dead}")
     return spark.read.schema("session_id string, channel string, frames bigint").parquet(out)
 
 
@@ -98,21 +110,46 @@ QUERIES = {
     "stream_rechunk": stream_rechunk,
     "stream_partials": stream_partials,
     "stream_delta_fold": stream_delta_fold,
+    "stream_delta_final": stream_delta_final,
     "stream_live_frames": stream_live_frames,
 }
 
-_DENSE = sql.RESPONSES.replace("turn AS chunk_index", "row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1 AS chunk_index")
+# Streams number their rows 0, 1, 2, … inside a key.
+_DENSE_RESPONSES = """
+numbered AS (SELECT * EXCLUDE (chunk_index),
+    row_number() OVER (PARTITION BY session_id, channel ORDER BY chunk_index) - 1 AS chunk_index FROM parsed)"""
+_DENSE_EVENTS = """
+numbered AS (SELECT * EXCLUDE (seq), row_number() OVER (PARTITION BY session_id ORDER BY seq) - 1 AS seq,
+    length(piece) AS chars, trim(piece, """ + sql.WS + """) <> '' AS filled FROM decoded),
+stops AS (SELECT session_id, min(seq) FILTER (is_stop) AS stop FROM numbered GROUP BY session_id),
+live AS (SELECT n.* FROM numbered n JOIN stops s ON s.session_id = n.session_id
+    WHERE n.piece IS NOT NULL AND (s.stop IS NULL OR n.seq < s.stop))"""
 
 ORACLES = {
     "stream_rechunk": audio_queries.ORACLES["rechunk"],
     "stream_partials": sql.with_(
-        _DENSE,
-        body=text_queries.ORACLES["running_partials"]
-        .split("SELECT session_id, channel, CAST(0 AS BIGINT) AS part", 1)[1]
-        .join(["SELECT session_id, channel, CAST(0 AS BIGINT) AS part, round(start, 6) AS start", ""]),
+        sql.RESPONSES,
+        _DENSE_RESPONSES,
+        body=f"""SELECT session_id, channel, CAST(0 AS BIGINT) AS part, chunk_index, round(start, 6) AS start, appended,
+          CAST(sum(length(appended)) OVER w + greatest(count(*) FILTER (appended <> '') OVER w - 1, 0) AS BIGINT) AS text_length,
+          CAST(sum(n_own) OVER w AS BIGINT) AS n_segments, count(*) OVER w AS n_entries
+        FROM (SELECT *, trim(text, {sql.WS}) AS appended, CASE WHEN shape IN (0, 2) THEN 2 ELSE 0 END AS n_own FROM numbered)
+        WINDOW w AS (PARTITION BY session_id, channel ORDER BY chunk_index ROWS UNBOUNDED PRECEDING)""",
+    ),
+    "stream_delta_fold": sql.with_(
+        sql.events(),
+        _DENSE_EVENTS,
+        body="""SELECT * FROM (SELECT session_id, seq, piece, CAST(sum(chars) OVER w AS BIGINT) AS raw_end,
+          count(*) FILTER (filled) OVER w AS n_segments FROM live
+          WINDOW w AS (PARTITION BY session_id ORDER BY seq ROWS UNBOUNDED PRECEDING)) WHERE n_segments > 0""",
     ),
-    "stream_delta_fold": text_queries.ORACLES["delta_fold"].replace(
-        "event_id AS seq", "row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq"
+    "stream_delta_final": sql.with_(
+        sql.events(),
+        _DENSE_EVENTS,
+        body="""SELECT s.session_id, s.stop AS seq, CAST(coalesce(sum(l.chars), 0) AS BIGINT) AS raw_end,
+          count(*) FILTER (l.filled) AS n_segments
+        FROM stops s LEFT JOIN live l ON l.session_id = s.session_id WHERE s.stop IS NOT NULL
+        GROUP BY s.session_id, s.stop""",
     ),
     "stream_live_frames": """
         SELECT 'session-' || (label // 2) AS session_id, 'ch' || label AS channel,

@@ -51,10 +51,12 @@ def final_partials(spark, sf_dir):
     """The last update of every channel, written out in full."""
     parsed = _parsed(spark, sf_dir)
     partials = transcripts.running_partials(parsed)
-    last = partials.groupBy("session_id", "channel", "part").agg(
+    last = partials.groupBy("session_id", "channel").agg(
         F.max("chunk_index").alias("chunk_index"),
+        F.max("part").alias("part"),
         F.max_by("text_length", "chunk_index").alias("text_length"),
         F.max_by("n_segments", "chunk_index").alias("n_segments"),
+        F.max_by("n_entries", "chunk_index").alias("n_entries"),
     )
     full = transcripts.partial_texts(last, transcripts.merge_chunks(parsed))
     return full.select(
@@ -64,14 +66,63 @@ def final_partials(spark, sf_dir):
         "chunk_index",
         "text",
         F.size("segments").cast("bigint").alias("n_segments"),
+        F.size(F.try_variant_get(F.try_parse_json("raw_response"), "$.chunks", "array<variant>"))
+        .cast("bigint")
+        .alias("n_entries"),
     )
 
 
 def emit_if_changed(spark, sf_dir):
-    updates = tables.table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), "event_type"
+    """Updates of all channels and their final records, unless these repeat the last update."""
+    parsed = _parsed(spark, sf_dir)
+    updates = transcripts.running_partials(parsed).withColumn("has_text", F.lit(False))
+    finals = transcripts.final_sizes(transcripts.merge_chunks(parsed))
+    payload = ["text_length", "n_segments", "n_entries", "has_text"]
+    return transcripts.emit_if_changed(updates, finals, transcripts.KEY, "chunk_index", payload)
+
+
+def delta_fold_final(spark, sf_dir):
+    """The final transcripts of all streamed channels after their closing responses."""
+    closings = tables.closing_responses(spark, sf_dir)
+    finals = transcripts.final_records(_folded(spark, sf_dir, True), closings)
+    return finals.select(
+        "session_id",
+        "part",
+        "text",
+        F.size("segments").cast("bigint").alias("n_segments"),
+        F.get(F.col("segments"), F.lit(0))["text"].alias("first_segment"),
+        "raw_response",
+    )
+
+
+def paged_outcome(spark, sf_dir):
+    """Merge into very short pages, log two transcriptions, read the newest back: the pages must not show."""
+    parsed = _parsed(spark, sf_dir)
+    older = store.numbered_transcripts(transcripts.merge_chunks(parsed, 1), ["channel"])
+    newer = store.numbered_transcripts(transcripts.merge_chunks(parsed, 2), ["channel"], older)
+    log = store.append_transcripts(older.withColumn("text", F.upper("text")), newer)
+    latest = store.latest_per_channel(log)
+    sessions = log.select(F.col("session_id").alias("id")).distinct().withColumn("name", F.concat(F.lit("call "), "id"))
+    found = notes.default_notes(sessions, latest)
+    outcome = store.session_outcomes(sessions, log, found)
+
+    def joined(value, order, separator, keep=None):
+        items = F.sort_array(F.collect_list(F.when(keep, F.struct(order, value)) if keep is not None else F.struct(order, value)))
+        return F.array_join(F.transform(items, lambda item: item[value]), separator)
+
+    texts = outcome.groupBy("id", "channel", "title", "summary").agg(
+        joined("text", "part", "\n", F.col("text") != "").alias("text"), F.count("*").alias("n_parts")
+    )
+    shown = transcripts.render_sessions(latest, pieces=3).groupBy(F.col("session_id").alias("id")).agg(
+        joined("content", "part", "").alias("content")
+    )
+    combined = notes.combined_texts(latest, 2).groupBy(F.col("session_id").alias("id")).agg(
+        joined("combined", "part", "\n").alias("combined")
     )
-    return transcripts.emit_if_changed(updates, ["session_id"], "seq", ["event_type"])
+    prompted = notes.prompts(latest, 2).groupBy(F.col("session_id").alias("id")).agg(
+        joined("prompt", "part", "\n").alias("prompt")
+    )
+    return texts.join(shown, "id").join(combined, "id").join(prompted, "id", "left")
 
 
 def chunk_offsets(spark, sf_dir):
@@ -178,7 +229,7 @@ def notes_prompt(spark, sf_dir):
 
 def render_transcript(spark, sf_dir):
     latest = store.latest_per_channel(tables.transcripts(spark, sf_dir))
-    return transcripts.render_sessions(latest)
+    return transcripts.render_sessions(latest).select("session_id", "part", "content")
 
 
 def path_stem(spark, sf_dir):
@@ -202,6 +253,8 @@ QUERIES = {
     "running_partials": running_partials,
     "final_partials": final_partials,
     "emit_if_changed": emit_if_changed,
+    "delta_fold_final": delta_fold_final,
+    "paged_outcome": paged_outcome,
     "chunk_offsets": chunk_offsets,
     "event_decode": event_decode,
     "delta_fold": delta_fold,
@@ -260,7 +313,7 @@ ORACLES = {
         sql.RESPONSES,
         body=f"""SELECT session_id, channel, CAST(0 AS BIGINT) AS part, chunk_index, appended,
           length(coalesce(string_agg(nullif(appended, ''), chr(10)) OVER w, '')) AS text_length,
-          CAST(coalesce(sum(n_own) OVER w, 0) AS BIGINT) AS n_segments
+          CAST(coalesce(sum(n_own) OVER w, 0) AS BIGINT) AS n_segments, count(*) OVER w AS n_entries
         FROM (SELECT *, trim(text, {sql.WS}) AS appended, CASE WHEN shape IN (0, 2) THEN 2 ELSE 0 END AS n_own FROM parsed)
         WINDOW w AS (PARTITION BY session_id, channel ORDER BY chunk_index ROWS UNBOUNDED PRECEDING)""",
     ),
@@ -268,12 +321,55 @@ ORACLES = {
         sql.RESPONSES,
         body=f"""SELECT session_id, channel, CAST(0 AS BIGINT) AS part, max(chunk_index) AS chunk_index,
           {_MERGED_TEXT} AS text,
-          CAST(sum(CASE WHEN shape IN (0, 2) THEN 2 ELSE 0 END) AS BIGINT) AS n_segments
+          CAST(sum(CASE WHEN shape IN (0, 2) THEN 2 ELSE 0 END) AS BIGINT) AS n_segments, count(*) AS n_entries
         FROM parsed GROUP BY session_id, channel""",
     ),
-    "emit_if_changed": """
-        SELECT user_id AS session_id, event_id AS seq, event_type FROM events
-        QUALIFY lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) IS DISTINCT FROM event_type""",
+    # The final record carries the whole text in its raw response; only an empty one repeats the last update.
+    "emit_if_changed": sql.with_(
+        sql.RESPONSES,
+        body=f"""SELECT session_id, channel, chunk_index,
+          length(coalesce(string_agg(nullif(appended, ''), chr(10)) OVER w, '')) AS text_length,
+          CAST(sum(n_own) OVER w AS BIGINT) AS n_segments, count(*) OVER w AS n_entries, false AS has_text, false AS is_final
+        FROM (SELECT *, trim(text, {sql.WS}) AS appended, CASE WHEN shape IN (0, 2) THEN 2 ELSE 0 END AS n_own FROM parsed)
+        WINDOW w AS (PARTITION BY session_id, channel ORDER BY chunk_index ROWS UNBOUNDED PRECEDING)
+        UNION ALL
+        SELECT session_id, channel, NULL, length({_MERGED_TEXT}),
+          CAST(sum(CASE WHEN shape IN (0, 2) THEN 2 ELSE 0 END) AS BIGINT), count(*), true, true
+        FROM parsed GROUP BY session_id, channel HAVING {_MERGED_TEXT} <> ''""",
+    ),
+    "delta_fold_final": sql.with_(
+        sql.events(),
+        body=f"""SELECT e.session_id, CAST(0 AS BIGINT) AS part,
+          CASE k WHEN 0 THEN ' final ' || last || ' ' ELSE coalesce(t.text, '') END AS text,
+          CAST(CASE k WHEN 0 THEN 1 ELSE 0 END AS BIGINT) AS n_segments, CASE k WHEN 0 THEN 'a' END AS first_segment,
+          CASE k WHEN 0 THEN '{{"text":" final ' || last || ' ","segments":[{{"start":0,"end":1.5,"text":" a "}}]}}'
+                 WHEN 1 THEN '{{"id":' || last || '}}' END AS raw_response
+        FROM (SELECT session_id, max(seq) AS last, max(seq) % 4 AS k FROM decoded GROUP BY session_id) e
+        LEFT JOIN (SELECT session_id, trim(string_agg(piece, '' ORDER BY seq), {sql.WS}) AS text
+                   FROM (SELECT *, count(*) FILTER (is_stop) OVER
+                           (PARTITION BY session_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS stops FROM decoded)
+                   WHERE piece IS NOT NULL AND stops = 0 GROUP BY session_id) t ON t.session_id = e.session_id""",
+    ),
+    # Knows no pages: whole texts per channel and session.
+    "paged_outcome": sql.with_(
+        sql.RESPONSES,
+        f"""
+whole AS (SELECT session_id, channel, {_MERGED_TEXT} AS text, count(DISTINCT chunk_index // 2) AS n_parts,
+    coalesce(bool_or(shape IN (0, 2)), false) AS has_segments FROM parsed GROUP BY session_id, channel),
+lines AS (SELECT session_id, channel, string_agg(CASE WHEN seg_start IS NOT NULL AND seg_end IS NOT NULL
+      THEN format('  {{:6.2f}}-{{:6.2f}}s  {{}}', seg_start + chunk_start, seg_end + chunk_start, text)
+      ELSE '  ' || text END, chr(10) ORDER BY chunk_index, n) AS timed FROM segments GROUP BY session_id, channel),
+blocks AS (SELECT w.*, '[' || w.channel || ']' || coalesce(chr(10) || timed, '') || CASE WHEN text = '' THEN ''
+      WHEN has_segments THEN chr(10) || '  Full text:' || chr(10) || '    ' || text ELSE chr(10) || '  ' || text END AS block
+    FROM whole w LEFT JOIN lines l ON l.session_id = w.session_id AND l.channel = w.channel),
+calls AS (SELECT session_id, rtrim(string_agg(block, chr(10) || chr(10) ORDER BY channel), {sql.WS}) AS content,
+      string_agg(text, chr(10) ORDER BY channel) AS combined,
+      string_agg('[' || channel || '] ' || text, chr(10) ORDER BY channel) FILTER (text <> '') AS prompt
+    FROM blocks GROUP BY session_id)""",
+        body=f"""SELECT session_id AS id, channel, 'Notes for call ' || session_id AS title, {_summary("combined")} AS summary,
+          text, n_parts, content, combined, prompt
+        FROM whole JOIN calls USING (session_id)""",
+    ),
     "chunk_offsets": sql.with_(
         sql.RESPONSES,
         body="SELECT session_id, channel, chunk_index, round(start, 6) AS start, duration FROM parsed",
@@ -291,7 +387,7 @@ ORACLES = {
         sql.RESPONSES,
         body="""SELECT p.session_id, p.channel, p.chunk_index, p.text,
           CAST(CASE WHEN shape IN (0, 2) THEN 2 ELSE 0 END AS BIGINT) AS n_segments,
-          s.text AS first_segment, round(s.seg_end, 6) AS first_end, shape <> 5 AS has_raw
+          s.text AS first_segment, round(s.seg_end, 6) AS first_end, shape <> 9 AS has_raw
         FROM parsed p LEFT JOIN segments s ON s.n = 0 AND s.session_id = p.session_id
           AND s.channel = p.channel AND s.chunk_index = p.chunk_index""",
     ),
@@ -325,7 +421,7 @@ ORACLES = {
           FROM documents GROUP BY source)""",
     "render_transcript": sql.with_(
         sql.TRANSCRIPTS,
-        body=f"""SELECT session_id, rtrim(string_agg(block, chr(10) || chr(10) ORDER BY channel), {sql.WS}) AS content FROM (
+        body=f"""SELECT session_id, CAST(0 AS BIGINT) AS part, rtrim(string_agg(block, chr(10) || chr(10) ORDER BY channel), {sql.WS}) AS content FROM (
           SELECT session_id, channel, '[' || channel || ']' || chr(10) ||
             CASE WHEN seg_start IS NULL THEN '  ' || text
                  ELSE format('  {{:6.2f}}-{{:6.2f}}s  {{}}', seg_start, seg_end, text) END ||

@@ -38,6 +38,9 @@ SESSIONS = T.StructType([T.StructField("id", T.StringType(), False)] + SESSION_F
 TRANSCRIPTS = T.StructType(
     [
         T.StructField("row_id", T.LongType(), False),
+        # A long transcript goes on in parts 1, 2, …: rows of one transcript_id, in order.
+        T.StructField("transcript_id", T.LongType(), False),
+        T.StructField("part", T.LongType(), False),
         T.StructField("session_id", T.StringType(), False),
         T.StructField("channel", T.StringType(), False),
         T.StructField("text", T.StringType(), False),

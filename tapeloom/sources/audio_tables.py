@@ -62,7 +62,8 @@ def vector_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vector_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors as stereo 16-bit PCM packets of uneven length.
 
-    Packets lose up to two bytes, so frames run across packet borders.
+    The last bytes of each vector (up to two, by its number; maybe none) are a packet
+    of their own, so frames run across packet borders and no byte is lost.
     """
     scaled = F.transform(
         "samples",
@@ -77,11 +78,27 @@ def vector_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
     )
     payload = F.unhex(F.array_join(hex_le, ""))
-    return vectors(spark, sf_dir).select(
+    moved = F.pmod("vec_id", F.lit(3)).cast("int")
+    size = F.length("bytes")
+    cut = vectors(spark, sf_dir).withColumn("bytes", payload).select(
         "session_id",
         "channel",
-        F.col("vec_id").alias("seq"),
-        F.substring(payload, F.lit(1), (F.length(payload) - F.pmod("vec_id", F.lit(3))).cast("int")).alias("payload"),
+        "vec_id",
+        "sample_rate",
+        F.substring("bytes", F.lit(1), size - moved).alias("kept"),
+        F.substring("bytes", size - moved + 1, moved).alias("given"),
+    )
+    pieces = F.explode(
+        F.array(
+            F.struct((2 * F.col("vec_id")).alias("seq"), F.col("kept").alias("payload")),
+            F.struct((2 * F.col("vec_id") + 1).alias("seq"), F.col("given").alias("payload")),
+        )
+    )
+    return cut.withColumn("packet", pieces).select(
+        "session_id",
+        "channel",
+        F.col("packet.seq").alias("seq"),
+        F.col("packet.payload").alias("payload"),
         F.lit("s16le").alias("sample_format"),
         "sample_rate",
         F.lit(2).alias("n_channels"),

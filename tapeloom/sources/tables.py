@@ -59,6 +59,8 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     timed = F.pmod("turn", F.lit(2)) == 0
     return table(spark, sf_dir, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"),
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("transcript_id"),
+        F.lit(0).cast("bigint").alias("part"),
         F.concat(F.lit("session-"), F.col("conv_id").cast("string")).alias("session_id"),
         F.col("role").alias("channel"),
         "text",
@@ -79,6 +81,8 @@ def document_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as transcripts: their source is the session, a few hot ones."""
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("row_id"),
+        F.col("doc_id").alias("transcript_id"),
+        F.lit(0).cast("bigint").alias("part"),
         F.col("source").alias("session_id"),
         F.col("lang").alias("channel"),
         "text",
@@ -92,17 +96,21 @@ def notes_log(spark: SparkSession, sf_dir: str, session: Column) -> DataFrame:
         F.col("doc_id").alias("seq"),
         session.alias("session_id"),
         F.concat(F.lit("Notes for "), "lang").alias("title"),
-        F.substring("text", 1, 40).alias("summary"),
+        F.col("text").alias("summary"),
         F.array("lang", "source").alias("action_items"),
     )
 
 
 def chunk_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversation turns as provider responses of six shapes."""
+    """Conversation turns as provider responses of four shapes, and some turns twice.
+
+    Every third turn is followed by a chunk without speech: a blank text or no
+    response at all.  Turn ``t`` is chunk ``2t``, the chunk behind it ``2t + 1``.
+    """
     text, tj = F.col("text"), quoted(F.col("text"))
     half = F.substring(text, F.lit(1), (F.length(text) / 2).cast("int"))
     seconds = F.length(text) / F.lit(16.0)
-    shape = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(6))
+    shape = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(4))
     two_segments = F.to_json(
         F.struct(
             text.alias("text"),
@@ -123,16 +131,24 @@ def chunk_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(shape == 0, two_segments)
         .when(shape == 1, F.concat(F.lit("  "), text))
         .when(shape == 2, mixed_list)
-        .when(shape == 3, F.lit('{"text":"  \\n "}'))
-        .when(shape == 4, F.concat(F.lit('{"text":'), tj, F.lit(',"segments":"none"}')))
+        .otherwise(F.concat(F.lit('{"text":'), tj, F.lit(',"segments":"none"}')))
     )
-    return table(spark, sf_dir, "conversations").select(
-        F.concat(F.lit("session-"), F.col("conv_id").cast("string")).alias("session_id"),
-        F.col("role").alias("channel"),
-        F.col("turn").alias("chunk_index"),
-        F.lit(0.0).alias("start"),
-        seconds.alias("duration"),
-        response.alias("response"),
+    blank = F.when(F.pmod("turn", F.lit(2)) == 0, F.lit('{"text":"  \\n "}'))
+    spoken = F.struct((2 * F.col("turn")).alias("i"), seconds.alias("d"), response.alias("r"))
+    silent = F.struct((2 * F.col("turn") + 1).alias("i"), F.lit(0.5).alias("d"), blank.alias("r"))
+    third = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(3)) == 0
+    rows = F.when(third, F.array(spoken, silent)).otherwise(F.array(spoken))
+    return (
+        table(spark, sf_dir, "conversations")
+        .withColumn("chunk", F.explode(rows))
+        .select(
+            F.concat(F.lit("session-"), F.col("conv_id").cast("string")).alias("session_id"),
+            F.col("role").alias("channel"),
+            F.col("chunk.i").alias("chunk_index"),
+            F.lit(0.0).alias("start"),
+            F.col("chunk.d").alias("duration"),
+            F.col("chunk.r").alias("response"),
+        )
     )
 
 
@@ -168,5 +184,23 @@ def event_lines(events: DataFrame, stops: bool = True) -> DataFrame:
     )
 
 
+def closing_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The closing response of every streamed channel: an object with or without a text, a bare text, or none."""
+    last = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("event_id").alias("event_id"))
+    number = F.col("event_id").cast("string")
+    kind = F.pmod("event_id", F.lit(4))
+    spoken = F.concat(F.lit('{"text":" final '), number, F.lit(' ","segments":[{"start":0,"end":1.5,"text":" a "}]}'))
+    response = (
+        F.when(kind == 0, spoken)
+        .when(kind == 1, F.concat(F.lit('{"id":'), number, F.lit("}")))
+        .when(kind == 2, F.concat(F.lit("plain "), number))
+    )
+    return last.select(
+        F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("session_id"),
+        F.lit("microphone").alias("channel"),
+        response.alias("response"),
+    )
+
+
 def transcript_events(spark: SparkSession, sf_dir: str, stops: bool = True) -> DataFrame:
     return event_lines(table(spark, sf_dir, "events"), stops)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,42 +42,72 @@ def packet_stream(
 def rechunk_stream(packets: DataFrame, chunk_frames: int, idle_ms: int | None = None) -> DataFrame:
     """PCM packets to chunks of ``chunk_frames`` frames as they fill up.
 
-    Bytes short of a chunk wait in the state.  An ``eof`` packet drains them
-    once, as a shorter chunk of whole frames; later packets are ignored.  An
-    abandoned channel is dropped after ``idle_ms``.
+    Bytes short of a chunk wait in the state.  An ``eof`` packet drains them once, as
+    a shorter chunk of whole frames; later packets are ignored.  A channel that is
+    silent for ``idle_ms`` is drained the same way: waiting bytes, then the packets
+    behind a gap, so nothing that arrived is lost; ``error`` of those chunks names
+    the gap.
     """
     output = T.StructType(
         _KEY_FIELDS
-        + _fields("chunk_idx long,n_frames int,sample_rate int,n_channels int,samples floats")
+        + _fields("chunk_idx long,n_frames int,sample_rate int,n_channels int,samples floats,error string")
     )
     widths = {name: size for name, (size, _, _) in pcm.CAPTURE_FORMATS.items()}
 
-    def step(_key, state, row):
-        waiting, next_chunk, ended = state
-        if ended:
-            return state, []
-        frame = widths[row["sample_format"]] * row["n_channels"]
+    def cut(data: bytes, layout: tuple, first: int, last: bool, error: str | None) -> tuple[bytes, int, pd.DataFrame]:
+        """Whole chunks of ``data`` (and with ``last`` a shorter one): the rest, the next number, the rows."""
+        sample_format, rate, channels = layout
+        frame = widths[sample_format] * channels
         size = frame * chunk_frames
-        data = (waiting or b"") + (row["payload"] or b"")
-        whole = len(data) // size
-        cuts = [data[i * size : (i + 1) * size] for i in range(whole)]
-        rest = data[whole * size :]
-        if row["eof"]:
-            last = rest[: len(rest) // frame * frame]
-            cuts += [last] if last else []
-            rest = b""
-        layout = (row["sample_rate"], row["n_channels"])
-        rows = [
-            (next_chunk + i, len(cut) // frame, *layout, pcm.decode_bytes(cut, row["sample_format"]))
-            for i, cut in enumerate(cuts)
-        ]
-        return (rest, next_chunk + len(cuts), bool(row["eof"])), rows
-
-    cut = process_in_order(
-        packets, KEY, "seq", _fields("waiting binary,next_chunk long,ended boolean"), (b"", 0, False), output, step,
-        idle_ms=idle_ms,
+        end = len(data) // frame * frame if last else len(data) // size * size
+        pieces = [data[at : min(at + size, end)] for at in range(0, end, size)]
+        rows = pd.DataFrame(
+            {
+                "chunk_idx": range(first, first + len(pieces)),
+                "n_frames": [len(p) // frame for p in pieces],
+                "sample_rate": rate,
+                "n_channels": channels,
+                "samples": [pcm.decode_bytes(p, sample_format) for p in pieces],
+                "error": error,
+            }
+        )
+        return b"" if last else data[end:], first + len(pieces), rows
+
+    def layout_of(rows: pd.DataFrame) -> tuple:
+        row = rows.iloc[0]
+        return row["sample_format"], int(row["sample_rate"]), int(row["n_channels"])
+
+    def upto_eof(rows: pd.DataFrame) -> tuple[bytes, bool]:
+        """The joined payloads up to the first closing packet, and whether there is one."""
+        closing = np.flatnonzero(rows["eof"].to_numpy(dtype=bool))
+        kept = rows["payload"].iloc[: closing[0] + 1] if len(closing) else rows["payload"]
+        return b"".join(p for p in kept if p is not None), bool(len(closing))
+
+    def step(state, rows):
+        waiting, next_chunk, ended, *_ = state
+        if ended:
+            return state, None
+        layout = layout_of(rows)
+        data, ended = upto_eof(rows)
+        rest, next_chunk, out = cut((waiting or b"") + data, layout, next_chunk, ended, None)
+        return (rest, next_chunk, ended, *layout), out
+
+    def finish(state, held):
+        waiting, next_chunk, ended, *layout = state
+        if ended:
+            return None
+        layout = tuple(layout) if layout[0] else layout_of(held) if len(held) else None
+        if layout is None:
+            return None
+        data, _ = upto_eof(held) if len(held) else (b"", False)
+        error = f"packets missing before {int(held['seq'].iloc[0])}" if len(held) else None
+        return cut((waiting or b"") + data, layout, next_chunk, True, error)[2]
+
+    state = _fields("waiting binary,next_chunk long,ended boolean,sample_format string,sample_rate int,n_channels int")
+    chunks = process_in_order(
+        packets, KEY, "seq", state, (b"", 0, False, None, None, None), output, step, finish, idle_ms
     )
-    return cut.select(
+    return chunks.select(
         *KEY,
         "chunk_idx",
         (F.col("chunk_idx") * chunk_frames).alias("frame_start"),
@@ -83,13 +115,15 @@ def rechunk_stream(packets: DataFrame, chunk_frames: int, idle_ms: int | None =
         "sample_rate",
         "n_channels",
         "samples",
+        "error",
     )
 
 
-def partials_stream(responses: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
+def partials_stream(responses: DataFrame, page_rows: int = PAGE_ROWS, idle_ms: int | None = None) -> DataFrame:
     """One update per chunk response, in chunk order, as prefixes of the merge.
 
-    The state is a handful of counters; texts pass through and are not kept.
+    The state is a handful of counters; texts and raw responses pass through and are
+    not kept.  The state of a channel silent for ``idle_ms`` is dropped.
     """
     parsed = parse_responses(responses).select(
         *KEY,
@@ -98,57 +132,99 @@ def partials_stream(responses: DataFrame, page_rows: int = PAGE_ROWS) -> DataFra
         strip(F.col("text")).alias("appended"),
         F.size("segments").alias("own"),
         codec.segments_to_json(F.col("segments")).alias("segments_json"),
+        "raw_response",
     )
     output = T.StructType(
         _KEY_FIELDS
         + _fields("part long,chunk_index long,start double,appended string,segments_json string,"
-                  "text_length long,n_segments long")
+                  "raw_response string,text_length long,n_segments long,n_entries long")
     )
 
-    def step(_key, state, row):
-        start, chars, segments = state
-        if row["chunk_index"] % page_rows == 0:
-            chars, segments = 0, 0
-        added = len(row["appended"])
-        chars += added + (1 if added and chars else 0)
-        segments += row["own"]
-        out = (row["chunk_index"] // page_rows, row["chunk_index"], start, row["appended"],
-               row["segments_json"], chars, segments)
-        return (start + row["duration"], chars, segments), [out]
-
+    def step(state, rows):
+        start, chars, filled, segments, entries = state
+        added = rows["appended"].str.len().to_numpy()
+        chars_now = chars + added.cumsum()
+        filled_now = filled + (added > 0).cumsum()
+        segments_now = segments + rows["own"].to_numpy().cumsum()
+        entries_now = entries + np.arange(1, len(rows) + 1)
+        # Durations are added one by one, as a running sum over all of them would.
+        starts = np.add.accumulate(np.concatenate(([start], rows["duration"].to_numpy())))
+        out = pd.DataFrame(
+            {
+                "part": rows["chunk_index"] // page_rows,
+                "chunk_index": rows["chunk_index"],
+                "start": starts[:-1],
+                "appended": rows["appended"],
+                "segments_json": rows["segments_json"],
+                "raw_response": rows["raw_response"],
+                "text_length": chars_now + np.maximum(filled_now - 1, 0),
+                "n_segments": segments_now,
+                "n_entries": entries_now,
+            }
+        )
+        last = (float(starts[-1]), int(chars_now[-1]), int(filled_now[-1]), int(segments_now[-1]), int(entries_now[-1]))
+        return last, out
+
+    state = _fields("start double,chars long,filled long,segments long,entries long")
     partials = process_in_order(
-        parsed, KEY, "chunk_index", _fields("start double,chars long,segments long"), (0.0, 0, 0), output, step
+        parsed, KEY, "chunk_index", state, (0.0, 0, 0, 0, 0), output, step, idle_ms=idle_ms
     )
     return partials.withColumn("segments", codec.segments_from_json(F.col("segments_json"))).drop("segments_json")
 
 
-def events_stream(events: DataFrame) -> DataFrame:
-    """Fold event lines into partial texts; ends at a key's first stop line."""
+def events_stream(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """Fold event lines into partial texts; ends at a key's first stop line.
+
+    The stop gives one more row, ``is_final``: the lengths of the whole text.  A key
+    silent for ``idle_ms`` is closed in the same way and its state is dropped.
+    """
     decoded = events.withColumn("event", codec.decode_event(F.col("line"))).select(
         *KEY, "seq", "event.is_stop", "event.piece", (strip(F.col("event.piece")) != "").alias("filled")
     )
     output = T.StructType(
-        _KEY_FIELDS + _fields("seq long,position long,piece string,raw_end long,n_segments long,emitted boolean")
+        _KEY_FIELDS
+        + _fields("seq long,position long,piece string,raw_end long,n_segments long,emitted boolean,is_final boolean")
     )
 
-    def step(_key, state, row):
-        raw_end, segments, position, stopped = state
-        piece = row["piece"]
-        if stopped or row["is_stop"] or not piece:
-            return (raw_end, segments, position, stopped or bool(row["is_stop"])), []
-        raw_end, segments = raw_end + len(piece), segments + int(row["filled"])
-        update = (row["seq"], position, piece, raw_end, segments, segments > 0)
-        return (raw_end, segments, position + 1, False), [update]
-
-    return process_in_order(
-        decoded,
-        KEY,
-        "seq",
-        _fields("raw_end long,segments long,position long,stopped boolean"),
-        (0, 0, 0, False),
-        output,
-        step,
-    )
+    def closing(seq: int, position: int, raw_end: int, segments: int) -> pd.DataFrame:
+        return pd.DataFrame(
+            [(seq, position, None, raw_end, segments, False, True)],
+            columns=["seq", "position", "piece", "raw_end", "n_segments", "emitted", "is_final"],
+        )
+
+    def step(state, rows):
+        raw_end, segments, position, stopped, _ = state
+        last_seq = int(rows["seq"].iloc[-1])
+        if stopped:
+            return (*state[:4], last_seq), None
+        stops = np.flatnonzero(rows["is_stop"].to_numpy(dtype=bool))
+        live = rows.iloc[: stops[0]] if len(stops) else rows
+        live = live[live["piece"].notna()]
+        ends = raw_end + live["piece"].str.len().to_numpy(dtype="int64").cumsum()
+        counts = segments + live["filled"].to_numpy(dtype=bool).cumsum()
+        out = pd.DataFrame(
+            {
+                "seq": live["seq"],
+                "position": position + np.arange(len(live)),
+                "piece": live["piece"],
+                "raw_end": ends,
+                "n_segments": counts,
+                "emitted": counts > 0,
+                "is_final": False,
+            }
+        )
+        if len(live):
+            raw_end, segments, position = int(ends[-1]), int(counts[-1]), position + len(live)
+        if len(stops):
+            out = pd.concat([out, closing(int(rows["seq"].iloc[stops[0]]), position, raw_end, segments)])
+        return (raw_end, segments, position, bool(len(stops)), last_seq), out
+
+    def finish(state, _held):
+        raw_end, segments, position, stopped, last_seq = state
+        return None if stopped else closing(last_seq, position, raw_end, segments)
+
+    state = _fields("raw_end long,segments long,position long,stopped boolean,last_seq long")
+    return process_in_order(decoded, KEY, "seq", state, (0, 0, 0, False, -1), output, step, finish, idle_ms)
 
 
 def live_frames(chunks: DataFrame) -> DataFrame:
@@ -173,6 +249,16 @@ def drain(frame: DataFrame, path: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
+def dead_letters(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the batches that a delivery kept because its callback failed."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    names = [status.getPath().getName() for status in files.listStatus(folder)]
+    return sorted(int(name.removeprefix("batch=")) for name in names if name.startswith("batch="))
+
+
 def deliver(
     frame: DataFrame,
     callback: Callable[[DataFrame, int], None],

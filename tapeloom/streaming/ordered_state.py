@@ -1,9 +1,9 @@
 """Ordered stateful processing: rows of a key in ``seq`` order, gaps held back.
 
 A micro-batch may bring rows of a key in any order and with holes.  Rows that
-continue the key's sequence are handled at once; rows behind a hole wait in the
-state.  Replayed rows (below the next expected number) are ignored, so a source
-that sends a row twice changes nothing.
+continue the key's sequence are handled at once, as one frame; rows behind a hole
+wait in the state.  Replayed rows (below the next expected number) are ignored, so
+a source that sends a row twice changes nothing.
 
 A key is one recorder, whose own rate is fixed; what reaches a task at once is
 bounded by the source's ``maxFilesPerTrigger`` or ``maxBytesPerTrigger``.
@@ -11,34 +11,33 @@ bounded by the source's ``maxFilesPerTrigger`` or ``maxBytesPerTrigger``.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
-from typing import Any
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-Step = Callable[[tuple, tuple, dict[str, Any]], tuple[tuple, list[tuple]]]
-Finish = Callable[[tuple, tuple], list[tuple]]
+#: ``step(state, rows)``: the new state and the output columns for a run of rows in order.
+Step = Callable[[tuple, pd.DataFrame], tuple[tuple, pd.DataFrame | None]]
+#: ``finish(state, held)``: the last output of an idle key; ``held`` are the rows behind a gap, in order.
+Finish = Callable[[tuple, pd.DataFrame], pd.DataFrame | None]
 
 
-def _pack(rows: dict[int, dict[str, Any]]) -> bytes | None:
-    if not rows:
+def _pack(rows: pd.DataFrame) -> bytes | None:
+    if rows.empty:
         return None
-    table = pa.Table.from_pylist([rows[k] for k in sorted(rows)])
+    table = pa.Table.from_pandas(rows, preserve_index=False)
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as writer:
         writer.write_table(table)
     return sink.getvalue().to_pybytes()
 
 
-def _unpack(data: bytes | None, order: str) -> dict[int, dict[str, Any]]:
-    if not data:
-        return {}
-    rows = pa.ipc.open_stream(data).read_all().to_pylist()
-    return {row[order]: row for row in rows}
+def _unpack(data: bytes | None) -> list[pd.DataFrame]:
+    return [pa.ipc.open_stream(data).read_all().to_pandas()] if data else []
 
 
 def process_in_order(
@@ -54,41 +53,38 @@ def process_in_order(
 ) -> DataFrame:
     """Fold ``step`` over each key's rows in ``order`` (0, 1, 2, …).
 
-    ``step(key, state, row)`` gives the new state and output rows (without the
-    key columns).  With ``idle_ms`` an always-on query finishes a key that has
-    been silent for so long: ``finish(key, state)`` gives its last rows and the
-    state is dropped.  Leave it out for ``availableNow`` runs, which would wait
-    for the clock and never end.
+    With ``idle_ms`` an always-on query finishes a key that has been silent for so
+    long: ``finish`` gives its last rows, from its state and from what waits behind a
+    gap, and the state is dropped.  Leave it out for ``availableNow`` runs, which
+    would wait for the clock and never end.
     """
     names = [f.name for f in output.fields]
     state_type = T.StructType(
         [T.StructField("expected", T.LongType()), T.StructField("held", T.BinaryType()), *state]
     )
+    columns = [c for c in stream.columns if c not in keys]
 
-    def frame(key: tuple, rows: Iterable[tuple]) -> pd.DataFrame:
-        return pd.DataFrame([key + row for row in rows], columns=names)
+    def keyed(key: tuple, frame: pd.DataFrame | None) -> Iterator[pd.DataFrame]:
+        if frame is not None and len(frame):
+            yield frame.assign(**dict(zip(keys, key, strict=True)))[names]
 
     def handle(key: tuple, batches: Iterator[pd.DataFrame], store: GroupState) -> Iterator[pd.DataFrame]:
         if store.hasTimedOut:
-            kept = store.get[2:]
+            _, packed, *values = store.get
             store.remove()
             if finish is not None:
-                yield frame(key, finish(key, kept))
+                held = (_unpack(packed) or [pd.DataFrame(columns=columns)])[0]
+                yield from keyed(key, finish(tuple(values), held))
             return
         expected, packed, *values = store.get if store.exists else (0, None, *initial)
-        held, current = _unpack(packed, order), tuple(values)
-        for batch in batches:
-            for row in batch.drop(columns=keys).to_dict("records"):
-                if row[order] >= expected:
-                    held[row[order]] = row
-            out: list[tuple] = []
-            while expected in held:
-                current, rows = step(key, current, held.pop(expected))
-                out.extend(rows)
-                expected += 1
-            if out:
-                yield frame(key, out)
-        store.update((expected, _pack(held), *current))
+        current, held = tuple(values), _unpack(packed)
+        rows = pd.concat([*held, *[batch[columns] for batch in batches]], ignore_index=True)
+        rows = rows[rows[order] >= expected].drop_duplicates(order, keep="last").sort_values(order, ignore_index=True)
+        ready = int((rows[order].to_numpy() == expected + np.arange(len(rows))).cumprod().sum())
+        if ready:
+            current, out = step(current, rows.iloc[:ready])
+            yield from keyed(key, out)
+        store.update((expected + ready, _pack(rows.iloc[ready:]), *current))
         if idle_ms is not None:
             store.setTimeoutDuration(idle_ms)
 
