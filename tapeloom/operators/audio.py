@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from tapeloom.functions import pcm
 from tapeloom.functions.text import file_name, path_stem
 from tapeloom.operators.ordered import Fold, running
-from tapeloom.operators.sized import join_sized
 
 KEY = ["session_id", "channel"]
 
@@ -202,6 +201,8 @@ def _render_cell(cell_frames: int, wanted: list[str], schema: pa.Schema):
         by_channel: dict[str, list[int]] = {}
         for i, row in enumerate(rows):
             by_channel.setdefault(row["channel"], []).append(i)
+        if len(by_channel) != rows[0]["n_sources"]:
+            raise ValueError(f"{len(by_channel)} of {rows[0]['n_sources']} sources reach cell {cell}")
         rendered = []
         for members in by_channel.values():
             source, base, expected = rows[members[0]], rows[members[0]]["lo"], rows[members[0]]["lo"]
@@ -242,7 +243,7 @@ def _render(chunks: DataFrame, plan: DataFrame, keys: list[str], cell_frames: in
     output frames of each source, however long the recording is.
     """
     cells = F.lit(cell_frames).cast("bigint")
-    joined = join_sized(chunks.select(*KEY, "frame_start", "n_frames", "n_channels", "samples"), plan, KEY)
+    joined = chunks.select(*KEY, "frame_start", "n_frames", "n_channels", "samples").join(plan, KEY)
     first, step = F.col("frame_start"), F.col("step")
     end = first + F.col("n_frames") - 1
     last_cell = F.floor((F.col("n_out") - 1) / cells)
@@ -279,6 +280,7 @@ def _render(chunks: DataFrame, plan: DataFrame, keys: list[str], cell_frames: in
         "same_rate",
         "n_out",
         "target_rate",
+        "n_sources",
         piece.cast("array<float>").alias("piece"),
     )
     key_ddl = ", ".join(f"{k} string" for k in keys)
@@ -316,7 +318,40 @@ def _plan(metrics: DataFrame, target_rate: Column) -> DataFrame:
 def resample(chunks: DataFrame, metrics: DataFrame, target_rate: int, cell_frames: int) -> DataFrame:
     """Every channel, downmixed, at ``target_rate`` by linear interpolation."""
     plan = _plan(metrics.filter(~F.col("is_silent")), F.lit(target_rate))
-    return _render(chunks, plan.withColumn("n_out", F.col("target")), KEY, cell_frames)
+    return _render(
+        chunks, plan.withColumns({"n_out": F.col("target"), "n_sources": F.lit(1)}), KEY, cell_frames
+    )
+
+
+#: Frames of a recording that one task checks for gaps.
+_GAP_BLOCK = 1 << 22
+
+
+def mix_errors(chunks: DataFrame, metrics: DataFrame) -> DataFrame:
+    """(session_id, channel, error) of sources that cannot be mixed: frames missing, or captured twice.
+
+    Reads frame positions only.  A session with an error has no mix; its channels
+    stay targets of their own.
+    """
+    sources = metrics.filter(~F.col("is_silent")).select(*KEY)
+    end = F.col("frame_start") + F.col("n_frames")
+    # Chunks that begin at the same frame would not be ordered: they are counted as one, and are an error.
+    placed = chunks.filter("n_frames > 0").groupBy(*KEY, "frame_start").agg(
+        F.max("n_frames").cast("bigint").alias("n_frames"), F.count("*").alias("n")
+    )
+    seen = running(placed, KEY, "frame_start", {"before": Fold("max", end, inclusive=False)}, _GAP_BLOCK)
+    gap = F.col("frame_start") - F.coalesce("before", F.lit(0))
+    broken = seen.filter((gap != 0) | (F.col("n") > 1)).select(*KEY, "frame_start", gap.alias("gap"))
+    first = broken.groupBy(*KEY).agg(
+        F.min("frame_start").alias("at"), F.min_by("gap", "frame_start").alias("gap")
+    )
+    what = F.when(F.col("gap") > 0, F.lit("frames missing before ")).otherwise(F.lit("frames captured twice at "))
+    return first.join(sources, KEY, "left_semi").select(*KEY, F.concat(what, F.col("at").cast("string")).alias("error"))
+
+
+def mixable(metrics: DataFrame, errors: DataFrame) -> DataFrame:
+    """Metrics of the sessions without a mix error."""
+    return metrics.join(errors.select("session_id").distinct(), "session_id", "left_anti")
 
 
 def mix_down(chunks: DataFrame, metrics: DataFrame, cell_frames: int) -> DataFrame:
@@ -330,6 +365,25 @@ def mix_down(chunks: DataFrame, metrics: DataFrame, cell_frames: int) -> DataFra
         *KEY, "frames", "sample_rate", F.max("sample_rate").over(session).alias("rate")
     )
     plan = _plan(sources, F.col("rate"))
-    return _render(
-        chunks, plan.withColumn("n_out", F.min("target").over(session)), ["session_id"], cell_frames
+    shortest = {"n_out": F.min("target").over(session), "n_sources": F.count("*").over(session)}
+    return _render(chunks, plan.withColumns(shortest), ["session_id"], cell_frames)
+
+
+def with_samples(manifest: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Upload chunks with their ``samples``, cut from the captured chunks by frame range.
+
+    Samples are shuffled once, by upload chunk; none is longer than the upload limit.
+    """
+    # The first chunk of a split recording has the full length of its chunks.
+    widths = manifest.filter("chunk_index = 0").select(*KEY, F.col("n_frames").cast("bigint").alias("width"))
+    held = chunks.filter("n_frames > 0").select(*KEY, "frame_start", "n_frames", "n_channels", "samples").join(widths, KEY)
+    cells = F.sequence(F.expr("frame_start div width"), F.expr("(frame_start + n_frames - 1) div width"))
+    cut = (
+        held.withColumn("chunk_index", F.explode(cells))
+        .withColumn("lo", F.greatest("frame_start", F.expr("chunk_index * width")))
+        .withColumn("hi", F.least(F.expr("frame_start + n_frames"), F.expr("(chunk_index + 1) * width")))
     )
+    piece = F.expr("slice(samples, cast((lo - frame_start) * n_channels + 1 as int), cast((hi - lo) * n_channels as int))")
+    pieces = F.sort_array(F.collect_list(F.struct("lo", piece.alias("samples"))))
+    gathered = cut.groupBy(*KEY, "chunk_index").agg(F.flatten(F.transform(pieces, lambda p: p["samples"])).alias("samples"))
+    return manifest.join(gathered, [*KEY, "chunk_index"], "left")

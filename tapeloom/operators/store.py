@@ -36,8 +36,11 @@ def bootstrap(spark: SparkSession, location: str, database: str = "default") ->
         )
 
 
-def append(df: DataFrame, location: str, table: str) -> None:
-    """Append rows to a log; rows breaking a NOT NULL column are an error."""
+def append(df: DataFrame, location: str, table: str, batch: int | None = None) -> None:
+    """Append rows to a log; rows breaking a NOT NULL column are an error.
+
+    Rows of a numbered batch have a folder of their own, which a repeated batch replaces.
+    """
     schema = TABLES[table]
     checked = [
         F.when(F.col(f.name).isNull(), F.raise_error(F.lit(f"{table}.{f.name} is NULL")).cast(f.dataType))
@@ -48,11 +51,32 @@ def append(df: DataFrame, location: str, table: str) -> None:
         else F.col(f.name).cast(f.dataType).alias(f.name)
         for f in schema.fields
     ]
-    df.select(*checked).write.mode("append").parquet(f"{location}/{table}")
+    rows = df.select(*checked).write
+    if batch is None:
+        rows.mode("append").parquet(f"{location}/{table}")
+    else:
+        rows.mode("overwrite").parquet(f"{location}/{table}/batch={batch}")
+
 
+def bootstrap_folder(spark: SparkSession, location: str, table: str) -> None:
+    """An empty log where there is none yet."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{location}/{table}")
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        files.mkdirs(folder)
 
-def read_log(spark: SparkSession, location: str, table: str) -> DataFrame:
-    return spark.read.schema(TABLES[table]).parquet(f"{location}/{table}")
+
+def read_log(
+    spark: SparkSession, location: str, table: str, before: int | None = None, only: int | None = None
+) -> DataFrame:
+    """All rows of a log, or those of the batches ``before`` one, or of one batch ``only``."""
+    names = [f.name for f in TABLES[table].fields]
+    if before is None and only is None:
+        return spark.read.schema(TABLES[table]).parquet(f"{location}/{table}").select(*names)
+    numbered = T.StructType([*TABLES[table].fields, T.StructField("batch", T.LongType())])
+    rows = spark.read.schema(numbered).parquet(f"{location}/{table}")
+    wanted = F.col("batch") == only if only is not None else F.coalesce(F.col("batch") < before, F.lit(True))
+    return rows.filter(wanted).select(*names)
 
 
 def numbered_transcripts(results: DataFrame, order: list[str], log: DataFrame | None = None) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tapeloom import providers
 from tapeloom.functions import pcm
-from tapeloom.functions.text import path_stem
+from tapeloom.functions.text import PLACEHOLDER_TEXT, path_stem
 from tapeloom.operators import audio, store
 from tapeloom.plans import fleet, sql
 from tapeloom.session import new_shared_path
@@ -16,7 +18,9 @@ from tapeloom.sources import tables, wav
 # Small budget so that the captured orders need several upload chunks.
 UPLOAD_BYTES = 4_000_000
 CELL_FRAMES = 1024
-WAV_FRAMES = 1000
+HEARD_FRAMES = 150
+HEARD_BYTES = 44 + 2 * HEARD_FRAMES
+WAV_FRAMES = 1024
 
 
 def _path():
@@ -160,12 +164,13 @@ def wav_roundtrip(spark, sf_dir):
     folder = new_shared_path(spark, "wav")
     chunks = sources.vector_chunks(spark, sf_dir)
     # The write is the query's work; its report is only checked for failures.
-    wav.write_wav(chunks, folder, WAV_FRAMES).agg(F.sum("frames")).collect()
+    wav.write_wav(chunks, folder, WAV_FRAMES).write.format("noop").mode("overwrite").save()
     back = wav.wav_chunks(wav.wav_headers(spark, folder), 64, chunks_per_span=4)
     return back.select(
         "session_id",
         "channel",
         "chunk_idx",
+        "frame_start",
         F.col("n_frames").cast("bigint").alias("n_frames"),
         _ints(F.transform("samples", lambda x: F.round(x.cast("double") * 32767).cast("int"))).alias("pcm"),
     )
@@ -184,7 +189,7 @@ def provider_transcripts(spark, sf_dir):
     """All captured channels through a backend, chunk by chunk, and merged."""
     metrics = _metrics(spark, sf_dir)
     manifest = audio.split_manifest(metrics, UPLOAD_BYTES)
-    merged = providers.transcribe(manifest, _echo, metrics)
+    merged = providers.transcribe(manifest, providers.Transcriber(_echo), metrics)
     return merged.select(
         "session_id",
         "channel",
@@ -196,28 +201,69 @@ def provider_transcripts(spark, sf_dir):
     )
 
 
-def _count_lines(batch):
-    return batch["name"] + ": " + (batch["prompt"].str.count("\n") + 1).astype(str) + " lines"
+def _checksum(batch):
+    """A stand-in backend that hears: tells the sum of its 16-bit samples."""
+    sums = [int((s.clip(-1, 1) * np.float32(32767)).astype("int16").astype("int64").sum()) for s in batch["samples"]]
+    return pd.Series([f'{{"text":"{len(s)} {total}"}}' for s, total in zip(batch["samples"], sums, strict=True)])
+
+
+def provider_hears_audio(spark, sf_dir):
+    """Upload chunks with their samples through a backend that adds them up."""
+    chunks, metrics = sources.vector_chunks(spark, sf_dir), _vector_metrics(spark, sf_dir)
+    manifest = audio.split_manifest(metrics.withColumn("path", _path()), HEARD_BYTES)
+    heard = providers.answers(manifest, providers.Transcriber(_checksum, hears=True), chunks)
+    return heard.select("session_id", "channel", "chunk_index", "frame_start", "text")
+
+
+def mix_fallback_targets(spark, sf_dir):
+    """One session lost a chunk: it falls back to its channels, all others are mixed as ever."""
+    lost = (F.col("channel") == "ch0") & (F.col("chunk_idx") == 1)
+    chunks = sources.vector_chunks(spark, sf_dir).filter(~lost)
+    channels = sources.vector_channels(spark, sf_dir)
+    metrics = audio.channel_metrics(channels, chunks).withColumn("path", _path())
+    found = audio.mix_sources(metrics)
+    errors = audio.mix_errors(chunks, found)
+    mix = audio.mix_down(chunks, audio.mixable(found, errors), CELL_FRAMES)
+    mixed = mix.groupBy("session_id").agg(F.sum(F.col("n_frames").cast("bigint")).alias("mix_frames"))
+    path = F.when(F.col("mix_frames").isNotNull(), F.concat(F.lit("rec/"), "session_id", F.lit("/processed/mix.wav")))
+    sessions = channels.select("session_id").distinct().join(mixed, "session_id", "left")
+    sessions = sessions.select(F.col("session_id").alias("id"), path.alias("mix_path"))
+    targets = audio.transcription_targets(sessions, metrics)
+    return targets.join(mixed, "session_id", "left").join(errors, ["session_id", "channel"], "left")
+
+
+def _count_lines(name, parts):
+    lines = sum(part.count("\n") + 1 for part in parts)
+    return providers.Note(f"{name}: {lines} lines", f"About {name}" if lines > 2 else None, [f"read {lines} lines", name])
 
 
 def provider_notes(spark, sf_dir):
     sessions = store.compact_sessions(tables.session_log(spark, sf_dir))
-    found = providers.write_notes(sessions, tables.transcripts(spark, sf_dir), _count_lines)
-    return found.select("session_id", "title", "summary")
+    # Very short parts: the notes must not depend on the cut.
+    found = providers.write_notes(sessions, tables.transcripts(spark, sf_dir), _count_lines, page_rows=2)
+    return found.select("session_id", "title", "summary", F.array_join("action_items", "|").alias("items"))
 
 
 def session_batch(spark, sf_dir):
-    """The whole job on the vector recordings: mix, placeholder texts and notes."""
+    """The whole job on the vector recordings in two batches, read back from the store.
+
+    The second batch records session-0 again and does not mix; its batch runs twice.
+    """
     root = new_shared_path(spark, "fleet")
-    channels = sources.vector_channels(spark, sf_dir)
+    channels, chunks = sources.vector_channels(spark, sf_dir), sources.vector_chunks(spark, sf_dir)
     requests = channels.groupBy(F.col("session_id").alias("id")).agg(
         F.concat(F.lit("Weekly "), F.min("channel")).alias("name"), F.lit(0.0).alias("created_at")
     )
-    out = fleet.process_batch(
-        spark, root, 1, requests, channels, sources.vector_chunks(spark, sf_dir), cell_frames=CELL_FRAMES
+    fleet.process_batch(spark, root, 1, requests, channels, chunks, cell_frames=CELL_FRAMES)
+    again = requests.filter("id = 'session-0'")
+    one, heard = channels.filter("session_id = 'session-0'"), chunks.filter("session_id = 'session-0'")
+    for _ in range(2):
+        fleet.process_batch(spark, root, 2, again, one, heard, mix_down=False)
+    outcome = fleet.outcomes(spark, root).join(
+        store.read_log(spark, root, "transcripts").groupBy(F.col("session_id").alias("id")).agg(F.count("*").alias("n_rows")), "id"
     )
-    outcome = store.session_outcomes(out["sessions"], out["transcripts"], out["notes"])
     return outcome.select(
+        "n_rows",
         "id",
         "name",
         "duration",
@@ -245,6 +291,8 @@ QUERIES = {
     "provider_transcripts": provider_transcripts,
     "provider_notes": provider_notes,
     "session_batch": session_batch,
+    "provider_hears_audio": provider_hears_audio,
+    "mix_fallback_targets": mix_fallback_targets,
     "channel_metrics": channel_metrics,
     "session_rollup": session_rollup,
     "mix_source_filter": mix_source_filter,
@@ -288,6 +336,11 @@ samples AS (
   FROM numbered, (SELECT unnest(range(64)) AS n))"""
 
 
+def quoted(text: str) -> str:
+    """A text as a SQL string literal."""
+    return "'" + text.replace("'", "''") + "'"
+
+
 def _quantised(x: str) -> str:
     one = "CAST(1 AS FLOAT)"
     return (
@@ -325,13 +378,23 @@ _ECHO = """CASE WHEN frames = 0 THEN '' WHEN frames <= mf THEN channel || ' 0 '
 ORACLES = {
     "wav_roundtrip": sql.with_(
         _SAMPLES,
-        body=f"""SELECT session_id, stem AS channel, spot // 64 AS chunk_idx, count(*) AS n_frames,
-          string_agg({_quantised('x')}, ',' ORDER BY spot) AS pcm
-        FROM (SELECT * EXCLUDE (chunk_idx), frame % {WAV_FRAMES} AS spot,
-                     channel || CASE WHEN count(*) OVER (PARTITION BY channel) > {WAV_FRAMES}
-                       THEN '.chunk' || lpad(CAST(frame // {WAV_FRAMES} AS VARCHAR), 3, '0') ELSE '' END AS stem
-              FROM samples)
-        GROUP BY session_id, stem, spot // 64""",
+        body=f"""SELECT session_id, channel, frame // 64 AS chunk_idx, min(frame) AS frame_start, count(*) AS n_frames,
+          string_agg({_quantised('x')}, ',' ORDER BY frame) AS pcm
+        FROM samples GROUP BY session_id, channel, frame // 64""",
+    ),
+    "provider_hears_audio": sql.with_(
+        _SAMPLES,
+        body=f"""SELECT session_id, channel, frame // {HEARD_FRAMES} AS chunk_index, min(frame) AS frame_start,
+          count(*) || ' ' || sum({_quantised('x')}) AS text
+        FROM samples GROUP BY session_id, channel, frame // {HEARD_FRAMES}""",
+    ),
+    "mix_fallback_targets": sql.with_(
+        _RESAMPLED,
+        body="""SELECT session_id, 'mix' AS channel, 'rec/' || session_id || '/processed/mix.wav' AS path,
+          min(t) AS mix_frames, NULL AS error FROM targets WHERE session_id <> 'session-0' GROUP BY session_id
+        UNION ALL
+        SELECT session_id, channel, 'rec/session-0/raw/' || channel || '.wav', NULL,
+          CASE channel WHEN 'ch0' THEN 'frames missing before 128' END FROM targets WHERE session_id = 'session-0'""",
     ),
     "provider_transcripts": sql.with_(
         _METRICS,
@@ -355,18 +418,23 @@ ORACLES = {
     "provider_notes": sql.with_(
         sql.SESSIONS,
         sql.TRANSCRIPTS,
-        body="""SELECT session_id, 'Notes for ' || name AS title,
-          name || ': ' || (length(p) - length(replace(p, chr(10), '')) + 1) || ' lines' AS summary
-        FROM (SELECT session_id, string_agg('[' || channel || '] ' || text, chr(10) ORDER BY row_id) AS p
-              FROM transcripts WHERE text <> '' GROUP BY session_id) JOIN sessions ON id = session_id""",
+        body="""SELECT session_id, CASE WHEN n > 2 THEN 'About ' ELSE 'Notes for ' END || name AS title,
+          name || ': ' || n || ' lines' AS summary, 'read ' || n || ' lines|' || name AS items
+        FROM (SELECT session_id, length(p) - length(replace(p, chr(10), '')) + 1 AS n FROM (
+              SELECT session_id, string_agg('[' || channel || '] ' || text, chr(10) ORDER BY row_id) AS p
+              FROM transcripts WHERE text <> '' GROUP BY session_id)) JOIN sessions ON id = session_id""",
     ),
     "session_batch": sql.with_(
         _SAMPLES,
-        body="""SELECT session_id AS id, name, duration, sample_rate, 'mix' AS mix, n_paths, 'mixed' AS channel,
-          text, 'Notes for ' || name AS title, text AS summary
-        FROM (SELECT *, 'Dummy transcript for session ' || chr(39) || name || chr(39) ||
-                        ' from mix.wav. Replace with a real transcription backend.' AS text
-              FROM (SELECT session_id, 'Weekly ' || min(channel) AS name, max(frames / CAST(rate AS DOUBLE)) AS duration,
+        # Session-0 is not mixed the second time: one transcript per channel, and the last one counts.
+        body=f"""SELECT session_id AS id, name, duration, sample_rate,
+          CASE WHEN session_id <> 'session-0' THEN 'mix' END AS mix, n_paths, 'mixed' AS channel,
+          text, 'Notes for ' || name AS title, text AS summary,
+          CASE WHEN session_id = 'session-0' THEN 1 + n_paths ELSE 1 END AS n_rows
+        FROM (SELECT *, replace(replace({quoted(PLACEHOLDER_TEXT)}, '''%s''', '''' || name || ''''), '%s',
+                CASE WHEN session_id = 'session-0' THEN last || '.wav' ELSE 'mix.wav' END) AS text
+              FROM (SELECT session_id, 'Weekly ' || min(channel) AS name, max(channel) AS last,
+                           max(frames / CAST(rate AS DOUBLE)) AS duration,
                            CAST(max(rate) AS BIGINT) AS sample_rate, count(*) AS n_paths
                     FROM (SELECT session_id, channel, rate, count(*) AS frames FROM samples GROUP BY ALL) GROUP BY session_id))""",
     ),

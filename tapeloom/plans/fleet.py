@@ -1,25 +1,28 @@
 """The whole job over all finished sessions of a batch.
 
-chunks → metrics → session rows → mix → targets → upload chunks → transcripts →
-notes.  Results needed more than once are written as tables under ``root``, a
+chunks → metrics → session rows and WAV files → mix → targets → upload chunks →
+transcripts → notes.  Results needed more than once are written as tables under ``root``, a
 folder the cluster shares, and read back: later steps start from files, so a
-lost executor costs only its own tasks.
+lost executor costs only its own tasks.  The logs of the store grow by one folder per
+batch and step; repeating a batch replaces its folders and adds nothing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom import providers
 from tapeloom.operators import audio, notes, store
 from tapeloom.schemas import SESSION_LOG
+from tapeloom.session import full_uri
+from tapeloom.sources import wav
 
 # Fixed value: largest upload that is sent in one piece.
 MAX_UPLOAD_BYTES = 24 * 1024 * 1024
 
-#: Transcript rows one session may get from one batch (channels and parts).
-_ROWS_PER_BATCH = 10**9
+#: Frames of one recording file; a longer recording goes on in further files.
+WAV_FRAMES = 1 << 26
 
 
 def _written(frame: DataFrame, path: str) -> DataFrame:
@@ -37,13 +40,22 @@ def _log_rows(frame: DataFrame) -> DataFrame:
     )
 
 
-def _append_log(frame: DataFrame, root: str) -> None:
+def _log_sessions(frame: DataFrame, root: str, batch: int, step: str) -> None:
     # Update rows carry no session fields, so only the keys are checked here.
-    _log_rows(frame).write.mode("append").parquet(f"{root}/session_log")
+    _log_rows(frame).write.mode("overwrite").parquet(f"{root}/session_log/batch={batch}/step={step}")
 
 
 def sessions(spark: SparkSession, root: str) -> DataFrame:
-    return store.compact_sessions(spark.read.schema(SESSION_LOG).parquet(f"{root}/session_log"))
+    return store.compact_sessions(store.read_log(spark, root, "session_log"))
+
+
+def outcomes(spark: SparkSession, root: str, wanted: DataFrame | None = None) -> DataFrame:
+    """What the store holds of all sessions (or the wanted ``id``s), over all batches."""
+    found = sessions(spark, root)
+    if wanted is not None:
+        found = found.join(wanted.select("id"), "id", "left_semi")
+    noted = store.compact_notes(store.read_log(spark, root, "notes_log"))
+    return store.session_outcomes(found, store.read_log(spark, root, "transcripts"), noted, few=wanted is not None)
 
 
 def process_batch(
@@ -58,40 +70,49 @@ def process_batch(
     mix_down: bool = True,
     cell_frames: int = 16000,
     max_upload_bytes: int = MAX_UPLOAD_BYTES,
+    wav_frames: int = WAV_FRAMES,
 ) -> dict[str, DataFrame]:
     """Process one batch of sessions; ``batch`` grows from run to run.
 
-    ``requests`` holds ``id``, ``name`` and ``created_at`` of each session.
+    ``requests`` holds ``id``, ``name`` and ``created_at`` of each session.  A session
+    that cannot be mixed is reported under ``errors``; its channels are transcribed
+    one by one, and no other session is touched.
     """
+    root = full_uri(spark, root).rstrip("/")
     here = f"{root}/batch={batch}"
     raw = F.concat(F.lit(f"{root}/"), "session_id", F.lit("/raw/"), "channel", F.lit(".wav"))
     metrics = _written(audio.channel_metrics(channels, chunks).withColumn("path", raw), f"{here}/channel_metrics")
+    _written(wav.write_wav(chunks, root, wav_frames), f"{here}/raw_files")
 
     rollup = audio.session_rollup(metrics, F.col("path")).withColumnRenamed("session_id", "id")
     saved = requests.join(rollup, "id").withColumn("seq", F.lit(2 * batch)).withColumn("op", F.lit(store.SAVE))
-    _append_log(saved, root)
+    _log_sessions(saved, root, batch, store.SAVE)
 
+    out = {"metrics": metrics}
+    mixed = mix = None
     if mix_down:
-        mix = _written(audio.mix_down(chunks, audio.mix_sources(metrics), cell_frames), f"{here}/mix_chunks")
+        sources = audio.mix_sources(metrics)
+        out["errors"] = _written(audio.mix_errors(chunks, sources), f"{here}/mix_errors")
+        good = audio.mixable(sources, out["errors"])
+        mix = _written(audio.mix_down(chunks, good, cell_frames), f"{here}/mix_chunks").withColumns(
+            {"channel": F.lit("mix"), "n_channels": F.lit(1)}
+        )
+        _written(wav.write_wav(mix, root, wav_frames, "processed"), f"{here}/mix_files")
         mixed = mix.groupBy("session_id").agg(
             F.sum(F.col("n_frames").cast("bigint")).alias("frames"), F.max("sample_rate").alias("sample_rate")
         )
         mix_path = F.concat(F.lit(f"{root}/"), "session_id", F.lit("/processed/mix.wav"))
         mixed = _written(mixed.withColumn("path", mix_path).withColumn("n_channels", F.lit(1)), f"{here}/mixes")
-        _append_log(
-            mixed.select(
-                F.lit(2 * batch + 1).alias("seq"),
-                F.lit(store.UPDATE_MIX).alias("op"),
-                F.col("session_id").alias("id"),
-                F.col("path").alias("mix_path"),
-            ),
-            root,
+        updates = mixed.select(
+            F.lit(2 * batch + 1).alias("seq"),
+            F.lit(store.UPDATE_MIX).alias("op"),
+            F.col("session_id").alias("id"),
+            F.col("path").alias("mix_path"),
         )
-    else:
-        mixed = None
+        _log_sessions(updates, root, batch, store.UPDATE_MIX)
 
     current = sessions(spark, root).join(requests.select("id"), "id", "left_semi")
-    out = {"metrics": metrics, "sessions": current}
+    out["sessions"] = current
     if transcriber is None:
         return out
     targets = audio.transcription_targets(current, metrics)
@@ -99,25 +120,32 @@ def process_batch(
         results = providers.placeholder_transcripts(current, targets).withColumn("part", F.lit(0).cast("bigint"))
     else:
         sizes = metrics.select("path", "frames", "sample_rate", "n_channels")
+        held = chunks
         if mixed is not None:
             sizes = sizes.unionByName(mixed.select("path", "frames", "sample_rate", "n_channels"))
+            columns = ["session_id", "channel", "frame_start", "n_frames", "n_channels", "samples"]
+            held = chunks.select(*columns).unionByName(mix.select(*columns))
         files = targets.join(sizes, "path")
         # A file within the limit is one chunk; the split leaves it whole.
         manifest = audio.split_manifest(files, max_upload_bytes)
-        results = providers.transcribe(manifest, providers.TRANSCRIBERS[transcriber], targets)
+        results = providers.transcribe(manifest, providers.TRANSCRIBERS[transcriber], targets, held)
         results = results.withColumn("path", F.col("channel"))
-    position = F.row_number().over(Window.partitionBy("session_id").orderBy("path", "part"))
-    rows = results.withColumn("row_id", F.lit(batch * _ROWS_PER_BATCH) + position)
-    spoken = _written(rows.drop("path"), f"{here}/transcripts")
-    # The file was written once under this batch number: repeating the batch
-    # replaces its transcripts and does not append them twice.
+    # Answers are kept before they are numbered: no backend is called twice.
+    results = _written(results, f"{here}/answers")
+    store.bootstrap_folder(spark, root, "transcripts")
+    earlier = store.read_log(spark, root, "transcripts", before=batch)
+    rows = store.numbered_transcripts(results, ["path"], earlier).drop("path")
+    store.append(rows, root, "transcripts", batch)
+    spoken = store.read_log(spark, root, "transcripts", only=batch)
     out["transcripts"] = spoken
     if summariser is None:
         return out
+    # Results of one channel label replace each other: the last one written is noted.
+    latest = store.latest_per_channel(spoken)
     if summariser == providers.PLACEHOLDER:
-        written = notes.default_notes(current, spoken)
+        written = notes.default_notes(current, latest)
     else:
-        written = providers.write_notes(current, spoken, providers.SUMMARISERS[summariser])
-    noted = written.withColumn("seq", F.lit(batch).cast("bigint"))
-    out["notes"] = store.compact_notes(_written(noted, f"{here}/notes"))
+        written = providers.write_notes(current, latest, providers.SUMMARISERS[summariser])
+    store.append(written.withColumn("seq", F.lit(batch).cast("bigint")), root, "notes_log", batch)
+    out["notes"] = store.compact_notes(store.read_log(spark, root, "notes_log", only=batch))
     return out

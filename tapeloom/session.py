@@ -52,6 +52,27 @@ def shared_dir(spark: SparkSession) -> str:
     return fallback
 
 
+def full_uri(spark: SparkSession, path: str) -> str:
+    """``path`` as every executor reads it: resolved once, here, against Spark's default file system.
+
+    Tasks open files by themselves (WAV recordings); a bare path would mean the
+    executor's own disk to them and the shared store to Spark.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString()
+    scheme, _, rest = full.partition(":")
+    return full if rest.startswith("//") else f"{scheme}://{rest}"
+
+
+def fan_out(spark: SparkSession, wanted: int | None = None) -> int:
+    """Partitions for expensive work on few short rows.
+
+    A given number is kept by the planner; without one it would size partitions by
+    the bytes of the rows and run hours of inference in a handful of tasks.
+    """
+    return wanted or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def new_shared_path(spark: SparkSession, label: str) -> str:
     """A fresh path under :func:`shared_dir`; never reused between runs."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions.pcm import FILE_SCALE, SAMPLE_BYTES, WAV_HEADER_BYTES
 from tapeloom.functions.text import path_stem
-from tapeloom.operators.sized import join_sized
+from tapeloom.session import fan_out, full_uri
 
 # Fixed value: format code of plain PCM samples.
 PCM_CODE = 1
@@ -47,13 +47,21 @@ def _header(path: str, length: int) -> dict:
         at = 12
         while at + 8 <= length:
             file.seek(at)
-            name, size = struct.unpack("<4sI", file.read(8))
+            block = file.read(8)
+            if len(block) < 8:
+                break
+            name, size = struct.unpack("<4sI", block)
             if name == b"fmt ":
-                code, channels, rate, _, _, bits = struct.unpack("<HHIIHH", file.read(16))
+                head = file.read(16)
+                if len(head) < 16 or size < 16:
+                    return {**found, "error": "short format block"}
+                code, channels, rate, _, _, bits = struct.unpack("<HHIIHH", head)
                 found |= {"sample_rate": rate, "n_channels": channels, "sample_width": bits // 8}
                 if code != PCM_CODE:
                     return {**found, "error": f"not PCM: format {code}"}
             if name == b"data":
+                if found["n_channels"] < 1 and found["sample_width"]:
+                    return {**found, "error": "no channels"}
                 if found["sample_width"] != SAMPLE_BYTES:
                     return {**found, "error": f"sample width {found['sample_width']} is not 2"}
                 kept = min(size, length - at - 8)
@@ -85,16 +93,28 @@ def rejected_files(headers: DataFrame) -> DataFrame:
     return headers.filter("error IS NOT NULL").select("path", "error")
 
 
-def wav_chunks(headers: DataFrame, chunk_frames: int, chunks_per_span: int = 64) -> DataFrame:
-    """Samples of all readable files, ``chunk_frames`` frames per row.
+#: A file of a long recording: its number, and the frame of the recording it begins with.
+_PART = r"^(.*)\.chunk[0-9]{3,}\.at([0-9]+)$"
+
+
+def wav_chunks(
+    headers: DataFrame, chunk_frames: int, chunks_per_span: int = 64, tasks: int | None = None
+) -> DataFrame:
+    """Samples of all readable files, at most ``chunk_frames`` frames per row.
 
     ``session_id`` is the folder above ``raw`` or ``processed`` (or the file's own
-    folder) and ``channel`` the file's stem.
+    folder) and ``channel`` the file's stem.  The files of a recording written in
+    several come back as one channel, at their frames; ``chunk_idx`` counts frames in
+    steps of ``chunk_frames``, so files should begin at a multiple of it.
     """
     span_frames = chunk_frames * chunks_per_span
-    good = headers.filter("error IS NULL AND frames > 0")
+    stem = path_stem(F.col("path"))
+    single = F.regexp_extract(stem, _PART, 2) == ""
+    offset = F.when(single, F.lit(0)).otherwise(F.regexp_extract(stem, _PART, 2).try_cast("bigint"))
+    good = headers.filter("error IS NULL AND frames > 0").withColumn("offset", offset.cast("bigint"))
     last = F.expr(f"(frames - 1) div {span_frames}")
-    spans = good.withColumn("span", F.explode(F.sequence(F.lit(0).cast("bigint"), last))).repartition("path", "span")
+    spans = good.withColumn("span", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    spans = spans.repartition(fan_out(headers.sparkSession, tasks), "path", "span")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -106,24 +126,24 @@ def wav_chunks(headers: DataFrame, chunk_frames: int, chunks_per_span: int = 64)
                     file.seek(int(row.data_start) + first * size)
                     values = np.frombuffer(file.read(count * size), dtype="<i2").astype(np.float32)
                 values /= np.float32(FILE_SCALE)
-                starts = range(0, count, chunk_frames)
-                parts = [values[s * row.n_channels : (s + chunk_frames) * row.n_channels] for s in starts]
+                begins = range(0, count, chunk_frames)
+                at = int(row.offset) + first
                 yield pd.DataFrame(
                     {
                         "path": row.path,
-                        "chunk_idx": [(first + s) // chunk_frames for s in starts],
-                        "frame_start": [first + s for s in starts],
-                        "n_frames": [min(chunk_frames, count - s) for s in starts],
+                        "chunk_idx": [(at + b) // chunk_frames for b in begins],
+                        "frame_start": [at + b for b in begins],
+                        "n_frames": [min(chunk_frames, count - b) for b in begins],
                         "sample_rate": row.sample_rate,
                         "n_channels": row.n_channels,
-                        "samples": parts,
+                        "samples": [values[b * row.n_channels : (b + chunk_frames) * row.n_channels] for b in begins],
                     }
                 )
 
     folder = F.regexp_extract("path", r"([^/]+)/(?:(?:raw|processed)/)?[^/]+$", 1)
     return spans.mapInPandas(read, _SPAN).select(
         folder.alias("session_id"),
-        path_stem(F.col("path")).alias("channel"),
+        F.when(single, stem).otherwise(F.regexp_extract(stem, _PART, 1)).alias("channel"),
         F.lit(None).cast("string").alias("device"),
         "chunk_idx",
         "frame_start",
@@ -146,14 +166,15 @@ def _file_bytes(samples: np.ndarray, rate: int, channels: int) -> bytes:
     return head + data
 
 
-def write_wav(chunks: DataFrame, folder: str, max_frames: int) -> DataFrame:
+def write_wav(chunks: DataFrame, folder: str, max_frames: int, below: str = "raw") -> DataFrame:
     """Write recordings as WAV files of at most ``max_frames`` frames each.
 
-    Each file is put together by its own task from its chunks alone; a longer
-    recording becomes ``name.chunk000.wav``, ``name.chunk001.wav`` and so on.
-    Gives one row per file; repeated tasks replace their file.  Chunks on a
-    border between files are cut.
+    Each file is put together by its own task from its chunks alone.  A longer
+    recording becomes ``name.chunk000.at0.wav``, ``name.chunk001.at<frame>.wav`` and so
+    on, which ``wav_chunks`` reads back as one channel.  Gives one row per file;
+    repeated tasks replace their file.  Chunks on a border between files are cut.
     """
+    root = full_uri(chunks.sparkSession, folder)
     end = F.col("frame_start") + F.col("n_frames")
     files = F.sequence(F.expr(f"frame_start div {max_frames}"), F.expr(f"(frame_start + n_frames - 1) div {max_frames}"))
     totals = chunks.groupBy("session_id", "channel").agg(F.max(end).alias("total"))
@@ -173,10 +194,10 @@ def write_wav(chunks: DataFrame, folder: str, max_frames: int) -> DataFrame:
         session, channel, part, single = key
         group = group.sort_values("lo")
         first = group.iloc[0]
-        name = f"{channel}.wav" if single else f"{channel}.chunk{part:03d}.wav"
-        uri = f"{folder}/{session}/raw/{name}"
+        name = f"{channel}.wav" if single else f"{channel}.chunk{part:03d}.at{first['lo']}.wav"
+        uri = f"{root}/{session}/{below}/{name}"
         samples = np.concatenate(group["samples"].to_list())
-        filesystem, target = pafs.FileSystem.from_uri(uri if ":" in folder else f"file://{uri}")
+        filesystem, target = pafs.FileSystem.from_uri(uri)
         filesystem.create_dir(target.rsplit("/", 1)[0], recursive=True)
         with filesystem.open_output_stream(target) as out:
             out.write(_file_bytes(samples, int(first["sample_rate"]), int(first["n_channels"])))
@@ -184,9 +205,7 @@ def write_wav(chunks: DataFrame, folder: str, max_frames: int) -> DataFrame:
         return pd.DataFrame([(session, channel, part, uri, frames)], columns=["session_id", "channel", "part", "path", "frames"])
 
     single = F.col("total") <= max_frames
-    keyed = join_sized(
-        pieces, totals.select("session_id", "channel", single.alias("single")), ["session_id", "channel"]
-    )
+    keyed = pieces.join(totals.select("session_id", "channel", single.alias("single")), ["session_id", "channel"])
     return keyed.groupBy("session_id", "channel", "part", "single").applyInPandas(
         save, "session_id string, channel string, part bigint, path string, frames bigint"
     )
