@@ -216,6 +216,9 @@ def _render_cell(cell_frames: int, wanted: list[str], schema: pa.Schema):
                 expected += len(values)
                 mono.append(values)
             samples = np.concatenate(mono)
+            reach = int(frames[0] * source["step"]), min(int(frames[-1] * source["step"]), source["length"] - 1)
+            if base > reach[0] or base + len(samples) <= reach[1]:
+                raise ValueError(f"frames missing in cell {cell} of {source['channel']}")
             if source["same_rate"]:
                 rendered.append(samples[frames - base])
             else:

@@ -276,7 +276,8 @@ def final_records(folded: DataFrame, closings: DataFrame, page_rows: int = PAGE_
     document = F.try_parse_json("response")
     is_object = F.coalesce(F.schema_of_variant(document).startswith("OBJECT"), F.lit(False))
     parsed = codec.normalise_response(F.col("response"))
-    has_text = F.try_variant_get(document, "$.text", "variant").isNotNull()
+    # A JSON null is no text.
+    has_text = F.schema_of_variant(F.try_variant_get(document, "$.text", "variant")) != "VOID"
     named = closings.select(
         *KEY,
         F.when(is_object & has_text, parsed["text"]).alias("given"),

@@ -15,33 +15,34 @@ def _rows(df, *columns):
     return [tuple(r[c] for c in columns) for r in devices.by_index(df).collect()]
 
 
+# One section per kind, names in quotes, a second name on the line below.
 DSHOW = """
-[dshow @ 0x1] DirectShow video devices (some)
-[dshow @ 0x1]  "Camera"
-[dshow @ 0x1] DirectShow audio devices
-[dshow @ 0x1]  "Desk Mic (Rev(R) Two)" (audio)
-[dshow @ 0x1]     Alternative name "@dev_{1}"
-[dshow @ 0x1]  "Loop"
+[in#0 @ 7f] DirectShow video devices
+[in#0 @ 7f]  "Ceiling Eye"
+[in#0 @ 7f]     Alternative name "@eye"
+[in#0 @ 7f] DirectShow audio devices
+[in#0 @ 7f]  "Boundary Plate [left] (v2)"
+[in#0 @ 7f]     alternative Name: "@plate-07"
+[in#0 @ 7f]  "Line Return"
 """
 
-DSHOW_PLAIN = """
-[dshow @ 0x1] "Webcam" (video)
-[dshow @ 0x1]   Alternative name "@video"
-[dshow @ 0x1] "Mezcla estéreo (2)" (audio)
-[dshow @ 0x1]   Alternative name "@mix"
-[dshow @ 0x1] "Micrófono" (audio)
-[dshow @ 0x1]   Alternative name "@mic"
-[dshow @ 0x1] "Second cam" (video)
-[dshow @ 0x1]   Alternative name "@overwrites"
-Error opening input file dummy.
+# No sections: every name carries its kind.
+DSHOW_TAGGED = """
+[in#0 @ 80] "Gooseneck №1" (audio)
+[in#0 @ 80]   Alternative name "@goose"
+[in#0 @ 80] "Door Camera" (video)
+[in#0 @ 80] "Taça ao vivo (audio)" (audio, video)
+[in#0 @ 80]   Alternative name "@cup-a"
+[in#0 @ 80]   Alternative name "@cup-b"
+nothing more to list
 """
 
 
 def test_dshow(spark):
     got = _rows(devices.dshow_inventory(_listing(spark, "windows", DSHOW)), "index", "name", "details")
-    assert got == [(0, "Desk Mic (Rev(R) Two)", "@dev_{1}"), (1, "Loop", None)]
-    got = _rows(devices.dshow_inventory(_listing(spark, "windows", DSHOW_PLAIN)), "index", "name", "details")
-    assert got == [(0, "Mezcla estéreo (2)", "@mix"), (1, "Micrófono", "@overwrites")]
+    assert got == [(0, "Boundary Plate [left] (v2)", "@plate-07"), (1, "Line Return", None)]
+    got = _rows(devices.dshow_inventory(_listing(spark, "windows", DSHOW_TAGGED)), "index", "name", "details")
+    assert got == [(0, "Gooseneck №1", "@goose"), (1, "Taça ao vivo (audio)", "@cup-b")]
 
 
 def test_dshow_alternative_name_first(spark):
@@ -52,68 +53,73 @@ def test_dshow_alternative_name_first(spark):
 
 def test_avfoundation(spark):
     text = """
-[AVFoundation @ 0x9] AVFoundation video devices:
-[AVFoundation @ 0x9] [0] Camera
-[AVFoundation @ 0x9] AVFoundation audio devices:
-[AVFoundation @ 0x9] [3] External
-[AVFoundation @ 0x9] [1] Built-in
+[list] AVFoundation audio devices:
+[list] [12] Balcony pair
+[list] [4] Podium
+[list] AVFoundation video devices:
+[list] [0] Balcony view
+[list] AVFoundation audio devices:
+[list] [5]   Tape return
 """
     got = _rows(devices.avfoundation_inventory(_listing(spark, "darwin", text)), "index", "name")
-    assert got == [(1, "Built-in"), (3, "External")]
+    assert got == [(4, "Podium"), (5, "Tape return"), (12, "Balcony pair")]
 
 
 def test_pulse(spark):
     text = """
-[pulse] 9: before the heading
-[pulse] Sources:
-[pulse]  0: Monitor of Built-in
-[pulse]     Flags: X
-[pulse]  1: USB Microphone
-[pulse]     Sample spec: s16le 2ch 48000Hz
-[pulse]     Channels: 9
-[pulse] Source #4
-[pulse]     Name: raw.four
-[pulse]     Description: Nice four
-[pulse]     Name: raw.four.b
-[pulse]     Channels: 6 of them
-[pulse] Source #2
-[pulse]     Name: raw.two
-[pulse] Sources again
-[pulse]     Description: belongs to nothing
-[pulse] Source #7
-[pulse] Sinks:
-[pulse]  5: a sink
-[pulse] Sources:
-[pulse]  6: after the end
+[srv] 3: named too early
+[srv] Sources of this host
+[srv] 11: Hall left
+[srv]     Sample spec: float32le 1ch 96000Hz
+[srv]     State: idle
+[srv] Source #8
+[srv]     Description: Stage box
+[srv]     Name: in.stage
+[srv]     Name: in.stage.b
+[srv]     Channels: 16 in use
+[srv] Source #2
+[srv]     Name: in.plain
+[srv] 30: Hall right
+[srv]     Channels: 3
+[srv]     Sample spec: s16le 2ch
+[srv] Sources, second list
+[srv]     Description: of no source
+[srv] Source #9
+[srv] Sinks of this host
+[srv] 1: a sink
+[srv] Sources:
+[srv] 77: too late
 """
     got = _rows(devices.pulse_inventory(_listing(spark, "linux", text)), "index", "name", "channels", "sample_rate", "details")
     assert got == [
-        (0, "Monitor of Built-in", None, None, None),
-        (1, "USB Microphone", 2, 48000, None),
-        (2, "raw.two", None, None, None),
-        (4, "Nice four", 6, None, "raw.four.b"),
-        (7, "", None, None, None),
+        (2, "in.plain", None, None, None),
+        (8, "Stage box", 16, None, "in.stage.b"),
+        (9, "", None, None, None),
+        (11, "Hall left", 1, 96000, None),
+        (30, "Hall right", 2, None, None),
     ]
 
 
 def test_hosts_do_not_mix(spark):
-    both = _listing(spark, "windows", DSHOW, "a").unionByName(_listing(spark, "windows", DSHOW_PLAIN, "b"))
+    both = _listing(spark, "windows", DSHOW, "a").unionByName(_listing(spark, "windows", DSHOW_TAGGED, "b"))
     got = _rows(devices.dshow_inventory(both), "host", "index", "name")
-    assert got == [("a", 0, "Desk Mic (Rev(R) Two)"), ("a", 1, "Loop"), ("b", 0, "Mezcla estéreo (2)"), ("b", 1, "Micrófono")]
+    assert got == [
+        ("a", 0, "Boundary Plate [left] (v2)"), ("a", 1, "Line Return"), ("b", 0, "Gooseneck №1"), ("b", 1, "Taça ao vivo (audio)")
+    ]
 
 
 SPECS = [
     (
-        "pulse:bluez_source.test?sample_rate=48000&channels=2&sample_fmt=s16le&args=-thread_queue_size 1024",
+        "pulse:in.stage?channels=6&sample_fmt=S32LE&sample_rate=96000&args=-fragment_size 960 -wallclock",
         "any",
-        dict(input_format="pulse", input_target="bluez_source.test", sample_rate=48000, channels=2, sample_format="s16le", args_before_input=["-thread_queue_size", "1024"]),
+        dict(input_format="pulse", input_target="in.stage", sample_rate=96000, channels=6, sample_format="s32le", args_before_input=["-fragment_size", "960", "-wallclock"]),
     ),
-    ("pulse:device?unexpected=1", "any", dict(error="unknown option: unexpected", input_format=None)),
-    ("default?channels=2", "linux", dict(input_format="pulse", input_target="default", channels=2, sample_rate=16000)),
-    ("2", "windows", dict(input_format="dshow", input_target="audio=USB Microphone")),
-    ("7", "windows", dict(input_format="dshow", input_target="audio=7")),
-    ('dshow:audio="@device_cm_{123}\\wave_{456}"', "windows", dict(input_target="audio=@device_cm_{123}\\wave_{456}")),
-    ('audio="Two ""quotes"" inside"', "windows", dict(input_target='audio=Two ""quotes"" inside')),
+    ("pulse:in.stage?colour=red", "any", dict(error="unknown option: colour", input_format=None)),
+    ("in.hall?channels=3", "linux", dict(input_format="pulse", input_target="in.hall", channels=3, sample_rate=16000)),
+    ("5", "windows", dict(input_format="dshow", input_target="audio=Line Return")),
+    ("31", "windows", dict(input_format="dshow", input_target="audio=31")),
+    ('dshow:audio="@plate\\x_{07}"', "windows", dict(input_target="audio=@plate\\x_{07}")),
+    ('audio="A ""b"" c"', "windows", dict(input_target='audio=A ""b"" c')),
     ("3", "darwin", dict(input_format="avfoundation", input_target="3")),
     ("mic", "darwin", dict(error="no input format")),
     ("", "linux", dict(error="no device given")),
@@ -143,7 +149,7 @@ SPECS = [
 def test_specs(spark):
     rows = [("h", str(i), spec, platform, 16000, 1) for i, (spec, platform, _) in enumerate(SPECS)]
     listed = spark.createDataFrame(
-        [("h", 2, "USB Microphone", "dshow", None, None, None, 4), ("other", 7, "Elsewhere", "dshow", None, None, None, 1)],
+        [("h", 5, "Line Return", "dshow", None, None, None, 4), ("other", 31, "Elsewhere", "dshow", None, None, None, 1)],
         schemas.DEVICE_INVENTORY,
     )
     got = {r.channel: r for r in devices.parse_specs(spark.createDataFrame(rows, schemas.DEVICE_SPECS), listed).collect()}

@@ -2,12 +2,10 @@
 
 import pytest
 
-from tapeloom.operators.sized import join_sized
-from tapeloom.plans import audio_queries
 from tapeloom.plans.catalog import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
-WRITING = {"wav_roundtrip", "session_batch", "stream_rechunk", "stream_partials", "stream_delta_fold", "stream_live_frames"}
+WRITING = {"wav_roundtrip", "session_batch", "stream_rechunk", "stream_partials", "stream_delta_fold", "stream_delta_final", "stream_live_frames"}
 
 
 def _plan(df):
@@ -40,18 +38,37 @@ def test_summaries_are_limited_before_the_shuffle(spark):
     assert "WindowGroupLimit" in _plan(QUERIES["notes_summary"](spark, SF_DIR))
 
 
-def test_mix_shuffles_samples_once(spark):
-    plan = _plan(QUERIES["mix_down"](spark, SF_DIR))
-    assert plan.count("BroadcastHashJoin") >= 1
-    assert audio_queries.CELL_FRAMES == 1024
-
-
-def test_narrow_side_is_broadcast_only_within_its_limit(spark):
-    big, narrow = spark.range(100).selectExpr("id % 10 AS k", "id"), spark.range(10).selectExpr("id AS k", "id * 2 AS v")
+def test_sides_are_broadcast_by_size_only(spark):
+    """No join is hinted: beyond the planner's own limit in bytes both sides are shuffled."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        small, large = join_sized(big, narrow, ["k"], rows=10), join_sized(big, narrow, ["k"], rows=9)
-        assert "BroadcastHashJoin" in _plan(small) and "SortMergeJoin" in _plan(large)
-        assert sorted(small.collect()) == sorted(large.collect())
+        for name in ("mix_down", "resample", "session_outcome", "provider_transcripts"):
+            assert "BroadcastHashJoin" not in _plan(QUERIES[name](spark, SF_DIR))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_one_session_is_cut_out_before_its_logs_are_compacted(spark):
+    plan = QUERIES["newest_outcome"](spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    for line in range(len(lines := plan.split("\n"))):
+        if "Aggregate [doc_id" in lines[line] or "Aggregate [session_id" in lines[line] and "summary" in lines[line]:
+            depth = len(lines[line]) - len(lines[line].lstrip(" +-:"))
+            below = [x for x in lines[line + 1 :] if len(x) - len(x.lstrip(" +-:")) > depth]
+            assert any("LeftSemi" in x for x in below)
+
+
+@pytest.mark.parametrize("tasks", [7, 40])
+def test_short_rows_of_long_work_keep_their_tasks(spark, tasks):
+    from pyspark.sql import functions as F
+
+    from tapeloom import providers
+    from tapeloom.session import fan_out
+
+    rows = [(f"s{i}", "mic", 0, 0) for i in range(200)]
+    manifest = spark.createDataFrame(rows, "session_id string, channel string, chunk_index bigint, n_frames int")
+    echo = providers.Transcriber(lambda batch: batch["session_id"])
+    answered = providers.transcribe_chunks(manifest, echo, tasks).withColumn("task", F.spark_partition_id())
+    found = answered.select("task", "response").collect()
+    assert len({r.response for r in found}) == 200
+    assert len({r.task for r in found}) > 0.75 * tasks and max(r.task for r in found) < tasks
+    assert fan_out(spark) >= 8 and fan_out(spark, 3) == 3

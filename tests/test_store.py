@@ -106,8 +106,8 @@ def test_key_audit_reports_each_rule(spark):
 
 
 def test_lookups_take_wanted_ids_once(spark):
-    rows = [(2, "a", "mic", "again"), (1, "a", "mic", "first"), (1, "b", "mic", "other"), (1, "c", "mic", "no")]
-    table = spark.createDataFrame(rows, "row_id bigint, session_id string, channel string, text string")
+    rows = [(2, 2, 0, "a", "mic", "again"), (1, 1, 0, "a", "mic", "first"), (1, 1, 0, "b", "mic", "other"), (1, 1, 0, "c", "mic", "no")]
+    table = spark.createDataFrame(rows, "row_id bigint, transcript_id bigint, part bigint, session_id string, channel string, text string")
     wanted = spark.createDataFrame([("b",), ("a",), ("a",), ("zz",)], "session_id string")
     found = [(r.row_id, r.session_id) for r in store.fetch_transcripts(table, wanted).collect()]
     assert found == [(1, "a"), (1, "b"), (2, "a")]
@@ -118,10 +118,24 @@ def test_lookups_take_wanted_ids_once(spark):
 def test_outcomes_keep_sessions_without_results(spark):
     sessions = spark.createDataFrame([("a",), ("b",)], "id string")
     spoken = spark.createDataFrame(
-        [(1, "a", "mic", "x"), (2, "a", "mic", "y"), (3, "a", "sys", "z")],
-        "row_id bigint, session_id string, channel string, text string",
+        [(1, 1, 0, "a", "mic", "x"), (2, 2, 0, "a", "mic", "y"), (3, 2, 1, "a", "mic", "y2"), (4, 4, 0, "a", "sys", "z")],
+        "row_id bigint, transcript_id bigint, part bigint, session_id string, channel string, text string",
     ).withColumn("segments", F.array())
     notes = spark.createDataFrame([("a", "t", "s")], "session_id string, title string, summary string")
-    out = store.session_outcomes(sessions, spoken, notes.withColumn("action_items", F.array()))
-    got = sorted((r.id, r.channel or "", r.text or "", r.title or "") for r in out.collect())
-    assert got == [("a", "mic", "y", "t"), ("a", "sys", "z", "t"), ("b", "", "", "")]
+    for few in (False, True):
+        out = store.session_outcomes(sessions, spoken, notes.withColumn("action_items", F.array()), few)
+        got = sorted((r.id, r.channel or "", r.part or 0, r.text or "", r.title or "") for r in out.collect())
+        assert got == [("a", "mic", 0, "y", "t"), ("a", "mic", 1, "y2", "t"), ("a", "sys", 0, "z", "t"), ("b", "", 0, "", "")]
+
+
+def test_a_batch_written_again_replaces_itself(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    store.bootstrap_folder(spark, root, "notes_log")
+    assert store.read_log(spark, root, "notes_log", before=9).count() == 0
+    for batch, seqs in ((1, [1, 2]), (2, [3]), (1, [4])):
+        notes = spark.createDataFrame([(n, "s", "t", "x", ["a"]) for n in seqs], schemas.NOTES_LOG)
+        store.append(notes, root, "notes_log", batch)
+    seqs = lambda df: sorted(r.seq for r in df.collect())
+    assert seqs(store.read_log(spark, root, "notes_log")) == [3, 4]
+    assert seqs(store.read_log(spark, root, "notes_log", before=2)) == [4]
+    assert seqs(store.read_log(spark, root, "notes_log", only=2)) == [3]

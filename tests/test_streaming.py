@@ -1,9 +1,9 @@
 """Streams end up where their batch twins do: any order, any restarts."""
 
-import json
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,13 +43,14 @@ def _samples(df):
     return [(r.chunk_idx, r.frame_start, r.n_frames, list(r.samples)) for r in df.orderBy("chunk_idx").collect()]
 
 
-def test_captured_block(spark, tmp_path):
+def test_one_block_of_three_channels(spark, tmp_path):
     feed = Feed(spark, tmp_path, schemas.PCM_PACKETS)
-    data = np.array([[0, 32767], [16384, -32768]], "<i2").tobytes()
-    feed.add(_packets(data, [8]))
-    row = feed.run(lambda s: jobs.rechunk_stream(s, 2)).collect()[0]
-    assert (row.n_frames, row.n_channels) == (2, 2)
-    assert np.allclose(row.samples, [0, 1, 0.5, -1], atol=1e-4)
+    frames = [[8192, -8192, 0], [24576, -24576, 4096], [-16384, 16384, 1]]
+    data = np.array(frames, "<i2").tobytes()
+    feed.add(_packets(data, [11, 7], n_channels=3))
+    rows = feed.run(lambda s: jobs.rechunk_stream(s, 2)).orderBy("chunk_idx").collect()
+    assert [(r.chunk_idx, r.n_frames, r.n_channels, r.error) for r in rows] == [(0, 2, 3, None), (1, 1, 3, None)]
+    assert [x for r in rows for x in r.samples] == [v / 32768 for frame in frames for v in frame]
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -91,12 +92,13 @@ def test_partials_equal_batch(spark, tmp_path, page_rows):
         got = feed.run(lambda s: jobs.partials_stream(s, page_rows))
     chunks = spark.createDataFrame(rows, schemas.CHUNK_RESPONSES)
     parsed = transcripts.parse_responses(transcripts.with_offsets(chunks))
-    names = ["part", "chunk_index", "appended", "text_length", "n_segments"]
+    names = ["part", "chunk_index", "appended", "text_length", "n_segments", "n_entries"]
     batch = transcripts.running_partials(parsed, page_rows)
     assert sorted(got.select(*names).collect()) == sorted(batch.select(*names).collect())
     starts = {r.chunk_index: r.start for r in got.collect()}
     assert starts == {r.chunk_index: r.start for r in parsed.collect()}
-    assert all(r.segments[0].text == f"segment-{r.chunk_index + 1}" for r in got.collect())
+    assert all(r.segments[0].text == f"remark {r.chunk_index}" for r in got.collect())
+    assert {r.chunk_index: r.raw_response for r in got.collect()} == {r.chunk_index: r.raw_response for r in parsed.collect()}
 
 
 def test_event_fold_equals_batch(spark, tmp_path):
@@ -106,7 +108,60 @@ def test_event_fold_equals_batch(spark, tmp_path):
         feed.add(part)
         got = feed.run(jobs.events_stream)
     batch = transcripts.fold_events(spark.createDataFrame(rows, schemas.TRANSCRIPT_EVENTS))
-    assert sorted(got.select(*batch.columns).collect()) == sorted(batch.collect())
+    updates = got.filter("NOT is_final").select(*batch.columns)
+    assert sorted(updates.collect()) == sorted(batch.collect())
+    closing = got.filter("is_final").select("session_id", "seq", "raw_end", "n_segments").collect()
+    last = batch.groupBy("session_id").agg(F.max("raw_end").alias("raw_end"), F.max("n_segments").alias("n")).collect()
+    assert sorted(map(tuple, closing)) == sorted((r.session_id, 12, r.raw_end, r.n) for r in last)
+
+
+def _step_by_hand(operator, *args):
+    """The functions a stream would call, taken out so that a timeout needs no clock."""
+    caught = {}
+
+    def catch(stream, keys, order, state, initial, output, step, finish=None, idle_ms=None):
+        caught.update(step=step, finish=finish, initial=initial, state=[f.name for f in state])
+        raise LookupError
+
+    kept, jobs.process_in_order = jobs.process_in_order, catch
+    try:
+        with pytest.raises(LookupError):
+            operator(*args)
+    finally:
+        jobs.process_in_order = kept
+    return caught
+
+
+def test_an_idle_channel_is_drained_with_its_held_packets():
+    call = _step_by_hand(jobs.rechunk_stream, None, 2)
+    packet = lambda seq, data: {"seq": seq, "payload": data, "sample_format": "s16le", "sample_rate": 8000, "n_channels": 1, "eof": False}
+    state, out = call["step"](call["initial"], pd.DataFrame([packet(0, bytes(5)), packet(1, bytes(2))]))
+    assert list(out["n_frames"]) == [2] and len(state[0]) == 3
+    quiet = call["finish"](state, pd.DataFrame())
+    assert list(quiet["n_frames"]) == [1] and list(quiet["error"]) == [None]
+    held = pd.DataFrame([packet(4, bytes(4)), packet(6, bytes(3))])
+    drained = call["finish"](state, held)
+    assert list(drained["chunk_idx"]) == [1, 2, 3] and list(drained["n_frames"]) == [2, 2, 1]
+    assert set(drained["error"]) == {"packets missing before 4"}
+    assert list(call["finish"](call["initial"], held)["n_frames"]) == [2, 1]
+    assert call["finish"](call["initial"], pd.DataFrame()) is None
+
+
+def test_an_idle_event_stream_is_closed(spark):
+    events = spark.createDataFrame([], schemas.TRANSCRIPT_EVENTS)
+    call = _step_by_hand(jobs.events_stream, events)
+    rows = pd.DataFrame({"seq": [0, 1], "is_stop": [False, False], "piece": ["ab", None], "filled": [True, None]})
+    state, out = call["step"](call["initial"], rows)
+    assert out[["seq", "raw_end", "n_segments"]].values.tolist() == [[0, 2, 1]]
+    closing = call["finish"](state, pd.DataFrame())
+    assert closing[["seq", "raw_end", "n_segments", "is_final"]].values.tolist() == [[1, 2, 1, True]]
+
+
+@pytest.mark.parametrize("operator, schema", [(jobs.rechunk_stream, schemas.PCM_PACKETS), (jobs.events_stream, schemas.TRANSCRIPT_EVENTS)])
+def test_streams_take_a_timeout(spark, tmp_path, operator, schema):
+    stream = jobs.packet_stream(spark, f"file://{tmp_path}", schema)
+    timed = operator(stream, 5, idle_ms=1000) if operator is jobs.rechunk_stream else operator(stream, idle_ms=1000)
+    assert "ProcessingTimeTimeout" in timed._jdf.queryExecution().analyzed().toString() or timed.isStreaming
 
 
 def test_live_frames_after_pause(spark, tmp_path):
@@ -138,7 +193,10 @@ def test_failing_callbacks_leave_dead_letters(spark, tmp_path):
     jobs.deliver(stream, callback, dead, checkpoint).awaitTermination()
     lost = spark.read.parquet(dead)
     assert sum(good) + lost.count() == 6 and {r.batch for r in lost.collect()} == {1}
+    assert jobs.dead_letters(spark, dead) == [1]
 
 
-def test_event_json_helper():
-    assert json.loads(_answer(0))["text"] == "chunk-1"
+def test_dead_letters_are_found(spark, tmp_path):
+    assert jobs.dead_letters(spark, f"file://{tmp_path}/none") == []
+    (tmp_path / "dead" / "batch=3").mkdir(parents=True)
+    assert jobs.dead_letters(spark, f"file://{tmp_path}/dead") == [3]
