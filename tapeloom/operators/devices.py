@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions import device
 from tapeloom.functions.text import strip
-from tapeloom.operators.ordered import Fold, running
+from tapeloom.operators.ordered import Fold, windowed
 
 # The marks of the listing formats.
 AUDIO_HEADER = "{} audio devices"
@@ -69,7 +69,7 @@ def dshow_inventory(listings: DataFrame) -> DataFrame:
     any other quoted name.
     """
     lines = _lines(listings, "windows").withColumn("header", _section("directshow"))
-    marked = running(lines, ["host"], "line_no", {"in_audio": Fold("last", F.col("header"))})
+    marked = windowed(lines, ["host"], "line_no", {"in_audio": Fold("last", F.col("header"))})
     named = (
         marked.filter("header IS NULL")
         .withColumn("name", _matched(F.col("payload"), QUOTED_NAME))
@@ -81,7 +81,7 @@ def dshow_inventory(listings: DataFrame) -> DataFrame:
     )
     # Devices so far: every plain name that counts, and an alternative name only
     # when it is the very first line that counts.
-    numbered = running(
+    numbered = windowed(
         named,
         ["host"],
         "line_no",
@@ -107,7 +107,7 @@ def dshow_inventory(listings: DataFrame) -> DataFrame:
 def avfoundation_inventory(listings: DataFrame) -> DataFrame:
     """Devices of bracketed listings: ``[index] name`` lines of the audio section."""
     lines = _lines(listings, "darwin").withColumn("header", _section("avfoundation"))
-    marked = running(lines, ["host"], "line_no", {"in_audio": Fold("last", F.col("header"))})
+    marked = windowed(lines, ["host"], "line_no", {"in_audio": Fold("last", F.col("header"))})
     devices = marked.filter("header IS NULL AND in_audio").select(
         "host",
         "line_no",
@@ -137,7 +137,7 @@ def pulse_inventory(listings: DataFrame) -> DataFrame:
     def count(condition: Column) -> Fold:
         return Fold("sum", F.when(condition, 1).otherwise(0).cast("bigint"))
 
-    placed = running(
+    placed = windowed(
         lines,
         ["host"],
         "line_no",
@@ -217,11 +217,15 @@ def with_recommended_spec(devices: DataFrame) -> DataFrame:
     return devices.withColumn("recommended", spec)
 
 
-def parse_specs(specs: DataFrame, devices: DataFrame | None = None) -> DataFrame:
+def parse_specs(specs: DataFrame, devices: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
     """Parse capture specs into typed fields, with an ``error`` column.
 
-    ``devices`` resolves bare numbers on windows hosts to listed names.
+    ``devices`` resolves bare numbers on windows hosts to listed names.  Parsing costs
+    far more than moving the short texts: ``tasks`` deals them out where a scan brings
+    them in few pieces.
     """
+    if tasks:
+        specs = specs.repartition(tasks, "host", "channel")
     text = strip(F.col("device"))
     based = specs.withColumn("given", text).withColumn(
         "base", strip(F.substring_index(F.col("given"), "?", 1))

@@ -408,8 +408,8 @@ ORACLES = {
     "placeholder_previews": sql.with_(
         sql.SESSIONS,
         _METRICS,
-        body="""SELECT id AS session_id, 'mixed' AS channel, path,
-          'Dummy transcript for session ' || chr(39) || name || chr(39) || ' from ' || regexp_extract(path, '[^/]+$') AS text
+        body=f"""SELECT id AS session_id, {quoted(providers.PLACEHOLDER_CHANNEL)} AS channel, path,
+          printf({quoted(PLACEHOLDER_TEXT.split('. ')[0])}, name, regexp_extract(path, '[^/]+$')) AS text
         FROM (SELECT id, name, mix_path AS path FROM sessions WHERE mix_path IS NOT NULL
               UNION ALL
               SELECT s.id, s.name, m.path FROM measured m JOIN sessions s ON s.id = m.session_id
@@ -431,7 +431,7 @@ ORACLES = {
           CASE WHEN session_id <> 'session-0' THEN 'mix' END AS mix, n_paths, 'mixed' AS channel,
           text, 'Notes for ' || name AS title, text AS summary,
           CASE WHEN session_id = 'session-0' THEN 1 + n_paths ELSE 1 END AS n_rows
-        FROM (SELECT *, replace(replace({quoted(PLACEHOLDER_TEXT)}, '''%s''', '''' || name || ''''), '%s',
+        FROM (SELECT *, printf({quoted(PLACEHOLDER_TEXT)}, name,
                 CASE WHEN session_id = 'session-0' THEN last || '.wav' ELSE 'mix.wav' END) AS text
               FROM (SELECT session_id, 'Weekly ' || min(channel) AS name, max(channel) AS last,
                            max(frames / CAST(rate AS DOUBLE)) AS duration,

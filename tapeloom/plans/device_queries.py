@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tapeloom.functions import device, pcm
 from tapeloom.operators import devices
 from tapeloom.plans import sql
+from tapeloom.session import fan_out
 from tapeloom.sources import device_tables as sources
 from tapeloom.sources import tables
 
@@ -44,7 +47,7 @@ def device_values(spark, sf_dir):
 
 
 def device_specs(spark, sf_dir):
-    return devices.parse_specs(sources.specs(spark, sf_dir)).select(
+    return devices.parse_specs(sources.specs(spark, sf_dir), tasks=fan_out(spark)).select(
         "host",
         "channel",
         "input_format",
@@ -62,13 +65,13 @@ def device_specs(spark, sf_dir):
 def device_specs_by_index(spark, sf_dir):
     """Bare device numbers resolved through the host's own inventory."""
     found = devices.dshow_inventory(sources.listings(spark, sf_dir, "windows"))
-    return devices.parse_specs(sources.index_specs(spark, sf_dir), found).select(
+    return devices.parse_specs(sources.index_specs(spark, sf_dir), found, fan_out(spark)).select(
         "host", "channel", "input_format", "input_target", "error"
     )
 
 
 def chunk_frames(spark, sf_dir):
-    parsed = devices.parse_specs(sources.specs(spark, sf_dir)).filter("error IS NULL")
+    parsed = devices.parse_specs(sources.specs(spark, sf_dir), tasks=fan_out(spark)).filter("error IS NULL")
     seconds = F.pmod(F.col("channel").cast("bigint"), F.lit(3)) * 0.25
     frames = pcm.chunk_frames(F.col("sample_rate"), seconds, F.col("chunk_frames"))
     return parsed.select("host", "channel", frames.alias("chunk_frames"))
@@ -86,6 +89,13 @@ QUERIES = {
 }
 
 
+# The listing formats are defined once; the twin's engine has no flag for Unicode classes.
+ALTERNATIVE, QUOTED, BRACKETED = (
+    re.sub(r"\(\?([is]?)U?(s?)\)", lambda m: f"(?{m[1]}{m[2]})" if m[1] + m[2] else "", pattern)
+    for pattern in (devices.ALTERNATIVE_NAME, devices.QUOTED_NAME, devices.BRACKETED_DEVICE)
+)
+
+
 def _lines(platform: str, name: str) -> str:
     return f"""
 {name}_lines AS (
@@ -109,11 +119,11 @@ _DSHOW = (
     _lines("windows", "dshow")
     + ","
     + _sections("dshow", "directshow")
-    + r""",
+    + rf""",
 dshow_named AS (
   SELECT *, row_number() OVER (PARTITION BY host ORDER BY line_no) = 1 AS is_first FROM (
-    SELECT host, line_no, regexp_extract(payload, '"([^"]+)"', 1) AS name,
-           nullif(regexp_extract(payload, '(?i)alternative name\s*:?-?\s*"([^"]+)"', 1), '') AS alternative,
+    SELECT host, line_no, regexp_extract(payload, '{QUOTED}', 1) AS name,
+           nullif(regexp_extract(payload, '{ALTERNATIVE}', 1), '') AS alternative,
            in_audio OR contains(lowered, '(audio') AS counts
     FROM dshow_marked WHERE header IS NULL AND regexp_matches(payload, '"[^"]+"'))
   WHERE counts),
@@ -122,7 +132,7 @@ dshow_opened AS (
   FROM dshow_named WHERE alternative IS NULL OR is_first),
 dshow_details AS (
   SELECT m.host, d.index, arg_max(m.alternative, m.line_no) AS details
-  FROM (SELECT host, line_no, nullif(regexp_extract(payload, '(?i)alternative name\s*:?-?\s*"([^"]+)"', 1), '') AS alternative
+  FROM (SELECT host, line_no, nullif(regexp_extract(payload, '{ALTERNATIVE}', 1), '') AS alternative
         FROM dshow_marked WHERE header IS NULL) m
   ASOF JOIN dshow_opened d ON m.host = d.host AND m.line_no > d.line_no
   WHERE m.alternative IS NOT NULL GROUP BY ALL),
@@ -138,8 +148,8 @@ _AVFOUNDATION = (
     + _sections("av", "avfoundation")
     + rf""",
 avfoundation AS (
-  SELECT host, CAST(regexp_extract(payload, '^\[([0-9]+)\]\s*(.+)', 1) AS BIGINT) AS index,
-         trim(regexp_extract(payload, '^\[([0-9]+)\]\s*(.+)', 2), {sql.WS}) AS name, 'avfoundation' AS input_format,
+  SELECT host, CAST(regexp_extract(payload, '{BRACKETED}', 1) AS BIGINT) AS index,
+         trim(regexp_extract(payload, '{BRACKETED}', 2), {sql.WS}) AS name, 'avfoundation' AS input_format,
          CAST(NULL AS BIGINT) AS channels, CAST(NULL AS BIGINT) AS sample_rate, CAST(NULL AS VARCHAR) AS details, line_no
   FROM av_marked WHERE header IS NULL AND in_audio AND regexp_matches(payload, '^\[[0-9]+\]\s*.+'))"""
 )

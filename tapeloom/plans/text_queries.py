@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tapeloom.functions import codec, text
 from tapeloom.operators import notes, store, transcripts
 from tapeloom.plans import sql
+from tapeloom.session import kept
 from tapeloom.sources import tables
 
 
@@ -98,9 +99,9 @@ def delta_fold_final(spark, sf_dir):
 def paged_outcome(spark, sf_dir):
     """Merge into very short pages, log two transcriptions, read the newest back: the pages must not show."""
     parsed = _parsed(spark, sf_dir)
-    older = store.numbered_transcripts(transcripts.merge_chunks(parsed, 1), ["channel"])
+    older = kept(store.numbered_transcripts(transcripts.merge_chunks(parsed, 1), ["channel"]), "older")
     newer = store.numbered_transcripts(transcripts.merge_chunks(parsed, 2), ["channel"], older)
-    log = store.append_transcripts(older.withColumn("text", F.upper("text")), newer)
+    log = kept(store.append_transcripts(older.withColumn("text", F.upper("text")), newer), "log")
     latest = store.latest_per_channel(log)
     sessions = log.select(F.col("session_id").alias("id")).distinct().withColumn("name", F.concat(F.lit("call "), "id"))
     found = notes.default_notes(sessions, latest)
@@ -435,7 +436,6 @@ calls AS (SELECT session_id, rtrim(string_agg(block, chr(10) || chr(10) ORDER BY
         SELECT page_id, name AS file_name,
           CASE WHEN regexp_matches(name, '^.+\.[^.]+$') THEN regexp_extract(name, '^(.+)\.[^.]+$', 1) ELSE name END AS stem
         FROM (SELECT page_id, regexp_extract(url, '([^/]*)/*$', 1) AS name FROM pages)""",
-    "placeholder_transcript": """
-        SELECT c_custkey, 'Dummy transcript for session ''' || c_name || ''' from mix.wav. ' ||
-          'Replace with a real transcription backend.' AS text FROM customer""",
+    "placeholder_transcript": f"""
+        SELECT c_custkey, printf('{text.PLACEHOLDER_TEXT.replace("'", "''")}', c_name, 'mix.wav') AS text FROM customer""",
 }

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings every job of this package relies on (safe on local and cluster).
 BASE_CONF = {
@@ -78,6 +78,14 @@ def new_shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def kept(frame: DataFrame, label: str) -> DataFrame:
+    """``frame`` written to the shared folder and read back: what needs it several times computes it once."""
+    spark = frame.sparkSession
+    path = new_shared_path(spark, label)
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers, once per application.
 
