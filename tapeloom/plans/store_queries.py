@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.functions import codec
 from tapeloom.operators import store
 from tapeloom.plans import sql
+from tapeloom.session import new_shared_path
 from tapeloom.sources import tables
 
 _SESSION = ["id", "name", "created_at", "duration", "sample_rate", "channels"]
@@ -26,6 +29,30 @@ def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.compact_sessions(tables.session_log(spark, sf_dir))
 
 
+def store_bootstrap(spark, sf_dir):
+    """A new store: its tables made twice, filled from the given tables, and read back by name."""
+    location, database = new_shared_path(spark, "store"), f"loom_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{location}/database'")
+    for _ in range(2):
+        store.bootstrap(spark, location, database)
+    logs = {
+        "session_log": tables.session_log(spark, sf_dir).filter(F.col("op") == store.SAVE),
+        "transcripts": tables.transcripts(spark, sf_dir),
+        "notes_log": tables.notes_log(spark, sf_dir, F.col("source")),
+    }
+    counted = []
+    for name, rows in logs.items():
+        store.append(rows, location, name)
+        spark.catalog.refreshTable(f"{database}.{name}")
+        read = spark.table(f"{database}.{name}")
+        counted.append(
+            read.agg(F.count("*").alias("n_rows")).select(
+                F.lit(name).alias("table"), F.lit(",".join(read.columns)).alias("columns"), "n_rows"
+            )
+        )
+    return counted[0].unionByName(counted[1]).unionByName(counted[2])
+
+
 def session_replace_upsert(spark, sf_dir):
     log = tables.session_log(spark, sf_dir).filter(F.col("op") == store.SAVE)
     return _flat(store.compact_sessions(log))
@@ -159,6 +186,7 @@ def json_raw_roundtrip(spark, sf_dir):
 
 
 QUERIES = {
+    "store_bootstrap": store_bootstrap,
     "json_raw_roundtrip": json_raw_roundtrip,
     "session_replace_upsert": session_replace_upsert,
     "session_mix_update": session_mix_update,
@@ -192,6 +220,13 @@ SELECT s.id, s.name, s.mix_path, t.channel, t.text, n.title, n.summary
 FROM {sessions} s LEFT JOIN latest t ON t.session_id = s.id LEFT JOIN notes n ON n.session_id = s.id"""
 
 ORACLES = {
+    "store_bootstrap": """
+        SELECT 'session_log' AS "table", count(*) AS n_rows, 'seq,op,id,name,created_at,duration,sample_rate,' ||
+          'channels,audio_paths,mix_path' AS columns FROM orders WHERE o_orderstatus <> 'P'
+        UNION ALL
+        SELECT 'transcripts', count(*), 'row_id,transcript_id,part,session_id,channel,text,segments,raw_response' FROM conversations
+        UNION ALL
+        SELECT 'notes_log', count(*), 'seq,session_id,title,summary,action_items' FROM documents""",
     "json_raw_roundtrip": """
         SELECT event_id, event_type IN ('error', 'view') AS is_null,
           CASE WHEN event_type NOT IN ('error', 'view') THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k

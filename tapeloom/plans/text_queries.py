@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tapeloom import providers
 from tapeloom.functions import codec, text
 from tapeloom.operators import notes, store, transcripts
 from tapeloom.plans import sql
@@ -75,11 +76,8 @@ def final_partials(spark, sf_dir):
 
 def emit_if_changed(spark, sf_dir):
     """Updates of all channels and their final records, unless these repeat the last update."""
-    parsed = _parsed(spark, sf_dir)
-    updates = transcripts.running_partials(parsed).withColumn("has_text", F.lit(False))
-    finals = transcripts.final_sizes(transcripts.merge_chunks(parsed))
-    payload = ["text_length", "n_segments", "n_entries", "has_text"]
-    return transcripts.emit_if_changed(updates, finals, transcripts.KEY, "chunk_index", payload)
+    # Lengths and counts do not depend on the offsets of the chunks.
+    return providers.updates(transcripts.parse_responses(tables.chunk_responses(spark, sf_dir)))
 
 
 def delta_fold_final(spark, sf_dir):

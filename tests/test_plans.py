@@ -5,7 +5,7 @@ import pytest
 from tapeloom.plans.catalog import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
-WRITING = {"paged_outcome", "wav_roundtrip", "session_batch", "stream_rechunk", "stream_partials", "stream_delta_fold", "stream_delta_final", "stream_live_frames"}
+WRITING = {"paged_outcome", "store_bootstrap", "wav_roundtrip", "session_batch", "stream_rechunk", "stream_partials", "stream_delta_fold", "stream_delta_final", "stream_live_frames"}
 
 
 def _plan(df):

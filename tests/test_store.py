@@ -46,14 +46,14 @@ def test_session_log_compaction(spark, partitions):
 
 def test_notes_keep_the_first_identity(spark):
     rows = [
-        (1, "session-123", "Initial", "First summary", ["a"]),
-        (2, "session-123", "Updated", "Revised summary", ["b"]),
+        (1, "harbour", "Morning", "Two boats", ["a"]),
+        (2, "harbour", "Evening", "Five boats", ["b"]),
         (3, "orphan", "Other", "Text", None),
     ]
     log = spark.createDataFrame(rows, "seq bigint, session_id string, title string, summary string, action_items array<string>")
     got = sorted(tuple(r) for r in store.compact_notes(log).collect())
     assert got == [
-        (1, "session-123", "Updated", "Revised summary", ["b"]),
+        (1, "harbour", "Evening", "Five boats", ["b"]),
         (3, "orphan", "Other", "Text", []),
     ]
 
