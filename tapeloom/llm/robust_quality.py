@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.llm.common import (
     SPACE_CLASS,
+    few_files,
     field,
     let,
     packed,
@@ -238,12 +239,12 @@ def fit(
 
     ``centre`` and the lower triangular ``root`` of the scatter are in parts of ``SCALE``.
     """
-    groups = written(_groups(vectors, min_group), "mcd-groups")
+    groups = written(few_files(_groups(vectors, min_group)), "mcd-groups")
     rows = _same_origin(vectors, groups, F.col("lang"), F.col("source")).select("grp", "x")
     rows = written(rows, "mcd-rows")
-    estimates = written(_start(rows), "mcd")
+    estimates = written(few_files(_start(rows)), "mcd")
     for _ in range(steps):
-        estimates = written(_concentrated(rows, estimates, h_share), "mcd")
+        estimates = written(few_files(_concentrated(rows, estimates, h_share)), "mcd")
     return groups.join(estimates, "grp").select("lang", "source", "centre", "root")
 
 
@@ -265,12 +266,8 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
     rows = statistics(docs.select("doc_id", "lang", "source", "text"), F.col("text")).drop("text")
     rows = written(rows, "quality")
     verdicts = judged(rows, fit(_vectors(rows)), F.col("lang"), F.col("source"))
-    return verdicts.select(
-        "doc_id",
-        *[f"stats.{k}" for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")],
-        "kept",
-        "distance",
-    )
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    return few_files(verdicts.select("doc_id", *[f"stats.{k}" for k in counts], "kept", "distance"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
