@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -87,7 +88,7 @@ _TOKEN = re.compile(
     r"|<[!?/][^>]*+(?:>|\Z)|<[a-z][^>]*+\Z",
     re.IGNORECASE | re.DOTALL,
 )
-_ATTRIBUTE = re.compile(r"([a-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"(?<![a-z-])([a-z-]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b", re.IGNORECASE)
 _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _LETTERS = re.compile(r"[^\W\d_]+").findall
 
@@ -127,28 +128,34 @@ def _weight(tag: str, attributes: str) -> int:
 
 def blocks(page: str) -> Iterator[Block]:
     """Blocks of a page in order, empty ones left out."""
-    stack: list[tuple[str, int]] = []
+    # Open elements: tag, weight, and what holds inside: furniture, surely furniture, in an article.
+    stack: list[tuple[str, int, bool, bool, bool]] = []
+    opened: Counter[str] = Counter()
     parts: list[str] = []
     link_chars, in_link, breaks, at = 0, False, 0, 0
 
-    def place() -> tuple[bool, bool]:
-        furniture, main = False, False
-        for tag, weight in stack:
-            if weight == MAIN:
-                # An article inside a wrapper that only sounds like furniture is an article.
-                main, furniture = True, furniture if hard(stack) else False
-            elif weight == HARD or (weight == SOFT and not (main and tag == "header")):
-                furniture = True
-        return furniture, main
-
-    def hard(entries: list[tuple[str, int]]) -> bool:
-        return any(weight == HARD for _, weight in entries)
+    def push(tag: str, weight: int) -> None:
+        _, _, furniture, sure, main = stack[-1] if stack else ("", 0, False, False, False)
+        if weight == MAIN:
+            # An article inside a wrapper that only sounds like furniture is an article.
+            furniture, main = sure, True
+        elif weight == HARD:
+            furniture = sure = True
+        elif weight == SOFT and not (main and tag == "header"):
+            furniture = True
+        stack.append((tag, weight, furniture, sure, main))
+        opened[tag] += 1
+
+    def pop() -> tuple[str, int, bool, bool, bool]:
+        opened[stack[-1][0]] -= 1
+        return stack.pop()
 
     def flush() -> Iterator[Block]:
         nonlocal parts, link_chars, breaks
         text = " ".join("".join(parts).split())
         if text:
-            yield Block(text, link_chars, *place())
+            _, _, furniture, _, main = stack[-1] if stack else ("", 0, False, False, False)
+            yield Block(text, link_chars, furniture, main)
         parts, link_chars, breaks = [], 0, 0
 
     def add(raw: str) -> None:
@@ -177,20 +184,19 @@ def blocks(page: str) -> Iterator[Block]:
         if tag == "a":
             in_link = not closes
         if closes:
-            open_at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if tag not in INLINE or (open_at is not None and stack[open_at][1]):
+            if tag not in INLINE or opened[tag]:
                 yield from flush()
-            if open_at is not None:
-                del stack[open_at:]
+            while opened[tag] and pop()[0] != tag:
+                pass
             continue
         weight = _weight(tag, attributes)
         if tag not in INLINE or weight:
             yield from flush()
             while stack and stack[-1][0] in SELF_ENDING and tag not in INLINE:
-                stack.pop()
+                pop()
         # Inline elements without a meaning of their own need no place in the stack.
         if tag not in VOID and not attributes.endswith("/") and (tag not in INLINE or weight):
-            stack.append((tag, weight))
+            push(tag, weight)
     add(page[at:])
     yield from flush()
 

@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,6 +94,17 @@ def test_broken_html():
     assert main_text("<div class=a>" * 3000 + LONG + "</div>" * 3000) == LONG
 
 
+@pytest.mark.parametrize(
+    "page",
+    ["<div>x" * 100_000, "</b>" * 100_000 + "<div>" * 50_000, "<a " * 200_000, '<a "' * 200_000, "<p " + "a" * 300_000 + ">x",
+     "<!--" * 100_000, "<script>" * 100_000, "<" * 300_000, "&" * 300_000, "<p>a" * 100_000, "<span class=ad>" * 30_000 + "</div>" * 30_000],
+)
+def test_hostile_pages_take_linear_time(page):
+    begin = time.perf_counter()
+    main_text(page)
+    assert time.perf_counter() - begin < 10
+
+
 def test_odd_rows(spark):
     rows = [(1, None, None, "mine"), (2, "u", "", "mine"), (2, "u", "", "mine"), (None, "v", f"<p>{LONG}", "mine")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, text_x string")
