@@ -38,7 +38,7 @@ from tapeloom.llm.common import small_batches, table
 
 DEFAULT_FILE = "word_bpe_49k.json"
 #: Characters whose distinct pieces share one index.
-CHUNK_CHARS = 16_000_000
+CHUNK_CHARS = 8_000_000
 _SPACES = r"\t-\r \x85\xa0  -     　"
 
 
@@ -63,16 +63,16 @@ class PairMerger:
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair of symbols, -1 where it is no merge."""
-        keys = left << 32 | right
+        keys = left.astype(np.int64) << 32 | right
         at = np.minimum(np.searchsorted(self._keys, keys), len(self._keys) - 1)
         return np.where(self._keys[at] == keys, self._order[at], -1)
 
     def merge(self, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbols and lengths of the pieces after all merges."""
         n = len(symbols)
-        symbols = symbols.astype(np.int64)
+        symbols = symbols.astype(np.int32)
         ends = np.cumsum(lengths)
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         after[ends - 1] = -1
         before[ends - lengths] = -1
         lists: dict[int, list[np.ndarray]] = {}
@@ -98,7 +98,7 @@ class PairMerger:
                     heapq.heappush(active, rank)
 
         if n:
-            add(np.arange(n))
+            add(np.arange(n, dtype=np.int32))
         while active:
             rank = heapq.heappop(active)
             left, right = self.left[rank], self.right[rank]
