@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from tapeloom.llm.common import field, packed, small_batches, table, unpacked, written
+from tapeloom.llm.common import few_files, field, packed, small_batches, table, unpacked, written
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -201,7 +201,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = pairs.groupBy("u").agg(F.min("v").alias("m"))
         return low.select("u", F.least("u", "m").alias("m"))
 
-    now = written(edges.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "cc")
+    now = written(few_files(edges.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()), "cc")
     seen = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -209,7 +209,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.where("u <> v").distinct()  # each node u to a smaller v
         low = smallest(large)
         to_low = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = written(to_low.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "cc")
+        now = written(few_files(to_low.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()), "cc")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break
@@ -238,9 +238,8 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     prints = with_fingerprint(docs.select("doc_id", "text"), F.col("text"), "fp").select("doc_id", "fp")
     prints = written(prints, "simhash")
     classes = near_duplicates(prints)
-    return prints.join(classes, "fp").select(
-        "doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id"
-    )
+    rows = prints.join(classes, "fp").select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+    return few_files(rows)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
