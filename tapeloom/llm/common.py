@@ -44,7 +44,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def words_of(text: Column) -> Column:
     """Words of a text in order; none for an empty or NULL text."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+", -1), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+", -1), "")
 
 
 def windows(items: Column, size: int, body: Callable[[Column, Column], Column]) -> Column:
