@@ -2,7 +2,8 @@
 
 A page is cut into blocks at its block-level tags.  First pass: blocks inside
 boilerplate elements (by tag, role, or a word of class or id) and blocks that are
-mostly links are bad; blocks that are long enough and dense in stop words are good;
+mostly links are bad; an article inside a form, or inside a wrapper named after
+comments ahead of any article text, is an article unless it is a comment itself; blocks that are long enough and dense in stop words are good;
 the others are ambiguous (short ones, long ones without stop words).  Second pass:
 an ambiguous block takes the label of the nearest decided block of its zone (the
 article or main element, or the rest of the page); of two neighbours equally near a
@@ -58,10 +59,10 @@ STOP_WORDS = frozenset(
 # Element names and class words of page furniture.
 SKIPPED = "script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|title"
 FURNITURE_TAGS = frozenset(
-    "nav aside footer form fieldset button select textarea label dialog menu datalist input option".split()
+    "nav aside footer fieldset button select textarea label dialog menu datalist input option".split()
 )
 FURNITURE_ROLES = frozenset(
-    "navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split()
+    "navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split()
 )
 FURNITURE_WORDS = frozenset(
     """
@@ -72,6 +73,9 @@ FURNITURE_WORDS = frozenset(
     """.split()
 )
 COMMENT_WORDS = frozenset("comment comments commentlist disqus respond reply replies discussion".split())
+#: With one of these in the same name a comment word tells of a page or post (``comments-open``), not of comments.
+STATE_WORDS = frozenset("open opened closed on off enabled disabled allowed no has with category tag term topic".split())
+POST_WORDS = frozenset("post entry hentry article single page content story".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     """
@@ -92,7 +96,7 @@ _ATTRIBUTE = re.compile(r"(?<![a-z-])([a-z-]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)
 _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _LETTERS = re.compile(r"[^\W\d_]+").findall
 
-SOFT, HARD, MAIN = 1, 2, 3
+SOFT, HARD, MAIN, COMMENTS = 1, 2, 3, 4
 
 
 @dataclass
@@ -105,25 +109,50 @@ class Block:
     main: bool
 
 
+def _comment_weight(names: list[set[str]], article: bool) -> int:
+    """``HARD`` for an article that is a comment, ``COMMENTS`` for what may hold comments, else 0."""
+    told = [words for words in names if words & COMMENT_WORDS and not words & STATE_WORDS]
+    if article:
+        if any(words & {"comment", "reply"} for words in told):
+            return HARD
+        return COMMENTS if any(len(words) == 1 and "discussion" not in words for words in told) else 0
+    if told:
+        return COMMENTS
+    state = [words for words in names if words & COMMENT_WORDS]
+    return COMMENTS if state and not any(words & POST_WORDS for words in names if words not in state) else 0
+
+
 def _weight(tag: str, attributes: str) -> int:
-    """How surely an element is page furniture: 0, ``SOFT`` or ``HARD``; ``MAIN`` for the article itself."""
+    """How surely an element is page furniture: 0, ``SOFT`` or ``HARD``; ``MAIN`` for the article itself.
+
+    ``COMMENTS``: sure after the running text of an article, before it only a name.
+    """
     if tag in FURNITURE_TAGS:
         return HARD
     named: dict[str, str] = {}
     for name, one, two, three, hidden in _ATTRIBUTE.findall(attributes) if attributes else ():
         named[(name or hidden).lower()] = one or two or three
-    words = {w.lower() for k in ("class", "id") for w in _WORDS.findall(named.get(k, ""))}
-    if words & COMMENT_WORDS:
-        return HARD
-    if named.get("role", "").lower() in FURNITURE_ROLES:
+    role = named.get("role", "").lower()
+    if tag in ("html", "body"):
+        return MAIN if role in ("main", "article") else 0
+    if role in FURNITURE_ROLES:
         return HARD
     if "hidden" in named or "display:none" in named.get("style", "").replace(" ", ""):
         return HARD
-    if tag in ("article", "main") or named.get("role", "").lower() in ("main", "article"):
+    names = [
+        {w.lower() for w in _WORDS.findall(name)} for k in ("class", "id") if k in named for name in named[k].split()
+    ]
+    words = set().union(*names)
+    if tag == "main" or role == "main":
         return MAIN
-    if tag in ("html", "body"):
-        return 0
-    return SOFT if tag == "header" or words & FURNITURE_WORDS else 0
+    article = tag == "article" or role == "article"
+    if article and (named.get("itemprop") == "comment" or named.get("itemtype", "").endswith("/Comment")):
+        return HARD
+    if words & COMMENT_WORDS and (weight := _comment_weight(names, article)):
+        return weight
+    if article:
+        return MAIN
+    return SOFT if tag in ("header", "form") or role == "form" or words & FURNITURE_WORDS else 0
 
 
 def blocks(page: str) -> Iterator[Block]:
@@ -133,11 +162,14 @@ def blocks(page: str) -> Iterator[Block]:
     opened: Counter[str] = Counter()
     parts: list[str] = []
     link_chars, in_link, breaks, at = 0, False, 0, 0
+    told = False  # running text of an article came before
 
     def push(tag: str, weight: int) -> None:
         _, _, furniture, sure, main = stack[-1] if stack else ("", 0, False, False, False)
+        if weight == COMMENTS:
+            weight = HARD if told else MAIN if tag == "article" else SOFT
         if weight == MAIN:
-            # An article inside a wrapper that only sounds like furniture is an article.
+            # An article inside a form, or a wrapper that only sounds like furniture, is an article.
             furniture, main = sure, True
         elif weight == HARD:
             furniture = sure = True
@@ -151,10 +183,11 @@ def blocks(page: str) -> Iterator[Block]:
         return stack.pop()
 
     def flush() -> Iterator[Block]:
-        nonlocal parts, link_chars, breaks
+        nonlocal parts, link_chars, breaks, told
         text = " ".join("".join(parts).split())
         if text:
             _, _, furniture, _, main = stack[-1] if stack else ("", 0, False, False, False)
+            told = told or (main and not furniture and len(text) >= SHORT_CHARS)
             yield Block(text, link_chars, furniture, main)
         parts, link_chars, breaks = [], 0, 0
 

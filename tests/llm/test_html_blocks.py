@@ -58,6 +58,33 @@ def test_wrapper_words_do_not_hide_an_article():
     assert main_text(f"<body class=has-sidebar><div class=with-sidebar><main><p>{LONG}</p></main></div>") == LONG
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body class='single comments-open'><p>{}</p></body>", "<html class=no-comments><body id=discussion><p>{}</p>",
+        "<article class='post comments-closed'><p>{}</p></article>", "<div id=discussion><article><p>{}</p></article></div>",
+        "<body><form id=aspnetForm><div><article><p>{}</p></article></div></form></body>",
+        "<form role=form><div role=main><p>{}</p></div></form>", "<main><div class=comments><article><p>{}</p></article></div></main>",
+        "<div class='post comments-open'><p>{}</p></div>", "<article class='post category-reply'><p>{}</p></article>",
+    ],
+)
+def test_comment_words_and_forms_around_the_article(page):
+    assert main_text(page.format(LONG)) == LONG
+
+
+@pytest.mark.parametrize(
+    "piece",
+    [
+        "<section id=comments><article><p>{}</p></article></section>", "<article id=div-comment-5><p>{}</p></article>",
+        "<div class=replies><article class=reply><p>{}</p></article></div>", "<p class=comments-closed>{}</p>",
+        "<article itemprop=comment><p>{}</p></article>", "<aside><form><article><p>{}</p></article></form></aside>",
+    ],
+)
+def test_comments_stay_out(piece):
+    assert main_text(f"<article><p>{LONG}</p></article>{piece.format(FURNITURE)}") == LONG
+    assert main_text(f"<article><p>{LONG}</p>{piece.format(FURNITURE)}</article>") == LONG
+
+
 def test_text_inside_a_block():
     assert main_text(f"<p>a&amp;b&nbsp;&lt;c&#62; &eacute;&#x41;\n\t  {LONG}<br>next <b>bold</b>er</p>") == (
         f"a&b <c> éA {LONG} next bolder"
