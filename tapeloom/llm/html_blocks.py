@@ -2,7 +2,8 @@
 
 A page is cut into blocks at its block-level tags.  First pass: blocks inside
 boilerplate elements (by tag, role, or a word of class or id) and blocks that are
-mostly links are bad; an article inside a form, or inside a wrapper named after
+mostly links (anchors with a target, to their end or the end of the element around
+them) are bad; an article inside a form, or inside a wrapper named after
 comments ahead of any article text, is an article unless it is a comment itself; blocks that are long enough and dense in stop words are good;
 the others are ambiguous (short ones, long ones without stop words).  Second pass:
 an ambiguous block takes the label of the nearest decided block of its zone (the
@@ -92,6 +93,8 @@ _TOKEN = re.compile(
     r"|<[!?/][^>]*+(?:>|\Z)|<[a-z][^>]*+\Z",
     re.IGNORECASE | re.DOTALL,
 )
+#: The slash of a self-closed tag, not the last one of a value without quotes.
+_SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/\Z|^[^=]*/\Z").search
 _ATTRIBUTE = re.compile(r"(?<![a-z-])([a-z-]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b", re.IGNORECASE)
 _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _LETTERS = re.compile(r"[^\W\d_]+").findall
@@ -122,6 +125,13 @@ def _comment_weight(names: list[set[str]], article: bool) -> int:
     return COMMENTS if state and not any(words & POST_WORDS for words in names if words not in state) else 0
 
 
+def _named(attributes: str) -> dict[str, str]:
+    named: dict[str, str] = {}
+    for name, one, two, three, hidden in _ATTRIBUTE.findall(attributes) if attributes else ():
+        named[(name or hidden).lower()] = one or two or three
+    return named
+
+
 def _weight(tag: str, attributes: str) -> int:
     """How surely an element is page furniture: 0, ``SOFT`` or ``HARD``; ``MAIN`` for the article itself.
 
@@ -129,9 +139,7 @@ def _weight(tag: str, attributes: str) -> int:
     """
     if tag in FURNITURE_TAGS:
         return HARD
-    named: dict[str, str] = {}
-    for name, one, two, three, hidden in _ATTRIBUTE.findall(attributes) if attributes else ():
-        named[(name or hidden).lower()] = one or two or three
+    named = _named(attributes)
     role = named.get("role", "").lower()
     if tag in ("html", "body"):
         return MAIN if role in ("main", "article") else 0
@@ -161,7 +169,8 @@ def blocks(page: str) -> Iterator[Block]:
     stack: list[tuple[str, int, bool, bool, bool]] = []
     opened: Counter[str] = Counter()
     parts: list[str] = []
-    link_chars, in_link, breaks, at = 0, False, 0, 0
+    link_chars, breaks, at = 0, 0, 0
+    link = -1  # number of elements open around the open link, -1 without one
     told = False  # running text of an article came before
 
     def push(tag: str, weight: int) -> None:
@@ -178,8 +187,11 @@ def blocks(page: str) -> Iterator[Block]:
         stack.append((tag, weight, furniture, sure, main))
         opened[tag] += 1
 
-    def pop() -> tuple[str, int, bool, bool, bool]:
+    def pop(ended: bool = True) -> tuple[str, int, bool, bool, bool]:
+        nonlocal link
         opened[stack[-1][0]] -= 1
+        if link >= len(stack):
+            link = -1 if ended else len(stack) - 1
         return stack.pop()
 
     def flush() -> Iterator[Block]:
@@ -198,7 +210,7 @@ def blocks(page: str) -> Iterator[Block]:
             parts.append(text)
             if not text.isspace():
                 breaks = 0
-                if in_link:
+                if link >= 0:
                     link_chars += len(" ".join(text.split()))
 
     for token in _TOKEN.finditer(page):
@@ -214,8 +226,10 @@ def blocks(page: str) -> Iterator[Block]:
             if breaks == 2:
                 yield from flush()
             continue
-        if tag == "a":
-            in_link = not closes
+        if tag == "a" and (closes or not _SELF_CLOSED(attributes)):
+            # Broken quotes hide what the anchor has.
+            target = not closes and (bool(token[6]) or "href" in _named(attributes))
+            link = len(stack) if target else -1
         if closes:
             if tag not in INLINE or opened[tag]:
                 yield from flush()
@@ -226,7 +240,8 @@ def blocks(page: str) -> Iterator[Block]:
         if tag not in INLINE or weight:
             yield from flush()
             while stack and stack[-1][0] in SELF_ENDING and tag not in INLINE:
-                pop()
+                # A link may hold blocks: only the next element of the same kind ends it.
+                pop(ended=stack[-1][0] == tag)
         # Inline elements without a meaning of their own need no place in the stack.
         if tag not in VOID and not attributes.endswith("/") and (tag not in INLINE or weight):
             push(tag, weight)

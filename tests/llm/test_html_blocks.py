@@ -85,6 +85,20 @@ def test_comments_stay_out(piece):
     assert main_text(f"<article><p>{LONG}</p>{piece.format(FURNITURE)}</article>") == LONG
 
 
+@pytest.mark.parametrize("anchor", ["<a id='s1'/>", "<a name=top>", "<a id=s1 />", "<a href='x'/>", "<a/>"])
+def test_anchors_without_a_target_are_no_links(anchor):
+    assert main_text(f"<article>{anchor}<p>{LONG}</p><p>{LONG}</p></article>") == f"{LONG}\n{LONG}"
+    assert main_text(f"<body>{anchor}<h2>Head</h2><p>{LONG}</p>") == f"Head\n{LONG}"
+
+
+def test_links_end_with_the_element_around_them():
+    assert main_text(f"<article><p><a href=x>{FURNITURE}</p><p>{LONG}</p></article>") == LONG
+    assert main_text(f"<article><p><a href=x>{FURNITURE}<p>{LONG}</article>") == LONG
+    assert main_text(f"<p><a href=/x/>{FURNITURE}</a></p><p>{LONG}</p>") == LONG
+    card = f"<a href=x><h3>Head</h3><div>{FURNITURE}</div><p>{FURNITURE}</p></a>"
+    assert main_text(f"<ul><li>{card}<li>{card}</ul><p>{LONG}</p>") == LONG
+
+
 def test_text_inside_a_block():
     assert main_text(f"<p>a&amp;b&nbsp;&lt;c&#62; &eacute;&#x41;\n\t  {LONG}<br>next <b>bold</b>er</p>") == (
         f"a&b <c> éA {LONG} next bolder"
