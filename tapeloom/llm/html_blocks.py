@@ -17,7 +17,8 @@ space, trimmed; a single line break is white space, two in a row end the block.
 
 Defined cases: NULL, empty or tag-only html gives an empty text; html that breaks
 off ends its last element there, a tag cut in the middle is dropped; unclosed
-elements end with the element around them; repeated rows each give their result; an
+elements end with the element around them (scripts, styles, frames and titles with the
+page); self-closed pictures and media are empty; repeated rows each give their result; an
 empty table gives an empty result; other columns pass through untouched.
 """
 
@@ -58,7 +59,8 @@ STOP_WORDS = frozenset(
     """.split()
 )
 # Element names and class words of page furniture.
-SKIPPED = "script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|title"
+RAW_TEXT = "script|style|iframe|title"
+SKIPPED = frozenset("noscript template svg math object canvas audio video".split())
 FURNITURE_TAGS = frozenset(
     "nav aside footer fieldset button select textarea label dialog menu datalist input option".split()
 )
@@ -88,7 +90,7 @@ INLINE = frozenset(
 SELF_ENDING = frozenset("p li dt dd tr td th h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({SKIPPED})\b[^>]*+(?:>.*?(?:</\1\s*+>|\Z)|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<({RAW_TEXT})(?![^\s/>])[^>]*+(?:>|\Z)"
     r"|<(/?)([a-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-z][^\s/>]*+)([^>]*+)>"
     r"|<[!?/][^>]*+(?:>|\Z)|<[a-z][^>]*+\Z",
     re.IGNORECASE | re.DOTALL,
@@ -99,6 +101,9 @@ _ATTRIBUTE = re.compile(r"(?<![a-z-])([a-z-]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)
 _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _LETTERS = re.compile(r"[^\W\d_]+").findall
 
+_RAW_ENDS = {tag: re.compile(rf"</{tag}\s*+>|\Z", re.IGNORECASE) for tag in RAW_TEXT.split("|")}
+_NEXT_SKIPPED = {tag: re.compile(rf"<(/?){tag}(?![^\s/>])", re.IGNORECASE) for tag in SKIPPED}
+
 SOFT, HARD, MAIN, COMMENTS = 1, 2, 3, 4
 
 
@@ -163,6 +168,14 @@ def _weight(tag: str, attributes: str) -> int:
     return SOFT if tag in ("header", "form") or role == "form" or words & FURNITURE_WORDS else 0
 
 
+def _empty(page: str, at: int, tag: str, attributes: str) -> bool:
+    """Whether a skipped element is self-closed; other than pictures only if no end tag comes before the next one."""
+    if not attributes.endswith("/") or tag in ("svg", "math"):
+        return attributes.endswith("/")
+    after = _NEXT_SKIPPED[tag].search(page, at)
+    return not (after and after[1])
+
+
 def blocks(page: str) -> Iterator[Block]:
     """Blocks of a page in order, empty ones left out."""
     # Open elements: tag, weight, and what holds inside: furniture, surely furniture, in an article.
@@ -172,6 +185,11 @@ def blocks(page: str) -> Iterator[Block]:
     link_chars, breaks, at = 0, 0, 0
     link = -1  # number of elements open around the open link, -1 without one
     told = False  # running text of an article came before
+    # Elements without text of the page: where the outermost open one stands in the stack, and the tags open
+    # inside it; the inline elements open around it.
+    skip = -1
+    inner: Counter[str] = Counter()
+    inline: Counter[str] = Counter()
 
     def push(tag: str, weight: int) -> None:
         _, _, furniture, sure, main = stack[-1] if stack else ("", 0, False, False, False)
@@ -186,10 +204,15 @@ def blocks(page: str) -> Iterator[Block]:
             furniture = True
         stack.append((tag, weight, furniture, sure, main))
         opened[tag] += 1
+        if skip >= 0:
+            inner[tag] += 1
 
     def pop(ended: bool = True) -> tuple[str, int, bool, bool, bool]:
-        nonlocal link
+        nonlocal link, skip
         opened[stack[-1][0]] -= 1
+        if skip >= 0:
+            inner[stack[-1][0]] -= 1
+            skip = -1 if len(stack) - 1 == skip else skip
         if link >= len(stack):
             link = -1 if ended else len(stack) - 1
         return stack.pop()
@@ -205,7 +228,7 @@ def blocks(page: str) -> Iterator[Block]:
 
     def add(raw: str) -> None:
         nonlocal link_chars, breaks
-        if raw:
+        if raw and skip < 0:
             text = html.unescape(raw) if "&" in raw else raw
             parts.append(text)
             if not text.isspace():
@@ -213,13 +236,39 @@ def blocks(page: str) -> Iterator[Block]:
                 if link >= 0:
                     link_chars += len(" ".join(text.split()))
 
-    for token in _TOKEN.finditer(page):
+    while token := _TOKEN.search(page, at):
         add(page[at : token.start()])
         at = token.end()
+        if token[1]:
+            # Inside a picture these may be self-closed.
+            if not (token[0].endswith("/>") and (skip >= 0 or token[1].lower() == "title")):
+                at = _RAW_ENDS[token[1].lower()].search(page, at).end()
+            continue
         tag = token[3] or token[6]
         if not tag:
             continue
         tag, closes, attributes = tag.lower(), bool(token[2] or token[5]), token[4] or token[7] or ""
+        if skip >= 0:
+            if not closes:
+                if tag not in VOID and not attributes.endswith("/"):
+                    push(tag, 0)
+                continue
+            if inner[tag]:
+                while pop()[0] != tag:
+                    pass
+                continue
+            if not inline[tag] and not opened[tag]:
+                continue
+            # The end of an element around it.
+            while skip >= 0:
+                pop()
+        elif tag in SKIPPED and not closes:
+            if not _empty(page, at, tag, attributes):
+                skip = len(stack)
+                push(tag, 0)
+            continue
+        if tag in INLINE and tag not in VOID and not attributes.endswith("/"):
+            inline[tag] = max(0, inline[tag] + (-1 if closes else 1))
         if tag == "br":
             breaks += 1
             parts.append("\n")

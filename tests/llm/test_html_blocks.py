@@ -99,6 +99,36 @@ def test_links_end_with_the_element_around_them():
     assert main_text(f"<ul><li>{card}<li>{card}</ul><p>{LONG}</p>") == LONG
 
 
+@pytest.mark.parametrize("icon", ['<svg class="i"/>', "<math/>", "<object data=x/>", '<video src="x" />', "<svg><title/><path d=x/></svg>"])
+def test_self_closed_pictures_are_empty(icon):
+    assert main_text(f"<article><p>one {icon} two</p><p>{LONG}</p></article>") == f"one two\n{LONG}"
+    assert main_text(f"<article>{icon}<p>{LONG}</p></article>") == LONG
+
+
+@pytest.mark.parametrize("tag", ["canvas", "audio", "svg class=i", "object", "video", "template", "noscript"])
+def test_skipped_elements_end_with_the_element_around_them(tag):
+    assert main_text(f"<article><p>one <{tag}> two</p><p>{LONG}</p></article>") == f"one\n{LONG}"
+    assert main_text(f"<article><p>one <span><{tag}>x</span> two</p><p>{LONG}</p></article>") == f"one two\n{LONG}"
+    name = tag.split()[0]
+    whole = f"<{tag}><p>{FURNITURE}</p><{tag}><b>x</b></i></{name}>y</{name}>"
+    assert main_text(f"<article><p>one {whole} two</p><p>{LONG}</p></article>") == f"one two\n{LONG}"
+
+
+def test_raw_text_runs_to_its_end():
+    assert main_text(f"<p>{LONG}<script>a</p><p>{FURNITURE}") == LONG
+    assert main_text(f"<p>{LONG}<style/>a</style> Yes.</p>") == f"{LONG} Yes."
+    assert main_text(f"<title>a<p>{FURNITURE}</title><p>{LONG}</p><titles>x</titles>") == f"{LONG}\nx"
+
+
+@pytest.mark.parametrize(
+    "page", ["<svg>" * 50_000, "<p><svg>" * 30_000, "<object/>" * 50_000, "<svg><title/>" * 50_000, "<canvas></p>" * 50_000]
+)
+def test_many_skipped_elements_take_linear_time(page):
+    begin = time.perf_counter()
+    main_text(page)
+    assert time.perf_counter() - begin < 10
+
+
 def test_text_inside_a_block():
     assert main_text(f"<p>a&amp;b&nbsp;&lt;c&#62; &eacute;&#x41;\n\t  {LONG}<br>next <b>bold</b>er</p>") == (
         f"a&b <c> éA {LONG} next bolder"
