@@ -3,10 +3,11 @@
 A page is cut into blocks at its block-level tags.  First pass: blocks inside
 boilerplate elements (by tag, role, or a word of class or id) and blocks that are
 mostly links (anchors with a target, to their end or the end of the element around
-them) are bad; an article inside a form, or inside a wrapper named after
-comments ahead of any article text, is an article unless it is a comment itself; blocks that are long enough and dense in stop words are good;
-the others are ambiguous (short ones, long ones without stop words).  Second pass:
-an ambiguous block takes the label of the nearest decided block of its zone (the
+them) are bad; an article inside a form, or inside a wrapper named after comments
+ahead of any article text, is an article unless it is a comment itself.  Blocks that
+are long enough and dense in stop words are good; of the others those with a copyright
+sign outside an article are bad, the rest are ambiguous (short ones, long ones without
+stop words).  Second pass: an ambiguous block takes the label of the nearest decided block of its zone (the
 article or main element, or the rest of the page); of two neighbours equally near a
 good one wins, and in an article a block is bad only between two bad ones.  A zone without any decided block keeps its blocks if it is an
 article or no block of the page is decided; elsewhere it keeps the long ones if the
@@ -303,13 +304,11 @@ def _first_label(block: Block) -> bool | None:
     size = len(block.text)
     if block.furniture or block.link_chars > LINK_DENSITY * size:
         return False
-    if not block.main and "\N{COPYRIGHT SIGN}" in block.text:
-        return False
-    if size < SHORT_CHARS:
-        return None
-    words = _LETTERS(block.text.lower())
-    dense = sum(w in STOP_WORDS for w in words) >= STOP_DENSITY * len(words)
-    return True if words and dense else None
+    words = _LETTERS(block.text.lower()) if size >= SHORT_CHARS else []
+    if words and sum(w in STOP_WORDS for w in words) >= STOP_DENSITY * len(words):
+        return True
+    # A copyright line is furniture, running text that mentions the sign is not.
+    return False if not block.main and "\N{COPYRIGHT SIGN}" in block.text else None
 
 
 def _second_labels(found: list[Block], labels: list[bool | None]) -> list[bool]:

@@ -129,6 +129,13 @@ def test_many_skipped_elements_take_linear_time(page):
     assert time.perf_counter() - begin < 10
 
 
+def test_running_text_may_mention_the_copyright_sign():
+    assert main_text(f"<body><p>{LONG} It is the \N{COPYRIGHT SIGN} of all.</p></body>").startswith(LONG)
+    assert main_text(f"<body><p>{LONG}</p><p>&copy; 2024 Example Ltd.</p></body>") == LONG
+    line = "Example Publishing Limited \N{COPYRIGHT SIGN} 2024 Springfield Registered Office Number 12345678"
+    assert main_text(f"<body><p>{LONG}</p><p>{line}</p></body>") == LONG
+
+
 def test_text_inside_a_block():
     assert main_text(f"<p>a&amp;b&nbsp;&lt;c&#62; &eacute;&#x41;\n\t  {LONG}<br>next <b>bold</b>er</p>") == (
         f"a&b <c> éA {LONG} next bolder"
