@@ -16,7 +16,7 @@ from tapeloom.functions import codec, pcm
 from tapeloom.functions.text import strip
 from tapeloom.operators.ordered import PAGE_ROWS
 from tapeloom.operators.transcripts import KEY, parse_responses
-from tapeloom.streaming.ordered_state import process_in_order
+from tapeloom.streaming.ordered_state import Finish, process_in_order
 
 LOG = logging.getLogger(__name__)
 
@@ -29,6 +29,11 @@ def _fields(ddl: str) -> list[T.StructField]:
     return [T.StructField(n, types[t]()) for n, t in (part.split() for part in ddl.split(","))]
 
 
+def _missing(what: str, held: pd.DataFrame, order: str) -> str | None:
+    """The error of rows that waited behind a gap."""
+    return f"{what} missing before {int(held[order].iloc[0])}" if len(held) else None
+
+
 def packet_stream(
     spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None
 ) -> DataFrame:
@@ -46,7 +51,7 @@ def rechunk_stream(packets: DataFrame, chunk_frames: int, idle_ms: int | None =
     a shorter chunk of whole frames; later packets are ignored.  A channel that is
     silent for ``idle_ms`` is drained the same way: waiting bytes, then the packets
     behind a gap, so nothing that arrived is lost; ``error`` of those chunks names
-    the gap.
+    the gap.  A channel that resumes goes on with the next chunk number.
     """
     output = T.StructType(
         _KEY_FIELDS
@@ -92,20 +97,20 @@ def rechunk_stream(packets: DataFrame, chunk_frames: int, idle_ms: int | None =
         rest, next_chunk, out = cut((waiting or b"") + data, layout, next_chunk, ended, None)
         return (rest, next_chunk, ended, *layout), out
 
-    def finish(state, held):
+    def drained(state, held):
         waiting, next_chunk, ended, *layout = state
         if ended:
-            return None
+            return state, None
         layout = tuple(layout) if layout[0] else layout_of(held) if len(held) else None
         if layout is None:
-            return None
-        data, _ = upto_eof(held) if len(held) else (b"", False)
-        error = f"packets missing before {int(held['seq'].iloc[0])}" if len(held) else None
-        return cut((waiting or b"") + data, layout, next_chunk, True, error)[2]
+            return state, None
+        data, ended = upto_eof(held) if len(held) else (b"", False)
+        rest, next_chunk, out = cut((waiting or b"") + data, layout, next_chunk, True, _missing("packets", held, "seq"))
+        return (rest, next_chunk, ended, *layout), out
 
     state = _fields("waiting binary,next_chunk long,ended boolean,sample_format string,sample_rate int,n_channels int")
     chunks = process_in_order(
-        packets, KEY, "seq", state, (b"", 0, False, None, None, None), output, step, finish, idle_ms
+        packets, KEY, "seq", state, (b"", 0, False, None, None, None), output, step, Finish(drained), idle_ms
     )
     return chunks.select(
         *KEY,
@@ -123,7 +128,8 @@ def partials_stream(responses: DataFrame, page_rows: int = PAGE_ROWS, idle_ms: i
     """One update per chunk response, in chunk order, as prefixes of the merge.
 
     The state is a handful of counters; texts and raw responses pass through and are
-    not kept.  The state of a channel silent for ``idle_ms`` is dropped.
+    not kept.  Of a channel silent for ``idle_ms`` the responses behind a gap are
+    folded in order, their ``error`` names the gap; a channel that resumes goes on.
     """
     parsed = parse_responses(responses).select(
         *KEY,
@@ -137,7 +143,7 @@ def partials_stream(responses: DataFrame, page_rows: int = PAGE_ROWS, idle_ms: i
     output = T.StructType(
         _KEY_FIELDS
         + _fields("part long,chunk_index long,start double,appended string,segments_json string,"
-                  "raw_response string,text_length long,n_segments long,n_entries long")
+                  "raw_response string,text_length long,n_segments long,n_entries long,error string")
     )
 
     def step(state, rows):
@@ -160,14 +166,21 @@ def partials_stream(responses: DataFrame, page_rows: int = PAGE_ROWS, idle_ms: i
                 "text_length": chars_now + np.maximum(filled_now - 1, 0),
                 "n_segments": segments_now,
                 "n_entries": entries_now,
+                "error": None,
             }
         )
         last = (float(starts[-1]), int(chars_now[-1]), int(filled_now[-1]), int(segments_now[-1]), int(entries_now[-1]))
         return last, out
 
+    def drained(state, held):
+        if not len(held):
+            return state, None
+        state, out = step(state, held)
+        return state, out.assign(error=_missing("responses", held, "chunk_index"))
+
     state = _fields("start double,chars long,filled long,segments long,entries long")
     partials = process_in_order(
-        parsed, KEY, "chunk_index", state, (0.0, 0, 0, 0, 0), output, step, idle_ms=idle_ms
+        parsed, KEY, "chunk_index", state, (0.0, 0, 0, 0, 0), output, step, Finish(drained), idle_ms
     )
     return partials.withColumn("segments", codec.segments_from_json(F.col("segments_json"))).drop("segments_json")
 
@@ -176,20 +189,23 @@ def events_stream(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """Fold event lines into partial texts; ends at a key's first stop line.
 
     The stop gives one more row, ``is_final``: the lengths of the whole text.  A key
-    silent for ``idle_ms`` is closed in the same way and its state is dropped.
+    silent for ``idle_ms`` is closed in the same way, after the events behind a gap,
+    whose ``error`` (and the closing row's) names the gap.  A key that resumes without a
+    stop goes on, and is closed again with its new lengths.
     """
     decoded = events.withColumn("event", codec.decode_event(F.col("line"))).select(
         *KEY, "seq", "event.is_stop", "event.piece", (strip(F.col("event.piece")) != "").alias("filled")
     )
     output = T.StructType(
         _KEY_FIELDS
-        + _fields("seq long,position long,piece string,raw_end long,n_segments long,emitted boolean,is_final boolean")
+        + _fields("seq long,position long,piece string,raw_end long,n_segments long,emitted boolean,is_final boolean,"
+                  "error string")
     )
 
     def closing(seq: int, position: int, raw_end: int, segments: int) -> pd.DataFrame:
         return pd.DataFrame(
-            [(seq, position, None, raw_end, segments, False, True)],
-            columns=["seq", "position", "piece", "raw_end", "n_segments", "emitted", "is_final"],
+            [(seq, position, None, raw_end, segments, False, True, None)],
+            columns=["seq", "position", "piece", "raw_end", "n_segments", "emitted", "is_final", "error"],
         )
 
     def step(state, rows):
@@ -211,6 +227,7 @@ def events_stream(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
                 "n_segments": counts,
                 "emitted": counts > 0,
                 "is_final": False,
+                "error": None,
             }
         )
         if len(live):
@@ -219,12 +236,17 @@ def events_stream(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
             out = pd.concat([out, closing(int(rows["seq"].iloc[stops[0]]), position, raw_end, segments)])
         return (raw_end, segments, position, bool(len(stops)), last_seq), out
 
-    def finish(state, _held):
+    def drained(state, held):
+        out = None
+        if len(held):
+            state, out = step(state, held)
         raw_end, segments, position, stopped, last_seq = state
-        return None if stopped else closing(last_seq, position, raw_end, segments)
+        if not stopped:
+            out = pd.concat([out, closing(last_seq, position, raw_end, segments)])
+        return state, None if out is None else out.assign(error=_missing("events", held, "seq"))
 
     state = _fields("raw_end long,segments long,position long,stopped boolean,last_seq long")
-    return process_in_order(decoded, KEY, "seq", state, (0, 0, 0, False, -1), output, step, finish, idle_ms)
+    return process_in_order(decoded, KEY, "seq", state, (0, 0, 0, False, -1), output, step, Finish(drained), idle_ms)
 
 
 def live_frames(chunks: DataFrame) -> DataFrame:

@@ -22,8 +22,16 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: ``step(state, rows)``: the new state and the output columns for a run of rows in order.
 Step = Callable[[tuple, pd.DataFrame], tuple[tuple, pd.DataFrame | None]]
-#: ``finish(state, held)``: the last output of an idle key; ``held`` are the rows behind a gap, in order.
-Finish = Callable[[tuple, pd.DataFrame], pd.DataFrame | None]
+
+
+class Finish:
+    """``drained(state, held)``: the state an idle key goes on with, and its output; ``held`` waited behind a gap."""
+
+    def __init__(self, drained: Step):
+        self.drained = drained
+
+    def __call__(self, state: tuple, held: pd.DataFrame) -> pd.DataFrame | None:
+        return self.drained(state, held)[1]
 
 
 def _pack(rows: pd.DataFrame) -> bytes | None:
@@ -55,9 +63,12 @@ def process_in_order(
 
     With ``idle_ms`` an always-on query finishes a key that has been silent for so
     long: ``finish`` gives its last rows, from its state and from what waits behind a
-    gap, and the state is dropped.  Leave it out for ``availableNow`` runs, which
-    would wait for the clock and never end.
+    gap.  The state and the next expected number stay, so that a key that resumes goes
+    on; a row of a gap that was passed over counts as a repeated one.  Leave it out for
+    ``availableNow`` runs, which would wait for the clock and never end.
     """
+    if idle_ms is not None and finish is None:
+        raise ValueError("idle_ms needs a finish, or rows behind a gap would be lost")
     names = [f.name for f in output.fields]
     state_type = T.StructType(
         [T.StructField("expected", T.LongType()), T.StructField("held", T.BinaryType()), *state]
@@ -70,11 +81,11 @@ def process_in_order(
 
     def handle(key: tuple, batches: Iterator[pd.DataFrame], store: GroupState) -> Iterator[pd.DataFrame]:
         if store.hasTimedOut:
-            _, packed, *values = store.get
-            store.remove()
-            if finish is not None:
-                held = (_unpack(packed) or [pd.DataFrame(columns=columns)])[0]
-                yield from keyed(key, finish(tuple(values), held))
+            expected, packed, *values = store.get
+            held = (_unpack(packed) or [pd.DataFrame(columns=columns)])[0]
+            current, out = finish.drained(tuple(values), held)
+            yield from keyed(key, out)
+            store.update((int(held[order].iloc[-1]) + 1 if len(held) else expected, None, *current))
             return
         expected, packed, *values = store.get if store.exists else (0, None, *initial)
         current, held = tuple(values), _unpack(packed)

@@ -6,10 +6,12 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tapeloom import schemas
 from tapeloom.operators import audio, transcripts
 from tapeloom.streaming import jobs
+from tapeloom.streaming.ordered_state import process_in_order
 from tests.test_transcripts import EVENT_LINES, _answer
 
 
@@ -157,6 +159,86 @@ def test_an_idle_event_stream_is_closed(spark):
     assert closing[["seq", "raw_end", "n_segments", "is_final"]].values.tolist() == [[1, 2, 1, True]]
 
 
+class Store:
+    """The state of one key, as a stream would keep it."""
+
+    exists = hasTimedOut = False
+
+    def update(self, value):
+        self.get, self.exists = value, True
+
+    def remove(self):
+        self.exists = False
+
+    def setTimeoutDuration(self, _ms):
+        pass
+
+
+def _idle_key(order, call, output, columns):
+    """``send(rows)`` and ``send(None)`` (a timeout) to one key of an ordered stream."""
+
+    class Stream:
+        def __init__(self):
+            self.columns = ["session_id", "channel", *columns]
+
+        def groupBy(self, *_keys):
+            return self
+
+        def applyInPandasWithState(self, handle, *_rest):
+            return handle
+
+    names = T.StructType([T.StructField(n, T.StringType()) for n in ["session_id", "channel", *output]])
+    keys = ["session_id", "channel"]
+    handle = process_in_order(
+        Stream(), keys, order, [], call["initial"], names, call["step"], call["finish"], idle_ms=1000
+    )
+    store = Store()
+
+    def send(rows):
+        store.hasTimedOut = rows is None
+        out = list(handle(("s", "mic"), iter([] if rows is None else [pd.DataFrame(rows, columns=columns)]), store))
+        return pd.concat(out)[output].values.tolist() if out else []
+
+    return send
+
+
+def test_idle_partials_give_what_waits_and_go_on(spark):
+    call = _step_by_hand(jobs.partials_stream, spark.createDataFrame([], schemas.CHUNK_RESPONSES))
+    columns = ["chunk_index", "duration", "appended", "own", "segments_json", "raw_response"]
+    send = _idle_key("chunk_index", call, ["chunk_index", "start", "text_length", "n_entries", "error"], columns)
+    row = lambda i: (i, 0.5, "ab", 1, "[]", "{}")
+    assert send([row(0), row(3), row(2)]) == [[0, 0.0, 2, 1, None]]
+    lost = "responses missing before 2"
+    assert send(None) == [[2, 0.5, 5, 2, lost], [3, 1.0, 8, 3, lost]]
+    assert send([row(3), row(4)]) == [[4, 1.5, 11, 4, None]]
+    assert send(None) == []
+    assert send([row(5)]) == [[5, 2.0, 14, 5, None]]
+
+
+def test_idle_events_give_what_waits_and_go_on(spark):
+    call = _step_by_hand(jobs.events_stream, spark.createDataFrame([], schemas.TRANSCRIPT_EVENTS))
+    columns = ["seq", "is_stop", "piece", "filled"]
+    send = _idle_key("seq", call, ["seq", "position", "raw_end", "is_final", "error"], columns)
+    row = lambda i, stop=False: (i, stop, None if stop else "ab", True)
+    assert send([row(0), row(2), row(3)]) == [[0, 0, 2, False, None]]
+    lost = "events missing before 2"
+    assert send(None) == [[2, 1, 4, False, lost], [3, 2, 6, False, lost], [3, 3, 6, True, lost]]
+    assert send([row(4)]) == [[4, 3, 8, False, None]]
+    assert send(None) == [[4, 4, 8, True, None]]
+    assert send([row(6, stop=True)]) == [] and send(None) == [[6, 4, 8, True, "events missing before 6"]]
+    assert send([row(7)]) == [] and send(None) == []
+
+
+def test_an_idle_channel_resumes_with_the_next_chunk():
+    columns = ["seq", "payload", "sample_format", "sample_rate", "n_channels", "eof"]
+    send = _idle_key("seq", _step_by_hand(jobs.rechunk_stream, None, 2), ["chunk_idx", "n_frames", "error"], columns)
+    packet = lambda seq, size, eof=False: (seq, bytes(size), "s16le", 8000, 1, eof)
+    assert send([packet(0, 6), packet(2, 2)]) == [[0, 2, None]]
+    assert send(None) == [[1, 2, "packets missing before 2"]]
+    assert send([packet(3, 4)]) == [[2, 2, None]]
+    assert send(None) == []
+
+
 @pytest.mark.parametrize("operator, schema", [(jobs.rechunk_stream, schemas.PCM_PACKETS), (jobs.events_stream, schemas.TRANSCRIPT_EVENTS)])
 def test_streams_take_a_timeout(spark, tmp_path, operator, schema):
     stream = jobs.packet_stream(spark, f"file://{tmp_path}", schema)
