@@ -7,9 +7,10 @@ weighted representation gives the score.  Only labels of documents teach it, so
 attention finds out by itself which passages decide.
 
 It learns from at most ``MAX_BAGS`` labelled documents (those whose id hash is
-smallest, of the ids that are not held out) with at most ``MAX_BAG_PASSAGES`` evenly
-spaced passages each: a bounded table that fits the driver, where plain numpy trains
-some thousand numbers in seconds.  Scores use every passage of every document.
+smallest, of the ids that are not held out), from every passage of each.  The encoded
+passages lie in a file of the driver, where plain numpy trains some thousand numbers in
+batches of whole bags: memory holds one batch of ``BATCH_PASSAGES`` passages, or one
+document that is longer.  Scores use every passage of every document.
 
 Defined cases: a NULL or empty text is one passage without words and gets a score;
 a document with several labels has their mean; labels that are NULL or without a
@@ -20,20 +21,22 @@ result; other columns pass through untouched.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import tempfile
+from collections.abc import Callable, Iterator
 from operator import eq
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, FloatType
+from pyspark.sql.types import BinaryType, DoubleType
 
-from tapeloom.llm.common import small_batches, table
+from tapeloom.llm.common import few_files, small_batches, table, written
 
 PASSAGE_WORDS = 100
 MAX_BAGS = 4000
-MAX_BAG_PASSAGES = 64
+#: Passages of a batch of whole bags, and how often each bag teaches at least.
+BATCH_PASSAGES, PASSES = 1 << 16, 20
 HELD_OUT_OF = 5
 THRESHOLD = 0.3
 HIDDEN, GATE = 24, 12
@@ -85,6 +88,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+#: The passages of some bags, how many belong to each bag, and the wanted scores.
+Batch = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
 class GatedAttention:
     """A scorer of bags; passages of all bags lie in one matrix, ``sizes`` says how many belong to each."""
 
@@ -123,12 +130,31 @@ class GatedAttention:
     def train(self, x: np.ndarray, sizes: np.ndarray, wanted: np.ndarray) -> GatedAttention:
         """Adam on all bags at once."""
         x = (x - self.mean) / self.scale
+        return self._train(lambda _: (x, sizes, wanted), 1, len(sizes))
+
+    def train_batches(self, batch: Callable[[int], Batch], n_batches: int, n_bags: int) -> GatedAttention:
+        """Adam on batches of whole bags, in turn; normalised by the passages of all of them."""
+        n = sum(len(batch(i)[0]) for i in range(n_batches))
+        self.mean = sum(batch(i)[0].sum(axis=0) for i in range(n_batches)) / n
+        variance = sum(((batch(i)[0] - self.mean) ** 2).sum(axis=0) for i in range(n_batches)) / n
+        self.scale = np.maximum(np.sqrt(variance), 0.02)
+
+        def normal(i: int) -> Batch:
+            x, sizes, wanted = batch(i)
+            return (x - self.mean) / self.scale, sizes, wanted
+
+        return self._train(normal, n_batches, n_bags)
+
+    def _train(self, batch: Callable[[int], Batch], n_batches: int, n_bags: int) -> GatedAttention:
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
-        for step in range(1, STEPS + 1):
+        for step in range(1, max(STEPS, PASSES * n_batches if n_batches > 1 else 0) + 1):
+            x, sizes, wanted = batch((step - 1) % n_batches)
             gradients = self._gradients(x, self._forward(x, sizes), wanted)
+            # Each bag weighs the same, in a batch of few bags too.
+            share = len(sizes) * n_batches / n_bags
             for k, g in gradients.items():
-                g = g + DECAY * self.p[k]
+                g = share * g + DECAY * self.p[k]
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.999 * second[k] + 0.001 * g * g
                 corrected = np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8
@@ -145,15 +171,22 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(rest == 0, F.lit(False))
 
 
-@F.pandas_udf(ArrayType(FloatType()))
+@F.pandas_udf(BinaryType())
 def _bag(texts: pd.Series) -> pd.Series:
-    bags = []
-    for text in texts:
-        passages = encode_passages(text)
-        if len(passages) > MAX_BAG_PASSAGES:
-            passages = passages[np.linspace(0, len(passages) - 1, MAX_BAG_PASSAGES).astype(int)]
-        bags.append(passages.ravel())
-    return pd.Series(bags, dtype=object)
+    return pd.Series([encode_passages(text).tobytes() for text in texts], dtype=object)
+
+
+def _batches(sizes: np.ndarray) -> list[np.ndarray]:
+    """The bags of each batch, ascending: drawn in a fixed order, none is cut."""
+    batches: list[list[int]] = []
+    room = 0
+    for bag in np.random.default_rng(SEED).permutation(len(sizes)):
+        if not batches or sizes[bag] > room:
+            batches.append([])
+            room = BATCH_PASSAGES
+        batches[-1].append(bag)
+        room -= sizes[bag]
+    return [np.sort(batch) for batch in batches]
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_bags: int = MAX_BAGS) -> GatedAttention | None:
@@ -165,12 +198,34 @@ def fit(docs: DataFrame, labels: DataFrame, max_bags: int = MAX_BAGS) -> GatedAt
     small_batches(docs.sparkSession)
     # A repeated id teaches once: of its texts the one with the smallest hash.
     bags = bags.groupBy("doc_id", "wanted").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    rows = bags.select("doc_id", "wanted", _bag("text").alias("bag")).toPandas().sort_values("doc_id")
-    if rows.empty:
-        return None
-    encoded = [np.asarray(b, dtype=np.float64).reshape(-1, FEATURES) for b in rows["bag"]]
-    x, sizes = np.concatenate(encoded), np.array([len(b) for b in encoded])
-    return GatedAttention(x).train(x, sizes, rows["wanted"].to_numpy(dtype=np.float64))
+    rows = written(few_files(bags.select("doc_id", "wanted", _bag("text").alias("bag"))), "bags")
+    width = FEATURES * np.dtype(np.float32).itemsize
+    found, at = [], 0
+    with tempfile.TemporaryFile() as file:
+        for row in rows.toLocalIterator():
+            file.write(row["bag"])
+            found.append((row["doc_id"], row["wanted"], at, len(row["bag"]) // width))
+            at += len(row["bag"])
+        if not found:
+            return None
+        found.sort()
+        file.flush()
+        wanted = np.array([f[1] for f in found], dtype=np.float64)
+        sizes = np.array([f[3] for f in found])
+        groups = _batches(sizes)
+
+        def batch(i: int) -> Batch:
+            x = np.empty((sizes[groups[i]].sum(), FEATURES), dtype=np.float32)
+            begin = 0
+            for bag in groups[i]:
+                file.seek(found[bag][2])
+                file.readinto(x[begin : begin + sizes[bag]])
+                begin += sizes[bag]
+            return x.astype(np.float64), sizes[groups[i]], wanted[groups[i]]
+
+        x, *rest = batch(0)
+        model = GatedAttention(x)
+        return model.train(x, *rest) if len(groups) == 1 else model.train_batches(batch, len(groups), len(sizes))
 
 
 def scored(text: Column, model: GatedAttention | None) -> Column:

@@ -50,6 +50,32 @@ def test_attention_finds_the_telling_passage():
     assert parts.sum(axis=1) == pytest.approx(np.ones(100))
 
 
+def _long_documents(spark):
+    """Bad documents differ from good ones in passage 3 of 130."""
+    plain, bad = " ".join(["word text line more"] * 25), " ".join(["#### $$$$ word"] * 33 + ["end"])
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % mil.HELD_OUT_OF]
+    text = lambda i: " ".join([*[plain] * 3, plain if i % 2 else bad, *[plain] * 126])
+    docs = spark.createDataFrame([(i, text(i)) for i in ids], "doc_id bigint, text string")
+    return docs, spark.createDataFrame([(i, i % 2) for i in ids], "doc_id bigint, quality int"), ids, text
+
+
+@pytest.mark.parametrize("batch", [1 << 16, 300])
+def test_every_passage_of_a_labelled_document_teaches(spark, monkeypatch, batch):
+    monkeypatch.setattr(mil, "BATCH_PASSAGES", batch)
+    docs, labels, ids, text = _long_documents(spark)
+    model = mil.fit(docs, labels)
+    for i in ids:
+        x = mil.encode_passages(text(i))
+        assert (model.score(x, np.array([len(x)]))[0] >= 0.5) == i % 2
+
+
+def test_batches_hold_whole_bags():
+    sizes = np.array([5, 70_000, 3, 60_000, 40_000, 1])
+    batches = mil._batches(sizes)
+    assert sorted(np.concatenate(batches)) == list(range(6)) and len(batches) > 2
+    assert all(len(b) == 1 or sizes[b].sum() <= mil.BATCH_PASSAGES for b in batches)
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
