@@ -13,6 +13,7 @@ from tapeloom.llm import (
     html_blocks,
     mixing,
     order_minhash,
+    periodic_runs,
     robust_quality,
     secrets,
     simhash,
@@ -34,6 +35,7 @@ _QUERIES: list[Query] = [
     token_counts.op9_token_counts,
     warc.op4_warc_round_trip,
     simhash.op8_simhash_near_dedup,
+    periodic_runs.op11_periodic_runs,
 ]
 
 
