@@ -17,6 +17,7 @@ from tapeloom.llm import (
     robust_quality,
     secrets,
     simhash,
+    source_audit,
     token_counts,
     warc,
 )
@@ -36,6 +37,7 @@ _QUERIES: list[Query] = [
     warc.op4_warc_round_trip,
     simhash.op8_simhash_near_dedup,
     periodic_runs.op11_periodic_runs,
+    source_audit.op12_source_audit,
 ]
 
 
@@ -53,4 +55,5 @@ ORACLES: dict[str, str] = {
     "op4_warc_round_trip": warc.ORACLE,
     "op5_source_mix": mixing.ORACLE,
     "op3_secret_scan": secrets.ORACLE,
+    "op12_source_audit": source_audit.ORACLE,
 }
