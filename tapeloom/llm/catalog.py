@@ -12,6 +12,7 @@ from tapeloom.llm import (
     bpe,
     html_blocks,
     mixing,
+    one_permutation,
     order_minhash,
     periodic_runs,
     robust_quality,
@@ -38,6 +39,7 @@ _QUERIES: list[Query] = [
     simhash.op8_simhash_near_dedup,
     periodic_runs.op11_periodic_runs,
     source_audit.op12_source_audit,
+    one_permutation.op13_minhash_near_dedup,
 ]
 
 
@@ -56,4 +58,5 @@ ORACLES: dict[str, str] = {
     "op5_source_mix": mixing.ORACLE,
     "op3_secret_scan": secrets.ORACLE,
     "op12_source_audit": source_audit.ORACLE,
+    "op13_minhash_near_dedup": one_permutation.ORACLE,
 }
