@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import few_files, small_batches, table
+from tapeloom.llm.common import small_batches, table
 
 MIN_LENGTH = 12
 #: A perfect difference cover: every distance modulo ``PERIOD`` is one of two members.
@@ -275,17 +275,15 @@ def run_digests(docs: DataFrame) -> DataFrame:
         F.sha2(F.col("periodic.collapsed"), 256).alias("collapsed_sha256"),
     )
     exponent = F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("bigint")
-    return few_files(
-        rows.select(
-            "doc_id",
-            "n_runs",
-            F.col("best.start").alias("start"),
-            F.col("best.length").alias("length"),
-            F.col("best.period").alias("period"),
-            exponent.alias("exponent_milli"),
-            "runs_sha256",
-            "collapsed_sha256",
-        )
+    return rows.select(
+        "doc_id",
+        "n_runs",
+        F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"),
+        exponent.alias("exponent_milli"),
+        "runs_sha256",
+        "collapsed_sha256",
     )
 
 
