@@ -36,22 +36,27 @@ def bootstrap(spark: SparkSession, location: str, database: str = "default") ->
         )
 
 
+def checked(df: DataFrame, table: str) -> DataFrame:
+    """Rows as the log has them; one that breaks a NOT NULL column is an error."""
+    return df.select(
+        *[
+            F.when(F.col(f.name).isNull(), F.raise_error(F.lit(f"{table}.{f.name} is NULL")).cast(f.dataType))
+            .otherwise(F.col(f.name))
+            .cast(f.dataType)
+            .alias(f.name)
+            if not f.nullable
+            else F.col(f.name).cast(f.dataType).alias(f.name)
+            for f in TABLES[table].fields
+        ]
+    )
+
+
 def append(df: DataFrame, location: str, table: str, batch: int | None = None) -> None:
     """Append rows to a log; rows breaking a NOT NULL column are an error.
 
     Rows of a numbered batch have a folder of their own, which a repeated batch replaces.
     """
-    schema = TABLES[table]
-    checked = [
-        F.when(F.col(f.name).isNull(), F.raise_error(F.lit(f"{table}.{f.name} is NULL")).cast(f.dataType))
-        .otherwise(F.col(f.name))
-        .cast(f.dataType)
-        .alias(f.name)
-        if not f.nullable
-        else F.col(f.name).cast(f.dataType).alias(f.name)
-        for f in schema.fields
-    ]
-    rows = df.select(*checked).write
+    rows = checked(df, table).write
     if batch is None:
         rows.mode("append").parquet(f"{location}/{table}")
     else:
@@ -107,6 +112,26 @@ def append_transcripts(existing: DataFrame, new: DataFrame) -> DataFrame:
     return existing.unionByName(new)
 
 
+def last_writes(log: DataFrame) -> DataFrame:
+    """The rows of a session log that still matter: the last of each (id, op)."""
+    row = F.struct(*[f.name for f in schemas.SESSION_LOG if f.name not in ("id", "op")])
+    newest = log.groupBy("id", "op").agg(F.max_by(row, "seq").alias("row"))
+    return newest.select("id", "op", "row.*")
+
+
+def first_and_last_notes(log: DataFrame) -> DataFrame:
+    """The rows of a notes log that still matter: the first (its identity) and the last of each session."""
+    row = F.struct(*[f.name for f in schemas.NOTES_LOG if f.name != "session_id"])
+    ends = log.groupBy("session_id").agg(F.min_by(row, "seq").alias("first"), F.max_by(row, "seq").alias("last"))
+    both = F.when(F.col("first.seq") < F.col("last.seq"), F.array("first", "last")).otherwise(F.array("last"))
+    return ends.select("session_id", F.explode(both).alias("row")).select("session_id", "row.*")
+
+
+def last_numbers(numbers: DataFrame) -> DataFrame:
+    """The last ``row_id`` of each session."""
+    return numbers.groupBy("session_id").agg(F.max("row_id").alias("row_id"))
+
+
 def _last(value: Column, condition: Column) -> Column:
     return F.max_by(value, F.when(condition, F.col("seq")))
 

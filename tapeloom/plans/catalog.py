@@ -7,10 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeloom.plans import audio_queries, device_queries, store_queries, stream_queries, text_queries
+from tapeloom.plans import audio_queries, device_queries, snapshot_queries, store_queries, stream_queries, text_queries
 from tapeloom.session import ship_package
 
-_AREAS = [store_queries, text_queries, audio_queries, device_queries, stream_queries]
+_AREAS = [store_queries, snapshot_queries, text_queries, audio_queries, device_queries, stream_queries]
 
 Query = Callable[[SparkSession, str], DataFrame]
 

@@ -4,7 +4,8 @@ chunks → metrics → session rows and WAV files → mix → targets → upload
 transcripts → notes.  Results needed more than once are written as tables under ``root``, a
 folder the cluster shares, and read back: later steps start from files, so a
 lost executor costs only its own tasks.  The logs of the store grow by one folder per
-batch and step; repeating a batch replaces its folders and adds nothing.
+batch, and the batch is folded into snapshots: it reads and writes the buckets of its own
+sessions, whatever the store holds besides.  Repeating a batch replaces its folders and adds nothing.
 """
 
 from __future__ import annotations
@@ -12,9 +13,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom import providers
+from tapeloom import providers, schemas
 from tapeloom.operators import audio, notes, store
-from tapeloom.schemas import SESSION_LOG
+from tapeloom.operators.buckets import BucketLog, Snapshot
 from tapeloom.session import full_uri
 from tapeloom.sources import wav
 
@@ -35,27 +36,33 @@ def _log_rows(frame: DataFrame) -> DataFrame:
     return frame.select(
         *[
             (F.col(f.name) if f.name in present else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in SESSION_LOG.fields
+            for f in schemas.SESSION_LOG.fields
         ]
     )
 
 
-def _log_sessions(frame: DataFrame, root: str, batch: int, step: str) -> None:
-    # Update rows carry no session fields, so only the keys are checked here.
-    _log_rows(frame).write.mode("overwrite").parquet(f"{root}/session_log/batch={batch}/step={step}")
+class Store:
+    """The tables of all batches under one root: logs in buckets, and snapshots that each batch is folded into."""
 
+    def __init__(self, spark: SparkSession, root: str):
+        log = lambda name, schema, key: BucketLog(spark, root, name, schema, key)
+        self.sessions = Snapshot(log("session_log", schemas.SESSION_LOG, "id"), store.last_writes)
+        self.transcripts = log("transcripts", schemas.TRANSCRIPTS, "session_id")
+        self.numbers = Snapshot(log("transcript_numbers", schemas.TRANSCRIPT_NUMBERS, "session_id"), store.last_numbers)
+        self.notes = Snapshot(log("notes_log", schemas.NOTES_LOG, "session_id"), store.first_and_last_notes)
 
-def sessions(spark: SparkSession, root: str) -> DataFrame:
-    return store.compact_sessions(store.read_log(spark, root, "session_log"))
+
+def sessions(spark: SparkSession, root: str, wanted: DataFrame | None = None) -> DataFrame:
+    """Sessions after all batches, or the wanted ``id``s."""
+    return store.compact_sessions(Store(spark, root).sessions.rows(wanted=wanted))
 
 
 def outcomes(spark: SparkSession, root: str, wanted: DataFrame | None = None) -> DataFrame:
     """What the store holds of all sessions (or the wanted ``id``s), over all batches."""
-    found = sessions(spark, root)
-    if wanted is not None:
-        found = found.join(wanted.select("id"), "id", "left_semi")
-    noted = store.compact_notes(store.read_log(spark, root, "notes_log"))
-    return store.session_outcomes(found, store.read_log(spark, root, "transcripts"), noted, few=wanted is not None)
+    held = Store(spark, root)
+    asked = None if wanted is None else wanted.select(F.col("id").alias("session_id"))
+    noted = store.compact_notes(held.notes.rows(wanted=asked))
+    return store.session_outcomes(sessions(spark, root, wanted), held.transcripts.rows(wanted=asked), noted)
 
 
 def process_batch(
@@ -79,6 +86,7 @@ def process_batch(
     one by one, and no other session is touched.
     """
     root = full_uri(spark, root).rstrip("/")
+    held = Store(spark, root)
     here = f"{root}/batch={batch}"
     raw = F.concat(F.lit(f"{root}/"), "session_id", F.lit("/raw/"), "channel", F.lit(".wav"))
     metrics = _written(audio.channel_metrics(channels, chunks).withColumn("path", raw), f"{here}/channel_metrics")
@@ -86,7 +94,8 @@ def process_batch(
 
     rollup = audio.session_rollup(metrics, F.col("path")).withColumnRenamed("session_id", "id")
     saved = requests.join(rollup, "id").withColumn("seq", F.lit(2 * batch)).withColumn("op", F.lit(store.SAVE))
-    _log_sessions(saved, root, batch, store.SAVE)
+    # Update rows carry no session fields, so only the keys of this log are checked.
+    writes = _log_rows(saved)
 
     out = {"metrics": metrics}
     mixed = mix = None
@@ -109,9 +118,11 @@ def process_batch(
             F.col("session_id").alias("id"),
             F.col("path").alias("mix_path"),
         )
-        _log_sessions(updates, root, batch, store.UPDATE_MIX)
+        writes = writes.unionByName(_log_rows(updates))
+    held.sessions.log.append(writes, batch)
+    held.sessions.fold(batch)
 
-    current = sessions(spark, root).join(requests.select("id"), "id", "left_semi")
+    current = sessions(spark, root, requests)
     out["sessions"] = current
     if transcriber is None:
         return out
@@ -120,23 +131,25 @@ def process_batch(
         results = providers.placeholder_transcripts(current, targets).withColumn("part", F.lit(0).cast("bigint"))
     else:
         sizes = metrics.select("path", "frames", "sample_rate", "n_channels")
-        held = chunks
+        audible = chunks
         if mixed is not None:
             sizes = sizes.unionByName(mixed.select("path", "frames", "sample_rate", "n_channels"))
             columns = ["session_id", "channel", "frame_start", "n_frames", "n_channels", "samples"]
-            held = chunks.select(*columns).unionByName(mix.select(*columns))
+            audible = chunks.select(*columns).unionByName(mix.select(*columns))
         files = targets.join(sizes, "path")
         # A file within the limit is one chunk; the split leaves it whole.
         manifest = audio.split_manifest(files, max_upload_bytes)
-        results = providers.transcribe(manifest, providers.TRANSCRIBERS[transcriber], targets, held)
+        results = providers.transcribe(manifest, providers.TRANSCRIBERS[transcriber], targets, audible)
         results = results.withColumn("path", F.col("channel"))
     # Answers are kept before they are numbered: no backend is called twice.
     results = _written(results, f"{here}/answers")
-    store.bootstrap_folder(spark, root, "transcripts")
-    earlier = store.read_log(spark, root, "transcripts", before=batch)
+    # Numbers go on where the ledger says, which is read in the buckets of these sessions only.
+    earlier = held.numbers.rows(before=batch, wanted=results.select("session_id"))
     rows = store.numbered_transcripts(results, ["path"], earlier).drop("path")
-    store.append(rows, root, "transcripts", batch)
-    spoken = store.read_log(spark, root, "transcripts", only=batch)
+    held.transcripts.append(store.checked(rows, "transcripts"), batch)
+    spoken = held.transcripts.rows([batch])
+    held.numbers.log.append(store.last_numbers(spoken), batch)
+    held.numbers.fold(batch)
     out["transcripts"] = spoken
     if summariser is None:
         return out
@@ -146,6 +159,8 @@ def process_batch(
         written = notes.default_notes(current, latest)
     else:
         written = providers.write_notes(current, latest, providers.SUMMARISERS[summariser])
-    store.append(written.withColumn("seq", F.lit(batch).cast("bigint")), root, "notes_log", batch)
-    out["notes"] = store.compact_notes(store.read_log(spark, root, "notes_log", only=batch))
+    rows = store.checked(written.withColumn("seq", F.lit(batch).cast("bigint")), "notes_log")
+    held.notes.log.append(rows, batch)
+    held.notes.fold(batch)
+    out["notes"] = store.compact_notes(held.notes.log.rows([batch]))
     return out

@@ -16,7 +16,7 @@ from tapeloom.sources import tables
 _SESSION = ["id", "name", "created_at", "duration", "sample_rate", "channels"]
 
 
-def _flat(sessions: DataFrame) -> DataFrame:
+def flat(sessions: DataFrame) -> DataFrame:
     return sessions.select(
         *_SESSION,
         F.col("audio_paths")["microphone"].alias("microphone_path"),
@@ -55,11 +55,11 @@ def store_bootstrap(spark, sf_dir):
 
 def session_replace_upsert(spark, sf_dir):
     log = tables.session_log(spark, sf_dir).filter(F.col("op") == store.SAVE)
-    return _flat(store.compact_sessions(log))
+    return flat(store.compact_sessions(log))
 
 
 def session_mix_update(spark, sf_dir):
-    return _flat(_sessions(spark, sf_dir))
+    return flat(_sessions(spark, sf_dir))
 
 
 def notes_keyed_upsert(spark, sf_dir):
@@ -89,7 +89,7 @@ def transcript_append(spark, sf_dir):
 
 def session_lookup(spark, sf_dir):
     wanted = tables.transcripts(spark, sf_dir).select(F.col("session_id").alias("id"))
-    return _flat(store.lookup(_sessions(spark, sf_dir), wanted, "id"))
+    return flat(store.lookup(_sessions(spark, sf_dir), wanted, "id"))
 
 
 def transcript_scan(spark, sf_dir):
@@ -107,11 +107,11 @@ def notes_lookup(spark, sf_dir):
 
 
 def list_sessions_topk(spark, sf_dir):
-    return _flat(store.list_sessions(_sessions(spark, sf_dir), 10))
+    return flat(store.list_sessions(_sessions(spark, sf_dir), 10))
 
 
 def list_sessions_all(spark, sf_dir):
-    return _flat(store.list_sessions(_sessions(spark, sf_dir)))
+    return flat(store.list_sessions(_sessions(spark, sf_dir)))
 
 
 def _outcome(sessions: DataFrame, spark, sf_dir, few: bool = False) -> DataFrame:

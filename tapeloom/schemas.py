@@ -49,6 +49,11 @@ TRANSCRIPTS = T.StructType(
     ]
 )
 
+#: The last row number of a session's transcripts, one row a session and batch.
+TRANSCRIPT_NUMBERS = T.StructType(
+    [T.StructField("session_id", T.StringType(), False), T.StructField("row_id", T.LongType(), False)]
+)
+
 #: Append-only write log of the notes table.
 NOTES_LOG = T.StructType(
     [
