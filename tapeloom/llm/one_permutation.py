@@ -7,15 +7,18 @@ size have all bins.  ``BANDS`` bands of ``ROWS`` bins are hashed to bucket keys;
 of similarity 0.8 shares no bucket with probability (1 - 0.8^ROWS)^BANDS, under 4e-10.
 
 Equal sets are one node (a 128-bit digest), so groups of exact copies cost one row.
-A bucket never gives all of its pairs: its smallest node is the centre of a star, so
-there are fewer edges than bucket entries.  Each edge is confirmed on the full sets.
-Buckets whose members are one component after that are done.  In the others the centres
-leave, more of the remaining members become centres (``GROW`` times as many a round),
-and only edges between different components are confirmed, until no bucket with two
-components is left: every pair that shares a bucket is confirmed, linked through others, or
-known to be in one component.  Nothing is capped and no bucket is gathered: buckets are
-keys of partial aggregates and joins, and the members of one centre are dealt to ``SALTS``
-streams that hold one set at a time.
+A bucket never gives all of its pairs: it gives a star, from the member that shares the
+most buckets with others (of a group of near copies, the one most like the rest), so there are
+fewer edges than bucket entries.  Each edge is confirmed on the full sets.  A bucket whose
+members are in one component after that has no more to tell.  For the others the star is no
+proof: members that are not like its centre may be like each other.  They form lists, which are
+compared on the full sets as well: inside a task, between different components only, by
+postings of their shingles, and a list gives a spanning forest of its links.  Lists of more
+than ``LIST_SETS`` sets or ``LIST_SHINGLES`` shingles are cut into blocks and every two blocks
+meet in a task of their own, so nothing is capped and memory is bounded; of buckets with
+the same members one is compared.
+
+The members of one centre are dealt to ``SALTS`` streams that hold one set at a time.
 
 Defined cases: a text without words (also NULL) has an empty set and is linked with
 nothing, its component is its own ``doc_id``; a text of fewer words than a shingle has the
@@ -27,7 +30,7 @@ are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -44,8 +47,10 @@ MIN_PERCENT = 80
 BANDS, ROWS = 72, 6
 BINS = BANDS * ROWS
 SEED = 13
-#: Centres of a round against the round before.
-GROW = 4
+#: Sets and shingles of one block of a list.
+LIST_SETS, LIST_SHINGLES = 2048, 1_500_000
+#: Entries of postings that are counted at once.
+_POSTINGS = 1 << 22
 #: Streams that the members of one centre are dealt to.
 SALTS = 64
 
@@ -150,44 +155,87 @@ def _close_sizes(m: Column, n: Column) -> Column:
     return 100 * F.least(m, n) >= MIN_PERCENT * F.greatest(m, n)
 
 
-def _stars(members: DataFrame, centres: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each bucket's centres and its other members of sizes near enough, once each."""
-    held = centres.select("key", F.col("node").alias("c"), F.col("n").alias("c_n"), F.col("root").alias("c_root"))
-    met = members.join(held, "key").where((F.col("root") != F.col("c_root")) & _close_sizes(F.col("n"), F.col("c_n")))
-    return met.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
-
-
-def links(nodes: DataFrame, sets_of) -> DataFrame:
+def _list_links(sets: list[np.ndarray], roots: list[bytes], blocks: np.ndarray) -> list[tuple[int, int]]:
+    """Spanning links between sets of different roots; of two blocks only sets of different blocks are compared."""
+    m, sizes = len(sets), np.array([len(x) for x in sets])
+    label = np.unique(np.array(roots, dtype=object), return_inverse=True)[1]
+    owner = np.repeat(np.arange(m), sizes)
+    item = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    order = np.argsort(item, kind="stable")
+    posts, df = owner[order], np.bincount(item)
+    offsets, first = np.cumsum(df) - df, np.cumsum(sizes) - sizes
+    apart = blocks.min() != blocks.max()
+    found = []
+    for r in range(m):
+        other = (label != label[r]) & (100 * np.minimum(sizes, sizes[r]) >= MIN_PERCENT * np.maximum(sizes, sizes[r]))
+        other[: r + 1] = False
+        if apart:
+            other &= blocks != blocks[r]
+        if not other.any():
+            continue
+        own = item[first[r] : first[r] + sizes[r]]
+        cuts = np.searchsorted(np.cumsum(df[own]), np.arange(_POSTINGS, int(df[own].sum()), _POSTINGS))
+        both = np.zeros(m, dtype=np.int64)
+        for part in np.split(own, cuts):
+            n = df[part]
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(offsets[part], n)
+            both += np.bincount(posts[at], minlength=m)
+        for k in np.flatnonzero(other & (100 * both >= MIN_PERCENT * (sizes + sizes[r] - both))).tolist():
+            if label[k] != label[r]:
+                label[label == label[k]] = label[r]
+                found.append((r, k))
+    return found
+
+
+def _compared(part: pa.Table) -> pa.Table:
+    nodes, roots = part.column("node").to_pylist(), part.column("root").to_pylist()
+    sets = [np.frombuffer(x, dtype="<u8") for x in part.column("items").to_pylist()]
+    pairs = _list_links(sets, roots, part.column("block").to_numpy())
+    return pa.table({"a": pa.array([nodes[i] for i, _ in pairs], pa.binary()), "b": pa.array([nodes[k] for _, k in pairs], pa.binary())})
+
+
+def compared(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between members (key, node, root, n) of one list whose roots differ, by the full sets."""
+    hashes = F.xxhash64("node"), F.xxhash64(F.lit(1), "node")
+    kinds = lists.groupBy("key").agg(
+        F.count("*").alias("m"), F.sum("n").alias("total"),
+        F.bit_xor(hashes[0]).alias("one"), F.bit_xor(hashes[1]).alias("two"),
+    )
+    # Of buckets with the same members one is compared.
+    kinds = kinds.groupBy("m", "total", "one", "two").agg(F.min("key").alias("key"))
+    n_blocks = F.greatest(F.ceil(F.col("m") / LIST_SETS), F.ceil(F.col("total") / LIST_SHINGLES)).cast("int")
+    rows = lists.join(kinds.select("key", n_blocks.alias("n_blocks")), "key")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("key", "node"), F.col("n_blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    # Every block meets itself and each other block in a task of its own.
+    rows = rows.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "root")
+    groups = rows.join(sets, "node").groupBy("key", "low", "high")
+    return groups.applyInArrow(_compared, "a binary, b binary")
+
+
+def links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Confirmed links (a, b) that join every component; ``nodes`` has (node, n, keys), one row each.
 
     ``sets_of(wanted)`` gives (node, items) of the wanted nodes.
     """
     listed = nodes.select("node", "n", F.explode("keys").alias("key"))
-    sizes = listed.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("centre"))
-    shared = written(sizes.where("m > 1").select("key", "centre"), "minhash-buckets")
-    members = listed.join(shared, "key").withColumn("root", F.col("node"))
-    members = written(members, "minhash-members")
+    shared = written(listed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "minhash-buckets")
+    members = written(listed.join(shared, "key"), "minhash-members")
     sets = written(sets_of(members.select("node").distinct()), "minhash-sets")
-    found, most = None, 1
-    while True:
-        # The smallest node and about ``most`` others of a bucket, by a hash of node and bucket.
-        share = F.pmod(F.xxhash64("key", "node"), F.col("m")) < most - 1
-        rows = members if found is None else members.join(members.groupBy("key").agg(F.count("*").alias("m")), "key")
-        is_centre = F.col("node") == F.col("centre")
-        if found is not None:
-            is_centre = is_centre | share
-        pairs = _stars(members, rows.where(is_centre))
-        here = written(few_files(confirmed(pairs, sets)), "minhash-links")
-        found = here if found is None else found.unionByName(here)
-        roots = written(few_files(components(found)), "minhash-roots")
-        # Centres have met all others of their bucket and leave it; a bucket of one component has no more to tell.
-        rest = rows.where(~is_centre).select("key", "node", "n").join(roots, "node", "left")
-        rest = rest.select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-        buckets = rest.groupBy("key").agg(F.min("node").alias("centre"), F.min("root").alias("low"), F.max("root").alias("high"))
-        members = written(rest.join(buckets.where("low <> high").select("key", "centre"), "key"), "minhash-members")
-        if members.isEmpty():
-            return found
-        most *= GROW
+    company = members.groupBy("node").agg(F.sum("m").alias("company"))
+    best = F.max_by(F.struct("node", "n"), F.struct("company", "node"))
+    centres = written(few_files(members.join(company, "node").groupBy("key").agg(best.alias("centre"))), "minhash-centres")
+    met = members.join(centres, "key").where(F.col("node") != F.col("centre.node"))
+    stars = met.where(_close_sizes(F.col("n"), F.col("centre.n")))
+    pairs = stars.select(F.col("centre.node").alias("a"), F.col("node").alias("b")).distinct()
+    by_stars = written(few_files(confirmed(pairs, sets)), "minhash-links")
+    # The centre has met all others of its bucket; what they have to tell is told if they are one component.
+    roots = components(by_stars)
+    rest = met.select("key", "node", "n").join(roots, "node", "left")
+    rest = written(rest.select("key", "node", "n", F.coalesce("root", "node").alias("root")), "minhash-rest")
+    open_keys = rest.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    by_lists = written(few_files(compared(rest.join(open_keys.select("key"), "key"), sets)), "minhash-links")
+    return by_stars.unionByName(by_lists)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

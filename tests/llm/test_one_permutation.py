@@ -95,6 +95,28 @@ def test_confirmation_at_the_limit():
     assert not op.linked(a[:10], a[2:12]) and op.linked(a[:18], a[2:20])
 
 
+def test_postings_in_parts_count_the_same(monkeypatch):
+    rng = np.random.default_rng(4)
+    base = np.unique(rng.integers(0, 1 << 60, 200, dtype=np.uint64))
+    sets = [np.sort(rng.choice(base, rng.integers(100, 190), replace=False)) for _ in range(40)]
+    roots, blocks = [bytes([i]) for i in range(40)], np.zeros(40, dtype=np.int64)
+
+    def classes():
+        root = list(range(40))
+        for a, b in op._list_links(sets, roots, blocks):
+            root = [root[a] if x == root[b] else x for x in root]
+        return [root.index(x) for x in root]
+
+    want = list(range(40))
+    for i in range(40):
+        for j in range(i):
+            if op.linked(sets[i], sets[j]):
+                want = [want[j] if x == want[i] else x for x in want]
+    assert classes() == [want.index(x) for x in want] and len(set(want)) < 40
+    monkeypatch.setattr(op, "_POSTINGS", 50)
+    assert classes() == [want.index(x) for x in want]
+
+
 def _clusters(seed):
     rng = random.Random(seed)
     word = lambda: f"w{rng.randrange(3000)}"
@@ -121,10 +143,11 @@ def test_components_equal_brute_force(spark):
     assert _got(_frame(spark, rows)) == plain_classes(rows)
 
 
-def test_stars_alone_would_lose_links_that_the_rounds_find(spark, monkeypatch):
-    """With one bucket for all texts every star but the centre's own has to come from later rounds."""
+@pytest.mark.parametrize("most", [2048, 20])
+def test_stars_alone_would_lose_links_that_the_lists_find(spark, monkeypatch, most):
+    """With one bucket for all texts there is one star; all other links have to come from lists, in blocks or not."""
     rows = _clusters(6)
-    monkeypatch.setattr(op, "keys_of", lambda bins: np.zeros(1, dtype=np.uint64))
+    monkeypatch.setattr(op, "LIST_SETS", most)
     want = plain_classes(rows)
     nodes, sets = {}, {}
     for _, text in rows:
