@@ -16,7 +16,7 @@ from tapeloom.functions import codec, pcm
 from tapeloom.functions.text import strip
 from tapeloom.operators.ordered import PAGE_ROWS
 from tapeloom.operators.transcripts import KEY, parse_responses
-from tapeloom.streaming.ordered_state import Finish, process_in_order
+from tapeloom.streaming.ordered_state import LATE, process_in_order
 
 LOG = logging.getLogger(__name__)
 
@@ -29,11 +29,6 @@ def _fields(ddl: str) -> list[T.StructField]:
     return [T.StructField(n, types[t]()) for n, t in (part.split() for part in ddl.split(","))]
 
 
-def _missing(what: str, held: pd.DataFrame, order: str) -> str | None:
-    """The error of rows that waited behind a gap."""
-    return f"{what} missing before {int(held[order].iloc[0])}" if len(held) else None
-
-
 def packet_stream(
     spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None
 ) -> DataFrame:
@@ -51,7 +46,8 @@ def rechunk_stream(packets: DataFrame, chunk_frames: int, idle_ms: int | None =
     a shorter chunk of whole frames; later packets are ignored.  A channel that is
     silent for ``idle_ms`` is drained the same way: waiting bytes, then the packets
     behind a gap, so nothing that arrived is lost; ``error`` of those chunks names
-    the gap.  A channel that resumes goes on with the next chunk number.
+    the gap.  A channel that resumes goes on with the next chunk number; packets of a gap
+    that was passed over are late rows.
     """
     output = T.StructType(
         _KEY_FIELDS
@@ -59,7 +55,7 @@ def rechunk_stream(packets: DataFrame, chunk_frames: int, idle_ms: int | None =
     )
     widths = {name: size for name, (size, _, _) in pcm.CAPTURE_FORMATS.items()}
 
-    def cut(data: bytes, layout: tuple, first: int, last: bool, error: str | None) -> tuple[bytes, int, pd.DataFrame]:
+    def cut(data: bytes, layout: tuple, first: int, last: bool) -> tuple[bytes, int, pd.DataFrame]:
         """Whole chunks of ``data`` (and with ``last`` a shorter one): the rest, the next number, the rows."""
         sample_format, rate, channels = layout
         frame = widths[sample_format] * channels
@@ -73,7 +69,6 @@ def rechunk_stream(packets: DataFrame, chunk_frames: int, idle_ms: int | None =
                 "sample_rate": rate,
                 "n_channels": channels,
                 "samples": [pcm.decode_bytes(p, sample_format) for p in pieces],
-                "error": error,
             }
         )
         return b"" if last else data[end:], first + len(pieces), rows
@@ -94,23 +89,19 @@ def rechunk_stream(packets: DataFrame, chunk_frames: int, idle_ms: int | None =
             return state, None
         layout = layout_of(rows)
         data, ended = upto_eof(rows)
-        rest, next_chunk, out = cut((waiting or b"") + data, layout, next_chunk, ended, None)
+        rest, next_chunk, out = cut((waiting or b"") + data, layout, next_chunk, ended)
         return (rest, next_chunk, ended, *layout), out
 
-    def drained(state, held):
+    def close(state):
         waiting, next_chunk, ended, *layout = state
-        if ended:
-            return state, None
-        layout = tuple(layout) if layout[0] else layout_of(held) if len(held) else None
-        if layout is None:
+        if ended or layout[0] is None:
             return state, None
-        data, ended = upto_eof(held) if len(held) else (b"", False)
-        rest, next_chunk, out = cut((waiting or b"") + data, layout, next_chunk, True, _missing("packets", held, "seq"))
+        rest, next_chunk, out = cut(waiting or b"", tuple(layout), next_chunk, True)
         return (rest, next_chunk, ended, *layout), out
 
     state = _fields("waiting binary,next_chunk long,ended boolean,sample_format string,sample_rate int,n_channels int")
     chunks = process_in_order(
-        packets, KEY, "seq", state, (b"", 0, False, None, None, None), output, step, Finish(drained), idle_ms
+        packets, KEY, "seq", state, (b"", 0, False, None, None, None), output, step, "packets", close, idle_ms
     )
     return chunks.select(
         *KEY,
@@ -121,6 +112,7 @@ def rechunk_stream(packets: DataFrame, chunk_frames: int, idle_ms: int | None =
         "n_channels",
         "samples",
         "error",
+        *([LATE] if idle_ms is not None else []),
     )
 
 
@@ -129,7 +121,8 @@ def partials_stream(responses: DataFrame, page_rows: int = PAGE_ROWS, idle_ms: i
 
     The state is a handful of counters; texts and raw responses pass through and are
     not kept.  Of a channel silent for ``idle_ms`` the responses behind a gap are
-    folded in order, their ``error`` names the gap; a channel that resumes goes on.
+    folded in order, their ``error`` names the gap; a channel that resumes goes on, and
+    responses of a gap that was passed over are late rows.
     """
     parsed = parse_responses(responses).select(
         *KEY,
@@ -166,21 +159,14 @@ def partials_stream(responses: DataFrame, page_rows: int = PAGE_ROWS, idle_ms: i
                 "text_length": chars_now + np.maximum(filled_now - 1, 0),
                 "n_segments": segments_now,
                 "n_entries": entries_now,
-                "error": None,
             }
         )
         last = (float(starts[-1]), int(chars_now[-1]), int(filled_now[-1]), int(segments_now[-1]), int(entries_now[-1]))
         return last, out
 
-    def drained(state, held):
-        if not len(held):
-            return state, None
-        state, out = step(state, held)
-        return state, out.assign(error=_missing("responses", held, "chunk_index"))
-
     state = _fields("start double,chars long,filled long,segments long,entries long")
     partials = process_in_order(
-        parsed, KEY, "chunk_index", state, (0.0, 0, 0, 0, 0), output, step, Finish(drained), idle_ms
+        parsed, KEY, "chunk_index", state, (0.0, 0, 0, 0, 0), output, step, "responses", lambda state: (state, None), idle_ms
     )
     return partials.withColumn("segments", codec.segments_from_json(F.col("segments_json"))).drop("segments_json")
 
@@ -191,7 +177,8 @@ def events_stream(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
     The stop gives one more row, ``is_final``: the lengths of the whole text.  A key
     silent for ``idle_ms`` is closed in the same way, after the events behind a gap,
     whose ``error`` (and the closing row's) names the gap.  A key that resumes without a
-    stop goes on, and is closed again with its new lengths.
+    stop goes on, and is closed again with its new lengths; events of a gap that was passed
+    over are late rows.
     """
     decoded = events.withColumn("event", codec.decode_event(F.col("line"))).select(
         *KEY, "seq", "event.is_stop", "event.piece", (strip(F.col("event.piece")) != "").alias("filled")
@@ -204,8 +191,8 @@ def events_stream(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
 
     def closing(seq: int, position: int, raw_end: int, segments: int) -> pd.DataFrame:
         return pd.DataFrame(
-            [(seq, position, None, raw_end, segments, False, True, None)],
-            columns=["seq", "position", "piece", "raw_end", "n_segments", "emitted", "is_final", "error"],
+            [(seq, position, None, raw_end, segments, False, True)],
+            columns=["seq", "position", "piece", "raw_end", "n_segments", "emitted", "is_final"],
         )
 
     def step(state, rows):
@@ -227,7 +214,6 @@ def events_stream(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
                 "n_segments": counts,
                 "emitted": counts > 0,
                 "is_final": False,
-                "error": None,
             }
         )
         if len(live):
@@ -236,17 +222,12 @@ def events_stream(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
             out = pd.concat([out, closing(int(rows["seq"].iloc[stops[0]]), position, raw_end, segments)])
         return (raw_end, segments, position, bool(len(stops)), last_seq), out
 
-    def drained(state, held):
-        out = None
-        if len(held):
-            state, out = step(state, held)
+    def close(state):
         raw_end, segments, position, stopped, last_seq = state
-        if not stopped:
-            out = pd.concat([out, closing(last_seq, position, raw_end, segments)])
-        return state, None if out is None else out.assign(error=_missing("events", held, "seq"))
+        return state, None if stopped else closing(last_seq, position, raw_end, segments)
 
     state = _fields("raw_end long,segments long,position long,stopped boolean,last_seq long")
-    return process_in_order(decoded, KEY, "seq", state, (0, 0, 0, False, -1), output, step, Finish(drained), idle_ms)
+    return process_in_order(decoded, KEY, "seq", state, (0, 0, 0, False, -1), output, step, "events", close, idle_ms)
 
 
 def live_frames(chunks: DataFrame) -> DataFrame:
@@ -254,21 +235,35 @@ def live_frames(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy(*KEY).agg(F.sum(F.col("n_frames").cast("bigint")).alias("frames"))
 
 
+def start(frame: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Append a stream's rows to ``path``; late rows go into a partition of their own."""
+    if LATE in frame.columns:
+        writer = frame.withColumn("is_late", F.col(LATE).isNotNull()).writeStream.partitionBy("is_late")
+    else:
+        writer = frame.writeStream
+    writer = writer.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+    return writer.outputMode("append").trigger(**trigger).start()
+
+
 def drain(frame: DataFrame, path: str, checkpoint: str) -> None:
     """Work off everything that has arrived, append it to ``path`` and stop.
 
     Pausing is not running this; nothing is lost, because the next run on the
     same checkpoint goes on where the last one ended.
     """
-    query = (
-        frame.writeStream.format("parquet")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    start(frame, path, checkpoint, availableNow=True).awaitTermination()
+
+
+def on_time(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """What a stream with a timeout has given, without its late rows."""
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("is_late", T.BooleanType())])).parquet(path)
+    return rows.where("NOT is_late").drop("is_late", LATE)
+
+
+def late_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Keys and numbers of rows that came for a gap after it had been passed over."""
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("is_late", T.BooleanType())])).parquet(path)
+    return rows.where("is_late").select(*KEY, LATE)
 
 
 def dead_letters(spark: SparkSession, path: str) -> list[int]:

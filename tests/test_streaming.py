@@ -1,6 +1,8 @@
 """Streams end up where their batch twins do: any order, any restarts."""
 
+import os
 import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -10,8 +12,8 @@ from pyspark.sql import types as T
 
 from tapeloom import schemas
 from tapeloom.operators import audio, transcripts
-from tapeloom.streaming import jobs
-from tapeloom.streaming.ordered_state import process_in_order
+from tapeloom.streaming import jobs, ordered_state
+from tapeloom.streaming.ordered_state import InOrder
 from tests.test_transcripts import EVENT_LINES, _answer
 
 
@@ -117,133 +119,262 @@ def test_event_fold_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, closing)) == sorted((r.session_id, 12, r.raw_end, r.n) for r in last)
 
 
-def _step_by_hand(operator, *args):
-    """The functions a stream would call, taken out so that a timeout needs no clock."""
-    caught = {}
+class _Value:
+    def __init__(self, log):
+        self.held, self.log = None, log
 
-    def catch(stream, keys, order, state, initial, output, step, finish=None, idle_ms=None):
-        caught.update(step=step, finish=finish, initial=initial, state=[f.name for f in state])
-        raise LookupError
+    def exists(self):
+        return self.held is not None
 
-    kept, jobs.process_in_order = jobs.process_in_order, catch
-    try:
-        with pytest.raises(LookupError):
-            operator(*args)
-    finally:
-        jobs.process_in_order = kept
-    return caught
+    def get(self):
+        return self.held
+
+    def update(self, value):
+        self.held = tuple(value)
+        self.log.append(sum(len(v) if isinstance(v, bytes | bytearray) else 8 for v in value))
 
 
-def test_an_idle_channel_is_drained_with_its_held_packets():
-    call = _step_by_hand(jobs.rechunk_stream, None, 2)
-    packet = lambda seq, data: {"seq": seq, "payload": data, "sample_format": "s16le", "sample_rate": 8000, "n_channels": 1, "eof": False}
-    state, out = call["step"](call["initial"], pd.DataFrame([packet(0, bytes(5)), packet(1, bytes(2))]))
-    assert list(out["n_frames"]) == [2] and len(state[0]) == 3
-    quiet = call["finish"](state, pd.DataFrame())
-    assert list(quiet["n_frames"]) == [1] and list(quiet["error"]) == [None]
-    held = pd.DataFrame([packet(4, bytes(4)), packet(6, bytes(3))])
-    drained = call["finish"](state, held)
-    assert list(drained["chunk_idx"]) == [1, 2, 3] and list(drained["n_frames"]) == [2, 2, 1]
-    assert set(drained["error"]) == {"packets missing before 4"}
-    assert list(call["finish"](call["initial"], held)["n_frames"]) == [2, 1]
-    assert call["finish"](call["initial"], pd.DataFrame()) is None
+class _Map(dict):
+    def __init__(self, log):
+        self.log = log
 
+    def containsKey(self, key):
+        return key in self
 
-def test_an_idle_event_stream_is_closed(spark):
-    events = spark.createDataFrame([], schemas.TRANSCRIPT_EVENTS)
-    call = _step_by_hand(jobs.events_stream, events)
-    rows = pd.DataFrame({"seq": [0, 1], "is_stop": [False, False], "piece": ["ab", None], "filled": [True, None]})
-    state, out = call["step"](call["initial"], rows)
-    assert out[["seq", "raw_end", "n_segments"]].values.tolist() == [[0, 2, 1]]
-    closing = call["finish"](state, pd.DataFrame())
-    assert closing[["seq", "raw_end", "n_segments", "is_final"]].values.tolist() == [[1, 2, 1, True]]
+    def getValue(self, key):
+        return self[key]
 
+    def updateValue(self, key, value):
+        self[key] = value
+        self.log.append(sum(len(v) if isinstance(v, bytes | bytearray) else 8 for v in value))
 
-class Store:
-    """The state of one key, as a stream would keep it."""
+    def removeKey(self, key):
+        del self[key]
 
-    exists = hasTimedOut = False
+    def keys(self):
+        return iter(list(super().keys()))
 
-    def update(self, value):
-        self.get, self.exists = value, True
+    def iterator(self):
+        return iter(list(self.items()))
+
+
+class _Handle:
+    """The state of one key, as a stream would keep it; ``written`` counts the bytes of its updates."""
+
+    def __init__(self):
+        self.written, self.timers = [], []
+
+    def getValueState(self, _name, _schema):
+        return _Value(self.written)
+
+    def getMapState(self, _name, _key, _value):
+        return _Map(self.written)
 
-    def remove(self):
-        self.exists = False
+    def registerTimer(self, at):
+        self.timers.append(at)
 
-    def setTimeoutDuration(self, _ms):
-        pass
 
+class _Clock:
+    now = 1_000_000
 
-def _idle_key(order, call, output, columns):
-    """``send(rows)`` and ``send(None)`` (a timeout) to one key of an ordered stream."""
+    def getCurrentProcessingTimeInMs(self):
+        return self.now
 
-    class Stream:
-        def __init__(self):
-            self.columns = ["session_id", "channel", *columns]
 
-        def groupBy(self, *_keys):
-            return self
+class _Key:
+    """One key of an ordered stream, driven by hand: no clock is waited for."""
 
-        def applyInPandasWithState(self, handle, *_rest):
-            return handle
+    def __init__(self, operator, *args, idle_ms=1000):
+        caught = {}
 
-    names = T.StructType([T.StructField(n, T.StringType()) for n in ["session_id", "channel", *output]])
-    keys = ["session_id", "channel"]
-    handle = process_in_order(
-        Stream(), keys, order, [], call["initial"], names, call["step"], call["finish"], idle_ms=1000
-    )
-    store = Store()
+        def catch(stream, keys, order, state, initial, output, step, what, close=None, idle_ms=None):
+            columns = [c for c in stream.columns if c not in keys]
+            names = [*(f.name for f in output.fields), "late"]
+            caught["fold"] = InOrder(order, columns, T.StructType(state), initial, names, step, what, close, idle_ms)
+            raise LookupError
+
+        kept, jobs.process_in_order = jobs.process_in_order, catch
+        try:
+            with pytest.raises(LookupError):
+                operator(*args, idle_ms=idle_ms)
+        finally:
+            jobs.process_in_order = kept
+        self.fold, self.handle, self.clock = caught["fold"], _Handle(), _Clock()
+        self.fold.init(self.handle)
+
+    def send(self, rows, names=None):
+        rows = pd.DataFrame(rows, columns=["session_id", "channel", *self.fold.columns] if names is None else names)
+        self.handle.written.clear()
+        return self._rows(self.fold.handleInputRows(("s", "mic"), iter([rows]), self.clock))
+
+    def quiet(self, ms=1000):
+        """Time passes; timers that are due fire."""
+        self.clock.now += ms
+        due, self.handle.timers[:] = [t for t in self.handle.timers if t <= self.clock.now], [
+            t for t in self.handle.timers if t > self.clock.now
+        ]
+        return [r for _ in due for r in self._rows(self.fold.handleExpiredTimer(("s", "mic"), self.clock, None))]
+
+    def _rows(self, frames):
+        out = [f for f in frames if len(f)]
+        assert all(list(f.columns) == self.fold.names for f in out)
+        return pd.concat(out, ignore_index=True).astype(object).where(lambda x: x.notna(), None).to_dict("records") if out else []
+
+
+def _only(rows, *names):
+    return [[r[n] for n in names] for r in rows]
+
+
+def _packet_row(seq, size, eof=False):
+    return ("s", "mic", seq, bytes(size), "s16le", 8000, 1, eof)
+
+
+def test_an_idle_channel_is_drained_with_its_held_packets(spark):
+    key = _Key(jobs.rechunk_stream, spark.createDataFrame([], schemas.PCM_PACKETS), 2)
+    assert _only(key.send([_packet_row(0, 5), _packet_row(1, 2)]), "n_frames") == [[2]]
+    assert _only(key.send([_packet_row(4, 4), _packet_row(6, 3)]), "n_frames") == []
+    drained = key.quiet()
+    assert _only(drained, "chunk_idx", "n_frames") == [[1, 2], [2, 2], [3, 1]]
+    assert {r["error"] for r in drained} == {"packets missing before 4"}
+    # Packets of the gaps come after all, some twice: each is late once; others are repeats.
+    late = key.send([_packet_row(n, 2) for n in (3, 2, 3, 5, 4, 1)])
+    assert _only(late, "late", "error", "n_frames") == [[n, "packets came late", None] for n in (2, 3, 5)]
+    assert key.send([_packet_row(3, 2)]) == []
+    quiet = _Key(jobs.rechunk_stream, spark.createDataFrame([], schemas.PCM_PACKETS), 2)
+    assert quiet.send([_packet_row(1, 4)]) == []
+    assert _only(quiet.quiet(), "n_frames", "error") == [[2, "packets missing before 1"]]
+    assert _only(quiet.send([_packet_row(0, 2)]), "late") == [[0]]
+
+
+def test_an_idle_channel_resumes_with_the_next_chunk(spark):
+    key = _Key(jobs.rechunk_stream, spark.createDataFrame([], schemas.PCM_PACKETS), 2)
+    assert _only(key.send([_packet_row(0, 6), _packet_row(2, 2)]), "chunk_idx", "n_frames", "error") == [[0, 2, None]]
+    assert _only(key.quiet(), "chunk_idx", "n_frames", "error") == [[1, 2, "packets missing before 2"]]
+    assert _only(key.send([_packet_row(3, 4)]), "chunk_idx", "n_frames", "error") == [[2, 2, None]]
+    assert key.quiet() == []
+
+
+def test_a_timer_waits_for_a_key_that_is_still_heard_of(spark):
+    key = _Key(jobs.rechunk_stream, spark.createDataFrame([], schemas.PCM_PACKETS), 2)
+    key.send([_packet_row(0, 2)])
+    assert key.quiet(900) == []
+    key.send([_packet_row(1, 1)])
+    assert key.quiet(900) == [] and len(key.handle.timers) == 1
+    assert _only(key.quiet(200), "n_frames") == [[1]] and key.handle.timers == []
+
+
+@pytest.mark.parametrize("block", [1, 4, 64])
+def test_state_written_grows_with_the_rows_of_a_batch(spark, monkeypatch, block):
+    """While packet 0 is missing nothing that waits is written again, however much it is."""
+    monkeypatch.setattr(ordered_state, "BLOCK", block)
+    key = _Key(jobs.rechunk_stream, spark.createDataFrame([], schemas.PCM_PACKETS), 10**6, idle_ms=None)
+    written = []
+    for batch in range(60):
+        assert key.send([_packet_row(1 + 10 * batch + i, 100) for i in range(10)]) == []
+        written.append(sum(key.handle.written))
+    assert sum(written[40:]) <= 1.3 * sum(written[:20]) and max(written) < (10 + block) * 1500
+    assert len(key.fold.waiting) == -(-601 // block) - (block == 1)
+    out = key.send([_packet_row(0, 100), _packet_row(601, 0, True)])
+    assert _only(out, "n_frames") == [[601 * 50]] and len(key.fold.waiting) == 0
+
+
+def test_any_order_gives_the_rows_in_order(spark, monkeypatch):
+    monkeypatch.setattr(ordered_state, "BLOCK", 4)
+    rng = random.Random(7)
+    for _ in range(30):
+        key = _Key(jobs.events_stream, spark.createDataFrame([], schemas.TRANSCRIPT_EVENTS))
+        rows = [("s", "mic", i, False, "x" * (i % 3 + 1), True) for i in range(50)]
+        sent = rows + rng.choices(rows, k=20)
+        rng.shuffle(sent)
+        got = []
+        while sent:
+            n = rng.randrange(1, 12)
+            part, sent = sent[:n], sent[n:]
+            got += key.send(part)
+        assert [r["seq"] for r in got] == list(range(50)) and len(key.fold.waiting) == 0
+        assert got[-1]["raw_end"] == sum(len(r[4]) for r in rows)
+    # Whatever is missing at the end is passed over, and late when it comes.
+    key = _Key(jobs.events_stream, spark.createDataFrame([], schemas.TRANSCRIPT_EVENTS))
+    gone = {3, 4, 17, 30}
+    got = key.send([r for r in rows if r[2] not in gone]) + key.quiet()
+    assert [r["seq"] for r in got if not r["is_final"]] == [i for i in range(50) if i not in gone]
+    assert _only(key.send([rows[i] for i in (30, 4, 2, 17)]), "late") == [[4], [17], [30]]
+    assert _only(key.send([rows[3], rows[30]]), "late") == [[3]] and len(key.fold.passed) == 0
 
-    def send(rows):
-        store.hasTimedOut = rows is None
-        out = list(handle(("s", "mic"), iter([] if rows is None else [pd.DataFrame(rows, columns=columns)]), store))
-        return pd.concat(out)[output].values.tolist() if out else []
 
-    return send
+def test_an_idle_event_stream_is_closed(spark):
+    key = _Key(jobs.events_stream, spark.createDataFrame([], schemas.TRANSCRIPT_EVENTS))
+    out = key.send([("s", "mic", 0, False, "ab", True), ("s", "mic", 1, False, None, None)])
+    assert _only(out, "seq", "raw_end", "n_segments") == [[0, 2, 1]]
+    assert _only(key.quiet(), "seq", "raw_end", "n_segments", "is_final") == [[1, 2, 1, True]]
 
 
 def test_idle_partials_give_what_waits_and_go_on(spark):
-    call = _step_by_hand(jobs.partials_stream, spark.createDataFrame([], schemas.CHUNK_RESPONSES))
-    columns = ["chunk_index", "duration", "appended", "own", "segments_json", "raw_response"]
-    send = _idle_key("chunk_index", call, ["chunk_index", "start", "text_length", "n_entries", "error"], columns)
-    row = lambda i: (i, 0.5, "ab", 1, "[]", "{}")
-    assert send([row(0), row(3), row(2)]) == [[0, 0.0, 2, 1, None]]
+    key = _Key(jobs.partials_stream, spark.createDataFrame([], schemas.CHUNK_RESPONSES))
+    row = lambda i: ("s", "mic", i, 0.5, "ab", 1, "[]", "{}")
+    shown = "chunk_index", "start", "text_length", "n_entries", "error"
+    assert _only(key.send([row(0), row(3), row(2)]), *shown) == [[0, 0.0, 2, 1, None]]
     lost = "responses missing before 2"
-    assert send(None) == [[2, 0.5, 5, 2, lost], [3, 1.0, 8, 3, lost]]
-    assert send([row(3), row(4)]) == [[4, 1.5, 11, 4, None]]
-    assert send(None) == []
-    assert send([row(5)]) == [[5, 2.0, 14, 5, None]]
+    assert _only(key.quiet(), *shown) == [[2, 0.5, 5, 2, lost], [3, 1.0, 8, 3, lost]]
+    assert _only(key.send([row(3), row(4)]), *shown) == [[4, 1.5, 11, 4, None]]
+    assert key.quiet() == []
+    assert _only(key.send([row(5), row(1)]), "late", *shown) == [
+        [1, None, None, None, None, "responses came late"], [None, 5, 2.0, 14, 5, None]
+    ]
 
 
 def test_idle_events_give_what_waits_and_go_on(spark):
-    call = _step_by_hand(jobs.events_stream, spark.createDataFrame([], schemas.TRANSCRIPT_EVENTS))
-    columns = ["seq", "is_stop", "piece", "filled"]
-    send = _idle_key("seq", call, ["seq", "position", "raw_end", "is_final", "error"], columns)
-    row = lambda i, stop=False: (i, stop, None if stop else "ab", True)
-    assert send([row(0), row(2), row(3)]) == [[0, 0, 2, False, None]]
+    key = _Key(jobs.events_stream, spark.createDataFrame([], schemas.TRANSCRIPT_EVENTS))
+    row = lambda i, stop=False: ("s", "mic", i, stop, None if stop else "ab", True)
+    shown = "seq", "position", "raw_end", "is_final", "error"
+    assert _only(key.send([row(0), row(2), row(3)]), *shown) == [[0, 0, 2, False, None]]
     lost = "events missing before 2"
-    assert send(None) == [[2, 1, 4, False, lost], [3, 2, 6, False, lost], [3, 3, 6, True, lost]]
-    assert send([row(4)]) == [[4, 3, 8, False, None]]
-    assert send(None) == [[4, 4, 8, True, None]]
-    assert send([row(6, stop=True)]) == [] and send(None) == [[6, 4, 8, True, "events missing before 6"]]
-    assert send([row(7)]) == [] and send(None) == []
-
-
-def test_an_idle_channel_resumes_with_the_next_chunk():
-    columns = ["seq", "payload", "sample_format", "sample_rate", "n_channels", "eof"]
-    send = _idle_key("seq", _step_by_hand(jobs.rechunk_stream, None, 2), ["chunk_idx", "n_frames", "error"], columns)
-    packet = lambda seq, size, eof=False: (seq, bytes(size), "s16le", 8000, 1, eof)
-    assert send([packet(0, 6), packet(2, 2)]) == [[0, 2, None]]
-    assert send(None) == [[1, 2, "packets missing before 2"]]
-    assert send([packet(3, 4)]) == [[2, 2, None]]
-    assert send(None) == []
-
-
-@pytest.mark.parametrize("operator, schema", [(jobs.rechunk_stream, schemas.PCM_PACKETS), (jobs.events_stream, schemas.TRANSCRIPT_EVENTS)])
-def test_streams_take_a_timeout(spark, tmp_path, operator, schema):
-    stream = jobs.packet_stream(spark, f"file://{tmp_path}", schema)
-    timed = operator(stream, 5, idle_ms=1000) if operator is jobs.rechunk_stream else operator(stream, idle_ms=1000)
-    assert "ProcessingTimeTimeout" in timed._jdf.queryExecution().analyzed().toString() or timed.isStreaming
+    assert _only(key.quiet(), *shown) == [[2, 1, 4, False, lost], [3, 2, 6, False, lost], [3, 3, 6, True, lost]]
+    assert _only(key.send([row(4)]), *shown) == [[4, 3, 8, False, None]]
+    assert _only(key.quiet(), *shown) == [[4, 4, 8, True, None]]
+    assert key.send([row(6, stop=True)]) == []
+    assert _only(key.quiet(), *shown) == [[6, 4, 8, True, "events missing before 6"]]
+    assert key.send([row(7)]) == [] and key.quiet() == []
+
+
+def test_a_running_stream_gives_late_rows_apart(spark, tmp_path):
+    """An always-on query over a real source: a timeout passes a gap over, its packet comes later."""
+    feed = Feed(spark, tmp_path, schemas.PCM_PACKETS)
+    stream = jobs.rechunk_stream(jobs.packet_stream(spark, feed.source, feed.schema), 2, idle_ms=1500)
+    query = jobs.start(stream, feed.sink, feed.checkpoint, processingTime="500 milliseconds")
+
+    def wait(ready):
+        until = time.time() + 60
+        while not ready() and time.time() < until:
+            assert query.exception() is None
+            time.sleep(0.5)
+        assert ready()
+
+    def chunks():
+        rows = jobs.on_time(spark, feed.sink, stream.schema).collect()
+        return sorted((r.chunk_idx, r.n_frames, r.error) for r in rows)
+
+    try:
+        feed.add([_packet_row(0, 4), _packet_row(2, 6)])
+        lost = "packets missing before 2"
+        wait(lambda: os.path.isdir(f"{tmp_path}/out/is_late=false"))
+        wait(lambda: chunks() == [(0, 2, None), (1, 2, lost), (2, 1, lost)])
+        query.stop()
+        query = jobs.start(stream, feed.sink, feed.checkpoint, processingTime="500 milliseconds")  # a restart keeps the gap
+        feed.add([_packet_row(1, 2), _packet_row(2, 6), _packet_row(3, 4)])
+        wait(lambda: len(chunks()) == 4)
+    finally:
+        query.stop()
+    assert chunks()[3] == (3, 2, None)
+    assert [tuple(r) for r in jobs.late_rows(spark, feed.sink, stream.schema).collect()] == [("s", "mic", 1)]
+
+
+def test_only_streams_with_a_timeout_have_late_rows(spark, tmp_path):
+    for operator, schema in ((lambda s, **k: jobs.rechunk_stream(s, 5, **k), schemas.PCM_PACKETS), (jobs.events_stream, schemas.TRANSCRIPT_EVENTS)):
+        stream = jobs.packet_stream(spark, f"file://{tmp_path}", schema)
+        assert operator(stream, idle_ms=1000).columns == [*operator(stream).columns, "late"]
+    with pytest.raises(ValueError, match="close"):
+        ordered_state.process_in_order(stream, jobs.KEY, "seq", [], (), schema, None, "rows", idle_ms=5)
 
 
 def test_live_frames_after_pause(spark, tmp_path):
