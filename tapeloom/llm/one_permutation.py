@@ -224,17 +224,17 @@ def links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFr
     sets = written(sets_of(members.select("node").distinct()), "minhash-sets")
     company = members.groupBy("node").agg(F.sum("m").alias("company"))
     best = F.max_by(F.struct("node", "n"), F.struct("company", "node"))
-    centres = written(few_files(members.join(company, "node").groupBy("key").agg(best.alias("centre"))), "minhash-centres")
+    centres = written(members.join(company, "node").groupBy("key").agg(best.alias("centre")), "minhash-centres")
     met = members.join(centres, "key").where(F.col("node") != F.col("centre.node"))
     stars = met.where(_close_sizes(F.col("n"), F.col("centre.n")))
     pairs = stars.select(F.col("centre.node").alias("a"), F.col("node").alias("b")).distinct()
-    by_stars = written(few_files(confirmed(pairs, sets)), "minhash-links")
+    by_stars = written(confirmed(pairs, sets), "minhash-links")
     # The centre has met all others of its bucket; what they have to tell is told if they are one component.
     roots = components(by_stars)
     rest = met.select("key", "node", "n").join(roots, "node", "left")
     rest = written(rest.select("key", "node", "n", F.coalesce("root", "node").alias("root")), "minhash-rest")
     open_keys = rest.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    by_lists = written(few_files(compared(rest.join(open_keys.select("key"), "key"), sets)), "minhash-links")
+    by_lists = written(compared(rest.join(open_keys.select("key"), "key"), sets), "minhash-links")
     return by_stars.unionByName(by_lists)
 
 
