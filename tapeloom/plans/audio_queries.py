@@ -189,7 +189,22 @@ def provider_transcripts(spark, sf_dir):
     """All captured channels through a backend, chunk by chunk, and merged."""
     metrics = _metrics(spark, sf_dir)
     manifest = audio.split_manifest(metrics, UPLOAD_BYTES)
-    merged = providers.transcribe(manifest, providers.Transcriber(_echo), metrics)
+    return _merged(providers.transcribe(manifest, providers.Transcriber(_echo), metrics))
+
+
+def _unreachable(batch):
+    raise ConnectionError("no backend")
+
+
+def ledger_transcripts(spark, sf_dir):
+    """The same through a ledger of answers: a second run finds all of them there and calls nobody."""
+    metrics, ledger = _metrics(spark, sf_dir), new_shared_path(spark, "ledger")
+    manifest = audio.split_manifest(metrics, UPLOAD_BYTES)
+    providers.transcribe(manifest, providers.Transcriber(_echo), metrics, ledger=ledger)
+    return _merged(providers.transcribe(manifest, providers.Transcriber(_unreachable), metrics, ledger=ledger))
+
+
+def _merged(merged):
     return merged.select(
         "session_id",
         "channel",
@@ -289,6 +304,7 @@ QUERIES = {
     "placeholder_previews": placeholder_previews,
     "wav_roundtrip": wav_roundtrip,
     "provider_transcripts": provider_transcripts,
+    "ledger_transcripts": ledger_transcripts,
     "provider_notes": provider_notes,
     "session_batch": session_batch,
     "provider_hears_audio": provider_hears_audio,
@@ -541,3 +557,4 @@ ORACLES = {
         GROUP BY ALL""",
     ),
 }
+ORACLES["ledger_transcripts"] = ORACLES["provider_transcripts"]

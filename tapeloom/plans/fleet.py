@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom import providers, schemas
+from tapeloom import answers, providers, schemas
 from tapeloom.operators import audio, notes, store
 from tapeloom.operators.buckets import BucketLog, Snapshot
 from tapeloom.session import full_uri
@@ -83,7 +83,9 @@ def process_batch(
 
     ``requests`` holds ``id``, ``name`` and ``created_at`` of each session.  A session
     that cannot be mixed is reported under ``errors``; its channels are transcribed
-    one by one, and no other session is touched.
+    one by one, and no other session is touched.  A recording with a chunk that the backend
+    does not answer is reported under ``failed`` and has no transcript in this batch; repeating the
+    batch asks for such chunks only.
     """
     root = full_uri(spark, root).rstrip("/")
     held = Store(spark, root)
@@ -126,7 +128,7 @@ def process_batch(
     out["sessions"] = current
     if transcriber is None:
         return out
-    targets = audio.transcription_targets(current, metrics)
+    targets, ledger = audio.transcription_targets(current, metrics), None
     if transcriber == providers.PLACEHOLDER:
         results = providers.placeholder_transcripts(current, targets).withColumn("part", F.lit(0).cast("bigint"))
     else:
@@ -136,13 +138,17 @@ def process_batch(
             sizes = sizes.unionByName(mixed.select("path", "frames", "sample_rate", "n_channels"))
             columns = ["session_id", "channel", "frame_start", "n_frames", "n_channels", "samples"]
             audible = chunks.select(*columns).unionByName(mix.select(*columns))
-        files = targets.join(sizes, "path")
+        # A recording made again under its old name is another one to the ledger of answers.
+        files = targets.join(sizes, "path").join(answers.contents(audible), ["session_id", "channel"], "left")
         # A file within the limit is one chunk; the split leaves it whole.
         manifest = audio.split_manifest(files, max_upload_bytes)
-        results = providers.transcribe(manifest, providers.TRANSCRIBERS[transcriber], targets, audible)
+        ledger = f"{root}/answers/{transcriber}"
+        results = providers.transcribe(manifest, providers.TRANSCRIBERS[transcriber], targets, audible, ledger=ledger)
         results = results.withColumn("path", F.col("channel"))
     # Answers are kept before they are numbered: no backend is called twice.
     results = _written(results, f"{here}/answers")
+    if ledger is not None:
+        out["failed"] = answers.failures(spark, ledger).join(targets, ["session_id", "channel"], "left_semi")
     # Numbers go on where the ledger says, which is read in the buckets of these sessions only.
     earlier = held.numbers.rows(before=batch, wanted=results.select("session_id"))
     rows = store.numbered_transcripts(results, ["path"], earlier).drop("path")

@@ -106,7 +106,28 @@ def stream_live_frames(spark, sf_dir):
     return spark.read.schema("session_id string, channel string, frames bigint").parquet(out)
 
 
+def stream_replayed(spark, sf_dir):
+    """Chunk rows handed to a listener that is away for every second batch, then replayed to it."""
+    chunks = audio_tables.vector_chunks(spark, sf_dir).select(*KEY, "chunk_idx", "n_frames", "sample_rate")
+    path = new_shared_path(spark, "live")
+    chunks.repartition(6, *KEY).write.parquet(path)
+    out, dead = new_shared_path(spark, "updates"), new_shared_path(spark, "dead")
+    listener, away = jobs.table_sink(out), {"now": True}
+
+    def sometimes(batch, epoch):
+        if away["now"] and epoch % 2:
+            raise ConnectionError("nobody listens")
+        listener(batch, epoch)
+
+    stream = jobs.packet_stream(spark, path, chunks.schema, files_per_trigger=2)
+    jobs.deliver(stream, sometimes, dead, new_shared_path(spark, "replay-checkpoint")).awaitTermination()
+    away["now"] = False
+    jobs.replay(spark, dead, sometimes, chunks.schema)
+    return jobs.live_frames(spark.read.schema(chunks.schema).parquet(out))
+
+
 QUERIES = {
+    "stream_replayed": stream_replayed,
     "stream_rechunk": stream_rechunk,
     "stream_partials": stream_partials,
     "stream_delta_fold": stream_delta_fold,
@@ -156,3 +177,4 @@ ORACLES = {
           CAST(sum(len(embedding)) AS BIGINT) AS frames
         FROM embeddings GROUP BY label""",
 }
+ORACLES["stream_replayed"] = ORACLES["stream_live_frames"]

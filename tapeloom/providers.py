@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tapeloom import answers as answer_ledger
 from tapeloom.functions import text
 from tapeloom.operators import audio, notes, transcripts
 from tapeloom.schemas import SEGMENTS
@@ -88,13 +89,19 @@ def placeholder_previews(results: DataFrame) -> DataFrame:
     return rows.withColumn("segments", F.array(segment).cast(SEGMENTS))
 
 
-def transcribe_chunks(manifest: DataFrame, backend: Transcriber, parallelism: int | None = None) -> DataFrame:
+def transcribe_chunks(
+    manifest: DataFrame, backend: Transcriber, parallelism: int | None = None, ledger: str | None = None
+) -> DataFrame:
     """Call the backend on every upload chunk; adds the ``response`` column.
 
     Chunks are spread over a fixed number of tasks by their own number, so the chunks
     of one long recording are worked on side by side.  Order comes back from
-    ``chunk_index``.  A task may be repeated: backends see a chunk again then.
+    ``chunk_index``.  A task may be repeated: without a ``ledger`` backends see a chunk
+    again then, with one only chunks without an answer (which also adds ``error``).
     """
+    if ledger is not None:
+        asked = answer_ledger.ask(manifest, backend.call, ledger, parallelism=parallelism)
+        return asked.drop("samples")
     keys = ["session_id", "channel", "chunk_index"]
     spread = manifest.repartition(fan_out(manifest.sparkSession, parallelism), *keys)
     kept = [f for f in manifest.schema.fields if f.name != "samples"]
@@ -109,14 +116,18 @@ def transcribe_chunks(manifest: DataFrame, backend: Transcriber, parallelism: in
 
 
 def answers(
-    manifest: DataFrame, backend: Transcriber, chunks: DataFrame | None = None, parallelism: int | None = None
+    manifest: DataFrame,
+    backend: Transcriber,
+    chunks: DataFrame | None = None,
+    parallelism: int | None = None,
+    ledger: str | None = None,
 ) -> DataFrame:
     """The read responses of all upload chunks; ``chunks`` holds the audio of a backend that hears."""
     if backend.hears:
         if chunks is None:
             raise ValueError("this backend needs the audio chunks")
         manifest = audio.with_samples(manifest, chunks)
-    return transcripts.parse_responses(transcribe_chunks(manifest, backend, parallelism))
+    return transcripts.parse_responses(transcribe_chunks(manifest, backend, parallelism, ledger))
 
 
 def transcribe(
@@ -125,12 +136,19 @@ def transcribe(
     targets: DataFrame | None = None,
     chunks: DataFrame | None = None,
     parallelism: int | None = None,
+    ledger: str | None = None,
 ) -> DataFrame:
     """Transcripts of all recordings of a manifest, merged from their chunks.
 
-    ``targets`` adds an empty transcript for each recording without chunks.
+    ``targets`` adds an empty transcript for each recording without chunks.  With a ``ledger`` (a shared folder)
+    chunks that have an answer are not asked for again, and a recording with a chunk that
+    has none gets no transcript: ``answers.failures`` lists it, a later run goes on from there.
     """
-    merged = transcripts.merge_chunks(answers(manifest, backend, chunks, parallelism))
+    parsed = answers(manifest, backend, chunks, parallelism, ledger)
+    if ledger is not None:
+        failed = parsed.where("error IS NOT NULL").select(*transcripts.KEY).distinct()
+        parsed = parsed.drop("error").join(failed, transcripts.KEY, "left_anti")
+    merged = transcripts.merge_chunks(parsed)
     return merged if targets is None else merged.unionByName(transcripts.empty_transcripts(targets, manifest))
 
 

@@ -41,6 +41,11 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     files.rename(beside, place)
 
 
+def make(spark: SparkSession, path: str) -> None:
+    files, place = _at(spark, path)
+    files.mkdirs(place)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     files, place = _at(spark, path)
     files.delete(place, True)

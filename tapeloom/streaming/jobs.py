@@ -16,10 +16,14 @@ from tapeloom.functions import codec, pcm
 from tapeloom.functions.text import strip
 from tapeloom.operators.ordered import PAGE_ROWS
 from tapeloom.operators.transcripts import KEY, parse_responses
+from tapeloom.sources import folders
 from tapeloom.streaming.ordered_state import LATE, process_in_order
 
 LOG = logging.getLogger(__name__)
 
+#: Is given a micro-batch and its number.
+Callback = Callable[[DataFrame, int], None]
+
 _KEY_FIELDS = [T.StructField("session_id", T.StringType()), T.StructField("channel", T.StringType())]
 
 
@@ -268,17 +272,26 @@ def late_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
 
 def dead_letters(spark: SparkSession, path: str) -> list[int]:
     """Numbers of the batches that a delivery kept because its callback failed."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(folder):
-        return []
-    names = [status.getPath().getName() for status in files.listStatus(folder)]
-    return sorted(int(name.removeprefix("batch=")) for name in names if name.startswith("batch="))
+    return sorted(int(n.removeprefix("batch=")) for n in folders.names(spark, path) if n.startswith("batch="))
+
+
+def delivered_later(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the batches that a replay has delivered."""
+    return sorted(int(n) for n in folders.names(spark, f"{path}/done") if n.isdecimal())
+
+
+def table_sink(path: str) -> Callback:
+    """A callback that a batch may reach any number of times: each has a folder of its own and replaces it."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={epoch}")
+
+    return write
 
 
 def deliver(
     frame: DataFrame,
-    callback: Callable[[DataFrame, int], None],
+    callback: Callback,
     dead_letters: str,
     checkpoint: str,
     mode: str = "append",
@@ -286,7 +299,7 @@ def deliver(
     """Hand each micro-batch to ``callback``; its errors never stop the stream.
 
     A batch whose callback fails is kept under ``dead_letters``, by batch number,
-    so a repeated batch replaces itself.
+    so a repeated batch replaces itself.  ``replay`` delivers it later.
     """
 
     def guarded(batch: DataFrame, epoch: int) -> None:
@@ -303,3 +316,26 @@ def deliver(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def replay(spark: SparkSession, path: str, callback: Callback, schema: T.StructType | None = None) -> list[int]:
+    """Deliver kept batches once more, in batch order; gives the numbers that went through.
+
+    A batch that goes through is marked done and its letter is removed.  The first one that fails again stops
+    the replay, so that no batch overtakes it; the next replay goes on there.  Between a
+    callback and its mark a replay may be interrupted: the batch then comes again, under
+    the same number, which a callback such as ``table_sink`` takes without a double row.
+    """
+    gone = []
+    for epoch in dead_letters(spark, path):
+        letter = f"{path}/batch={epoch}"
+        reader = spark.read if schema is None else spark.read.schema(schema)
+        try:
+            callback(reader.parquet(letter), epoch)
+        except Exception:  # kept for the next replay, like everything behind it
+            LOG.exception("callback failed again on batch %s", epoch)
+            break
+        folders.write_text(spark, f"{path}/done/{epoch}", "")
+        folders.remove(spark, letter)
+        gone.append(epoch)
+    return gone

@@ -409,6 +409,31 @@ def test_failing_callbacks_leave_dead_letters(spark, tmp_path):
     assert jobs.dead_letters(spark, dead) == [1]
 
 
+def test_letters_are_replayed_in_order_without_double_rows(spark, tmp_path):
+    """A callback fails twice, the second time after it has written; then it goes through."""
+    source, checkpoint, dead, out = (f"file://{tmp_path}/{n}" for n in ("in", "checkpoint", "dead", "out"))
+    spark.range(8).repartition(4).write.parquet(source)
+    sink, tries = jobs.table_sink(out), []
+
+    def callback(batch, epoch):
+        tries.append(epoch)
+        if epoch in (1, 2) and tries.count(epoch) == 1:
+            raise RuntimeError("away")
+        sink(batch, epoch)
+        if epoch == 1 and tries.count(1) == 2:
+            raise RuntimeError("lost after writing")
+
+    stream = spark.readStream.schema("id bigint").option("maxFilesPerTrigger", 1).parquet(source)
+    jobs.deliver(stream, callback, dead, checkpoint).awaitTermination()
+    assert jobs.dead_letters(spark, dead) == [1, 2] and len(tries) == 4
+    # The first letter fails once more: the second does not overtake it.
+    assert jobs.replay(spark, dead, callback) == [] and jobs.dead_letters(spark, dead) == [1, 2]
+    assert jobs.replay(spark, dead, callback) == [1, 2] and tries[4:] == [1, 1, 2]
+    assert jobs.dead_letters(spark, dead) == [] and jobs.delivered_later(spark, dead) == [1, 2]
+    assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == list(range(8))
+    assert jobs.replay(spark, dead, callback) == [] and len(tries) == 7
+
+
 def test_dead_letters_are_found(spark, tmp_path):
     assert jobs.dead_letters(spark, f"file://{tmp_path}/none") == []
     (tmp_path / "dead" / "batch=3").mkdir(parents=True)
