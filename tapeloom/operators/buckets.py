@@ -66,18 +66,24 @@ class _Layout:
         found = (n.partition("=") for n in folders.names(self.spark, path))
         return sorted(int(number) for name, _, number in found if name == BUCKET)
 
+    def _asked(self, keys: DataFrame) -> DataFrame:
+        """The wanted keys, once each, with their buckets."""
+        key = F.col(self.key).cast(self.schema[self.key].dataType)
+        return keys.select(key.alias(self.key)).distinct().withColumn(BUCKET, self.bucket_of(F.col(self.key)))
+
     def wanted(self, keys: DataFrame) -> list[int]:
         """Buckets of the wanted keys: at most as many rows as there are buckets."""
-        rows = keys.select(self.bucket_of(F.col(self.key).cast(self.schema[self.key].dataType)).alias(BUCKET)).distinct()
-        return sorted(r[0] for r in rows.collect())
+        return sorted(r[0] for r in self._asked(keys).select(BUCKET).distinct().collect())
 
-    def only(self, rows: DataFrame, keys: DataFrame) -> DataFrame:
-        """Rows of the wanted keys: few are literals that the scan prunes with, more are joined."""
-        keys = keys.select(F.col(self.key).cast(self.schema[self.key].dataType)).distinct()
-        few = [r[0] for r in keys.limit(FEW_KEYS + 1).collect()]
+    def lookup(self, keys: DataFrame, read: Callable[[set[int]], DataFrame]) -> DataFrame:
+        """Rows of the wanted keys from ``read`` of their buckets: few keys are literals that the scan
+        prunes with, more are joined."""
+        asked = self._asked(keys)
+        few = asked.limit(FEW_KEYS + 1).collect()
         if len(few) <= FEW_KEYS:
-            return rows.where(F.col(self.key).isin([k for k in few if k is not None]))
-        return rows.join(keys, self.key, "left_semi").select(*self.names)
+            known = [r[self.key] for r in few if r[self.key] is not None]
+            return read({r[BUCKET] for r in few}).where(F.col(self.key).isin(known))
+        return read(set(self.wanted(keys))).join(asked.select(self.key), self.key, "left_semi").select(*self.names)
 
 
 class BucketLog(_Layout):
@@ -105,16 +111,12 @@ class BucketLog(_Layout):
 
     def rows(self, batches: Iterable[int] | None = None, wanted: DataFrame | None = None) -> DataFrame:
         """All rows of some (or all) batches, or those of the wanted keys (a column named as the key)."""
-        batches = self.batches() if batches is None else list(batches)
-        asked = None if wanted is None else set(self.wanted(wanted))
-        paths = [
-            f"{self.batch_path(n)}/{BUCKET}={b}"
-            for n in batches
-            for b in self.touched(self.batch_path(n))
-            if asked is None or b in asked
-        ]
-        rows = self.read(paths)
-        return rows if wanted is None else self.only(rows, wanted)
+        chosen = [(n, b) for n in (self.batches() if batches is None else batches) for b in self.touched(self.batch_path(n))]
+
+        def read(buckets: set[int] | None = None) -> DataFrame:
+            return self.read([f"{self.batch_path(n)}/{BUCKET}={b}" for n, b in chosen if buckets is None or b in buckets])
+
+        return read() if wanted is None else self.lookup(wanted, read)
 
 
 class Versions(_Layout):
@@ -140,11 +142,12 @@ class Versions(_Layout):
     ) -> DataFrame:
         """All rows, those of some buckets, or those of the wanted keys."""
         held = self.manifest(before)
-        if wanted is not None:
-            buckets = self.wanted(wanted)
-        chosen = held if buckets is None else [b for b in buckets if b in held]
-        rows = self.read([f"{self.path}/{held[b]}/{BUCKET}={b}" for b in chosen])
-        return rows if wanted is None else self.only(rows, wanted)
+
+        def read(asked: Iterable[int] | None = None) -> DataFrame:
+            chosen = held if asked is None else sorted(b for b in asked if b in held)
+            return self.read([f"{self.path}/{held[b]}/{BUCKET}={b}" for b in chosen])
+
+        return read(buckets) if wanted is None else self.lookup(wanted, read)
 
     def replace(self, rows: DataFrame, buckets: Iterable[int], number: int, base: int | None = None) -> None:
         """Write new rows of ``buckets`` as ``number``; the others stay as they were before ``base`` (``number``).
@@ -180,11 +183,19 @@ class Snapshot(Versions):
     """The compaction of a log, kept up to date bucket by bucket.
 
     ``compact`` takes rows of whole buckets and drops those that no longer matter: compacting its
-    own result together with later rows gives the same as compacting all rows.
+    own result together with later rows gives the same as compacting all rows.  With a ``schema`` it
+    is given those columns of the log only.
     """
 
-    def __init__(self, log: BucketLog, compact: Callable[[DataFrame], DataFrame]):
-        super().__init__(log.spark, f"{log.path}_snapshot", log.schema, log.key, log.n_buckets)
+    def __init__(
+        self,
+        log: BucketLog,
+        compact: Callable[[DataFrame], DataFrame],
+        name: str | None = None,
+        schema: T.StructType | None = None,
+    ):
+        path = f"{log.path}_{name or 'snapshot'}"
+        super().__init__(log.spark, path, schema or log.schema, log.key, log.n_buckets)
         self.log, self.compact = log, compact
 
     def fold(self, batch: int) -> list[int]:
@@ -193,6 +204,6 @@ class Snapshot(Versions):
         if not later:
             return []
         touched = sorted({b for n in later for b in self.log.touched(self.log.batch_path(n))})
-        rows = self.rows(touched, before=batch).unionByName(self.log.rows(later))
+        rows = self.rows(touched, before=batch).unionByName(self.log.rows(later).select(*self.names))
         self.replace(self.compact(rows), touched, later[-1], base=batch)
         return touched

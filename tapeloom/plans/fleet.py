@@ -10,6 +10,9 @@ sessions, whatever the store holds besides.  Repeating a batch replaces its fold
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import Future, ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +25,9 @@ from tapeloom.sources import wav
 # Fixed value: largest upload that is sent in one piece.
 MAX_UPLOAD_BYTES = 24 * 1024 * 1024
 
+#: Jobs that run beside the main line of a batch.
+BESIDE = 3
+
 #: Frames of one recording file; a longer recording goes on in further files.
 WAV_FRAMES = 1 << 26
 
@@ -48,7 +54,7 @@ class Store:
         log = lambda name, schema, key: BucketLog(spark, root, name, schema, key)
         self.sessions = Snapshot(log("session_log", schemas.SESSION_LOG, "id"), store.last_writes)
         self.transcripts = log("transcripts", schemas.TRANSCRIPTS, "session_id")
-        self.numbers = Snapshot(log("transcript_numbers", schemas.TRANSCRIPT_NUMBERS, "session_id"), store.last_numbers)
+        self.numbers = Snapshot(self.transcripts, store.last_numbers, "numbers", schemas.TRANSCRIPT_NUMBERS)
         self.notes = Snapshot(log("notes_log", schemas.NOTES_LOG, "session_id"), store.first_and_last_notes)
 
 
@@ -86,13 +92,42 @@ def process_batch(
     one by one, and no other session is touched.  A recording with a chunk that the backend
     does not answer is reported under ``failed`` and has no transcript in this batch; repeating the
     batch asks for such chunks only.
+
+    What nothing else of the batch waits for (sound files, folds into snapshots) is written by jobs
+    beside the others; all of them are done, or have raised, when this returns.
     """
+    jobs: list[Future] = []
+    with ThreadPoolExecutor(BESIDE) as pool:
+        out = _processed(
+            spark, root, batch, requests, channels, chunks, transcriber, summariser, mix_down, cell_frames,
+            max_upload_bytes, wav_frames, lambda *call: jobs.append(pool.submit(*call)),
+        )
+    for job in jobs:
+        job.result()
+    return out
+
+
+def _processed(
+    spark: SparkSession,
+    root: str,
+    batch: int,
+    requests: DataFrame,
+    channels: DataFrame,
+    chunks: DataFrame,
+    transcriber: str | None,
+    summariser: str | None,
+    mix_down: bool,
+    cell_frames: int,
+    max_upload_bytes: int,
+    wav_frames: int,
+    beside: Callable[..., None],
+) -> dict[str, DataFrame]:
     root = full_uri(spark, root).rstrip("/")
     held = Store(spark, root)
     here = f"{root}/batch={batch}"
     raw = F.concat(F.lit(f"{root}/"), "session_id", F.lit("/raw/"), "channel", F.lit(".wav"))
     metrics = _written(audio.channel_metrics(channels, chunks).withColumn("path", raw), f"{here}/channel_metrics")
-    _written(wav.write_wav(chunks, root, wav_frames), f"{here}/raw_files")
+    beside(_written, wav.write_wav(chunks, root, wav_frames), f"{here}/raw_files")
 
     rollup = audio.session_rollup(metrics, F.col("path")).withColumnRenamed("session_id", "id")
     saved = requests.join(rollup, "id").withColumn("seq", F.lit(2 * batch)).withColumn("op", F.lit(store.SAVE))
@@ -108,7 +143,7 @@ def process_batch(
         mix = _written(audio.mix_down(chunks, good, cell_frames), f"{here}/mix_chunks").withColumns(
             {"channel": F.lit("mix"), "n_channels": F.lit(1)}
         )
-        _written(wav.write_wav(mix, root, wav_frames, "processed"), f"{here}/mix_files")
+        beside(_written, wav.write_wav(mix, root, wav_frames, "processed"), f"{here}/mix_files")
         mixed = mix.groupBy("session_id").agg(
             F.sum(F.col("n_frames").cast("bigint")).alias("frames"), F.max("sample_rate").alias("sample_rate")
         )
@@ -154,8 +189,7 @@ def process_batch(
     rows = store.numbered_transcripts(results, ["path"], earlier).drop("path")
     held.transcripts.append(store.checked(rows, "transcripts"), batch)
     spoken = held.transcripts.rows([batch])
-    held.numbers.log.append(store.last_numbers(spoken), batch)
-    held.numbers.fold(batch)
+    beside(held.numbers.fold, batch)
     out["transcripts"] = spoken
     if summariser is None:
         return out
@@ -167,6 +201,6 @@ def process_batch(
         written = providers.write_notes(current, latest, providers.SUMMARISERS[summariser])
     rows = store.checked(written.withColumn("seq", F.lit(batch).cast("bigint")), "notes_log")
     held.notes.log.append(rows, batch)
-    held.notes.fold(batch)
+    beside(held.notes.fold, batch)
     out["notes"] = store.compact_notes(held.notes.log.rows([batch]))
     return out

@@ -87,18 +87,14 @@ def clustered_transcripts(spark, sf_dir):
 
 def ledger_numbers(spark, sf_dir):
     """Turns appended in batches; each batch numbers its rows from the ledger of last numbers."""
-    root = new_shared_path(spark, "store")
-    log = BucketLog(spark, root, "transcripts", schemas.TRANSCRIPTS, "session_id")
-    numbers = Snapshot(
-        BucketLog(spark, root, "transcript_numbers", schemas.TRANSCRIPT_NUMBERS, "session_id"), store.last_numbers
-    )
+    log = BucketLog(spark, new_shared_path(spark, "store"), "transcripts", schemas.TRANSCRIPTS, "session_id")
+    numbers = Snapshot(log, store.last_numbers, "numbers", schemas.TRANSCRIPT_NUMBERS)
     turns = tables.transcripts(spark, sf_dir).withColumn("__batch", _turn_batch())
     turns = turns.withColumn("turn", F.pmod("row_id", F.lit(1000))).drop("row_id", "transcript_id")
     for batch in [*range(BATCHES), BATCHES - 1]:
         new = turns.where(F.col("__batch") == batch)
         earlier = numbers.rows(before=batch, wanted=new.select("session_id"))
         log.append(store.checked(store.numbered_transcripts(new, ["turn"], earlier), "transcripts"), batch)
-        numbers.log.append(store.last_numbers(log.rows([batch])), batch)
         numbers.fold(batch)
     return log.rows().select("session_id", "row_id", "transcript_id", "channel", "text")
 
