@@ -4,8 +4,11 @@ A page is cut into blocks at its block-level tags.  First pass: blocks inside
 boilerplate elements (by tag, role, or a word of class or id) and blocks that are
 mostly links (anchors with a target, to their end or the end of the element around
 them) are bad; an article inside a form, or inside a wrapper named after comments
-ahead of any article text, is an article unless it is a comment itself.  Blocks that
-are long enough and dense in stop words are good; of the others those with a copyright
+ahead of any article text, is an article unless it is a comment itself.  An element that is
+furniture by a name only, among other names, is none if it holds most of the running text of its zone
+(``DOMINANT`` times what stands outside such elements): wrappers carry words of what they wrap.  Names with a
+word of state or absence (``no-sidebar``, ``nav-open``) tell nothing.  A linked title ahead of an
+article's text is no navigation.  Blocks that are long enough and dense in stop words are good; of the others those with a copyright
 sign outside an article are bad, the rest are ambiguous (short ones, long ones without
 stop words).  Second pass: an ambiguous block takes the label of the nearest decided block of its zone (the
 article or main element, or the rest of the page); of two neighbours equally near a
@@ -29,7 +32,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,6 +47,8 @@ SHORT_CHARS = 70
 STOP_DENSITY = 0.12
 #: Share of characters inside links above which a block is navigation.
 LINK_DENSITY = 0.33
+#: Running text inside an element named like furniture, against all outside, from which it is none.
+DOMINANT = 3
 
 # Frequent function words of the four languages of the pages.
 STOP_WORDS = frozenset(
@@ -63,7 +68,7 @@ STOP_WORDS = frozenset(
 RAW_TEXT = "script|style|iframe|title"
 SKIPPED = frozenset("noscript template svg math object canvas audio video".split())
 FURNITURE_TAGS = frozenset(
-    "nav aside footer fieldset button select textarea label dialog menu datalist input option".split()
+    "nav aside footer button select textarea label dialog menu datalist input option".split()
 )
 FURNITURE_ROLES = frozenset(
     "navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split()
@@ -79,6 +84,17 @@ FURNITURE_WORDS = frozenset(
 COMMENT_WORDS = frozenset("comment comments commentlist disqus respond reply replies discussion".split())
 #: With one of these in the same name a comment word tells of a page or post (``comments-open``), not of comments.
 STATE_WORDS = frozenset("open opened closed on off enabled disabled allowed no has with category tag term topic".split())
+#: With one of these in the same name a furniture word tells of the page around it, not of the element.
+LAYOUT_WORDS = frozenset(
+    """
+    no not without has have with hide fixed sticky static open opened closed collapsed expanded visible active inactive
+    on off enabled disabled
+    """.split()
+)
+#: Controls that may stand inside a sentence, and elements that hold sentences.
+CONTROLS = frozenset("button label".split())
+RUNNING = frozenset("p li dd".split())
+TITLES = frozenset("h1 h2".split())
 POST_WORDS = frozenset("post entry hentry article single page content story".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
@@ -110,12 +126,26 @@ SOFT, HARD, MAIN, COMMENTS = 1, 2, 3, 4
 
 @dataclass
 class Block:
-    """One block of a page: its text, the characters of it inside links, and where it stood."""
+    """One block of a page: its text, the characters of it inside links, and where it stood.
+
+    ``soft`` numbers the innermost element that makes it furniture by a name only, -1 without one;
+    ``title`` is a heading of an article ahead of its text.
+    """
 
     text: str
     link_chars: int
     furniture: bool
     main: bool
+    soft: int = -1
+    title: bool = False
+
+
+@dataclass
+class Soft:
+    """An element that is furniture by a name only: the one around it (-1: none), and whether it has other names."""
+
+    around: int
+    other_names: bool
 
 
 def _comment_weight(names: list[set[str]], article: bool) -> int:
@@ -166,7 +196,15 @@ def _weight(tag: str, attributes: str) -> int:
         return weight
     if article:
         return MAIN
-    return SOFT if tag in ("header", "form") or role == "form" or words & FURNITURE_WORDS else 0
+    told = set().union(*[name for name in names if not name & LAYOUT_WORDS])
+    return SOFT if tag in ("header", "form", "fieldset") or role == "form" or told & FURNITURE_WORDS else 0
+
+
+def _other_names(tag: str, attributes: str) -> bool:
+    """Whether an element is named after more than furniture (a form without a name may be anything)."""
+    named = _named(attributes)
+    words = {w.lower() for k in ("class", "id") for w in _WORDS.findall(named.get(k, ""))}
+    return bool(words - FURNITURE_WORDS) if words else tag in ("form", "fieldset")
 
 
 def _empty(page: str, at: int, tag: str, attributes: str) -> bool:
@@ -177,10 +215,11 @@ def _empty(page: str, at: int, tag: str, attributes: str) -> bool:
     return not (after and after[1])
 
 
-def blocks(page: str) -> Iterator[Block]:
-    """Blocks of a page in order, empty ones left out."""
-    # Open elements: tag, weight, and what holds inside: furniture, surely furniture, in an article.
-    stack: list[tuple[str, int, bool, bool, bool]] = []
+def blocks(page: str, softs: list[Soft] | None = None) -> Iterator[Block]:
+    """Blocks of a page in order, empty ones left out; ``softs`` gets the elements that their ``soft`` numbers."""
+    softs = [] if softs is None else softs
+    # Open elements: tag, weight, and what holds inside: furniture, surely furniture, in an article, by which name.
+    stack: list[tuple[str, int, bool, bool, bool, int]] = []
     opened: Counter[str] = Counter()
     parts: list[str] = []
     link_chars, breaks, at = 0, 0, 0
@@ -192,23 +231,26 @@ def blocks(page: str) -> Iterator[Block]:
     inner: Counter[str] = Counter()
     inline: Counter[str] = Counter()
 
-    def push(tag: str, weight: int) -> None:
-        _, _, furniture, sure, main = stack[-1] if stack else ("", 0, False, False, False)
+    def push(tag: str, weight: int, attributes: str = "") -> None:
+        _, _, furniture, sure, main, soft = stack[-1] if stack else ("", 0, False, False, False, -1)
         if weight == COMMENTS:
             weight = HARD if told else MAIN if tag == "article" else SOFT
         if weight == MAIN:
             # An article inside a form, or a wrapper that only sounds like furniture, is an article.
-            furniture, main = sure, True
+            furniture, main, soft = sure, True, -1
         elif weight == HARD:
             furniture = sure = True
         elif weight == SOFT and not (main and tag == "header"):
             furniture = True
-        stack.append((tag, weight, furniture, sure, main))
+            if not sure:
+                softs.append(Soft(soft, _other_names(tag, attributes)))
+                soft = len(softs) - 1
+        stack.append((tag, weight, furniture, sure, main, -1 if sure else soft))
         opened[tag] += 1
         if skip >= 0:
             inner[tag] += 1
 
-    def pop(ended: bool = True) -> tuple[str, int, bool, bool, bool]:
+    def pop(ended: bool = True) -> tuple[str, int, bool, bool, bool, int]:
         nonlocal link, skip
         opened[stack[-1][0]] -= 1
         if skip >= 0:
@@ -222,9 +264,10 @@ def blocks(page: str) -> Iterator[Block]:
         nonlocal parts, link_chars, breaks, told
         text = " ".join("".join(parts).split())
         if text:
-            _, _, furniture, _, main = stack[-1] if stack else ("", 0, False, False, False)
+            tag, _, furniture, _, main, soft = stack[-1] if stack else ("", 0, False, False, False, -1)
+            title = main and not told and tag in TITLES
             told = told or (main and not furniture and len(text) >= SHORT_CHARS)
-            yield Block(text, link_chars, furniture, main)
+            yield Block(text, link_chars, furniture, main, soft, title)
         parts, link_chars, breaks = [], 0, 0
 
     def add(raw: str) -> None:
@@ -280,6 +323,8 @@ def blocks(page: str) -> Iterator[Block]:
             # Broken quotes hide what the anchor has.
             target = not closes and (bool(token[6]) or "href" in _named(attributes))
             link = len(stack) if target else -1
+        if tag in CONTROLS and (not opened[tag] if closes else stack and stack[-1][0] in RUNNING and _has_text(parts)):
+            continue  # a control inside a sentence is part of it
         if closes:
             if tag not in INLINE or opened[tag]:
                 yield from flush()
@@ -294,18 +339,57 @@ def blocks(page: str) -> Iterator[Block]:
                 pop(ended=stack[-1][0] == tag)
         # Inline elements without a meaning of their own need no place in the stack.
         if tag not in VOID and not attributes.endswith("/") and (tag not in INLINE or weight):
-            push(tag, weight)
+            push(tag, weight, attributes)
     add(page[at:])
     yield from flush()
 
 
-def _first_label(block: Block) -> bool | None:
+def _has_text(parts: list[str]) -> bool:
+    return any(not part.isspace() for part in parts)
+
+
+def _is_running(block: Block) -> bool:
+    """Long, dense in stop words, not mostly links: running text, wherever it stands."""
+    if len(block.text) < SHORT_CHARS or block.link_chars > LINK_DENSITY * len(block.text):
+        return False
+    words = _LETTERS(block.text.lower())
+    return bool(words) and sum(w in STOP_WORDS for w in words) >= STOP_DENSITY * len(words)
+
+
+def _wrappers(found: list[Block], running: list[bool], softs: list[Soft]) -> set[int]:
+    """The elements named like furniture that hold most of the running text of their zone.
+
+    The zone is the articles of a page that has some, else all of it.  From the outermost elements
+    inwards the fullest one is taken, as long as it has other names and is full enough.
+    """
+    zone_main = any(b.main for b in found)
+    open_text, own = 0, [0] * len(softs)
+    for block, runs in zip(found, running, strict=True):
+        if runs and block.main == zone_main:
+            if not block.furniture:
+                open_text += len(block.text)
+            elif block.soft >= 0:
+                own[block.soft] += len(block.text)
+    whole: list[int] = list(own)
+    inside: dict[int, int] = {}
+    for k in range(len(softs) - 1, -1, -1):  # an element comes after the one around it
+        around = softs[k].around
+        if around >= 0:
+            whole[around] += whole[k]
+        if whole[k] >= whole[inside.get(around, k)]:
+            inside[around] = k
+    taken, at = set(), -1
+    while (at := inside.get(at, -1)) >= 0 and softs[at].other_names and whole[at] > DOMINANT * open_text:
+        taken.add(at)
+        open_text += own[at]
+    return taken
+
+
+def _first_label(block: Block, running: bool) -> bool | None:
     """True (good), False (bad) or None (ambiguous)."""
-    size = len(block.text)
-    if block.furniture or block.link_chars > LINK_DENSITY * size:
+    if block.furniture or (block.link_chars > LINK_DENSITY * len(block.text) and not block.title):
         return False
-    words = _LETTERS(block.text.lower()) if size >= SHORT_CHARS else []
-    if words and sum(w in STOP_WORDS for w in words) >= STOP_DENSITY * len(words):
+    if running:
         return True
     # A copyright line is furniture, running text that mentions the sign is not.
     return False if not block.main and "\N{COPYRIGHT SIGN}" in block.text else None
@@ -346,8 +430,13 @@ def _second_labels(found: list[Block], labels: list[bool | None]) -> list[bool]:
 
 def main_text(page: str | None) -> str:
     """The main text of one page, its blocks joined by line feeds."""
-    found = list(blocks(page or ""))
-    labels = _second_labels(found, [_first_label(b) for b in found])
+    softs: list[Soft] = []
+    found = list(blocks(page or "", softs))
+    running = [_is_running(b) for b in found]
+    if softs:
+        taken = _wrappers(found, running, softs)
+        found = [replace(b, furniture=False) if b.soft in taken else b for b in found]
+    labels = _second_labels(found, [_first_label(b, r) for b, r in zip(found, running, strict=True)])
     return "\n".join(b.text for b, good in zip(found, labels, strict=True) if good)
 
 

@@ -1,4 +1,6 @@
 import html
+import html.parser as html_parser
+import itertools
 import re
 import time
 
@@ -6,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapeloom.llm.common import table
+from tapeloom.llm import html_blocks
 from tapeloom.llm.html_blocks import extracted, main_text, op7_html_main_text
 
 from .conftest import SF
@@ -190,3 +193,118 @@ def test_odd_rows(spark):
     assert out.columns == [*pages.columns, "main"]
     assert sorted(r["main"] for r in out.collect()) == ["", "", "", LONG]
     assert extracted(pages.where("false"), F.col("html")).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div class="layout no-sidebar"><div class="entry"><p>{}</p></div></div>',
+        '<div class="page header-fixed nav-open"><p>{}</p></div>', '<div class="post related-wrapper"><p>{}</p></div>',
+        '<div class="section-header-content"><p>{}</p></div>', '<div class="topic social science"><p>{}</p></div>',
+        "<form><fieldset><main><p>{}</p></main></fieldset></form>", "<form><p>{}</p></form>",
+        '<div class="page header-x"><div class="section-header-content"><p>{}</p></div></div>',
+        '<article><div class="post related-wrapper"><p>{}</p></div></article>',
+    ],
+)
+def test_wrappers_named_like_furniture_keep_their_text(page):
+    assert main_text(page.format(LONG)) == LONG
+    side = f'<div class="sidebar"><p>{FURNITURE}</p></div>'
+    assert main_text(page.format(f"{LONG}</p><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p>{side}<p>")) == "\n".join([LONG] * 4)
+
+
+def test_real_furniture_is_no_wrapper():
+    """Named after furniture alone, or not holding most of the text, an element is left out as ever."""
+    for name in ("cookie-notice", "sidebar", "ad", "page-sidebar left"):
+        assert main_text(f"<div class=content><p>{LONG}</p></div><div class='{name}'><p>{FURNITURE}</p></div>") == LONG
+    assert main_text(f"<div class='cookie-notice'><p>{FURNITURE}</p></div>") == ""
+    assert main_text(f"<article><p>One.</p></article><div class='page sidebar'><p>{FURNITURE}</p></div>") == "One."
+
+
+def test_linked_titles_stay():
+    for tag in ("h1", "h2"):
+        assert main_text(f"<article><{tag}><a href=x>Title</a></{tag}><p>{LONG}</p></article>") == f"Title\n{LONG}"
+    after = f"<article><p>{LONG}</p><h2><a href=x>Another page</a></h2><p><a href=y>{FURNITURE}</a></p></article>"
+    assert main_text(after) == LONG
+
+
+def test_controls_inside_a_sentence_are_part_of_it():
+    page = f"<article><p>Press the <button>Go</button> key and <label>it</label> goes.</p><p>{LONG}</p><button>Send</button></article>"
+    assert main_text(page) == f"Press the Go key and it goes.\n{LONG}"
+
+
+class PlainPage(html_parser.HTMLParser):
+    """A plain reading of well-formed pages: every text with the elements open around it."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.pieces, self.cut = [], [], 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in html_blocks.INLINE | {"br"}:
+            self.cut += 1
+        if tag not in html_blocks.VOID:
+            self.open.append((tag, " ".join(f'{k}="{v}"' for k, v in attrs), object()))
+
+    def handle_endtag(self, tag):
+        if tag not in html_blocks.INLINE:
+            self.cut += 1
+        while self.open and self.open.pop()[0] != tag:
+            pass
+
+    def handle_data(self, data):
+        self.pieces.append((self.cut, data, list(self.open)))
+
+
+def plain_main_text(page):
+    """Two passes over blocks of well-formed pages without comments or names that only sound like furniture."""
+    reader = PlainPage()
+    reader.feed(re.sub(r"<br ?/?>", "\n", page))
+    found = []
+    for _, group in itertools.groupby(reader.pieces, key=lambda p: p[0]):
+        group = [g for g in group if not {t for t, _, _ in g[2]} & {"script", "style", "title", "noscript", "svg", "iframe"}]
+        text = " ".join("".join(t for _, t, _ in group).split())
+        if not text:
+            continue
+        around = group[0][2]
+        linked = sum(len(" ".join(t.split())) for _, t, o in group if any(x[0] == "a" and "href" in x[1] for x in o))
+        main = bad = False
+        for tag, attributes, _ in around:
+            weight = html_blocks._weight(tag, attributes)
+            if weight == html_blocks.MAIN:
+                main, bad = True, bad and weight != html_blocks.MAIN
+            elif weight and not (weight == html_blocks.SOFT and main and tag == "header"):
+                bad = True
+        letters = re.findall(r"[^\W\d_]+", text.lower())
+        dense = sum(w in html_blocks.STOP_WORDS for w in letters) >= html_blocks.STOP_DENSITY * max(1, len(letters))
+        label = None
+        if bad or linked > html_blocks.LINK_DENSITY * len(text):
+            label = False
+        elif len(text) >= html_blocks.SHORT_CHARS and dense:
+            label = True
+        elif not main and "\N{COPYRIGHT SIGN}" in text:
+            label = False
+        found.append((text, main, bad, label))
+    out = []
+    for i, (text, main, _, label) in enumerate(found):
+        if label is None:
+            zone = [(abs(k - i), not x[3], k) for k, x in enumerate(found) if x[1] == main and x[3] is not None and not (main and x[2])]
+            left, right = [z for z in zone if z[2] < i], [z for z in zone if z[2] > i]
+            if main:
+                sides = [min(z)[1] for z in (left, right) if z]
+                label = len(sides) < 2 or not all(sides)
+            else:
+                label = not min(zone)[1] if zone else all(x[3] is None for x in found)
+            if not label and not main and not any(x[3] for x in found):
+                label = len(text) >= html_blocks.SHORT_CHARS
+        if label:
+            out.append(text)
+    return "\n".join(out)
+
+
+def test_pages_of_the_table_equal_a_plain_second_labeller(spark):
+    pages = table(spark, SF.replace("0.001", "0.01"), "pages").collect()
+    assert len(pages) > 200
+    for r in pages:
+        assert main_text(r["html"]) == plain_main_text(r["html"]), r["page_id"]
+        loose = re.sub("</?article>", "", r["html"])
+        assert main_text(loose) == plain_main_text(loose), r["page_id"]
