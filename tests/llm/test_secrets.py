@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -108,6 +109,37 @@ def test_many_matches_in_one_text(spark):
     assert r["n_assign"] == r["n_hex"] == 3000
 
 
+def test_matches_of_a_text_cost_the_same_however_many_there_are(spark):
+    """100,000 matches in one text: whole results, and no more than twice the time a match of 20,000."""
+
+    def timed(n):
+        text = " ".join(f"token={i:016x}" for i in range(n))
+        rows = spark.createDataFrame([(1, text, 0)], "doc_id bigint, text string, n_chars int").coalesce(1).cache()
+        rows.count()
+        begin = time.perf_counter()
+        scan = secrets.secret_scan(rows).select("n_assign", "n_hex").collect()[0]
+        out = secrets.without_secrets(rows).collect()[0]
+        took = time.perf_counter() - begin
+        assert (scan["n_assign"], scan["n_hex"]) == (n, n) and out["text"] == " ".join([secrets.BLANK] * n)
+        return took
+
+    timed(1000)
+    base, small, large = timed(10), timed(20_000), timed(100_000)
+    assert large < 60 and large - base < 2 * 5 * max(small - base, 1.0)
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 128])
+def test_blocks_of_any_size_give_the_same(spark, monkeypatch, block):
+    some = random_texts(120)
+    monkeypatch.setattr(secrets, "SCAN", block)
+    got = scanned(spark, some)
+    for i, text in enumerate(some):
+        assert got[i]["spans"] == ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in plain_spans(text, all_rules()))
+    rows = spark.createDataFrame([(i, t, 0) for i, t in enumerate(some)], "doc_id bigint, text string, n_chars int")
+    for r in secrets.without_secrets(rows).collect():
+        assert r["text"] == plain_blanked(some[r["doc_id"]], plain_spans(some[r["doc_id"]], all_rules()))
+
+
 def test_odd_rows(odd, clashing):
     got = secrets.secret_scan(odd).collect()
     assert len(got) == odd.count()
