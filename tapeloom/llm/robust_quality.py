@@ -272,9 +272,10 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass the base rules and are no outliers, all columns as they were."""
-    rows = statistics(packed(docs), field("text"))
+    # Each text is looked at once: rows and statistics are written together, the fit reads the narrow part.
+    rows = written(statistics(packed(docs), field("text")), "quality")
     narrow = rows.select(field("lang").alias("lang"), field("source").alias("source"), "stats")
-    estimates = fit(written(_vectors(narrow), "quality"))
+    estimates = fit(_vectors(narrow))
     return unpacked(judged(rows, estimates, field("lang"), field("source")).where("kept"), docs.columns)
 
 

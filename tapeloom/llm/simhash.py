@@ -248,8 +248,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Among rows that repeat that ``doc_id`` the one with the smallest text hash stays.
     """
     columns = docs.columns
-    rows = with_fingerprint(packed(docs), field("text"), "fp")
-    classes = near_duplicates(written(rows.select(field("doc_id").alias("doc_id"), "fp"), "simhash"))
+    # Each text is fingerprinted once: rows are written with their fingerprints, the index reads the narrow part.
+    rows = written(with_fingerprint(packed(docs), field("text"), "fp"), "simhash")
+    classes = near_duplicates(rows.select(field("doc_id").alias("doc_id"), "fp"))
     first = rows.join(classes, "fp").where(field("doc_id").eqNullSafe(F.col("component_id")))
     rank = Window.partitionBy("root").orderBy(F.xxhash64(field("text")))
     return unpacked(first.withColumn("rank", F.row_number().over(rank)).where("rank = 1"), columns)
