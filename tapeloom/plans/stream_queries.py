@@ -8,7 +8,7 @@ from tapeloom import schemas
 from tapeloom.operators.ordered import ordinal
 from tapeloom.plans import audio_queries, sql
 from tapeloom.session import new_shared_path
-from tapeloom.sources import audio_tables, tables
+from tapeloom.sources import audio_tables, folders, tables
 from tapeloom.streaming import jobs
 
 KEY = ["session_id", "channel"]
@@ -21,6 +21,11 @@ def _landed(frame, schema, label):
     return path
 
 
+def _per_batch(spark, path, least=8):
+    """Files of one micro-batch: a folder is worked off in about four, however many files it has."""
+    return max(least, -(-len([n for n in folders.names(spark, path) if n.endswith(".parquet")]) // 4))
+
+
 def _drained(spark, stream, label):
     path = new_shared_path(spark, label)
     jobs.drain(stream, path, new_shared_path(spark, f"{label}-checkpoint"))
@@ -41,7 +46,7 @@ def _packets(spark, sf_dir):
 
 def stream_rechunk(spark, sf_dir):
     path = _landed(_packets(spark, sf_dir), schemas.PCM_PACKETS, "packets")
-    stream = jobs.packet_stream(spark, path, schemas.PCM_PACKETS, files_per_trigger=8)
+    stream = jobs.packet_stream(spark, path, schemas.PCM_PACKETS, _per_batch(spark, path))
     return audio_queries.chunk_digest(_drained(spark, jobs.rechunk_stream(stream, 50), "chunks"))
 
 
@@ -49,7 +54,7 @@ def stream_partials(spark, sf_dir):
     chunks = tables.chunk_responses(spark, sf_dir).withColumnRenamed("chunk_index", "given")
     numbered = ordinal(chunks, KEY, "given", "chunk_index")
     path = _landed(numbered, schemas.CHUNK_RESPONSES, "responses")
-    stream = jobs.packet_stream(spark, path, schemas.CHUNK_RESPONSES, files_per_trigger=8)
+    stream = jobs.packet_stream(spark, path, schemas.CHUNK_RESPONSES, _per_batch(spark, path))
     partials = _drained(spark, jobs.partials_stream(stream), "partials")
     return partials.select(
         *KEY,
@@ -67,7 +72,7 @@ def _folded(spark, sf_dir):
     lines = tables.transcript_events(spark, sf_dir).withColumnRenamed("seq", "event_id")
     numbered = ordinal(lines, KEY, "event_id", "seq")
     path = _landed(numbered, schemas.TRANSCRIPT_EVENTS, "events")
-    stream = jobs.packet_stream(spark, path, schemas.TRANSCRIPT_EVENTS, files_per_trigger=8)
+    stream = jobs.packet_stream(spark, path, schemas.TRANSCRIPT_EVENTS, _per_batch(spark, path))
     return _drained(spark, jobs.events_stream(stream), "fold")
 
 
@@ -87,7 +92,7 @@ def stream_live_frames(spark, sf_dir):
     )
     path = new_shared_path(spark, "live")
     chunks.write.parquet(path)
-    stream = jobs.packet_stream(spark, path, chunks.schema, files_per_trigger=8)
+    stream = jobs.packet_stream(spark, path, chunks.schema, _per_batch(spark, path))
     out, dead = new_shared_path(spark, "frames"), new_shared_path(spark, "dead")
 
     def replace(batch, _epoch):
@@ -119,7 +124,7 @@ def stream_replayed(spark, sf_dir):
             raise ConnectionError("nobody listens")
         listener(batch, epoch)
 
-    stream = jobs.packet_stream(spark, path, chunks.schema, files_per_trigger=2)
+    stream = jobs.packet_stream(spark, path, chunks.schema, _per_batch(spark, path, least=1))
     jobs.deliver(stream, sometimes, dead, new_shared_path(spark, "replay-checkpoint")).awaitTermination()
     away["now"] = False
     jobs.replay(spark, dead, sometimes, chunks.schema)
