@@ -9,9 +9,9 @@ symbols, so pieces of any length cost what their merges cost.
 
 Reads the public tokenizer files of the word kind: NFC, lower case, one pattern,
 byte symbols, an end-of-word mark, special strings cut out of the raw text first.
-Ids are kept as little-endian unsigned 32-bit integers in one BINARY value.  Letters
-and capitals that Unicode added after version 15.1 follow the installed pattern and
-text libraries, whose Unicode versions differ from each other.
+Ids are kept as little-endian unsigned 32-bit integers in one BINARY value.  The installed text,
+pattern and tokenizer libraries know different Unicode versions: of the points that are
+unassigned to the text library exactly those of the tables below are letters, digits or capitals.
 
 Defined cases: a NULL or empty text has no ids and decodes to the empty text; ids
 that are NULL decode like none; repeated rows each give their result; an empty
@@ -42,6 +42,37 @@ CHUNK_CHARS = 8_000_000
 _SPACES = r"\t-\r \x85\xa0  -     　"
 
 
+# Code points unassigned in Unicode 15.1 that the tokenizers library takes as letters and as digits,
+# and the capitals among such points with their small letters, as its own splitter and normaliser answer for each.
+NEWER_LETTERS = """
+    1C89-1C8A A7CB-A7CD A7DA-A7DC 105C0-105F3 10D4A-10D65 10D6F-10D85 10EC2-10EC4 11380-11389 1138B 1138E 11390-113B5
+    113B7 113D1 113D3 11BC0-11BE0 13460-143FA 16100-1611D 16D40-16D6C 18CFF 1E5D0-1E5ED 1E5F0
+"""
+NEWER_DIGITS = "10D40-10D49 116D0-116E3 11BF0-11BF9 16130-16139 16D70-16D79 1CCF0-1CCF9 1E5F1-1E5FA"
+NEWER_CAPITALS = "1C89:1C8A A7CB:264 A7CC:A7CD A7CE:A7CF A7D2:A7D3 A7D4:A7D5 A7DA:A7DB A7DC:19B 10D50-10D65:10D70 16EA0-16EB8:16EBB"
+
+
+def _points(table: str) -> set[int]:
+    ranges = [[int(end, 16) for end in part.split("-")] for part in table.split()]
+    return {point for part in ranges for point in range(part[0], part[-1] + 1)}
+
+
+def _small_letters() -> dict[int, int]:
+    """The small letter of each newer capital."""
+    out = {}
+    for entry in NEWER_CAPITALS.split():
+        capitals, small = entry.split(":")
+        out |= {point: int(small, 16) + k for k, point in enumerate(sorted(_points(capitals)))}
+    return out
+
+
+def _unknown(kind: str, known: str) -> list[int]:
+    """Points that the pattern library counts as ``kind``, and the tokenizer neither by version nor by table."""
+    everything = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    found = [c for c in regex.findall(rf"\p{{{kind}}}", everything) if unicodedata.category(c) == "Cn"]
+    return sorted({ord(c) for c in found} - _points(known))
+
+
 def _byte_symbols() -> list[str]:
     """The printable stand-in of each byte in byte-level vocabularies."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -160,6 +191,14 @@ class WordBpe:
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         pattern = split["pattern"]["Regex"].replace(r"[^\s", f"[^{_SPACES}")
         self._pieces = regex.compile(pattern).findall
+        # Texts with points that are too new take a pattern without them; for all others it would only be slow.
+        self._capitals = _small_letters()
+        unknown = {kind: _unknown(kind, known) for kind, known in (("L", NEWER_LETTERS), ("N", NEWER_DIGITS))}
+        self._newest = min([*self._capitals, *unknown["L"], *unknown["N"]])
+        for kind, points in unknown.items():
+            listed = "".join(f"\\U{point:08x}" for point in points)
+            pattern = pattern.replace(rf"\p{{{kind}}}", rf"[\p{{{kind}}}--[{listed}]]" if listed else rf"\p{{{kind}}}")
+        self._new_pieces = regex.compile(pattern, regex.VERSION1).findall
         self._cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split
         self._marks = tuple(self.special)
 
@@ -172,7 +211,10 @@ class WordBpe:
 
     def _plain(self, text: str) -> list[str]:
         # Lower case is taken letter by letter: a capital sigma has one form at every place.
-        return self._pieces(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        if text.isascii() or np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").max() < self._newest:
+            return self._pieces(text)
+        return self._new_pieces(text.translate(self._capitals))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, over one index of all their distinct pieces."""

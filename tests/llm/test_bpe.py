@@ -72,3 +72,20 @@ def test_odd_rows(odd, library, monkeypatch):
 def test_other_columns_stay(clashing):
     out = clashing.withColumn("tokens", bpe.encode(F.col("text"), PATH))
     assert out.columns == [*clashing.columns, "tokens"] and out.select("row").first()[0] == "mine row"
+
+
+def test_every_code_point_is_read_as_the_library_reads_it(library):
+    """Alone, between letters, between digits and between signs."""
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    for at in range(0, len(points), 1 << 16):
+        texts = [f"{c} a{c}b 1{c}2 -{c}-" for c in points[at : at + (1 << 16)]]
+        coder = bpe.loaded(PATH)
+        want = library.encode_batch_fast(texts, add_special_tokens=False)
+        for text, ids, w in zip(texts, coder.encode(texts), want, strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == w.ids, f"U+{ord(text[0]):04X}"
+
+
+def test_newer_letters_in_longer_texts(library):
+    newer = [chr(c) for c in sorted(bpe._points(bpe.NEWER_LETTERS) | bpe._points(bpe.NEWER_DIGITS) | set(bpe._small_letters()))]
+    rng = random.Random(4)
+    same(library, ["".join(rng.choice([rng.choice(newer), "a", "B", " ", "1", "-", "é"]) for _ in range(40)) for _ in range(500)])
