@@ -8,15 +8,17 @@ emitted once for every integer that its piece of the line crosses.  Neighbours i
 the line have nearly the same size, so the words taken keep close to the target
 whatever the sizes are.
 
-No line is ever gathered.  A place in it comes from three counts: documents of
-smaller size (one row per size), documents of the same size in lower blocks of the
-order (at most ``BLOCKS`` rows), and documents before it in its own block.
+No line is ever gathered.  A place in it comes from counts: documents of smaller size
+(one row per size), documents of the same size in lower blocks of the order, documents before it in its
+own block, and of rows that cannot be told apart those before it in the table.  Sources are names: the
+windows over them hold one row for each.
 
-The order and the offset are hashes: reruns and repeated tasks agree.
+The order and the offset are hashes, and the table is written before its rows are
+numbered: reruns and repeated tasks agree.
 
 Defined cases: a NULL or empty text has size 0, is never worth copies by its words
-but takes its turns like others; NULL is a source of its own, after all others;
-rows that repeat a ``doc_id`` each have their own place; a table without words has targets 0 and
+but takes its turns like others; very long texts are counted whole; NULL is a source of its own, after all others;
+rows that repeat a ``doc_id`` each have their own place, repeated rows stand side by side; a table without words has targets 0 and
 nothing is taken; an empty table gives an empty result.
 """
 
@@ -25,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import SPACE_CLASS, few_files, field, packed, table, unpacked, written
+from tapeloom.llm.common import ROW, SPACE_CLASS, few_files, field, packed, table, unpacked, written
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (1, 2, 3)
@@ -34,6 +36,8 @@ MOST = 3
 SEED = "mix-1"
 #: Hex digits of the order hash that name a block; 16 to that power blocks.
 BLOCK_DIGITS = 3
+#: Rows of one tie that a window task numbers.
+PART_ROWS = 4096
 
 
 def size_of(text: Column) -> Column:
@@ -89,64 +93,69 @@ def _with_same(rows: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def copies(items: DataFrame) -> DataFrame:
-    """Add source_size, target and ``copies`` to (source, size, h, ...) rows; ``h`` orders equal sizes.
+    """Add source_size, target and ``copies`` to (source, size, h, uid, ...) rows.
 
+    ``h`` orders equal sizes and the unique ``uid`` equal ``h``: rows without an id, or repeated ones.  Such a tie
+    is one row of the counts, whatever its length, and its rows are numbered in blocks of ``uid``.
     ``items`` is read several times: give a written table.
     """
-    per_size = items.groupBy("source", "size").agg(F.count("*").alias("n"))
-    sources = targets(per_size.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")))
     before = Window.unboundedPreceding, -1
+    none = F.lit(0).cast("bigint")
+    block = F.substring("h", 1, BLOCK_DIGITS).alias("block")
+    ties = items.groupBy("source", "size", "h").agg(F.count("*").alias("n"))
+    per_block = ties.groupBy("source", "size", block).agg(F.sum("n").alias("n"))
+    per_size = per_block.groupBy("source", "size").agg(F.sum("n").alias("n"))
+    sources = targets(per_size.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")))
     smaller = F.sum("n").over(Window.partitionBy("source").orderBy("size").rowsBetween(*before))
-    offsets = per_size.select("source", "size", F.coalesce(smaller, F.lit(0)).alias("smaller"))
-    block = F.substring("h", 1, BLOCK_DIGITS)
-    per_block = items.groupBy("source", "size", block.alias("block")).agg(F.count("*").alias("n"))
+    offsets = per_size.select("source", "size", F.coalesce(smaller, none).alias("smaller"))
     lower = F.sum("n").over(Window.partitionBy("source", "size").orderBy("block").rowsBetween(*before))
-    per_block = per_block.select("source", "size", "block", F.coalesce(lower, F.lit(0)).alias("lower"))
+    per_block = per_block.select("source", "size", "block", F.coalesce(lower, none).alias("lower"))
 
     places = _with_same(per_block, offsets, ["source", "size"])
     places = _with_same(places, sources, ["source"]).withColumn("base", F.col("smaller") + F.col("lower"))
     places = places.drop("smaller", "lower")
-    rank = F.row_number().over(Window.partitionBy("source", "size", "block").orderBy("h"))
-    rows = items.withColumn("block", block).withColumn("rank", rank)
-    rows = _with_same(rows, places, ["source", "size", "block"])
+    inside = F.sum("n").over(Window.partitionBy("source", "size", "block").orderBy("h").rowsBetween(*before))
+    ties = ties.withColumn("block", block).withColumn("inside", F.coalesce(inside, none))
+    ties = _with_same(ties, places, ["source", "size", "block"])
+    ties = ties.withColumn("base", F.col("base") + F.col("inside")).drop("block", "inside")
+
+    # Rows of one tie: those of lower blocks of uid, then those before a row in its own block.
+    key = ["source", "size", "h"]
+    rows = _with_same(items, ties, key)
+    tied = rows.where("n > 1").withColumn("part", F.expr(f"uid div {PART_ROWS}"))
+    parts = tied.groupBy(*key, "part").agg(F.count("*").alias("in_part"))
+    ahead = F.sum("in_part").over(Window.partitionBy(*key).orderBy("part").rowsBetween(*before))
+    parts = parts.select(*key, "part", F.coalesce(ahead, none).alias("ahead"))
+    number = F.row_number().over(Window.partitionBy(*key, "part").orderBy("uid"))
+    tied = _with_same(tied.withColumn("number", number), parts, [*key, "part"])
+    tied = tied.withColumn("rank", F.col("number") + F.col("ahead")).drop("part", "number", "ahead")
+    rows = rows.where("n = 1").withColumn("rank", none + 1).unionByName(tied)
     # One offset per source, from 0 to 1.
     first = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(SEED), F.coalesce("source", F.lit("")))), 1, 8), 16, 10)
     offset = first.cast("double") / F.lit(float(1 << 32))
     end = F.col("base") + F.col("rank")
     crossed = F.floor(end * F.col("rate") + offset) - F.floor((end - 1) * F.col("rate") + offset)
-    return rows.withColumn("copies", crossed.cast("bigint")).drop("block", "rank", "base", "rate")
+    return rows.withColumn("copies", crossed.cast("bigint")).drop("n", "rank", "base", "rate")
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, size, source_size, target of its source, and the words taken."""
     rows = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"))
-    rows = written(rows.withColumn("h", _order_hash(F.col("doc_id"), F.col("source"))), "mix")
+    rows = rows.withColumn("h", _order_hash(F.col("doc_id"), F.col("source")))
+    rows = written(rows.withColumn("uid", F.monotonically_increasing_id()), "mix")
     taken = (F.col("size") * F.col("copies")).alias("taken")
     return few_files(copies(rows).select("doc_id", "size", "source_size", "target", taken))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The documents themselves, each as often as the mix takes it, all columns as they were."""
-    columns = docs.columns
-    alike = ["id_hash", "text_hash", "source"]
-    rows = packed(docs).withColumns(
-        {
-            "id_hash": F.xxhash64(field("doc_id")),
-            "text_hash": F.xxhash64(field("text")),
-            "source": field("source"),
-        }
-    )
-    h = _order_hash(field("doc_id"), field("source"), F.col("text_hash").cast("string"))
-    narrow = written(rows.select(*alike, size_of(field("text")).alias("size"), h.alias("h")), "mix")
-    totals = copies(narrow).groupBy(*alike).agg(F.sum("copies").alias("total"), F.count("*").alias("rows"))
-    # Rows alike stand side by side in the line: what their places take is dealt to them evenly.
-    joined = _with_same(rows, totals.where("total > 0"), alike)
-    number = F.row_number().over(Window.partitionBy(*alike).orderBy("text_hash"))
-    joined = joined.withColumn("number", number)
-    dealt = lambda n: F.floor(F.col("total") * n / F.col("rows")).cast("int")
-    own = dealt(F.col("number")) - dealt(F.col("number") - 1)
-    emitted = joined.withColumn("own", own).where("own > 0")
-    return unpacked(emitted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("own")))), columns)
+    h = _order_hash(field("doc_id"), field("source"), F.xxhash64(field("text")).cast("string"))
+    rows = packed(docs).withColumns({"source": field("source"), "size": size_of(field("text")), "h": h})
+    # Written whole with a number for each row: places are found on the narrow columns.
+    rows = written(rows.withColumn("uid", F.monotonically_increasing_id()), "mix")
+    taken = copies(rows.select("source", "size", "h", "uid")).where("copies > 0").select("uid", "copies")
+    emitted = rows.select(ROW, "uid").join(taken, "uid")
+    return unpacked(emitted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))), docs.columns)
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

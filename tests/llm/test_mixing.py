@@ -91,3 +91,21 @@ def test_odd_rows(odd, clashing):
         assert row in rows and n <= 3 * rows[row]
     assert mixing.mix(odd.where("false")).count() == 0 and mixing.mixed(odd.where("false")).count() == 0
     assert mixing.mix(odd.where("text IS NULL")).agg(F.sum("taken")).first()[0] == 0
+
+
+def test_one_repeated_row_is_numbered_in_parts(spark, monkeypatch):
+    """A third of all rows are one row without an id: their places follow one another, whatever the parts."""
+    rows = [(None, "one two three", "en", "hot", 13)] * 5000 + [(i, "word " * (i % 7), "en", f"s{i % 4}", i) for i in range(10_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars int").repartition(8)
+
+    def taken():
+        got = mixing.mix(docs).where("doc_id IS NULL").collect()
+        return Counter(r["taken"] for r in got), got[0]["target"]
+
+    first, target = taken()
+    assert sum(first.values()) == 5000 and abs(sum(t * n for t, n in first.items()) - target) <= 3
+    assert len(first) <= 2 and max(first) <= 9  # neighbours of one size: whole copies next to each other
+    monkeypatch.setattr(mixing, "PART_ROWS", 64)
+    assert taken()[0] == first
+    out = mixing.mixed(docs).where("doc_id IS NULL")
+    assert abs(3 * out.count() - target) <= 3
