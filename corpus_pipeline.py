@@ -3,6 +3,10 @@
 Quality rules reject documents, near-duplicates leave one document of each group,
 secrets are blanked, sources are mixed to their weights (a document may come several
 times or not at all), and the texts are encoded.
+
+All stages but the last carry each row whole, as one struct, so extra columns keep their values
+whatever their names are; an empty table gives an empty one with the same columns. Very long texts
+are whole in one task and never cut.
 """
 
 from __future__ import annotations
@@ -21,28 +25,49 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are no outliers of their language and source."""
+    """Documents that pass the base rules and are no outliers of their language and source.
+
+    A NULL or empty text has no words and goes; a NULL language or source is a value of its own; repeated rows
+    count as often as they come and stay or go together; ties at the cutoff stay.
+    """
     return robust_quality.keep_good(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates: the one with the smallest ``doc_id``.
+
+    Texts without words (NULL too) are one group; a group without any ``doc_id`` keeps one row; rows that repeat the
+    smallest ``doc_id`` of their group leave the one with the smallest text hash, and of equal rows any one.
+    """
     ship_package(spark)
     return simhash.keep_one(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets blanked."""
+    """All documents, secrets blanked; ``n_chars`` follows a changed text.
+
+    A NULL text stays NULL and an empty one empty; overlapping secrets are blanked as one; repeated rows and
+    rows without a ``doc_id`` each give their row.
+    """
     return secrets.without_secrets(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of their source takes them."""
+    """Documents as often as the mix of their source takes them: not at all, or up to three times.
+
+    A NULL or empty text takes its turns like others; a NULL source is a source, after all others;
+    repeated rows stand side by side in the line, each with a place of its own; equal sizes stand in
+    an order of their own.
+    """
     return mixing.mixed(docs)
 
 
 def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Per document: doc_id, lang, source, its ids (little-endian 32-bit), their number, the decoded text's digest."""
+    """Per document: doc_id, lang, source, its ids (little-endian 32-bit), their number, the decoded text's digest.
+
+    These six columns are the result: all others of its input, the text too, end here. A NULL or empty text has no ids;
+    repeated rows each give their row; NULLs of the other columns stay.
+    """
     ship_package(spark)
     small_batches(spark)
     path = public_tokenizers.path(bpe.DEFAULT_FILE)
