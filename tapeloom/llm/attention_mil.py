@@ -21,7 +21,6 @@ result; other columns pass through untouched.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 from operator import eq
 
@@ -200,32 +199,23 @@ def fit(docs: DataFrame, labels: DataFrame, max_bags: int = MAX_BAGS) -> GatedAt
     bags = bags.groupBy("doc_id", "wanted").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     rows = written(few_files(bags.select("doc_id", "wanted", _bag("text").alias("bag"))), "bags")
     width = FEATURES * np.dtype(np.float32).itemsize
-    found, at = [], 0
-    with tempfile.TemporaryFile() as file:
-        for row in rows.toLocalIterator():
-            file.write(row["bag"])
-            found.append((row["doc_id"], row["wanted"], at, len(row["bag"]) // width))
-            at += len(row["bag"])
-        if not found:
-            return None
-        found.sort()
-        file.flush()
-        wanted = np.array([f[1] for f in found], dtype=np.float64)
-        sizes = np.array([f[3] for f in found])
-        groups = _batches(sizes)
-
-        def batch(i: int) -> Batch:
-            x = np.empty((sizes[groups[i]].sum(), FEATURES), dtype=np.float32)
-            begin = 0
-            for bag in groups[i]:
-                file.seek(found[bag][2])
-                file.readinto(x[begin : begin + sizes[bag]])
-                begin += sizes[bag]
-            return x.astype(np.float64), sizes[groups[i]], wanted[groups[i]]
-
-        x, *rest = batch(0)
-        model = GatedAttention(x)
-        return model.train(x, *rest) if len(groups) == 1 else model.train_batches(batch, len(groups), len(sizes))
+    # The driver holds one batch of whole bags at a time; all others stay in the shared table.
+    found = rows.select("doc_id", "wanted", F.octet_length("bag").alias("bytes")).orderBy("doc_id").collect()
+    if not found:
+        return None
+    wanted = np.array([f["wanted"] for f in found], dtype=np.float64)
+    sizes = np.array([f["bytes"] // width for f in found])
+    groups = _batches(sizes)
+
+    def batch(i: int) -> Batch:
+        ids = [found[bag]["doc_id"] for bag in groups[i]]
+        held = {r["doc_id"]: r["bag"] for r in rows.where(F.col("doc_id").isin(ids)).select("doc_id", "bag").collect()}
+        x = np.concatenate([np.frombuffer(held[k], dtype=np.float32) for k in ids]).reshape(-1, FEATURES)
+        return x.astype(np.float64), sizes[groups[i]], wanted[groups[i]]
+
+    x, *rest = batch(0)
+    model = GatedAttention(x)
+    return model.train(x, *rest) if len(groups) == 1 else model.train_batches(batch, len(groups), len(sizes))
 
 
 def scored(text: Column, model: GatedAttention | None) -> Column:
