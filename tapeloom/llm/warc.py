@@ -43,6 +43,8 @@ READ_BYTES = 1 << 16
 DATE = "2000-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _ID = "urn:x-page:"
+#: Carries a url, wholly quoted, whose characters a header cannot hold; other urls stand in the record as they are.
+_EXACT_URL = "X-Page-URL"
 _NONE = "none"
 RECORDS = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
 
@@ -78,6 +80,8 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     }
     if url is not None:
         head["WARC-Target-URI"] = quote(url, safe=":/?#[]@!$&'()*+,;=~%")
+        if head["WARC-Target-URI"] != url:  # no header can hold it as it is
+            head[_EXACT_URL] = quote(url, safe="")
     if refers_to is not None:
         head |= {"WARC-Refers-To": f"<{_ID}{refers_to}>", "WARC-Profile": _PROFILE}
     text = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()) + "\r\n"
@@ -215,8 +219,10 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
                     for fields, http, payload in read_records(source):
                         size = int(_fields(b"\r\n" + http)["content-length"])
                         kind, uri = fields["warc-type"], fields.get("warc-target-uri")
+                        if (exact := fields.get(_EXACT_URL.lower())) is not None:
+                            uri = unquote(exact)
                         ids = _page(fields["warc-record-id"]), _page(fields.get("warc-refers-to"))
-                        row = (ids[0], None if uri is None else unquote(uri), size,
+                        row = (ids[0], uri, size,
                                _digest_hex(fields["warc-payload-digest"]), kind, ids[1])
                         text = payload.decode("utf-8") if kind == "response" else None
                         rows.append((*row, text) if payloads else row)

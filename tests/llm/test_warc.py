@@ -14,6 +14,7 @@ BIG = "x" * 1200
 ROWS = [
     (1, "http://a/1", BIG), (2, "http://a/2?q=é ü", BIG), (3, None, BIG), (3, "http://again/", BIG), (4, "http://b/", None),
     (5, "http://c/", ""), (6, "http://d/\r\nX: y", "short"), (7, "http://e/", "short"), (None, "http://f/", BIG),
+    (10, "http://x/a%20b", "q"), (11, "http://x/a%2Fb?c=%C3%A9", "q"), (12, "http://x/a b%20c", "q"), (13, "%", "q"), (14, "", "q"),
     (None, None, None), (8, "u", "ä" * 600 + "\r\n\r\nWARC/1.1\r\n"), (9, "u", "\x00\r\n" * 90_000),
 ]
 
