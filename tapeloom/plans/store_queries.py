@@ -36,7 +36,7 @@ def store_bootstrap(spark, sf_dir):
     for _ in range(2):
         store.bootstrap(spark, location, database)
     logs = {
-        "session_log": tables.session_log(spark, sf_dir).filter(F.col("op") == store.SAVE),
+        "session_log": tables.session_log(spark, sf_dir),
         "transcripts": tables.transcripts(spark, sf_dir),
         "notes_log": tables.notes_log(spark, sf_dir, F.col("source")),
     }
@@ -222,7 +222,7 @@ FROM {sessions} s LEFT JOIN latest t ON t.session_id = s.id LEFT JOIN notes n ON
 ORACLES = {
     "store_bootstrap": """
         SELECT 'session_log' AS "table", count(*) AS n_rows, 'seq,op,id,name,created_at,duration,sample_rate,' ||
-          'channels,audio_paths,mix_path' AS columns FROM orders WHERE o_orderstatus <> 'P'
+          'channels,audio_paths,mix_path' AS columns FROM orders
         UNION ALL
         SELECT 'transcripts', count(*), 'row_id,transcript_id,part,session_id,channel,text,segments,raw_response' FROM conversations
         UNION ALL
