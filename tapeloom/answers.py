@@ -1,11 +1,11 @@
 """A ledger of backend answers: no upload chunk is paid for twice.
 
 Answers are keyed by session, channel, chunk and a digest of what the backend is given.
-A run asks for the chunks without an answer only.  A task writes each answer as a small file
-of its own the moment it has it, so a task that is repeated, and a run that is repeated
-after a failed one, find it there; a finished run commits its answers as one table and
-removes the small files.  A chunk whose call keeps failing gives a row with an ``error`` and no
-response: it is asked for again by the next run, and no other chunk is.
+A run asks for the chunks without an answer only.  A task writes the answers of each call as
+one journal file the moment it has them, so a task that is repeated finds them there; a run
+that follows a failed one first commits what that run's tasks had.  A finished run commits its
+answers as one table and removes its journals.  A chunk whose call keeps failing gives a row with an
+``error`` and no response: it is asked for again by the next run, and no other chunk is.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,61 +65,92 @@ def recorded(spark: SparkSession, ledger: str) -> DataFrame:
     return spark.read.schema(_SCHEMA).parquet(path)
 
 
-def _asker(call: Callable[[pd.DataFrame], pd.Series], open_answers: str, columns: list[str], attempts: int, pause_s: float):
-    def named(digest: str):
-        filesystem, folder = pafs.FileSystem.from_uri(open_answers)
-        return filesystem, f"{folder}/{digest}.json"
-
-    def keep(digest: str, response: str | None) -> None:
-        filesystem, name = named(digest)
-        with filesystem.open_output_stream(name) as out:
-            out.write(json.dumps({"response": response}).encode("utf-8"))
-
-    def kept(digests: list[str]) -> dict[str, str | None]:
-        filesystem, _ = named("")
-        names = {named(d)[1]: d for d in digests}
-        found = [i.path for i in filesystem.get_file_info(list(names)) if i.type == pafs.FileType.File]
-        out = {}
-        for name in found:
-            with filesystem.open_input_file(name) as file:
-                out[names[name]] = json.loads(file.read())["response"]
-        return out
-
-    def asked(rows: pd.DataFrame) -> tuple[list[str | None], str | None, int]:
-        """Responses of some chunks, or the error of the last attempt, and the number of calls."""
+def _asker(call: Callable[[pd.DataFrame], pd.Series], journals: str, columns: list[str], attempts: int, pause_s: float):
+    def written(filesystem: pafs.FileSystem, path: str) -> Iterator[dict]:
+        """Rows of a journal file; a task may have died in the middle of its last line."""
+        with filesystem.open_input_file(path) as file:
+            for line in file.read().splitlines():
+                try:
+                    yield json.loads(line)
+                except ValueError:
+                    continue
+
+    def journal() -> tuple[Callable[[pd.DataFrame], None], Callable[[list[str]], dict[str, str | None]]]:
+        """Writes answers of this task; finds those that an earlier attempt of it wrote."""
+        filesystem, top = pafs.FileSystem.from_uri(journals)
+        folder = f"{top}/{TaskContext.get().partitionId()}"
+        filesystem.create_dir(folder)
+        # Only digests are held; the answers of a batch are read when it comes.
+        places = {}
+        for info in filesystem.get_file_info(pafs.FileSelector(folder)):
+            places.update((row["digest"], info.path) for row in written(filesystem, info.path))
+
+        def keep(rows: pd.DataFrame) -> None:
+            with filesystem.open_output_stream(f"{folder}/{uuid.uuid4().hex}.json") as out:
+                out.write(rows[_SCHEMA.names].to_json(orient="records", lines=True).encode("utf-8"))
+
+        def kept(digests: list[str]) -> dict[str, str | None]:
+            wanted = set(digests)
+            files = {places[d] for d in wanted if d in places}
+            rows = (row for path in files for row in written(filesystem, path))
+            return {row["digest"]: row["response"] for row in rows if row["digest"] in wanted}
+
+        return keep, kept
+
+    def answered(rows: pd.DataFrame) -> list[str | None]:
+        responses = [None if pd.isna(r) else str(r) for r in call(rows[columns])]
+        if len(responses) != len(rows):
+            raise ValueError(f"{len(responses)} responses for {len(rows)} chunks")
+        return responses
+
+    def answered_whole(rows: pd.DataFrame) -> list[str | None] | None:
+        try:
+            return answered(rows)
+        except Exception:  # asked again chunk by chunk, which reports what fails
+            return None
+
+    def asked(rows: pd.DataFrame) -> tuple[str | None, str | None, int]:
+        """The response of one chunk, or the error of the last attempt, and the number of calls."""
         for n in range(1, attempts + 1):
             try:
-                return [None if pd.isna(r) else str(r) for r in call(rows[columns])], None, n
+                return answered(rows)[0], None, n
             except Exception as error:  # whatever a backend raises is reported with its chunk
                 failure = f"{type(error).__name__}: {error}"
                 time.sleep(pause_s * (2 ** (n - 1)) if n < attempts else 0)
-        return [None] * len(rows), failure, attempts
+        return None, failure, attempts
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keep, kept = journal()
         for batch in batches:
             batch = batch.reset_index(drop=True)
             known = kept(batch["digest"].to_list())
-            batch["response"] = [known.get(d) for d in batch["digest"]]
-            batch["error"], batch["calls"] = None, 0
+            found = [known.get(d) for d in batch["digest"]]
+            batch["response"], batch["error"], batch["calls"] = pd.Series(found, dtype=object), None, 0
             # One call for the whole batch; if it fails, chunk by chunk, so that one bad chunk costs no other.
-            todo = batch.index[~batch["digest"].isin(known)].to_list()
-            whole = asked_once(batch.loc[todo]) if len(todo) > 1 else None
-            for place, k in enumerate(todo):
-                responses, error, calls = ([whole[place]], None, 1) if whole else asked(batch.loc[[k]])
-                batch.at[k, "response"], batch.at[k, "error"], batch.at[k, "calls"] = responses[0], error, calls
-                if error is None:
-                    keep(batch.at[k, "digest"], responses[0])
+            todo = batch.index[~batch["digest"].isin(list(known))]
+            whole = answered_whole(batch.loc[todo]) if len(todo) > 1 else None
+            if whole is not None:
+                batch.loc[todo, "response"], batch.loc[todo, "calls"] = pd.Series(whole, todo, dtype=object), 1
+                keep(batch.loc[todo])
+            for k in todo if whole is None else ():
+                batch.at[k, "response"], batch.at[k, "error"], batch.at[k, "calls"] = asked(batch.loc[[k]])
+                if batch.at[k, "error"] is None:
+                    keep(batch.loc[[k]])
             yield batch[_SCHEMA.names]
 
-    def asked_once(rows: pd.DataFrame) -> list[str | None] | None:
-        try:
-            return [None if pd.isna(r) else str(r) for r in call(rows[columns])]
-        except Exception:  # asked again chunk by chunk, which reports what fails
-            return None
-
     return answer
 
 
+def _commit_open(spark: SparkSession, ledger: str) -> None:
+    """Commit the answers that tasks of a failed run had written."""
+    journals = f"{ledger}/open"
+    if folders.names(spark, journals):
+        reader = spark.read.schema(_SCHEMA).option("recursiveFileLookup", "true").option("mode", "DROPMALFORMED")
+        left = reader.json(journals).where("digest IS NOT NULL AND calls > 0 AND error IS NULL")
+        left.write.parquet(f"{ledger}/runs/run={uuid.uuid4().hex}")
+        folders.remove(spark, journals)
+
+
 def ask(
     manifest: DataFrame,
     call: Callable[[pd.DataFrame], pd.Series],
@@ -130,23 +162,22 @@ def ask(
     """The manifest with ``response`` and ``error``; chunks with an answer in the ledger are not asked for.
 
     Runs on one ledger follow one another: a run commits what it has found, and then
-    removes the small files of its tasks.
+    removes the journals of its tasks.
     """
     spark = manifest.sparkSession
     ledger = full_uri(spark, ledger).rstrip("/")
-    open_answers = f"{ledger}/open"
+    _commit_open(spark, ledger)
+    run = uuid.uuid4().hex
     columns = manifest.columns
     wanted = manifest.withColumn("digest", digest_of(manifest))
     same = [*KEY, "digest"]
     answered = recorded(spark, ledger).where("error IS NULL").select(*same, "response").dropDuplicates(same)
     todo = wanted.join(answered.select(*same), same, "left_anti")
-    folders.make(spark, open_answers)
     spread = todo.repartition(fan_out(spark, parallelism), *KEY)
-    found = spread.mapInPandas(_asker(call, open_answers, columns, attempts, pause_s), _SCHEMA)
-    run = f"{ledger}/runs/run={uuid.uuid4().hex}"
-    found.write.parquet(run)
-    folders.remove(spark, open_answers)
-    new = spark.read.schema(_SCHEMA).parquet(run).select(*same, "response", "error")
+    found = spread.mapInPandas(_asker(call, f"{ledger}/open/{run}", columns, attempts, pause_s), _SCHEMA)
+    found.write.parquet(f"{ledger}/runs/run={run}")
+    folders.remove(spark, f"{ledger}/open")
+    new = spark.read.schema(_SCHEMA).parquet(f"{ledger}/runs/run={run}").select(*same, "response", "error")
     both = answered.withColumn("error", F.lit(None).cast("string")).unionByName(new)
     return wanted.join(both, same).select(*columns, "response", "error")
 

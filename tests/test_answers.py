@@ -96,6 +96,34 @@ def test_answers_of_a_task_that_died_are_found_again(spark, tmp_path, monkeypatc
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_answers_of_a_call_are_one_file(spark, tmp_path):
+    """A run's small files grow with its calls, not with its chunks; a line torn by a dying task is asked for again."""
+    ledger = f"{tmp_path}/ledger"
+    backend = _backend(tmp_path)
+
+    def call(batch):
+        seen = sum(len(names) for _, _, names in os.walk(f"{ledger}/open"))
+        with open(f"{tmp_path}/files", "a") as log:
+            log.write(f"{seen}\n")
+        return backend(batch)
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        answers.ask(_manifest(spark, ("a",), 60), call, ledger, parallelism=1).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [int(n) for n in open(f"{tmp_path}/files").read().split()] == [0, 1, 2]
+    # A run that died: one whole line, one torn.
+    again, folder = f"{tmp_path}/again", f"{tmp_path}/again/open/dead/0"
+    rows = spark.read.parquet(f"{ledger}/runs").where("chunk_index < 2").orderBy("chunk_index").toJSON().collect()
+    os.makedirs(folder)
+    with open(f"{folder}/x.json", "w") as torn:
+        torn.write(rows[0] + "\n" + rows[1][:-12])
+    _calls(tmp_path)
+    got = _answers(answers.ask(_manifest(spark, ("a",), 2), backend, again, parallelism=1))
+    assert _calls(tmp_path) == ["a1"] and [r[2] for r in got] == ['{"text": "said a0"}', '{"text": "said a1"}']
+
+
 def test_other_contents_are_asked_for(spark, tmp_path):
     ddl = MANIFEST + ", samples array<float>"
     make = lambda x: spark.createDataFrame([("a", "mic", 0, 0.0, 1.0, [x, 0.5])], ddl)
