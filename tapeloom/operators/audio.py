@@ -25,7 +25,8 @@ def channel_metrics(channels: DataFrame, chunks: DataFrame) -> DataFrame:
     """
     captured = chunks.groupBy(*KEY).agg(F.sum(F.col("n_frames").cast("bigint")).alias("captured"))
     frames = F.coalesce(F.col("captured"), F.lit(0)).cast("bigint")
-    counted = channels.join(captured, KEY, "left").withColumn("frames", frames).drop("captured")
+    # Never broadcast: channels come from few bytes of file (a customer gives five), but fill a task's memory.
+    counted = channels.hint("merge").join(captured, KEY, "left").withColumn("frames", frames).drop("captured")
     duration = F.when(F.col("sample_rate") == 0, F.lit(0.0)).otherwise(
         F.col("frames") / F.nullif(F.col("sample_rate"), F.lit(0)).cast("double")
     )

@@ -48,6 +48,13 @@ def test_sides_are_broadcast_by_size_only(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+@pytest.mark.parametrize("name", ["split_manifest", "mix_source_filter"])
+def test_channels_are_never_broadcast(spark, name):
+    """The planner sees the few bytes of their file, not the rows that they become."""
+    plan = _plan(QUERIES[name](spark, SF_DIR))
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_one_session_is_cut_out_before_its_logs_are_compacted(spark):
     plan = QUERIES["newest_outcome"](spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
     for line in range(len(lines := plan.split("\n"))):
