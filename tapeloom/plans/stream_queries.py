@@ -14,9 +14,15 @@ from tapeloom.streaming import jobs
 KEY = ["session_id", "channel"]
 
 
-def _landed(frame, schema, label):
-    """Write a derived table as the folder a stream reads from."""
+def _landed(frame, schema, label, *arrival):
+    """Write a derived table as the folder a stream reads from, its files cut by order of ``arrival``.
+
+    Recorders send as they record.  Files dealt by hash would bring a part of every key with every
+    micro-batch, all of it behind holes.  The stream itself takes any order.
+    """
     path = new_shared_path(frame.sparkSession, label)
+    if arrival:
+        frame = frame.repartitionByRange(*arrival).sortWithinPartitions(*arrival)
     frame.select(*[f.name for f in schema.fields]).write.parquet(path)
     return path
 
@@ -53,7 +59,7 @@ def stream_rechunk(spark, sf_dir):
 def stream_partials(spark, sf_dir):
     chunks = tables.chunk_responses(spark, sf_dir).withColumnRenamed("chunk_index", "given")
     numbered = ordinal(chunks, KEY, "given", "chunk_index")
-    path = _landed(numbered, schemas.CHUNK_RESPONSES, "responses")
+    path = _landed(numbered, schemas.CHUNK_RESPONSES, "responses", *KEY, "given")
     stream = jobs.packet_stream(spark, path, schemas.CHUNK_RESPONSES, _per_batch(spark, path))
     partials = _drained(spark, jobs.partials_stream(stream), "partials")
     return partials.select(
@@ -71,7 +77,7 @@ def stream_partials(spark, sf_dir):
 def _folded(spark, sf_dir):
     lines = tables.transcript_events(spark, sf_dir).withColumnRenamed("seq", "event_id")
     numbered = ordinal(lines, KEY, "event_id", "seq")
-    path = _landed(numbered, schemas.TRANSCRIPT_EVENTS, "events")
+    path = _landed(numbered, schemas.TRANSCRIPT_EVENTS, "events", "event_id")
     stream = jobs.packet_stream(spark, path, schemas.TRANSCRIPT_EVENTS, _per_batch(spark, path))
     return _drained(spark, jobs.events_stream(stream), "fold")
 

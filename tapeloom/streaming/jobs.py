@@ -193,38 +193,30 @@ def events_stream(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
                   "error string")
     )
 
+    folded = ["seq", "position", "piece", "raw_end", "n_segments", "emitted", "is_final"]
+
     def closing(seq: int, position: int, raw_end: int, segments: int) -> pd.DataFrame:
-        return pd.DataFrame(
-            [(seq, position, None, raw_end, segments, False, True)],
-            columns=["seq", "position", "piece", "raw_end", "n_segments", "emitted", "is_final"],
-        )
+        return pd.DataFrame([(seq, position, None, raw_end, segments, False, True)], columns=folded)
 
     def step(state, rows):
         raw_end, segments, position, stopped, _ = state
         last_seq = int(rows["seq"].iloc[-1])
         if stopped:
             return (*state[:4], last_seq), None
-        stops = np.flatnonzero(rows["is_stop"].to_numpy(dtype=bool))
-        live = rows.iloc[: stops[0]] if len(stops) else rows
-        live = live[live["piece"].notna()]
-        ends = raw_end + live["piece"].str.len().to_numpy(dtype="int64").cumsum()
-        counts = segments + live["filled"].to_numpy(dtype=bool).cumsum()
-        out = pd.DataFrame(
-            {
-                "seq": live["seq"],
-                "position": position + np.arange(len(live)),
-                "piece": live["piece"],
-                "raw_end": ends,
-                "n_segments": counts,
-                "emitted": counts > 0,
-                "is_final": False,
-            }
-        )
-        if len(live):
-            raw_end, segments, position = int(ends[-1]), int(counts[-1]), position + len(live)
+        # Few rows a key: plain lists and one frame are a fraction of the cost of frame operations.
+        seqs, stops = rows["seq"].tolist(), np.flatnonzero(rows["is_stop"].to_numpy(dtype=bool))
+        upto = int(stops[0]) if len(stops) else len(rows)
+        pieces, filled = rows["piece"].tolist(), rows["filled"].tolist()
+        out = []
+        for i in range(upto):
+            if isinstance(pieces[i], str):
+                raw_end, segments = raw_end + len(pieces[i]), segments + bool(filled[i])
+                out.append((seqs[i], position, pieces[i], raw_end, segments, segments > 0, False))
+                position += 1
         if len(stops):
-            out = pd.concat([out, closing(int(rows["seq"].iloc[stops[0]]), position, raw_end, segments)])
-        return (raw_end, segments, position, bool(len(stops)), last_seq), out
+            out.append((seqs[upto], position, None, raw_end, segments, False, True))
+        frame = pd.DataFrame(dict(zip(folded, zip(*out, strict=True), strict=True))) if out else None
+        return (raw_end, segments, position, bool(len(stops)), last_seq), frame
 
     def close(state):
         raw_end, segments, position, stopped, last_seq = state

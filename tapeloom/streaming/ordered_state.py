@@ -152,8 +152,11 @@ class InOrder(StatefulProcessor):
         frame = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
         keys = self.names[: len(key)]
         numbers = frame[self.order].to_numpy()
+        if (numbers[1:] < numbers[:-1]).any():
+            place = np.argsort(numbers, kind="stable")
+            frame, numbers = frame.take(place).reset_index(drop=True), numbers[place]
         if not n_blocks and (numbers == expected + np.arange(len(numbers))).all():
-            # Most batches of most keys: the next rows, in order, and nothing waits.
+            # Most batches of most keys: the next rows, without a hole, and nothing waits.
             current, out = self.step(current, frame)
             yield from self._give(key, out, keys)
             self._save(expected + len(numbers), 0, timer, current, timerValues)
@@ -164,7 +167,7 @@ class InOrder(StatefulProcessor):
             late = self._late(frame.loc[old, self.order].to_numpy())
             if late:
                 yield from self._give(key, pd.DataFrame({LATE: late}), keys, f"{self.what} came late")
-        frame = frame[~old].drop_duplicates(self.order, keep="last").sort_values(self.order, ignore_index=True)
+        frame = frame[~old].drop_duplicates(self.order, keep="last").reset_index(drop=True)
         before = expected // BLOCK
         runs, rest, expected, n_blocks = self._ready(frame, expected, n_blocks)
         if runs:

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from tapeloom import schemas
 from tapeloom.operators import audio, transcripts
+from tapeloom.plans import stream_queries
 from tapeloom.streaming import jobs, ordered_state
 from tapeloom.streaming.ordered_state import InOrder
 from tests.test_transcripts import EVENT_LINES, _answer
@@ -302,6 +303,20 @@ def test_any_order_gives_the_rows_in_order(spark, monkeypatch):
     assert _only(key.send([rows[3], rows[30]]), "late") == [[3]] and len(key.fold.passed) == 0
 
 
+def test_a_stream_lands_in_the_order_of_arrival(spark):
+    """A key that is heard of for a while lies in a file or two, so few micro-batches touch it."""
+    rows = [(f"s{i // 50}", "mic", i % 50, "x", i) for i in range(1000)]
+    frame = spark.createDataFrame(rows, "session_id string, channel string, seq bigint, line string, event_id bigint")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        path = stream_queries._landed(frame.repartition(8, "seq"), schemas.TRANSCRIPT_EVENTS, "events", "event_id")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    seen = spark.read.parquet(path).selectExpr("session_id", "input_file_name() AS file").distinct()
+    assert seen.select("file").distinct().count() > 4
+    assert seen.groupBy("session_id").count().where("count > 2").count() == 0
+
+
 def test_an_idle_event_stream_is_closed(spark):
     key = _Key(jobs.events_stream, spark.createDataFrame([], schemas.TRANSCRIPT_EVENTS))
     out = key.send([("s", "mic", 0, False, "ab", True), ("s", "mic", 1, False, None, None)])
