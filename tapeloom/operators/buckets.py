@@ -12,6 +12,11 @@ the folder of every bucket, so readers see a batch whole or not at all, and olde
 can still be read.  The log stays the truth: repeating an older batch folds it again
 together with all batches after it.
 
+``Index`` is a snapshot for long rows: it holds the key and the order of the rows that still matter,
+and reads the rows themselves from the log's folders that its manifest was made of.  Folding
+moves no payload, so a row is shuffled and written with its batch, whatever number of batches follow.
+Its log is a ``KeptLog``: replaced batches stay as they were until ``expire`` removes them.
+
 The number of buckets is fixed when a log is made (it stands beside its batches); a
 manifest has one entry for each, which is all that the driver ever holds.
 """
@@ -75,15 +80,21 @@ class _Layout:
         """Buckets of the wanted keys: at most as many rows as there are buckets."""
         return sorted(r[0] for r in self._asked(keys).select(BUCKET).distinct().collect())
 
-    def lookup(self, keys: DataFrame, read: Callable[[set[int]], DataFrame]) -> DataFrame:
-        """Rows of the wanted keys from ``read`` of their buckets: few keys are literals that the scan
+    def pick(self, keys: DataFrame) -> tuple[set[int], Callable[[DataFrame], DataFrame]]:
+        """Buckets of the wanted keys, and what picks their rows: few keys are literals that the scan
         prunes with, more are joined."""
         asked = self._asked(keys)
         few = asked.limit(FEW_KEYS + 1).collect()
         if len(few) <= FEW_KEYS:
             known = [r[self.key] for r in few if r[self.key] is not None]
-            return read({r[BUCKET] for r in few}).where(F.col(self.key).isin(known))
-        return read(set(self.wanted(keys))).join(asked.select(self.key), self.key, "left_semi").select(*self.names)
+            return {r[BUCKET] for r in few}, lambda rows: rows.where(F.col(self.key).isin(known))
+        known = asked.select(self.key)
+        return set(self.wanted(keys)), lambda rows: rows.join(known, self.key, "left_semi").select(*rows.columns)
+
+    def lookup(self, keys: DataFrame, read: Callable[[set[int]], DataFrame]) -> DataFrame:
+        """Rows of the wanted keys from ``read`` of their buckets."""
+        buckets, picked = self.pick(keys)
+        return picked(read(buckets))
 
 
 class BucketLog(_Layout):
@@ -102,8 +113,11 @@ class BucketLog(_Layout):
         """Write a batch; one of the same number is replaced."""
         self.write(rows, self.batch_path(batch))
 
+    def folder(self, batch: int) -> str:
+        return f"batch={batch}"
+
     def batch_path(self, batch: int) -> str:
-        return f"{self.path}/batch={batch}"
+        return f"{self.path}/{self.folder(batch)}"
 
     def batches(self) -> list[int]:
         found = (n.partition("=") for n in folders.names(self.spark, self.path))
@@ -111,12 +125,44 @@ class BucketLog(_Layout):
 
     def rows(self, batches: Iterable[int] | None = None, wanted: DataFrame | None = None) -> DataFrame:
         """All rows of some (or all) batches, or those of the wanted keys (a column named as the key)."""
-        chosen = [(n, b) for n in (self.batches() if batches is None else batches) for b in self.touched(self.batch_path(n))]
+        read = self.reader([self.folder(n) for n in (self.batches() if batches is None else batches)])
+        return read() if wanted is None else self.lookup(wanted, read)
 
-        def read(buckets: set[int] | None = None) -> DataFrame:
-            return self.read([f"{self.batch_path(n)}/{BUCKET}={b}" for n, b in chosen if buckets is None or b in buckets])
+    def reader(self, chosen: Iterable[str]) -> Callable[..., DataFrame]:
+        """Reads some (or all) buckets of some folders."""
+        places = [(f"{self.path}/{name}", b) for name in chosen for b in self.touched(f"{self.path}/{name}")]
 
-        return read() if wanted is None else self.lookup(wanted, read)
+        def read(buckets: Iterable[int] | None = None) -> DataFrame:
+            return self.read([f"{path}/{BUCKET}={b}" for path, b in places if buckets is None or b in buckets])
+
+        return read
+
+
+class KeptLog(BucketLog):
+    """A log whose replaced batches stay until ``expire``: ``_batches/{number}`` names the folder that counts.
+
+    Its folder is no table to be read plainly.  Batches written as those of a ``BucketLog`` are read as they are.
+    """
+
+    def append(self, rows: DataFrame, batch: int) -> None:
+        folder = f"batch={batch}-{uuid.uuid4().hex[:12]}"
+        self.write(rows, f"{self.path}/{folder}")
+        folders.write_text(self.spark, f"{self.path}/_batches/{batch}", folder)
+
+    def folder(self, batch: int) -> str:
+        return folders.read_text(self.spark, f"{self.path}/_batches/{batch}") or super().folder(batch)
+
+    def batches(self) -> list[int]:
+        plain = (n.removeprefix("batch=") for n in folders.names(self.spark, self.path))
+        return sorted({int(n) for n in [*plain, *folders.names(self.spark, f"{self.path}/_batches")] if n.isdecimal()})
+
+    def expire(self, used: Iterable[str] = ()) -> list[str]:
+        """Remove folders of replaced batches, but for those still ``used``."""
+        kept = {*used, *(self.folder(n) for n in self.batches())}
+        gone = [n for n in folders.names(self.spark, self.path) if n.startswith("batch=") and n not in kept]
+        for name in gone:
+            folders.remove(self.spark, f"{self.path}/{name}")
+        return gone
 
 
 class Versions(_Layout):
@@ -131,28 +177,39 @@ class Versions(_Layout):
 
     def manifest(self, before: int | None = None) -> dict[int, str]:
         """The folder of each bucket that has rows, as of the last number (``before`` one)."""
+        return self._held(self._entries(before))
+
+    def _entries(self, before: int | None = None) -> dict[str, object]:
+        """A manifest as it was written."""
         known = [n for n in self.numbers() if before is None or n < before]
-        if not known:
-            return {}
-        text = folders.read_text(self.spark, f"{self.path}/manifest/{known[-1]}")
-        return {int(b): folder for b, folder in json.loads(text).items()}
+        return json.loads(folders.read_text(self.spark, f"{self.path}/manifest/{known[-1]}")) if known else {}
+
+    def _held(self, entries: dict[str, object]) -> dict[int, str]:
+        return {int(b): folder for b, folder in entries.items() if b.isdecimal()}
 
     def rows(
         self, buckets: Iterable[int] | None = None, before: int | None = None, wanted: DataFrame | None = None
     ) -> DataFrame:
         """All rows, those of some buckets, or those of the wanted keys."""
-        held = self.manifest(before)
+        read = self.reader(self.manifest(before))
+        return read(buckets) if wanted is None else self.lookup(wanted, read)
+
+    def reader(self, held: dict[int, str]) -> Callable[..., DataFrame]:
+        """Reads some (or all) buckets of a manifest."""
 
         def read(asked: Iterable[int] | None = None) -> DataFrame:
             chosen = held if asked is None else sorted(b for b in asked if b in held)
             return self.read([f"{self.path}/{held[b]}/{BUCKET}={b}" for b in chosen])
 
-        return read(buckets) if wanted is None else self.lookup(wanted, read)
+        return read
 
-    def replace(self, rows: DataFrame, buckets: Iterable[int], number: int, base: int | None = None) -> None:
+    def replace(
+        self, rows: DataFrame, buckets: Iterable[int], number: int, base: int | None = None, beside: dict | None = None
+    ) -> None:
         """Write new rows of ``buckets`` as ``number``; the others stay as they were before ``base`` (``number``).
 
         Numbers from ``base`` up to this one are forgotten: they were made of what is replaced.
+        The manifest also takes the entries ``beside`` those of the buckets.
         """
         base = number if base is None else base
         held = {b: folder for b, folder in self.manifest(base).items() if b not in set(buckets)}
@@ -160,7 +217,7 @@ class Versions(_Layout):
         if buckets:
             self.write(rows, f"{self.path}/{folder}")
             held |= dict.fromkeys(self.touched(f"{self.path}/{folder}"), folder)
-        folders.write_text(self.spark, f"{self.path}/manifest/{number}", json.dumps(held))
+        folders.write_text(self.spark, f"{self.path}/manifest/{number}", json.dumps(held | (beside or {})))
         for old in self.numbers():
             if base <= old < number:
                 folders.remove(self.spark, f"{self.path}/manifest/{old}")
@@ -207,3 +264,43 @@ class Snapshot(Versions):
         rows = self.rows(touched, before=batch).unionByName(self.log.rows(later).select(*self.names))
         self.replace(self.compact(rows), touched, later[-1], base=batch)
         return touched
+
+
+class Index(Snapshot):
+    """A snapshot of ``key`` and ``order`` only; ``whole`` reads the rows it names from the log.
+
+    ``order`` tells the rows of a key apart.  A manifest names the log's folders that it was made
+    of, so a batch that is written again is seen when it is folded, not before.
+    """
+
+    def __init__(self, log: KeptLog, compact: Callable[[DataFrame], DataFrame], order: str, name: str = "index"):
+        super().__init__(log, compact, name, T.StructType([log.schema[log.key], log.schema[order]]))
+        self.order = order
+
+    def _logged(self, entries: dict[str, object]) -> dict[str, str]:
+        """The log's folder of each batch that a manifest was made of."""
+        return entries.get("log", {})
+
+    def replace(
+        self, rows: DataFrame, buckets: Iterable[int], number: int, base: int | None = None, beside: dict | None = None
+    ) -> None:
+        base = number if base is None else base
+        folded = {str(n): self.log.folder(n) for n in self.log.batches() if base <= n <= number}
+        logged = self._logged(self._entries(base)) | folded
+        super().replace(rows, buckets, number, base, {"log": logged} | (beside or {}))
+
+    def whole(self, before: int | None = None, wanted: DataFrame | None = None) -> DataFrame:
+        """The log's rows that still matter, or those of the wanted keys."""
+        entries = self._entries(before)
+        buckets, picked = (None, lambda rows: rows) if wanted is None else self.pick(wanted)
+        rows = picked(self.log.reader(self._logged(entries).values())(buckets))
+        # One row a key, joined by the key alone: who groups by it needs no further shuffle of the rows.
+        named = F.collect_set(F.struct(self.order)).alias("__named")
+        live = picked(self.reader(self._held(entries))(buckets)).groupBy(F.col(self.key).alias("__key")).agg(named)
+        same = rows[self.key] == live["__key"] if wanted is not None else rows[self.key].eqNullSafe(live["__key"])
+        return rows.join(live, same & F.array_contains(live["__named"], F.struct(rows[self.order])), "left_semi")
+
+    def expire(self, keep: int = 1) -> list[str]:
+        gone = super().expire(keep)
+        used = {folder for n in self.numbers() for folder in self._logged(self._entries(n + 1)).values()}
+        return gone + self.log.expire(used)

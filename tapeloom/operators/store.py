@@ -120,8 +120,9 @@ def last_writes(log: DataFrame) -> DataFrame:
 
 
 def first_and_last_notes(log: DataFrame) -> DataFrame:
-    """The rows of a notes log that still matter: the first (its identity) and the last of each session."""
-    row = F.struct(*[f.name for f in schemas.NOTES_LOG if f.name != "session_id"])
+    """The rows of a notes log (or of some of its columns) that still matter: the first (its identity) and
+    the last of each session."""
+    row = F.struct(*[name for name in log.columns if name != "session_id"])
     ends = log.groupBy("session_id").agg(F.min_by(row, "seq").alias("first"), F.max_by(row, "seq").alias("last"))
     both = F.when(F.col("first.seq") < F.col("last.seq"), F.array("first", "last")).otherwise(F.array("last"))
     return ends.select("session_id", F.explode(both).alias("row")).select("session_id", "row.*")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tapeloom import schemas
 from tapeloom.operators import store
-from tapeloom.operators.buckets import BucketLog, Snapshot
+from tapeloom.operators.buckets import BucketLog, Index, KeptLog, Snapshot
 from tapeloom.operators.key_audit import KeyAudit, Rules
 from tapeloom.plans import sql, store_queries
 from tapeloom.session import new_shared_path
@@ -37,12 +37,14 @@ def _sessions(spark: SparkSession, sf_dir: str) -> Snapshot:
     return _replayed(Snapshot(log, store.last_writes), tables.session_log(spark, sf_dir), batch)
 
 
-def _notes(spark: SparkSession, sf_dir: str, session: Column) -> Snapshot:
-    log = BucketLog(spark, new_shared_path(spark, "store"), "notes_log", schemas.NOTES_LOG, "session_id")
+def _notes(spark: SparkSession, sf_dir: str, session: Column) -> Index:
+    log = KeptLog(spark, new_shared_path(spark, "store"), "notes_log", schemas.NOTES_LOG, "session_id")
     # By length: the first and the last write of a session may come in any batch.
     length = F.length("summary")
     batch = F.when(length < 1000, 2).when(length < 2500, 0).otherwise(1)
-    return _replayed(Snapshot(log, store.first_and_last_notes), tables.notes_log(spark, sf_dir, session), batch)
+    index = Index(log, store.first_and_last_notes, "seq")
+    _replayed(index, tables.notes_log(spark, sf_dir, session), batch)
+    return index
 
 
 def snapshot_sessions(spark, sf_dir):
@@ -57,7 +59,7 @@ def snapshot_session_lookup(spark, sf_dir):
 
 
 def snapshot_notes(spark, sf_dir):
-    notes = store.compact_notes(_notes(spark, sf_dir, F.col("source")).rows())
+    notes = store.compact_notes(_notes(spark, sf_dir, F.col("source")).whole())
     return notes.withColumn("action_items", F.array_join("action_items", ","))
 
 
@@ -65,7 +67,7 @@ def snapshot_notes_lookup(spark, sf_dir):
     """Notes of the wanted sessions, from their buckets only."""
     session = F.concat(F.lit("session-"), F.col("doc_id").cast("string"))
     wanted = tables.transcripts(spark, sf_dir).select("session_id")
-    found = store.compact_notes(_notes(spark, sf_dir, session).rows(wanted=wanted))
+    found = store.compact_notes(_notes(spark, sf_dir, session).whole(wanted=wanted))
     return found.select("session_id", "title", "summary", F.size("action_items").cast("bigint").alias("n_items"))
 
 

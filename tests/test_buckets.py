@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from tapeloom import schemas
 from tapeloom.operators import store
-from tapeloom.operators.buckets import BucketLog, Snapshot, Versions
+from tapeloom.operators.buckets import BucketLog, Index, KeptLog, Snapshot, Versions
 from tapeloom.operators.key_audit import KeyAudit, Rules
-from tapeloom.plans import fleet
+from tapeloom.plans import fleet, snapshot_queries
 from tapeloom.sources import folders
 
 LOG = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schemas.SESSION_LOG)
@@ -152,6 +152,83 @@ def test_notes_keep_first_and_last(spark):
     assert sorted(map(str, store.compact_notes(kept).collect())) == sorted(map(str, store.compact_notes(log).collect()))
 
 
+NOTES = "seq bigint, session_id string, title string, summary string, action_items array<string>"
+
+
+def _index(spark, root, n_buckets=16):
+    return Index(KeptLog(spark, root, "notes_log", schemas.NOTES_LOG, "session_id", n_buckets), store.first_and_last_notes, "seq")
+
+
+def _notes(rng, seqs, n_sessions=25, mark=""):
+    ident = lambda: rng.choice([None, *(f"s{i}" for i in range(n_sessions))])
+    return [(seq, ident(), f"t{seq}{mark}", f"text {seq}", [f"i{seq}"]) for seq in seqs]
+
+
+def _noted(df):
+    return sorted(map(str, store.compact_notes(df).collect()))
+
+
+def test_an_index_reads_what_a_snapshot_holds(spark, tmp_path):
+    rng = random.Random(6)
+    index, written, seq = _index(spark, f"file://{tmp_path}"), {}, 0
+    # Batch 2 comes again, with other rows, after batch 3.
+    for n, size in ((1, 40), (2, 5), (3, 12), (2, 8), (4, 0), (5, 3)):
+        written[n], seq = _notes(rng, rng.sample(range(seq, seq + 100), size)), seq + 50
+        before = _noted(index.whole())
+        index.log.append(spark.createDataFrame(written[n], NOTES), n)
+        # An appended batch is seen when it is folded; one that replaces another, too.
+        assert _noted(index.whole()) == before
+        index.fold(n)
+        rows = [r for part in written.values() for r in part]
+        assert _noted(index.whole()) == _noted(spark.createDataFrame(rows, NOTES))
+    assert _noted(index.whole(before=2)) == _noted(spark.createDataFrame(written[1], NOTES))
+    few = [("s3",), ("s4",), ("s3",), ("zz",), (None,)]
+    for keys in (few, [(f"s{i}",) for i in range(0, 25, 2)], []):
+        wanted = spark.createDataFrame(keys, "session_id string")
+        known = {k for (k,) in keys if k}
+        found = index.whole(wanted=wanted)
+        assert _noted(found) == _noted(spark.createDataFrame([r for r in rows if r[1] in known], NOTES))
+        assert _opened(found) <= set(index.wanted(wanted))
+    plan = index.whole(wanted=spark.createDataFrame(few, "session_id string"))._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"PushedFilters: \[In\(session_id, ", plan)) == 2, plan
+    want, folders_before = _noted(index.whole()), set(folders.names(spark, index.log.path))
+    assert any(n.startswith("batch=2-") for n in index.expire())
+    assert _noted(index.whole()) == want
+    assert len([n for n in folders_before if n.startswith("batch=")]) == 6
+    assert len([n for n in folders.names(spark, index.log.path) if n.startswith("batch=")]) == 5
+
+
+def test_a_kept_log_reads_plain_batches(spark, tmp_path):
+    plain = BucketLog(spark, f"file://{tmp_path}", "notes_log", schemas.NOTES_LOG, "session_id")
+    plain.append(spark.createDataFrame([(1, "a", "t", "x", [])], NOTES), 3)
+    log = _index(spark, f"file://{tmp_path}").log
+    log.append(spark.createDataFrame([(2, "b", "t", "y", [])], NOTES), 4)
+    assert log.batches() == [3, 4] and sorted(r["seq"] for r in log.rows().collect()) == [1, 2]
+    log.append(spark.createDataFrame([(5, "c", "t", "z", [])], NOTES), 3)
+    assert log.batches() == [3, 4] and sorted(r["seq"] for r in log.rows().collect()) == [2, 5]
+    assert log.expire() == ["batch=3"]
+
+
+def test_a_history_of_notes_writes_its_texts_once_a_batch(spark, tmp_path, monkeypatch):
+    rng = random.Random(7)
+    texts = [rng.randbytes(15_000).hex() for _ in range(120)]
+    docs = [(i, text, "en", f"src{i % 3}", len(text)) for i, text in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(
+        f"file://{tmp_path}/documents.parquet"
+    )
+    turns = [(i, 0, "user", "hi") for i in range(0, 120, 4)]
+    spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").write.parquet(
+        f"file://{tmp_path}/conversations.parquet"
+    )
+    monkeypatch.setattr(snapshot_queries, "new_shared_path", lambda spark, label: f"file://{tmp_path}/shared")
+    found = snapshot_queries.snapshot_notes_lookup(spark, f"file://{tmp_path}").collect()
+    assert sorted((r["session_id"], r["summary"]) for r in found) == sorted((f"session-{i}", texts[i]) for i, _, _, _ in turns)
+    # All are one batch, which comes twice; no fold writes them again.
+    stored = sum(p.stat().st_size for p in (tmp_path / "shared").rglob("*.parquet"))
+    given = sum(p.stat().st_size for p in (tmp_path / "documents.parquet").rglob("*.parquet"))
+    assert stored < 2.9 * given
+
+
 def _full_audit(spark, docs, labels):
     labelled = spark.createDataFrame(labels, "doc_id bigint")
     found = store.key_audit(
