@@ -293,12 +293,12 @@ class Index(Snapshot):
         """The log's rows that still matter, or those of the wanted keys."""
         entries = self._entries(before)
         buckets, picked = (None, lambda rows: rows) if wanted is None else self.pick(wanted)
-        rows = picked(self.log.reader(self._logged(entries).values())(buckets))
-        # One row a key, joined by the key alone: who groups by it needs no further shuffle of the rows.
-        named = F.collect_set(F.struct(self.order)).alias("__named")
-        live = picked(self.reader(self._held(entries))(buckets)).groupBy(F.col(self.key).alias("__key")).agg(named)
-        same = rows[self.key] == live["__key"] if wanted is not None else rows[self.key].eqNullSafe(live["__key"])
-        return rows.join(live, same & F.array_contains(live["__named"], F.struct(rows[self.order])), "left_semi")
+        rows = self.log.reader(self._logged(entries).values())(buckets)
+        live = picked(self.reader(self._held(entries))(buckets))
+        live = live.select(F.col(self.key).alias("__key"), F.col(self.order).alias("__order"))
+        # By the order too: a key written very often is spread over the tasks.
+        same = rows[self.key].eqNullSafe(live["__key"]) if wanted is None else rows[self.key] == live["__key"]
+        return rows.join(live, same & rows[self.order].eqNullSafe(live["__order"]), "left_semi")
 
     def expire(self, keep: int = 1) -> list[str]:
         gone = super().expire(keep)
