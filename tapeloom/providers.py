@@ -123,11 +123,17 @@ def answers(
     ledger: str | None = None,
 ) -> DataFrame:
     """The read responses of all upload chunks; ``chunks`` holds the audio of a backend that hears."""
-    if backend.hears:
-        if chunks is None:
-            raise ValueError("this backend needs the audio chunks")
-        manifest = audio.with_samples(manifest, chunks)
-    return transcripts.parse_responses(transcribe_chunks(manifest, backend, parallelism, ledger))
+    given = _given(manifest, backend, chunks)
+    return transcripts.parse_responses(transcribe_chunks(given, backend, parallelism, ledger))
+
+
+def _given(manifest: DataFrame, backend: Transcriber, chunks: DataFrame | None) -> DataFrame:
+    """What the backend is given of each upload chunk."""
+    if not backend.hears:
+        return manifest
+    if chunks is None:
+        raise ValueError("this backend needs the audio chunks")
+    return audio.with_samples(manifest, chunks)
 
 
 def transcribe(
@@ -144,10 +150,14 @@ def transcribe(
     chunks that have an answer are not asked for again, and a recording with a chunk that
     has none gets no transcript: ``answers.failures`` lists it, a later run goes on from there.
     """
-    parsed = answers(manifest, backend, chunks, parallelism, ledger)
-    if ledger is not None:
-        failed = parsed.where("error IS NOT NULL").select(*transcripts.KEY).distinct()
-        parsed = parsed.drop("error").join(failed, transcripts.KEY, "left_anti")
+    if ledger is None:
+        parsed = answers(manifest, backend, chunks, parallelism)
+    else:
+        given = _given(manifest, backend, chunks)
+        asked, failed = answer_ledger.ask_and_tell(given, backend.call, ledger, parallelism=parallelism)
+        parsed = transcripts.parse_responses(asked.drop("samples", "error"))
+        if failed is not None:
+            parsed = parsed.join(failed, transcripts.KEY, "left_anti")
     merged = transcripts.merge_chunks(parsed)
     return merged if targets is None else merged.unionByName(transcripts.empty_transcripts(targets, manifest))
 

@@ -1,8 +1,11 @@
+import gzip
 import json
 import os
+import time
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tapeloom import answers, providers
 from tapeloom.plans import fleet
@@ -155,3 +158,101 @@ def test_a_batch_goes_on_where_its_backend_failed(spark, tmp_path):
     assert _calls(tmp_path) == ["both1", "both1"] and out["failed"].count() == 0
     said = {(r.session_id, r.channel): r.text for r in out["transcripts"].collect()}
     assert said["both", "microphone"] == "\n".join(f"said both{i}" for i in range(4)) and len(said) == 3
+
+
+def test_journals_are_packed(spark, tmp_path):
+    """What a run keeps until it commits is some bytes an answer, not its whole text and digest."""
+    ledger, backend = f"{tmp_path}/ledger", _backend(tmp_path)
+
+    def call(batch):
+        found = [f"{at}/{name}" for at, _, names in os.walk(f"{ledger}/open") for name in names]
+        with open(f"{tmp_path}/bytes", "a") as log:
+            log.write(f"{sum(os.path.getsize(path) for path in found)}\n")
+        return backend(batch)
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "300")
+    try:
+        answers.ask(_manifest(spark, ("a",), 600), call, ledger, parallelism=1).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    first, second = (int(n) for n in open(f"{tmp_path}/bytes").read().split())
+    assert first == 0 and 0 < second < 60 * 300
+
+
+def _shuffle_files(spark):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = blocks.getAllFiles()
+    names = (files.apply(i).getName() for i in range(files.size()))
+    return {name for name in names if name.startswith("shuffle_") and name.endswith(".data")}
+
+
+def test_chunks_meet_the_ledger_in_one_shuffle(spark, tmp_path):
+    """A second run finds all answers: one shuffle of chunks and answers that is merged from; the jobs inside leave none."""
+    ledger, manifest = f"{tmp_path}/ledger", _manifest(spark, ("a", "b", "c"), 30)
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(setting)
+    backend = providers.Transcriber(_backend(tmp_path))
+    wanted = {s: "\n".join(f"said {s}{i}" for i in range(30)) for s in "abc"}
+    for calls in (90, 0):
+        before = _shuffle_files(spark)
+        merged = providers.transcribe(manifest, backend, ledger=ledger)
+        until = time.time() + 20
+        while _shuffle_files(spark) - before and time.time() < until:
+            time.sleep(0.2)
+        assert not _shuffle_files(spark) - before
+        assert {r.session_id: r.text for r in merged.collect()} == wanted and len(_calls(tmp_path)) == calls
+        final = merged._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert final.count("Exchange hashpartitioning") == 1
+    assert spark.conf.get(setting) == was
+
+
+def test_a_failed_chunk_keeps_all_parts_of_its_recording_back(spark, tmp_path):
+    backend = providers.Transcriber(_backend(tmp_path, {("a", 4099)}))
+    manifest = _manifest(spark, ("a",), 4100).unionByName(_manifest(spark, ("b",), 2))
+    merged = providers.transcribe(manifest, backend, parallelism=4, ledger=f"{tmp_path}/ledger")
+    assert [(r.session_id, r.part, r.text) for r in merged.collect()] == [("b", 0, "said b0\nsaid b1")]
+    merged = providers.transcribe(manifest, providers.Transcriber(_backend(tmp_path)), ledger=f"{tmp_path}/ledger")
+    assert sorted((r.session_id, r.part, r.text.count("\n")) for r in merged.collect()) == [("a", 0, 4095), ("a", 1, 3), ("b", 0, 1)]
+
+
+def test_ledgers_with_whole_digests_and_plain_journals_still_answer(spark, tmp_path):
+    ledger, manifest = f"{tmp_path}/ledger", _manifest(spark, ("a",), 6)
+    whole = F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(manifest.columns)])), 256)
+    said = F.concat(F.lit("old "), F.col("chunk_index").cast("string"))
+    rows = manifest.select(
+        *answers.KEY, whole.alias("digest"), said.alias("response"), F.lit(None).cast("string").alias("error"), F.lit(1).alias("calls")
+    )
+    rows.where("chunk_index < 2").write.parquet(f"{ledger}/runs/run=old")
+    os.makedirs(f"{ledger}/open/dead/3")
+    os.makedirs(f"{ledger}/open/dead/4")
+    with open(f"{ledger}/open/dead/3/x.json", "w") as journal:
+        journal.write("\n".join(rows.where("chunk_index IN (2, 3)").toJSON().collect()))
+    got = _answers(answers.ask(manifest, _backend(tmp_path), ledger))
+    assert _calls(tmp_path) == ["a4", "a5"]
+    assert [r[2] for r in got] == [*(f"old {i}" for i in range(4)), *(f'{{"text": "said a{i}"}}' for i in (4, 5))]
+
+
+def test_whole_lines_of_a_torn_packed_journal_are_kept(spark, tmp_path):
+    ledger, again, manifest = f"{tmp_path}/ledger", f"{tmp_path}/again", _manifest(spark, ("a",), 200)
+    answers.ask(manifest, _backend(tmp_path), ledger, parallelism=1).collect()
+    lines = spark.read.parquet(f"{ledger}/runs").orderBy("chunk_index").drop("run").toJSON().collect()
+    os.makedirs(f"{again}/open/dead/0")
+    with open(f"{again}/open/dead/0/x.json.gz", "wb") as torn:
+        torn.write(gzip.compress("\n".join(lines).encode(), 1)[:-400])
+    with open(f"{again}/open/dead/0/y.json.gz", "wb") as torn:
+        torn.write(b"")
+    _calls(tmp_path)
+    got = _answers(answers.ask(manifest, _backend(tmp_path), again))
+    assert got == _answers(answers.ask(manifest, _backend(tmp_path), ledger))
+    assert 0 < len(_calls(tmp_path)) < 100
+
+
+def test_chunks_that_come_twice_or_without_a_key(spark, tmp_path):
+    """A chunk that comes twice gives two rows, in every run; one without a whole key is asked for and gives none."""
+    ledger, once = f"{tmp_path}/ledger", _manifest(spark, ("a",), 3)
+    twice = once.unionByName(once)
+    unkeyed = once.limit(1).withColumn("channel", F.lit(None).cast("string")).withColumn("session_id", F.lit("n"))
+    for calls in (["a0", "a0", "a1", "a1", "a2", "a2", "n0"], ["n0"], ["n0"]):
+        got = _answers(answers.ask(twice.unionByName(unkeyed), _backend(tmp_path), ledger, parallelism=1))
+        assert _calls(tmp_path) == calls
+        assert [r[:3] for r in got] == [("a", i, f'{{"text": "said a{i}"}}') for i in (0, 0, 1, 1, 2, 2)]
