@@ -108,7 +108,7 @@ def _asker(call: Callable[[pd.DataFrame], pd.Series], journals: str, columns: li
             lines = rows[_SCHEMA.names].to_json(orient="records", lines=True).encode("utf-8")
             # Not compressed by the stream: pyarrow goes by the name's ending.
             with filesystem.open_output_stream(f"{folder}/{uuid.uuid4().hex}.json.gz", compression=None) as out:
-                out.write(gzip.compress(lines, 1))
+                out.write(gzip.compress(lines, 6))
 
         def kept(digests: list[str]) -> dict[str, str | None]:
             wanted = set(digests)
